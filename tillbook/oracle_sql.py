@@ -400,3 +400,292 @@ SELECT o.id, o.user_id, u.full_name AS customer_name, u.phone AS customer_phone,
        o.created_at
 FROM ({_ORDERS_CURRENT}) o LEFT JOIN m_users u ON u.id = o.user_id
 WHERE CAST(o.created_at AS DATE) BETWEEN DATE '2001-07-02' AND DATE '2001-08-01'""")
+
+
+# ---------------------------------------------------------------- change jobs
+
+def _rsql(extra: str, body: str) -> str:
+    return "WITH RECURSIVE " + MODEL.strip() + ",\n" + extra.strip() + "\n" + body.strip()
+
+
+_CHG3 = """
+m_preq AS (SELECT sale_key AS request_id, user_id, product_id, quantity, transaction_date AS requested_at FROM m_sales),
+m_stock0 AS (SELECT id, price, CAST(quantity AS BIGINT) * 10 AS stock FROM m_inventory),
+m_pvalid AS (SELECT r.*, s.price FROM m_preq r JOIN m_stock0 s ON s.id = r.product_id WHERE r.quantity >= 1),
+m_pseq AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY requested_at, request_id) AS rn FROM m_pvalid),
+m_walk AS (
+  SELECT id AS product_id, CAST(0 AS BIGINT) AS rn, stock, CAST(NULL AS BOOLEAN) AS ok FROM m_stock0
+  UNION ALL
+  SELECT w.product_id, q.rn, CASE WHEN q.quantity <= w.stock THEN w.stock - q.quantity ELSE w.stock END,
+         q.quantity <= w.stock
+  FROM m_walk w JOIN m_pseq q ON q.product_id = w.product_id AND q.rn = w.rn + 1),
+m_pout AS (SELECT q.*, w.ok FROM m_pseq q JOIN m_walk w ON w.product_id = q.product_id AND w.rn = q.rn)
+"""
+ORACLE["chg3_purchases_sales"] = _rsql(_CHG3, """
+SELECT request_id, user_id, product_id, quantity, CAST(quantity * price AS DECIMAL(10,2)) AS total_amount,
+       requested_at AS transaction_date FROM m_pout WHERE ok""")
+ORACLE["chg3_purchases_rejects"] = _rsql(_CHG3, """
+SELECT request_id, user_id, product_id, quantity, requested_at,
+       CASE WHEN quantity IS NULL OR quantity < 1 THEN 'Invalid quantity' ELSE 'Product not found' END AS message
+FROM m_preq r WHERE quantity IS NULL OR quantity < 1 OR NOT EXISTS (SELECT 1 FROM m_stock0 s WHERE s.id = r.product_id)
+UNION ALL
+SELECT request_id, user_id, product_id, quantity, requested_at, 'Insufficient quantity available' FROM m_pout WHERE NOT ok""")
+ORACLE["chg3_purchases_stock"] = _rsql(_CHG3, """
+SELECT product_id AS id, CAST(arg_max(stock, rn) AS INTEGER) AS quantity FROM m_walk GROUP BY product_id""")
+
+_CART = """
+m_keys AS (SELECT DISTINCT user_id, product_id FROM m_cart_events WHERE action IN ('add', 'set', 'remove')),
+m_clears AS (
+  SELECT user_id, product_id, event_time, event_id FROM m_cart_events WHERE action = 'remove'
+  UNION ALL
+  SELECT k.user_id, k.product_id, c.event_time, c.event_id
+  FROM m_cart_events c JOIN m_keys k ON k.user_id = c.user_id WHERE c.action = 'checkout'),
+m_last_clear AS (
+  SELECT user_id, product_id, event_time AS ct, event_id AS ci FROM (
+    SELECT *, row_number() OVER (PARTITION BY user_id, product_id ORDER BY event_time DESC, event_id DESC) AS rn
+    FROM m_clears) WHERE rn = 1),
+m_seg AS (
+  SELECT e.* FROM m_cart_events e LEFT JOIN m_last_clear c ON c.user_id = e.user_id AND c.product_id = e.product_id
+  WHERE e.action IN ('add', 'set')
+    AND (c.ct IS NULL OR e.event_time > c.ct OR (e.event_time = c.ct AND e.event_id > c.ci))),
+m_live AS (
+  SELECT * FROM (
+    SELECT *, sum(CASE WHEN action = 'add' THEN 1 ELSE 0 END) OVER (
+      PARTITION BY user_id, product_id ORDER BY event_time, event_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS adds_so_far
+    FROM m_seg) WHERE adds_so_far > 0),
+m_tail AS (
+  SELECT *, coalesce(sum(CASE WHEN action = 'set' THEN 1 ELSE 0 END) OVER (
+      PARTITION BY user_id, product_id ORDER BY event_time, event_id
+      ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS sets_after
+  FROM m_live),
+m_cart AS (
+  SELECT user_id, product_id, CAST(sum(quantity) FILTER (WHERE sets_after = 0) AS INTEGER) AS quantity,
+         min(event_time) FILTER (WHERE action = 'add') AS created_at,
+         max(event_time) FILTER (WHERE sets_after = 0) AS updated_at
+  FROM m_tail GROUP BY user_id, product_id),
+m_lines AS (
+  SELECT c.user_id, c.product_id, c.quantity, c.created_at, c.updated_at, i.name, i.price, i.image,
+         CAST(c.quantity * i.price AS DECIMAL(10,2)) AS subtotal
+  FROM m_cart c JOIN m_inventory i ON i.id = c.product_id)
+"""
+ORACLE["chg4_fold_cart"] = _with(_CART, "SELECT * FROM m_cart")
+ORACLE["join6_cart_lines"] = _with(_CART, "SELECT * FROM m_lines")
+ORACLE["agg14_cart_totals"] = _with(_CART, """
+SELECT user_id, CAST(sum(subtotal) AS DECIMAL(38,2)) AS total, count(*) AS items FROM m_lines GROUP BY user_id""")
+
+_CHECKOUT = _CART.rstrip().rstrip(",") + """,
+m_creq AS (
+  SELECT 'co-' || c_custkey || '-1' AS request_id, c_custkey AS user_id, 'Nation ' || c_nationkey AS delivery_address,
+         TIMESTAMP '2024-02-01 09:00:00' AS requested_at FROM customer
+  UNION ALL
+  SELECT 'co-' || c_custkey || '-2', c_custkey, 'Nation ' || c_nationkey, TIMESTAMP '2024-02-01 08:00:00'
+  FROM customer WHERE c_acctbal > 5000),
+m_cfirst AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY requested_at, request_id) AS rn
+                 FROM m_creq) WHERE rn = 1),
+m_placed AS (
+  SELECT f.request_id, f.user_id, f.delivery_address, f.requested_at, t.total
+  FROM m_cfirst f JOIN (SELECT user_id, sum(subtotal) AS total FROM m_lines GROUP BY user_id) t ON t.user_id = f.user_id),
+m_new_orders AS (
+  SELECT (SELECT max(id) FROM m_orders) + row_number() OVER (ORDER BY requested_at, request_id) AS id, user_id,
+         CAST(total AS DECIMAL(10,2)) AS total_amount, 'pending' AS status, delivery_address,
+         requested_at AS created_at, requested_at AS updated_at, request_id FROM m_placed)
+"""
+ORACLE["chg5_checkout_orders"] = _with(_CHECKOUT, "SELECT * FROM m_new_orders")
+ORACLE["chg5_checkout_items"] = _with(_CHECKOUT, """
+SELECT o.id AS order_id, l.product_id, l.quantity, l.price AS price_per_unit, l.subtotal,
+       row_number() OVER (ORDER BY o.id, l.product_id) AS id
+FROM m_lines l JOIN m_new_orders o ON o.user_id = l.user_id""")
+ORACLE["chg5_checkout_tracking"] = _with(_CHECKOUT, """
+SELECT (SELECT max(id) FROM m_tracking) + row_number() OVER (ORDER BY id) AS id, id AS order_id,
+       'order_placed' AS status, CAST(NULL AS VARCHAR) AS location,
+       'Order has been placed successfully' AS notes, created_at FROM m_new_orders""")
+ORACLE["chg5_checkout_rejects"] = _with(_CHECKOUT, """
+SELECT request_id, user_id, delivery_address, requested_at, 'Cart is empty' AS message FROM m_creq
+WHERE request_id NOT IN (SELECT request_id FROM m_placed)""")
+ORACLE["chg5_cart_left"] = _with(_CHECKOUT, """
+SELECT * FROM m_cart WHERE user_id NOT IN (SELECT user_id FROM m_placed)""")
+
+_OPEN_PAY = """
+m_payreq AS (
+  SELECT 'pay-' || o_orderkey AS request_id, o_orderkey AS order_id,
+         CASE WHEN o_orderstatus = 'F' THEN o_custkey + 1 ELSE o_custkey END AS user_id,
+         CASE WHEN o_orderpriority LIKE '5%' THEN 'n/a' ELSE lpad(CAST(o_custkey AS VARCHAR), 10, '0') END AS phone_number,
+         o_orderdate + INTERVAL 1 HOUR AS requested_at FROM orders),
+m_paymarked AS (
+  SELECT r.*, o.total_amount AS amount,
+         CASE WHEN NOT coalesce(regexp_matches(r.phone_number, '^[0-9]{10}$'), false)
+                THEN 'Please enter a valid 10-digit phone number'
+              WHEN o.id IS NULL THEN 'Order not found' END AS message
+  FROM m_payreq r LEFT JOIN m_orders o ON o.id = r.order_id AND o.user_id = r.user_id)
+"""
+ORACLE["chg6_open_payments"] = _with(_OPEN_PAY, """
+SELECT (SELECT max(id) FROM m_payments) + row_number() OVER (ORDER BY requested_at, request_id) AS id, order_id,
+       'WV' || CAST(CAST(epoch(requested_at) AS BIGINT) AS VARCHAR)
+         || CASE WHEN length(CAST(order_id AS VARCHAR)) >= 4 THEN CAST(order_id AS VARCHAR)
+                 ELSE lpad(CAST(order_id AS VARCHAR), 4, '0') END AS transaction_id,
+       phone_number, amount, 'pending' AS status, CAST(NULL AS VARCHAR) AS result_code,
+       CAST(NULL AS VARCHAR) AS result_desc, requested_at AS created_at, CAST(NULL AS TIMESTAMP) AS completed_at,
+       request_id
+FROM m_paymarked WHERE message IS NULL""")
+ORACLE["chg6_payment_rejects"] = _with(_OPEN_PAY, """
+SELECT request_id, order_id, user_id, phone_number, requested_at, message FROM m_paymarked WHERE message IS NOT NULL""")
+
+_APPLY_PAY = """
+m_conf AS (
+  SELECT event_id AS confirmation_id,
+         CASE WHEN event_type = 'click' THEN 'WVX' || event_id ELSE 'WV' || event_id END AS transaction_id,
+         CASE WHEN value < 5 THEN '1' ELSE '0' END AS result_code,
+         CASE WHEN value < 5 THEN 'Failed' ELSE 'Success' END AS result_desc,
+         ts + INTERVAL 1 MINUTE AS confirmed_at
+  FROM events WHERE event_type IN ('view', 'click', 'purchase')
+  UNION ALL
+  SELECT event_id + 1000000000, 'WV' || event_id, CASE WHEN value < 5 THEN '1' ELSE '0' END,
+         CASE WHEN value < 5 THEN 'Failed' ELSE 'Success' END, ts + INTERVAL 2 MINUTE
+  FROM events WHERE event_type = 'view' AND value > 100),
+m_cmsg AS (
+  SELECT c.*, p.order_id,
+         CASE WHEN p.status IS NULL THEN 'Transaction not found'
+              WHEN p.status <> 'pending' THEN 'Payment already processed'
+              WHEN row_number() OVER (PARTITION BY c.transaction_id ORDER BY c.confirmed_at, c.confirmation_id) > 1
+                THEN 'Duplicate confirmation' END AS message
+  FROM m_conf c LEFT JOIN m_payments p ON p.transaction_id = c.transaction_id),
+m_applied AS (SELECT * FROM m_cmsg WHERE message IS NULL)
+"""
+ORACLE["chg7_payments_updated"] = _with(_APPLY_PAY, """
+SELECT p.id, p.order_id, p.transaction_id, p.phone_number, p.amount,
+       CASE WHEN a.result_code = '0' THEN 'completed' WHEN a.result_code IS NOT NULL THEN 'failed' ELSE p.status END AS status,
+       coalesce(a.result_code, p.result_code) AS result_code, coalesce(a.result_desc, p.result_desc) AS result_desc,
+       p.created_at, CASE WHEN a.result_code = '0' THEN a.confirmed_at ELSE p.completed_at END AS completed_at
+FROM m_payments p LEFT JOIN m_applied a ON a.transaction_id = p.transaction_id""")
+ORACLE["chg7_tracking_added"] = _with(_APPLY_PAY, """
+SELECT (SELECT max(id) FROM m_tracking) + row_number() OVER (ORDER BY confirmed_at, transaction_id) AS id, order_id,
+       'payment_received' AS status, CAST(NULL AS VARCHAR) AS location, 'Payment confirmed via M-Pesa' AS notes,
+       confirmed_at AS created_at FROM m_applied WHERE result_code = '0'""")
+ORACLE["chg7_rejects"] = _with(_APPLY_PAY, """
+SELECT confirmation_id, transaction_id, result_code, confirmed_at, message FROM m_cmsg WHERE message IS NOT NULL""")
+ORACLE["join11_orders_paid"] = _with(_APPLY_PAY, """
+SELECT o.id, o.user_id, o.total_amount, CASE WHEN pa.paid_at IS NOT NULL THEN 'processing' ELSE o.status END AS status,
+       o.delivery_address, o.created_at, coalesce(pa.paid_at, o.updated_at) AS updated_at
+FROM m_orders o LEFT JOIN (SELECT order_id, max(confirmed_at) AS paid_at FROM m_applied WHERE result_code = '0'
+                           GROUP BY order_id) pa ON pa.order_id = o.id""")
+
+_TRACK_ALL = ("'order_placed', 'payment_received', 'processing', 'in_transit', 'out_for_delivery', 'delivered', "
+              "'cancelled'")
+_ORDER_ALL = "'pending', 'processing', 'in_transit', 'delivered', 'cancelled'"
+_STATUS_UPD = f"""
+m_sreq AS (
+  SELECT event_id AS request_id,
+         CASE WHEN event_type = 'click' THEN [user_id, user_id + 1000000000] ELSE [user_id] END AS order_ids,
+         CASE event_type WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'out_for_delivery' WHEN 'view' THEN 'in_transit'
+              WHEN 'purchase' THEN 'delivered' WHEN 'error' THEN 'refunded' END AS status,
+         'update ' || event_type AS notes, ts AS requested_at FROM events),
+m_spairs AS (SELECT request_id, unnest(order_ids) AS order_id, status, notes, requested_at FROM m_sreq),
+m_smarked AS (
+  SELECT p.*, CASE WHEN o.id IS NULL THEN 'Order not found'
+                   WHEN p.status NOT IN ({_TRACK_ALL}, {_ORDER_ALL}) THEN 'Invalid status' END AS message
+  FROM m_spairs p LEFT JOIN m_orders o ON o.id = p.order_id),
+m_sok AS (SELECT * FROM m_smarked WHERE message IS NULL)
+"""
+ORACLE["chg8_tracking_added"] = _with(_STATUS_UPD, f"""
+SELECT (SELECT max(id) FROM m_tracking) + row_number() OVER (ORDER BY requested_at, request_id, order_id) AS id,
+       order_id, status, CAST(NULL AS VARCHAR) AS location, notes, requested_at AS created_at
+FROM m_sok WHERE status IN ({_TRACK_ALL})""")
+ORACLE["chg8_orders_updated"] = _with(_STATUS_UPD, f"""
+SELECT o.id, o.user_id, o.total_amount, coalesce(l.status, o.status) AS status, o.delivery_address, o.created_at,
+       coalesce(l.last_at, o.updated_at) AS updated_at
+FROM m_orders o LEFT JOIN (
+  SELECT order_id, status, last_at FROM (
+    SELECT order_id, status, max(requested_at) OVER (PARTITION BY order_id) AS last_at,
+           row_number() OVER (PARTITION BY order_id ORDER BY requested_at DESC, request_id DESC) AS rn
+    FROM m_sok WHERE status IN ({_ORDER_ALL})) WHERE rn = 1) l ON l.order_id = o.id""")
+ORACLE["chg8_rejects"] = _with(_STATUS_UPD, """
+SELECT order_id, request_id, status, notes, requested_at, message FROM m_smarked WHERE message IS NOT NULL""")
+
+_SIGNUP = """
+m_ureq AS (
+  SELECT event_id AS request_id, 'Customer#' || lpad(CAST(user_id AS VARCHAR), 9, '0') AS full_name,
+         CASE WHEN value >= 200 THEN 'Customer' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '@Example.com'
+              ELSE 'user' || user_id || '@example.com' END AS email,
+         CASE WHEN value < 20 THEN '12345' ELSE '(555) 010-' || lpad(CAST(user_id AS VARCHAR), 4, '0') END AS phone,
+         CASE WHEN value >= 300 THEN 'master_admin' WHEN value >= 100 THEN 'admin' ELSE 'customer' END AS role,
+         ts AS requested_at FROM events WHERE event_type = 'signup'),
+m_upre AS (
+  SELECT *, CASE WHEN full_name IS NULL OR trim(full_name) = '' OR email IS NULL OR trim(email) = ''
+                   OR phone IS NULL OR trim(phone) = '' THEN 'Please fill in all fields'
+                 WHEN NOT coalesce(regexp_matches(regexp_replace(phone, '[^0-9]', '', 'g'), '^[0-9]{10}$'), false)
+                   THEN 'Please enter a valid 10-digit phone number'
+                 WHEN role IS NULL OR role NOT IN ('customer', 'admin') THEN 'Invalid role' END AS message
+  FROM m_ureq),
+m_uvalid AS (SELECT *, lower(trim(email)) AS lemail FROM m_upre WHERE message IS NULL),
+m_ufresh AS (SELECT * FROM m_uvalid v WHERE NOT EXISTS (SELECT 1 FROM m_users u WHERE lower(trim(u.email)) = v.lemail)),
+m_uwin AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lemail ORDER BY requested_at, request_id) AS rn
+                 FROM m_ufresh) WHERE rn = 1),
+m_new_users AS (
+  SELECT (SELECT max(id) FROM m_users) + row_number() OVER (ORDER BY requested_at, request_id) AS id, full_name, email,
+         phone, role, requested_at AS created_at, regexp_replace(phone, '[^0-9]', '', 'g') AS phone_digits, request_id
+  FROM m_uwin)
+"""
+ORACLE["chg9_new_users"] = _with(_SIGNUP, "SELECT * FROM m_new_users")
+ORACLE["join10_new_signup_emails"] = _with(_SIGNUP, "SELECT email FROM m_new_users")
+ORACLE["chg9_signup_rejects"] = _with(_SIGNUP, """
+SELECT request_id, full_name, email, phone, role, requested_at, message FROM m_upre WHERE message IS NOT NULL
+UNION ALL
+SELECT request_id, full_name, email, phone, role, requested_at, 'Email already exists' FROM m_uvalid
+WHERE request_id NOT IN (SELECT request_id FROM m_uwin)""")
+
+_PRODUCTS = """
+m_chreq AS (
+  SELECT 'up-' || p_partkey AS request_id, 'update' AS action, p_partkey AS product_id, upper(p_name) AS name,
+         CAST(CAST(p_retailprice AS DECIMAL(10,2)) * 1.1 AS DECIMAL(10,2)) AS price, CAST(p_size + 5 AS INTEGER) AS quantity,
+         p_type || ' (updated)' AS description,
+         CASE WHEN p_size < 25 THEN '' ELSE 'img/new-' || lower(replace(p_brand, '#', '')) || '.png' END AS image,
+         TIMESTAMP '2024-03-01 00:00:00' AS requested_at FROM part
+  UNION ALL
+  SELECT 'up2-' || p_partkey, 'update', p_partkey, p_name, CAST(CAST(p_retailprice AS DECIMAL(10,2)) * 1.2 AS DECIMAL(10,2)),
+         CAST(p_size AS INTEGER), p_type, '', TIMESTAMP '2024-03-02 00:00:00' FROM part WHERE p_size > 40
+  UNION ALL
+  SELECT 'upx-' || s_suppkey, 'update', s_suppkey + 1000000000, s_name, CAST(1 AS DECIMAL(10,2)), 1, 'none',
+         CAST(NULL AS VARCHAR), TIMESTAMP '2024-03-01 00:00:00' FROM supplier
+  UNION ALL
+  SELECT 'add-' || s_suppkey, 'add', CAST(NULL AS BIGINT), s_name, CAST(s_acctbal AS DECIMAL(10,2)), 100, 'new',
+         CAST(NULL AS VARCHAR), TIMESTAMP '2024-03-01 00:00:00' FROM supplier),
+m_chmarked AS (
+  SELECT r.*, CASE WHEN r.action NOT IN ('add', 'update') THEN 'Invalid action'
+                   WHEN r.action = 'update' AND i.id IS NULL THEN 'Product not found'
+                   WHEN (r.name IS NULL OR trim(r.name) = '' OR r.price IS NULL OR r.quantity IS NULL OR r.price < 0
+                         OR r.quantity < 0) AND r.action = 'add' THEN 'Failed to add product'
+                   WHEN r.name IS NULL OR trim(r.name) = '' OR r.price IS NULL OR r.quantity IS NULL OR r.price < 0
+                         OR r.quantity < 0 THEN 'Failed to update product' END AS message
+  FROM m_chreq r LEFT JOIN m_inventory i ON i.id = r.product_id),
+m_chok AS (SELECT * FROM m_chmarked WHERE message IS NULL),
+m_chlast AS (
+  SELECT product_id, name, price, quantity, description, max_at FROM (
+    SELECT *, max(requested_at) OVER (PARTITION BY product_id) AS max_at,
+           row_number() OVER (PARTITION BY product_id ORDER BY requested_at DESC, request_id DESC) AS rn
+    FROM m_chok WHERE action = 'update') WHERE rn = 1),
+m_chimg AS (
+  SELECT product_id, image FROM (
+    SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY requested_at DESC, request_id DESC) AS rn
+    FROM m_chok WHERE action = 'update' AND coalesce(trim(image), '') <> '') WHERE rn = 1),
+m_chinv AS (
+  SELECT i.id, coalesce(l.name, i.name) AS name, coalesce(l.description, i.description) AS description,
+         coalesce(l.price, i.price) AS price, coalesce(l.quantity, i.quantity) AS quantity,
+         coalesce(g.image, i.image) AS image, i.created_at, coalesce(l.max_at, i.updated_at) AS updated_at
+  FROM m_inventory i LEFT JOIN m_chlast l ON l.product_id = i.id LEFT JOIN m_chimg g ON g.product_id = i.id
+  UNION ALL
+  SELECT (SELECT max(id) FROM m_inventory) + row_number() OVER (ORDER BY requested_at, request_id), name, description,
+         price, quantity, nullif(image, ''), requested_at, requested_at
+  FROM m_chok WHERE action = 'add')
+"""
+ORACLE["chg1_product_changes"] = _with(_PRODUCTS, "SELECT * FROM m_chinv")
+ORACLE["chg1_product_rejects"] = _with(_PRODUCTS, """
+SELECT request_id, action, product_id, name, price, quantity, description, image, requested_at, message
+FROM m_chmarked WHERE message IS NOT NULL""")
+ORACLE["chg2_product_deletes"] = _with(_PRODUCTS, """
+SELECT * FROM m_chinv i WHERE EXISTS (SELECT 1 FROM m_sales s WHERE s.product_id = i.id)""")
+ORACLE["chg2_delete_rejects"] = _with(_PRODUCTS, """
+SELECT 'del-' || i.id AS request_id, i.id AS product_id, 'Cannot delete product with sales history' AS message
+FROM m_chinv i WHERE EXISTS (SELECT 1 FROM m_sales s WHERE s.product_id = i.id)""")

@@ -546,3 +546,188 @@ def _rep10(spark, sf):
     o, t, u = _tables(spark, sf, "orders", "order_tracking", "users")
     out = O.admin_orders(o, t, u, "all", order_period("admin_default", AS_OF))
     return out.select("id", "user_id", "customer_name", "customer_phone", "status", "current_status", "created_at")
+
+
+# ---------------------------------------------------------------- change jobs (whole request tables)
+
+from .operators import cart as CART  # noqa: E402
+from .operators import changes as CHG  # noqa: E402
+from .operators import payments as PAY  # noqa: E402
+from .operators.purchases import apply_purchases  # noqa: E402
+
+
+def _purchases(spark, sf):
+    inv = TB.inventory(spark, sf).withColumn("quantity", F.col("quantity") * 10)
+    return apply_purchases(inv, TB.purchase_requests(spark, sf))
+
+
+@query("chg3_purchases_sales")
+def _chg3s(spark, sf):
+    return _purchases(spark, sf)["sales"]
+
+
+@query("chg3_purchases_rejects")
+def _chg3r(spark, sf):
+    return _purchases(spark, sf)["rejects"]
+
+
+@query("chg3_purchases_stock")
+def _chg3i(spark, sf):
+    return _purchases(spark, sf)["inventory"].select("id", "quantity")
+
+
+def _cart(spark, sf):
+    return CART.fold_cart(TB.cart_events(spark, sf))["cart"]
+
+
+@query("chg4_fold_cart")
+def _chg4(spark, sf):
+    return _cart(spark, sf)
+
+
+@query("join6_cart_lines")
+def _join6(spark, sf):
+    return J.cart_lines(_cart(spark, sf), TB.inventory(spark, sf))
+
+
+@query("agg14_cart_totals")
+def _agg14(spark, sf):
+    return A.cart_totals(J.cart_lines(_cart(spark, sf), TB.inventory(spark, sf)))
+
+
+def _checkout(spark, sf):
+    return CART.checkout(_cart(spark, sf), TB.inventory(spark, sf), TB.checkout_requests(spark, sf),
+                         orders=TB.orders(spark, sf), tracking=TB.order_tracking(spark, sf))
+
+
+@query("chg5_checkout_orders")
+def _chg5o(spark, sf):
+    return _checkout(spark, sf)["orders"]
+
+
+@query("chg5_checkout_items")
+def _chg5i(spark, sf):
+    return _checkout(spark, sf)["order_items"]
+
+
+@query("chg5_checkout_tracking")
+def _chg5t(spark, sf):
+    return _checkout(spark, sf)["order_tracking"]
+
+
+@query("chg5_checkout_rejects")
+def _chg5r(spark, sf):
+    return _checkout(spark, sf)["rejects"]
+
+
+@query("chg5_cart_left")
+def _chg5c(spark, sf):
+    return _checkout(spark, sf)["cart"]
+
+
+def _open_payments(spark, sf):
+    return PAY.open_payments(TB.orders(spark, sf), TB.payment_requests(spark, sf), payments=TB.payments(spark, sf))
+
+
+@query("chg6_open_payments")
+def _chg6(spark, sf):
+    return _open_payments(spark, sf)["payments"]
+
+
+@query("chg6_payment_rejects")
+def _chg6r(spark, sf):
+    return _open_payments(spark, sf)["rejects"]
+
+
+def _apply_payments(spark, sf):
+    return PAY.apply_payments(TB.payments(spark, sf), TB.orders(spark, sf), TB.order_tracking(spark, sf),
+                              TB.payment_confirmations(spark, sf))
+
+
+@query("chg7_payments_updated")
+def _chg7p(spark, sf):
+    return _apply_payments(spark, sf)["payments"]
+
+
+@query("chg7_tracking_added")
+def _chg7t(spark, sf):
+    return _apply_payments(spark, sf)["order_tracking"]
+
+
+@query("chg7_rejects")
+def _chg7r(spark, sf):
+    return _apply_payments(spark, sf)["rejects"]
+
+
+@query("join11_orders_paid")
+def _join11(spark, sf):
+    return _apply_payments(spark, sf)["orders"]
+
+
+def _status_updates(spark, sf):
+    return CHG.apply_status_updates(TB.orders(spark, sf), TB.order_tracking(spark, sf),
+                                    TB.status_update_requests(spark, sf))
+
+
+@query("chg8_orders_updated")
+def _chg8o(spark, sf):
+    return _status_updates(spark, sf)["orders"]
+
+
+@query("chg8_tracking_added")
+def _chg8t(spark, sf):
+    return _status_updates(spark, sf)["order_tracking"]
+
+
+@query("chg8_rejects")
+def _chg8r(spark, sf):
+    return _status_updates(spark, sf)["rejects"]
+
+
+def _signups(spark, sf):
+    return CHG.accept_signups(TB.users(spark, sf), TB.signup_requests(spark, sf))
+
+
+@query("chg9_new_users")
+def _chg9u(spark, sf):
+    return _signups(spark, sf)["users"]
+
+
+@query("chg9_signup_rejects")
+def _chg9r(spark, sf):
+    return _signups(spark, sf)["rejects"]
+
+
+@query("join10_new_signup_emails")
+def _join10(spark, sf):
+    return _signups(spark, sf)["users"].select("email")
+
+
+def _product_changes(spark, sf):
+    return CHG.apply_product_changes(TB.inventory(spark, sf), TB.product_change_requests(spark, sf))
+
+
+@query("chg1_product_changes")
+def _chg1(spark, sf):
+    return _product_changes(spark, sf)["inventory"]
+
+
+@query("chg1_product_rejects")
+def _chg1r(spark, sf):
+    return _product_changes(spark, sf)["rejects"]
+
+
+def _product_deletes(spark, sf):
+    inv = _product_changes(spark, sf)["inventory"]
+    requests = inv.select(F.concat(F.lit("del-"), F.col("id")).alias("request_id"), F.col("id").alias("product_id"))
+    return CHG.apply_product_deletes(inv, TB.sales(spark, sf), requests)
+
+
+@query("chg2_product_deletes")
+def _chg2(spark, sf):
+    return _product_deletes(spark, sf)["inventory"]
+
+
+@query("chg2_delete_rejects")
+def _chg2r(spark, sf):
+    return _product_deletes(spark, sf)["rejects"]

@@ -7,6 +7,8 @@ parquet scans. Each one is mirrored by a CTE in the DuckDB oracle.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -187,5 +189,122 @@ def model_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+# ---------------------------------------------------------------- request tables for the change jobs
+# Each is derived row by row from a whole driver table, so its size grows with the data.
+
+CHECKOUT_AT, CHECKOUT_EARLY_AT = "2024-02-01 09:00:00", "2024-02-01 08:00:00"
+CHANGE_AT, CHANGE_LATER_AT = "2024-03-01 00:00:00", "2024-03-02 00:00:00"
+UNKNOWN_ID_OFFSET = 1_000_000_000
+
+
+def checkout_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One checkout per customer; customers with a balance over 5000 also sent an earlier second one."""
+    c = raw(spark, sf_dir, "customer")
+    base = dict(user_id=F.col("c_custkey"), delivery_address=F.concat(F.lit("Nation "), F.col("c_nationkey")))
+    first = c.select(F.concat(F.lit("co-"), F.col("c_custkey"), F.lit("-1")).alias("request_id"),
+                     *[v.alias(k) for k, v in base.items()], _ts(CHECKOUT_AT).alias("requested_at"))
+    second = c.where(F.col("c_acctbal") > 5000).select(
+        F.concat(F.lit("co-"), F.col("c_custkey"), F.lit("-2")).alias("request_id"),
+        *[v.alias(k) for k, v in base.items()], _ts(CHECKOUT_EARLY_AT).alias("requested_at"))
+    return first.unionByName(second)
+
+
+def payment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A payment request per order, an hour after it; finished ('F') orders are asked for by the
+    wrong customer, urgent ('5-...') ones come with an unusable phone."""
+    o = raw(spark, sf_dir, "orders")
+    return o.select(
+        F.concat(F.lit("pay-"), F.col("o_orderkey")).alias("request_id"),
+        F.col("o_orderkey").alias("order_id"),
+        F.when(F.col("o_orderstatus") == "F", F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("user_id"),
+        F.when(F.col("o_orderpriority").startswith("5"), F.lit("n/a"))
+         .otherwise(F.lpad(F.col("o_custkey").cast("string"), 10, "0")).alias("phone_number"),
+        (F.col("o_orderdate") + F.expr("INTERVAL 1 HOUR")).alias("requested_at"))
+
+
+def payment_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Provider confirmations from events: views confirm their pending payment (small values fail,
+    large ones are confirmed twice), clicks name unknown transactions, purchases confirm
+    payments that are already completed."""
+    e = raw(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click", "purchase"))
+    tx = F.when(F.col("event_type") == "click", F.concat(F.lit("WVX"), F.col("event_id"))) \
+        .otherwise(F.concat(F.lit("WV"), F.col("event_id")))
+    code = F.when(F.col("value") < 5, F.lit("1")).otherwise(F.lit("0"))
+    desc = F.when(F.col("value") < 5, F.lit("Failed")).otherwise(F.lit("Success"))
+    once = e.select(F.col("event_id").alias("confirmation_id"), tx.alias("transaction_id"), code.alias("result_code"),
+                    desc.alias("result_desc"), (F.col("ts") + F.expr("INTERVAL 1 MINUTE")).alias("confirmed_at"))
+    again = e.where((F.col("event_type") == "view") & (F.col("value") > 100)).select(
+        (F.col("event_id") + UNKNOWN_ID_OFFSET).alias("confirmation_id"), tx.alias("transaction_id"),
+        code.alias("result_code"), desc.alias("result_desc"),
+        (F.col("ts") + F.expr("INTERVAL 2 MINUTES")).alias("confirmed_at"))
+    return once.unionByName(again)
+
+
+STATUS_FROM_EVENT = {"signup": "pending", "click": "out_for_delivery", "view": "in_transit",
+                     "purchase": "delivered", "error": "refunded"}
+
+
+def status_update_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Admin status updates from events; clicks are bulk updates that also name an unknown order,
+    errors ask for a status that does not exist."""
+    e = raw(spark, sf_dir, "events")
+    ids = F.when(F.col("event_type") == "click",
+                 F.array(F.col("user_id"), F.col("user_id") + UNKNOWN_ID_OFFSET)).otherwise(F.array(F.col("user_id")))
+    return e.select(F.col("event_id").alias("request_id"), ids.alias("order_ids"),
+                    _case("event_type", STATUS_FROM_EVENT).alias("status"),
+                    F.concat(F.lit("update "), F.col("event_type")).alias("notes"), F.col("ts").alias("requested_at"))
+
+
+def signup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sign-ups from signup events: high values reuse a customer's email in other letter case,
+    low values type a short phone, the highest ask for the master_admin role."""
+    e = raw(spark, sf_dir, "events").where(F.col("event_type") == "signup")
+    padded = F.lpad(F.col("user_id").cast("string"), 9, "0")
+    return e.select(
+        F.col("event_id").alias("request_id"),
+        F.concat(F.lit("Customer#"), padded).alias("full_name"),
+        F.when(F.col("value") >= 200, F.concat(F.lit("Customer"), padded, F.lit("@Example.com")))
+         .otherwise(F.concat(F.lit("user"), F.col("user_id"), F.lit("@example.com"))).alias("email"),
+        F.when(F.col("value") < 20, F.lit("12345"))
+         .otherwise(F.concat(F.lit("(555) 010-"), F.lpad(F.col("user_id").cast("string"), 4, "0"))).alias("phone"),
+        F.when(F.col("value") >= 300, "master_admin").when(F.col("value") >= 100, "admin")
+         .otherwise("customer").alias("role"),
+        F.col("ts").alias("requested_at"))
+
+
+def product_change_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An update for every product (large ones get a second, later one with a blank image), an
+    update of an unknown id and an add per supplier (negative balances give a negative price)."""
+    p = raw(spark, sf_dir, "part")
+    s = raw(spark, sf_dir, "supplier")
+    first = p.select(
+        F.concat(F.lit("up-"), F.col("p_partkey")).alias("request_id"), F.lit("update").alias("action"),
+        F.col("p_partkey").alias("product_id"), F.upper("p_name").alias("name"),
+        (F.col("p_retailprice").cast(MONEY) * F.lit(Decimal("1.1"))).cast(MONEY).alias("price"),
+        (F.col("p_size") + 5).cast("int").alias("quantity"),
+        F.concat(F.col("p_type"), F.lit(" (updated)")).alias("description"),
+        F.when(F.col("p_size") < 25, F.lit("")).otherwise(
+            F.concat(F.lit("img/new-"), F.lower(F.regexp_replace("p_brand", "#", "")), F.lit(".png"))).alias("image"),
+        _ts(CHANGE_AT).alias("requested_at"))
+    second = p.where(F.col("p_size") > 40).select(
+        F.concat(F.lit("up2-"), F.col("p_partkey")).alias("request_id"), F.lit("update").alias("action"),
+        F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"),
+        (F.col("p_retailprice").cast(MONEY) * F.lit(Decimal("1.2"))).cast(MONEY).alias("price"),
+        F.col("p_size").cast("int").alias("quantity"), F.col("p_type").alias("description"),
+        F.lit("").alias("image"), _ts(CHANGE_LATER_AT).alias("requested_at"))
+    unknown = s.select(
+        F.concat(F.lit("upx-"), F.col("s_suppkey")).alias("request_id"), F.lit("update").alias("action"),
+        (F.col("s_suppkey") + UNKNOWN_ID_OFFSET).alias("product_id"), F.col("s_name").alias("name"),
+        F.lit(1).cast(MONEY).alias("price"), F.lit(1).alias("quantity"), F.lit("none").alias("description"),
+        F.lit(None).cast("string").alias("image"), _ts(CHANGE_AT).alias("requested_at"))
+    adds = s.select(
+        F.concat(F.lit("add-"), F.col("s_suppkey")).alias("request_id"), F.lit("add").alias("action"),
+        F.lit(None).cast("long").alias("product_id"), F.col("s_name").alias("name"),
+        F.col("s_acctbal").cast(MONEY).alias("price"), F.lit(100).alias("quantity"),
+        F.lit("new").alias("description"), F.lit(None).cast("string").alias("image"),
+        _ts(CHANGE_AT).alias("requested_at"))
+    return first.unionByName(second).unionByName(unknown).unionByName(adds)
+
+
 __all__ = ["read_table", "raw", "users", "inventory", "sales", "purchase_requests", "orders", "order_items",
            "order_tracking", "payments", "cart_events", "model_tables", "conform"]
