@@ -689,3 +689,56 @@ SELECT * FROM m_chinv i WHERE EXISTS (SELECT 1 FROM m_sales s WHERE s.product_id
 ORACLE["chg2_delete_rejects"] = _with(_PRODUCTS, """
 SELECT 'del-' || i.id AS request_id, i.id AS product_id, 'Cannot delete product with sales history' AS message
 FROM m_chinv i WHERE EXISTS (SELECT 1 FROM m_sales s WHERE s.product_id = i.id)""")
+
+
+# ---------------------------------------------------------------- sinks and streams
+
+ORACLE["snk1_export_csv"] = _sql(f"""
+SELECT name AS "Product", description AS "Description", quantity AS "Current Stock", total_sales AS "Total Sales",
+       revenue AS "Revenue" FROM ({_INV_PERIOD.format(cond=MONTH_EXPORT)})""")
+ORACLE["snk2_report_snapshot"] = _sql("""
+SELECT 'inventory-20010801120000' AS report_id, 'Inventory Report - 2001-08-01 12:00:00' AS title, 'inventory' AS type,
+       CAST(1 AS BIGINT) AS generated_by, TIMESTAMP '2001-08-01 12:00:00' AS generated_at, id, name, total_sales, revenue
+FROM m_inventory_report""")
+
+_EVENT_SALES = """
+m_esales AS (
+  SELECT event_id AS sale_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS product_id,
+         CAST(1 + CAST(floor(value) AS BIGINT) % 9 AS INTEGER) AS quantity, CAST(value AS DECIMAL(10,2)) AS total_amount,
+         ts AS transaction_date FROM events WHERE event_type = 'purchase')
+"""
+ORACLE["str1_daily_sales_stream"] = _with(_EVENT_SALES, """
+SELECT CAST(transaction_date AS DATE) AS day, CAST(sum(total_amount) AS DECIMAL(38,2)) AS revenue, count(*) AS sales
+FROM m_esales GROUP BY 1
+HAVING CAST(CAST(transaction_date AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY
+       <= (SELECT max(date_trunc('second', transaction_date)) - INTERVAL 1 DAY FROM m_esales)""")
+ORACLE["str2_current_status_stream"] = _sql("""
+SELECT c.order_id, c.current_status, m.status_at FROM m_current c
+JOIN (SELECT order_id, max(created_at) AS status_at FROM m_tracking GROUP BY 1) m ON m.order_id = c.order_id""")
+ORACLE["str3_product_totals_stream"] = _with(_EVENT_SALES, """
+SELECT i.id AS product_id, i.name, CAST(coalesce(a.total_sales, 0) AS BIGINT) AS total_sales,
+       CAST(coalesce(a.revenue, 0) AS DECIMAL(38,2)) AS revenue
+FROM m_inventory i LEFT JOIN (SELECT product_id, sum(quantity) AS total_sales, sum(total_amount) AS revenue
+                              FROM m_esales GROUP BY 1) a ON a.product_id = i.id""")
+
+_STR4 = """
+m_sreqs AS (
+  SELECT event_id AS request_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS product_id,
+         CAST(1 + CAST(floor(value) AS BIGINT) % 9 AS INTEGER) AS quantity, ts AS requested_at FROM events),
+m_sstock0 AS (SELECT id, price, CAST(quantity AS BIGINT) AS stock FROM m_inventory),
+m_sseq AS (
+  SELECT r.*, s.price, row_number() OVER (PARTITION BY r.product_id ORDER BY r.requested_at, r.request_id) AS rn
+  FROM m_sreqs r JOIN m_sstock0 s ON s.id = r.product_id WHERE r.quantity >= 1),
+m_swalk AS (
+  SELECT id AS product_id, CAST(0 AS BIGINT) AS rn, stock, CAST(NULL AS BOOLEAN) AS ok FROM m_sstock0
+  UNION ALL
+  SELECT w.product_id, q.rn, CASE WHEN q.quantity <= w.stock THEN w.stock - q.quantity ELSE w.stock END,
+         q.quantity <= w.stock
+  FROM m_swalk w JOIN m_sseq q ON q.product_id = w.product_id AND q.rn = w.rn + 1)
+"""
+ORACLE["str4_purchases_stream_sales"] = _rsql(_STR4, """
+SELECT q.request_id, q.user_id, q.product_id, q.quantity, CAST(q.quantity * q.price AS DECIMAL(10,2)) AS total_amount,
+       q.requested_at AS transaction_date
+FROM m_sseq q JOIN m_swalk w ON w.product_id = q.product_id AND w.rn = q.rn WHERE w.ok""")
+ORACLE["str4_purchases_stream_stock"] = _rsql(_STR4, """
+SELECT product_id AS id, CAST(arg_max(stock, rn) AS INTEGER) AS quantity FROM m_swalk GROUP BY product_id""")

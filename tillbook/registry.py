@@ -731,3 +731,83 @@ def _chg2(spark, sf):
 @query("chg2_delete_rejects")
 def _chg2r(spark, sf):
     return _product_deletes(spark, sf)["rejects"]
+
+
+# ---------------------------------------------------------------- sinks (written, then read back)
+
+from .core import scratch_path  # noqa: E402
+from .sinks import files as SNK  # noqa: E402
+from .streaming import jobs as STR  # noqa: E402
+
+
+@query("snk1_export_csv")
+def _snk1(spark, sf):
+    i, s = _tables(spark, sf, "inventory", "sales")
+    path = SNK.export_csv(R.inventory_export(i, s, "month", AS_OF), "inventory", scratch_path(spark, "export"), AS_OF)
+    return SNK.read_export(spark, path, "inventory")
+
+
+SNAPSHOT_FIELDS = "id BIGINT, name STRING, total_sales BIGINT, revenue DECIMAL(38,2)"
+
+
+@query("snk2_report_snapshot")
+def _snk2(spark, sf):
+    i, s = _tables(spark, sf, "inventory", "sales")
+    report = J.inventory_with_sales(i, s).select("id", "name", "total_sales", "revenue")
+    path = scratch_path(spark, "reports")
+    SNK.save_snapshot(report, "inventory", 1, AS_OF, path)
+    back = SNK.read_snapshots(spark, path)
+    return back.select("report_id", "title", "type", "generated_by", "generated_at",
+                       F.from_json("data", SNAPSHOT_FIELDS).alias("d")).select(
+        "report_id", "title", "type", "generated_by", "generated_at", "d.*")
+
+
+# ---------------------------------------------------------------- streaming (run to the end of the input)
+
+def _events_path(sf):
+    return f"{sf.rstrip('/')}/events.parquet"
+
+
+@query("str1_daily_sales_stream")
+def _str1(spark, sf):
+    sc = STR.new_scratch(spark, "str1")
+    sales = STR.sales_from_events(STR.event_stream(spark, _events_path(sf)))
+    STR.run_append(STR.stream_daily_sales(sales, "1 day"), sc["out"], sc["checkpoint"])
+    return spark.read.parquet(sc["out"])
+
+
+@query("str2_current_status_stream")
+def _str2(spark, sf):
+    sc = STR.new_scratch(spark, "str2")
+    tracking = STR.tracking_from_events(STR.event_stream(spark, _events_path(sf)))
+    STR.run_snapshots(STR.stream_current_status(tracking), sc["out"], sc["checkpoint"])
+    return spark.read.parquet(sc["out"])
+
+
+@query("str3_product_totals_stream")
+def _str3(spark, sf):
+    sc = STR.new_scratch(spark, "str3")
+    sales = STR.sales_from_events(STR.event_stream(spark, _events_path(sf)))
+    products = TB.inventory(spark, sf).select(F.col("id").alias("product_id"), "name")
+    STR.run_snapshots(STR.stream_product_totals(sales), sc["out"], sc["checkpoint"], products, "product_id")
+    return (spark.read.parquet(sc["out"])
+            .withColumn("total_sales", F.coalesce("total_sales", F.lit(0).cast("long")))
+            .withColumn("revenue", F.coalesce("revenue", F.lit(0).cast(J.SUM_MONEY))))
+
+
+def _str4(spark, sf):
+    sc = STR.new_scratch(spark, "str4")
+    requests = STR.purchase_requests_from_events(STR.event_stream(spark, _events_path(sf)))
+    STR.stream_apply_purchases(requests, TB.inventory(spark, sf), sc["root"], sc["checkpoint"])
+    return sc["root"]
+
+
+@query("str4_purchases_stream_sales")
+def _str4s(spark, sf):
+    root = _str4(spark, sf)
+    return spark.read.option("basePath", f"{root}/sales").parquet(f"{root}/sales").drop("batch")
+
+
+@query("str4_purchases_stream_stock")
+def _str4i(spark, sf):
+    return STR.latest_stock(spark, _str4(spark, sf)).select("id", "quantity")
