@@ -87,10 +87,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (files in spark.checkpoint.dir): survives executor loss, ends the lineage."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
+    """End the lineage by writing the rows as parquet under spark.checkpoint.dir and reading them back.
+
+    One job, columnar and compressed (an RDD checkpoint computes the plan twice
+    and serialises rows); the files sit in the shared folder, so a lost executor
+    never takes them along, and the read-back carries real sizes for AQE.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def max_id(df: DataFrame, col: str = "id") -> int:

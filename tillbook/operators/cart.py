@@ -116,10 +116,11 @@ def checkout(cart: DataFrame, inventory: DataFrame, requests: DataFrame, orders:
         lines.join(order_of_user, "user_id").select(
             "order_id", "product_id", "quantity", F.col("price").alias("price_per_unit"), "subtotal"),
         ["order_id", "product_id"], base_ids["order_items"])
-    new_tracking = sequence_ids(
-        new_orders.select(F.col("id").alias("order_id"), F.col("created_at")),
-        ["order_id"], base_ids["tracking"]).select(
-        "id", "order_id", F.lit("order_placed").alias("status"), F.lit(None).cast("string").alias("location"),
+    # order ids are dense (base+1 .. base+n), so the tracking ids follow them one to one
+    new_tracking = new_orders.select(
+        (F.col("id") - F.lit(base_ids["orders"]) + F.lit(base_ids["tracking"])).alias("id"),
+        F.col("id").alias("order_id"), F.lit("order_placed").alias("status"),
+        F.lit(None).cast("string").alias("location"),
         F.lit("Order has been placed successfully").alias("notes"), "created_at")
     cart_left = cart.join(order_of_user.select("user_id"), "user_id", "left_anti")
     return {"orders": new_orders, "order_items": items, "order_tracking": new_tracking,

@@ -60,32 +60,34 @@ def apply_purchases(inventory: DataFrame, requests: DataFrame, slice_seconds: in
     pending = cut_lineage(marked.where(~bad_qty & F.col("_known").isNotNull())
                           .select(*cols, "price", time_slice("requested_at", slice_seconds).alias("_slice")))
     stock = cut_lineage(inventory.select(F.col("id").alias("product_id"), F.col("quantity").cast("long").alias("left")))
+    out_schema = pending.schema.add("_outcome", "string")
 
     done: list[DataFrame] = []
     rounds = 0
     while rounds < max_rounds and not pending.isEmpty():
         rounds += 1
         withleft = pending.join(stock, "product_id")
-        too_big = withleft.where(F.col("quantity") > F.col("left")).withColumn("_outcome", F.lit("refused"))
+        too_big = (withleft.where(F.col("quantity") > F.col("left")).withColumn("_outcome", F.lit("refused"))
+                   .drop("left"))
         fits = running_sum(withleft.where(F.col("quantity") <= F.col("left")), "product_id", ORDER,
                            "quantity", "_run", "_slice")
         outcome = (F.when(F.col("_run") <= F.col("left"), "accepted")
                    .when(F.col("_run") - F.col("quantity") <= F.col("left"), "refused")
                    .otherwise("pending"))
-        fits = fits.withColumn("_outcome", outcome).drop("_run")
-        labelled = cut_lineage(too_big.unionByName(fits).drop("left"))
+        labelled = cut_lineage(too_big.unionByName(fits.withColumn("_outcome", outcome).drop("_run", "left")),
+                               "purchases")
         done.append(labelled.where(F.col("_outcome") != "pending"))
         used = (labelled.where(F.col("_outcome") == "accepted").groupBy("product_id")
                 .agg(F.sum("quantity").cast("long").alias("_used")))
         stock = cut_lineage(stock.join(used, "product_id", "left")
-                            .select("product_id", (F.col("left") - F.coalesce("_used", F.lit(0))).alias("left")))
+                            .select("product_id", (F.col("left") - F.coalesce("_used", F.lit(0))).alias("left")),
+                            "stock")
         pending = labelled.where(F.col("_outcome") == "pending").drop("_outcome")
 
     if not pending.isEmpty():
         raise RuntimeError(f"purchase fold did not finish in {max_rounds} rounds")
     spark = requests.sparkSession
-    resolved = reduce(DataFrame.unionByName, done) if done else \
-        spark.createDataFrame([], pending.schema.add("_outcome", "string"))
+    resolved = reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], out_schema)
     sales = resolved.where(F.col("_outcome") == "accepted").select(
         "request_id", "user_id", "product_id", "quantity",
         subtotal("quantity", "price").alias("total_amount"), F.col("requested_at").alias("transaction_date"))
