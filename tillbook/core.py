@@ -52,6 +52,7 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: st
                .config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.execution.arrow.pyspark.enabled", "true")
                .config("spark.ui.enabled", "false")
+               .config("spark.ui.showConsoleProgress", "false")
                .config("spark.driver.memory", "8g"))
     for key, value in (extra or {}).items():
         builder = builder.config(key, value)
