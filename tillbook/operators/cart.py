@@ -4,18 +4,14 @@ Cart rules, per (user, product), in event order: *add* sums into the line (or
 opens it); *set* replaces the quantity only when the line is there; *remove*
 deletes the line; *checkout* clears every line of the user.
 
-Closed form used here, with three rounds of partial aggregates (no per-key
-window, no expansion of a checkout into one row per product):
-
-* the last clearing event of a line is the later of its last remove and its
-  user's last checkout; only events after it matter (the last *segment*);
-* the line exists iff the segment has an add; sets before that first add
-  found no line and are ignored;
-* quantity = the last set after the first add plus the adds after that set,
-  or the sum of the segment's adds when no set follows the first add.
-
-Each step is a groupBy with map-side partial aggregation, then a join back on
-the key (AQE splits a hot key on the big side).
+Closed form used here (no per-key window, no expansion of a checkout into one
+row per product): the last clearing event of a line is the later of its last
+remove and its user's last checkout; the line exists iff an add follows it;
+sets before that first add found no line; the quantity is the last set after
+the first add plus the adds after that set, or else all adds after the clear.
+
+Each step is a groupBy with map-side partial aggregation; the per-line and
+per-user results are joined to the adds (AQE splits a hot key on the big side).
 """
 
 from __future__ import annotations
@@ -23,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import max_id, sequence_ids
+from ..core import cut_lineage, max_id, sequence_ids
 from .joins import SUM_MONEY, cart_lines
 
 CART_EMPTY = "Cart is empty"
@@ -40,40 +36,51 @@ def fold_cart(events: DataFrame) -> dict[str, DataFrame]:
 
     Returns ``cart`` (user_id, product_id, quantity, created_at, updated_at) and
     ``rejects`` (events with an unknown action or a quantity below 1).
+
+    Two aggregation passes. Pass 1, per line: last remove, last set (and its
+    quantity); per user: last checkout. The line was last cleared at R = the later
+    of its last remove and its user's last checkout. Pass 2 joins that to the adds
+    and, per line: A = first add after R (the line exists iff there is one), the
+    adds after R, and the adds after the last set S. When S is after A the
+    quantity is S's quantity plus the adds after S (a set after the line opened
+    replaces it); otherwise every set came before A and found no line, so the
+    quantity is the sum of the adds after R.
     """
     ev = events.select("event_id", "user_id", "product_id", "action", "quantity", "event_time")
     bad = (~F.col("action").isin(ACTIONS)) | F.col("action").isNull() | (
         F.col("action").isin("add", "set") & (F.col("quantity").isNull() | (F.col("quantity") < 1)))
     rejects = ev.where(bad).withColumn("message", F.lit(BAD_QUANTITY))
     ev = ev.where(~bad).withColumn("k", _k())
-
-    last_remove = (ev.where(F.col("action") == "remove").groupBy("user_id", "product_id")
-                   .agg(F.max("k").alias("_rm")))
-    last_checkout = ev.where(F.col("action") == "checkout").groupBy("user_id").agg(F.max("k").alias("_co"))
-    edits = (ev.where(F.col("action").isin("add", "set"))
-             .join(last_remove, ["user_id", "product_id"], "left")
-             .join(last_checkout, "user_id", "left"))
-    cleared = F.greatest(F.col("_rm"), F.col("_co"))
-    segment = edits.where(cleared.isNull() | (F.col("k") > cleared)).drop("_rm", "_co")
-
-    bounds = segment.groupBy("user_id", "product_id").agg(
-        F.min(F.when(F.col("action") == "add", F.col("k"))).alias("_first_add"),
-        F.max(F.when(F.col("action") == "set", F.col("k"))).alias("_last_set"),
-        F.max_by(F.when(F.col("action") == "set", F.col("quantity")),
-                 F.when(F.col("action") == "set", F.col("k"))).alias("_set_qty"))
-    bounds = (bounds.where(F.col("_first_add").isNotNull())
-              .withColumn("_set", F.when(F.col("_last_set") > F.col("_first_add"), F.col("_last_set"))))
-    counted = segment.where(F.col("action") == "add").join(bounds, ["user_id", "product_id"])
-    after = F.when(F.col("_set").isNull(), F.col("k") >= F.col("_first_add")).otherwise(F.col("k") > F.col("_set"))
-    adds = counted.where(after).groupBy("user_id", "product_id").agg(
-        F.sum("quantity").cast("long").alias("_adds"), F.max("k").alias("_last_add"))
-    lines = bounds.join(adds, ["user_id", "product_id"], "left").select(
+    act = F.col("action")
+
+    per_line = (ev.where(act.isin("remove", "set")).groupBy("user_id", "product_id").agg(
+        F.max(F.when(act == "remove", F.col("k"))).alias("_rm"),
+        F.max(F.when(act == "set", F.col("k"))).alias("_set"),
+        F.max_by(F.when(act == "set", F.col("quantity")), F.when(act == "set", F.col("k"))).alias("_set_qty")))
+    per_user = ev.where(act == "checkout").groupBy("user_id").agg(F.max("k").alias("_co"))
+
+    adds = (ev.where(act == "add").select("user_id", "product_id", "quantity", "k")
+            .join(per_line, ["user_id", "product_id"], "left")
+            .join(per_user, "user_id", "left")
+            .withColumn("_cleared", F.greatest("_rm", "_co")))
+    live = F.col("_cleared").isNull() | (F.col("k") > F.col("_cleared"))
+    after_set = F.col("_set").isNotNull() & (F.col("k") > F.col("_set"))
+    lines = adds.groupBy("user_id", "product_id").agg(
+        F.min(F.when(live, F.col("k"))).alias("_first_add"),
+        F.sum(F.when(live, F.col("quantity"))).cast("long").alias("_adds_live"),
+        F.max(F.when(live, F.col("k"))).alias("_last_live"),
+        F.sum(F.when(after_set, F.col("quantity"))).cast("long").alias("_adds_after_set"),
+        F.max(F.when(after_set, F.col("k"))).alias("_last_after_set"),
+        F.max("_set").alias("_set"), F.max("_set_qty").alias("_set_qty"))
+    set_counts = F.col("_set").isNotNull() & (F.col("_set") > F.col("_first_add"))
+    cart = lines.where(F.col("_first_add").isNotNull()).select(
         "user_id", "product_id",
-        (F.when(F.col("_set").isNotNull(), F.col("_set_qty")).otherwise(F.lit(0))
-         + F.coalesce(F.col("_adds"), F.lit(0))).cast("int").alias("quantity"),
+        F.when(set_counts, F.col("_set_qty") + F.coalesce("_adds_after_set", F.lit(0)))
+         .otherwise(F.col("_adds_live")).cast("int").alias("quantity"),
         F.col("_first_add")["t"].alias("created_at"),
-        F.greatest(F.col("_set"), F.col("_last_add"))["t"].alias("updated_at"))
-    return {"cart": lines, "rejects": rejects}
+        F.when(set_counts, F.greatest("_set", "_last_after_set"))
+         .otherwise(F.col("_last_live"))["t"].alias("updated_at"))
+    return {"cart": cart, "rejects": rejects}
 
 
 def checkout(cart: DataFrame, inventory: DataFrame, requests: DataFrame, orders: DataFrame | None = None,
@@ -94,7 +101,7 @@ def checkout(cart: DataFrame, inventory: DataFrame, requests: DataFrame, orders:
         base_ids["tracking"] = max_id(tracking) if tracking is not None else 0
     base_ids.setdefault("order_items", 0)
 
-    lines = cart_lines(cart, inventory)
+    lines = cut_lineage(cart_lines(cart, inventory), "cart_lines")  # read by totals, items and the rest
     totals = lines.groupBy("user_id").agg(F.sum("subtotal").cast(SUM_MONEY).alias("_total"))
     req = requests.select("request_id", "user_id", "delivery_address", "requested_at")
     first = req.groupBy("user_id").agg(F.min(F.struct("requested_at", "request_id")).alias("_first"))

@@ -13,8 +13,8 @@ It is computed exactly in rounds, all in Spark:
    product and time slice, see ``running``). Rows whose running total fits are
    accepted; the first that does not fit is refused (the stock before it is
    smaller than it); everything after it waits for the next round.
-3. Stock falls by the accepted quantities; the waiting rows are checkpointed
-   and the next round starts.
+3. The round's rows are checkpointed; the waiting ones carry on with their
+   product's stock lowered by what the round accepted.
 
 Each round accepts at least the first waiting request of every product, and
 after the first round the stock left is below the largest request, so the
@@ -51,50 +51,52 @@ def apply_purchases(inventory: DataFrame, requests: DataFrame, slice_seconds: in
     """
     cols = ["request_id", "user_id", "product_id", "quantity", "requested_at"]
     req = requests.select(*cols)
-    prices = inventory.select(F.col("id").alias("product_id"), "price")
-    marked = req.join(prices.withColumn("_known", F.lit(True)), "product_id", "left")
+    products = inventory.select(F.col("id").alias("product_id"), "price",
+                                F.col("quantity").cast("long").alias("left"), F.lit(True).alias("_known"))
+    marked = req.join(products, "product_id", "left")
     bad_qty = F.col("quantity").isNull() | (F.col("quantity") < 1)
     early = (marked.where(bad_qty | F.col("_known").isNull())
              .withColumn("message", F.when(bad_qty, INVALID_QUANTITY).otherwise(PRODUCT_NOT_FOUND))
              .select(*cols, "message"))
+    # every waiting row carries its product's stock left ("left"), lowered after each round
     pending = cut_lineage(marked.where(~bad_qty & F.col("_known").isNotNull())
-                          .select(*cols, "price", time_slice("requested_at", slice_seconds).alias("_slice")))
-    stock = cut_lineage(inventory.select(F.col("id").alias("product_id"), F.col("quantity").cast("long").alias("left")))
-    out_schema = pending.schema.add("_outcome", "string")
+                          .select(*cols, "price", "left", time_slice("requested_at", slice_seconds).alias("_slice")),
+                          "purchases")
 
     done: list[DataFrame] = []
     rounds = 0
     while rounds < max_rounds and not pending.isEmpty():
         rounds += 1
-        withleft = pending.join(stock, "product_id")
-        too_big = (withleft.where(F.col("quantity") > F.col("left")).withColumn("_outcome", F.lit("refused"))
-                   .drop("left"))
-        fits = running_sum(withleft.where(F.col("quantity") <= F.col("left")), "product_id", ORDER,
+        too_big = pending.where(F.col("quantity") > F.col("left")).withColumn("_outcome", F.lit("refused"))
+        fits = running_sum(pending.where(F.col("quantity") <= F.col("left")), "product_id", ORDER,
                            "quantity", "_run", "_slice")
         outcome = (F.when(F.col("_run") <= F.col("left"), "accepted")
                    .when(F.col("_run") - F.col("quantity") <= F.col("left"), "refused")
                    .otherwise("pending"))
-        labelled = cut_lineage(too_big.unionByName(fits.withColumn("_outcome", outcome).drop("_run", "left")),
-                               "purchases")
+        labelled = cut_lineage(too_big.unionByName(fits.withColumn("_outcome", outcome).drop("_run")), "purchases")
         done.append(labelled.where(F.col("_outcome") != "pending"))
         used = (labelled.where(F.col("_outcome") == "accepted").groupBy("product_id")
                 .agg(F.sum("quantity").cast("long").alias("_used")))
-        stock = cut_lineage(stock.join(used, "product_id", "left")
-                            .select("product_id", (F.col("left") - F.coalesce("_used", F.lit(0))).alias("left")),
-                            "stock")
-        pending = labelled.where(F.col("_outcome") == "pending").drop("_outcome")
+        pending = (labelled.where(F.col("_outcome") == "pending").drop("_outcome")
+                   .join(used, "product_id", "left")
+                   .withColumn("left", F.col("left") - F.coalesce("_used", F.lit(0)))
+                   .drop("_used"))
 
     if not pending.isEmpty():
         raise RuntimeError(f"purchase fold did not finish in {max_rounds} rounds")
     spark = requests.sparkSession
+    out_schema = pending.schema.add("_outcome", "string")
     resolved = reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], out_schema)
-    sales = resolved.where(F.col("_outcome") == "accepted").select(
+    accepted = resolved.where(F.col("_outcome") == "accepted")
+    sales = accepted.select(
         "request_id", "user_id", "product_id", "quantity",
         subtotal("quantity", "price").alias("total_amount"), F.col("requested_at").alias("transaction_date"))
     refused = (resolved.where(F.col("_outcome") == "refused").select(*cols)
                .withColumn("message", F.lit(INSUFFICIENT)))
-    new_inventory = (inventory.join(stock.withColumnRenamed("product_id", "id"), "id", "left")
-                     .withColumn("quantity", F.coalesce(F.col("left"), F.col("quantity")).cast("int"))
-                     .drop("left"))
+    # stock only ever falls by accepted quantities
+    taken = accepted.groupBy(F.col("product_id").alias("id")).agg(F.sum("quantity").cast("long").alias("_taken"))
+    new_inventory = (inventory.join(taken, "id", "left")
+                     .withColumn("quantity", (F.col("quantity") - F.coalesce("_taken", F.lit(0))).cast("int"))
+                     .drop("_taken"))
     return {"sales": sales, "rejects": early.unionByName(refused), "inventory": new_inventory,
             "rounds": spark.range(1).select(F.lit(rounds).alias("rounds"))}
