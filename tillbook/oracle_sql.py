@@ -742,3 +742,4 @@ SELECT q.request_id, q.user_id, q.product_id, q.quantity, CAST(q.quantity * q.pr
 FROM m_sseq q JOIN m_swalk w ON w.product_id = q.product_id AND w.rn = q.rn WHERE w.ok""")
 ORACLE["str4_purchases_stream_stock"] = _rsql(_STR4, """
 SELECT product_id AS id, CAST(arg_max(stock, rn) AS INTEGER) AS quantity FROM m_swalk GROUP BY product_id""")
+ORACLE["src1_read_table"] = ORACLE["src1_read_inventory"]

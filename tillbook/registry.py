@@ -811,3 +811,10 @@ def _str4s(spark, sf):
 @query("str4_purchases_stream_stock")
 def _str4i(spark, sf):
     return STR.latest_stock(spark, _str4(spark, sf)).select("id", "quantity")
+
+
+@query("src1_read_table")
+def _src1b(spark, sf):
+    """A stored inventory table (declared schema) read back by read_table."""
+    path = SNK.write_table(TB.inventory(spark, sf), "inventory", scratch_path(spark, "inventory"))
+    return TB.read_table(spark, path, "inventory")

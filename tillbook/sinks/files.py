@@ -87,3 +87,15 @@ def save_snapshot(report: DataFrame, report_type: str, author: int, as_of, path:
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT_SCHEMA).parquet(path)
+
+
+def write_table(df: DataFrame, name: str, path: str, partition_by: list[str] | None = None,
+                mode: str = "overwrite") -> str:
+    """Store a model table with its declared schema (``sources.schemas``), as a new snapshot.
+    ``partition_by`` may name declared columns or extra columns of ``df`` (kept as they are)."""
+    from ..sources.schemas import conform
+    writer = conform(df, name, keep=partition_by).write.mode(mode)
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(path)
+    return path

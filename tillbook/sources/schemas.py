@@ -89,15 +89,17 @@ FOREIGN_KEYS: dict[str, list[tuple[str, str, str]]] = {
 }
 
 
-def conform(df: DataFrame, name: str) -> DataFrame:
-    """Cast and order the columns of ``df`` to the declared schema (missing nullable columns become null)."""
+def conform(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFrame:
+    """Cast and order the columns of ``df`` to the declared schema (missing columns become null);
+    ``keep`` names extra columns carried along unchanged (e.g. a partition column)."""
     cols = []
     for field in SCHEMAS[name].fields:
         if field.name in df.columns:
             cols.append(F.col(field.name).cast(field.dataType).alias(field.name))
         else:
             cols.append(F.lit(None).cast(field.dataType).alias(field.name))
-    return df.select(*cols)
+    declared = {f.name for f in SCHEMAS[name].fields}
+    return df.select(*cols, *[c for c in (keep or []) if c not in declared])
 
 
 def check_table(df: DataFrame, name: str, parents: dict[str, DataFrame] | None = None,
