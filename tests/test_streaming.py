@@ -72,3 +72,13 @@ def test_current_status_stream_equals_batch(spark, scratch):
     got = {r["order_id"]: r["current_status"] for r in spark.read.parquet(f"{scratch}/out").collect()}
     batch = STR.stream_current_status(STR.tracking_from_events(spark.read.parquet(events_path)))
     assert got == {r["order_id"]: r["current_status"] for r in batch.collect()}
+
+
+def test_update_mode_over_several_batches_keeps_the_newest_row(spark, event_files, scratch):
+    folder, _ = event_files
+    tracking = STR.tracking_from_events(STR.event_stream(spark, folder, max_files_per_trigger=1))
+    STR.run_updates(STR.stream_current_status(tracking), f"{scratch}/out", f"{scratch}/ckpt")
+    assert len([d for d in os.listdir(f"{scratch}/out") if d.startswith("batch=")]) == 3
+    got = {r["order_id"]: r["current_status"] for r in STR.latest_rows(spark, f"{scratch}/out", "order_id").collect()}
+    batch = STR.stream_current_status(STR.tracking_from_events(spark.read.parquet(folder)))
+    assert got == {r["order_id"]: r["current_status"] for r in batch.collect()}

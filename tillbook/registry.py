@@ -780,8 +780,8 @@ def _str1(spark, sf):
 def _str2(spark, sf):
     sc = STR.new_scratch(spark, "str2")
     tracking = STR.tracking_from_events(STR.event_stream(spark, _events_path(sf)))
-    STR.run_snapshots(STR.stream_current_status(tracking), sc["out"], sc["checkpoint"])
-    return spark.read.parquet(sc["out"])
+    STR.run_updates(STR.stream_current_status(tracking), sc["out"], sc["checkpoint"])
+    return STR.latest_rows(spark, sc["out"], "order_id")
 
 
 @query("str3_product_totals_stream")
@@ -789,8 +789,8 @@ def _str3(spark, sf):
     sc = STR.new_scratch(spark, "str3")
     sales = STR.sales_from_events(STR.event_stream(spark, _events_path(sf)))
     products = TB.inventory(spark, sf).select(F.col("id").alias("product_id"), "name")
-    STR.run_snapshots(STR.stream_product_totals(sales), sc["out"], sc["checkpoint"], products, "product_id")
-    return (spark.read.parquet(sc["out"])
+    STR.run_updates(STR.stream_product_totals(sales), sc["out"], sc["checkpoint"])
+    return (products.join(STR.latest_rows(spark, sc["out"], "product_id"), "product_id", "left")
             .withColumn("total_sales", F.coalesce("total_sales", F.lit(0).cast("long")))
             .withColumn("revenue", F.coalesce("revenue", F.lit(0).cast(J.SUM_MONEY))))
 
