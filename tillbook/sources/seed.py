@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from ..core import as_datetime
 from .schemas import SCHEMAS
 
-# The seed block of the reference schema, in its order.
+# The seed block of the reference schema, in its order. The master admin's email
+# domain is replaced by example.com (it would name the original site; no result depends on it).
 SEED_USERS = [
-    (1, "Master Admin", "admin@watervending.com", "1234567890", "master_admin"),
+    (1, "Master Admin", "admin@example.com", "1234567890", "master_admin"),
     (2, "John Smith", "john@example.com", "1234567891", "customer"),
     (3, "Jane Doe", "jane@example.com", "1234567892", "customer"),
     (4, "Admin User", "admin2@example.com", "1234567893", "admin"),
