@@ -223,3 +223,40 @@ def test_payment_confirmations(spark):
     assert {r["id"]: r["status"] for r in out["orders"].collect()} == {7: "processing", 8: "processing"}
     assert [(t["id"], t["order_id"], t["status"]) for t in out["order_tracking"].collect()] == [(4, 7, "payment_received")]
     assert {r["id"]: r["status"] for r in out["payments"].collect()} == {1: "completed", 2: "completed"}
+
+
+def test_for_user_literal_and_table(spark):
+    orders = spark.createDataFrame([(1, 5), (2, 6), (3, 5)], "id long, user_id long")
+    from tillbook.operators.filters import filter_orders, for_user
+    assert sorted(r["id"] for r in for_user(orders, 5).collect()) == [1, 3]
+    users = spark.createDataFrame([(6,), (6,), (9,)], "id long")  # duplicates must not duplicate orders
+    assert [r["id"] for r in for_user(orders, users).collect()] == [2]
+    o = spark.createDataFrame([(1, "pending", dt.datetime(2001, 7, 31, 23, 59)), (2, "delivered", dt.datetime(2001, 8, 1))],
+                              "id long, status string, created_at timestamp_ntz")
+    assert filter_orders(o, "all").count() == 2 and filter_orders(o, "").count() == 2
+    assert [r["id"] for r in filter_orders(o, None, ("2001-07-31", "2001-07-31")).collect()] == [1]
+    assert [r["id"] for r in filter_orders(o, "delivered", order_period("today", "2001-08-01 09:00:00")).collect()] == [2]
+
+
+def test_presets_and_custom_dates():
+    from tillbook.functions.periods import preset_period
+    p = preset_period("Last Month", "2001-03-15 10:00:00")
+    assert (p.start, p.end) == (dt.datetime(2001, 2, 1), dt.datetime(2001, 2, 28, 23, 59, 59))
+    p = preset_period("This Month", "2001-02-10")
+    assert p.end == dt.datetime(2001, 2, 28, 23, 59, 59)
+    assert order_period("admin_default", "2001-08-01") == (dt.date(2001, 7, 2), dt.date(2001, 8, 1))
+    assert order_period("anything", "2001-08-01") is None
+    with pytest.raises(ValueError):
+        order_period("custom", "2001-08-01", "2001-07-01", None)
+    with pytest.raises(ValueError):
+        preset_period("Next Year", "2001-08-01")
+
+
+def test_expression_labels(spark):
+    df = spark.createDataFrame([("out_for_delivery", "", Decimal("1234567.5"), 42, dt.datetime(2001, 8, 1, 12))],
+                               "s string, img string, m decimal(10,2), oid long, t timestamp_ntz")
+    r = df.select(X.status_label("s").alias("a"), X.image_or_default("img").alias("b"), X.money("m").alias("c"),
+                  X.payment_ref("oid", "t").alias("d"), X.day_label("t").alias("e"),
+                  X.report_title("user_activity", "2001-08-01 12:00:00").alias("f")).first()
+    assert r["a"] == "Out For Delivery" and r["b"] == X.DEFAULT_IMAGE and r["c"] == "1,234,567.50"
+    assert r["d"] == "WV9966672000042" and r["e"] == "Aug 1" and r["f"] == "User_activity Report - 2001-08-01 12:00:00"
