@@ -74,3 +74,20 @@ def test_dashboard_cards_and_daily(tables):
     daily = dash["daily"].collect()
     assert len(daily) == 10 and daily[0]["label"] == "May 5"
     assert [r["day"] for r in daily] == sorted(r["day"] for r in daily)
+
+
+def test_report_dispatch_and_export(spark, tables, scratch):
+    from tillbook.sinks.files import read_export
+    rep = R.generate_report("sales", tables, "week", AS_OF)
+    assert rep.sales.count() == 7
+    assert R.generate_report("inventory", tables, "month", AS_OF).count() == 4
+    with pytest.raises(ValueError):
+        R.generate_report("all", tables, "month", AS_OF)
+    path = R.export_report("user_activity", tables, "month", AS_OF, scratch)
+    back = {r["User"]: r for r in read_export(spark, path, "user_activity").collect()}
+    assert back["John Smith"]["Total Purchases"] == 6 and back["John Smith"]["Total Spent"] == Decimal("142.74")
+    assert back["Master Admin"]["Last Purchase"] is None
+    path = R.export_report("sales", tables, "today", AS_OF, scratch)
+    assert read_export(spark, path, "sales").count() == 0  # nothing sold on as_of's own date
+    with pytest.raises(ValueError):
+        R.export_report("sales", tables, "custom", AS_OF, scratch, start="2024-05-01")

@@ -101,3 +101,34 @@ def dashboard(sales: DataFrame, inventory: DataFrame, users: DataFrame, start, e
                                 stock_status("quantity").alias("status")),
         "customers": customers,
     }
+
+
+REPORT_TYPES = ("sales", "inventory", "user_activity")
+
+
+def generate_report(report_type: str, tables: dict[str, DataFrame], date_range: str, as_of, start=None, end=None):
+    """On-screen report by type (the 'generateReport' action): sales -> SalesReport, inventory and
+    user_activity -> DataFrame. Unknown types raise ValueError."""
+    if report_type == "sales":
+        return sales_report(tables["sales"], tables["inventory"], tables["users"], date_range, as_of, start, end)
+    if report_type == "inventory":
+        return inventory_report(tables["inventory"], tables["sales"])
+    if report_type == "user_activity":
+        return user_activity_report(tables["users"], tables["sales"], as_of)
+    raise ValueError(f"Invalid report type: {report_type}")
+
+
+def export_report(report_type: str, tables: dict[str, DataFrame], date_range: str, as_of, out_dir: str,
+                  start=None, end=None, single_file: bool = False) -> str:
+    """The 'exportReport' action: the export rows of a type under a PER2 period, written as CSV
+    with the reference's headers to ``<out_dir>/<type>_report_<date>.csv``; returns that path."""
+    from ..sinks.files import export_csv
+    if report_type == "sales":
+        rows = sales_export(tables["sales"], tables["inventory"], tables["users"], date_range, as_of, start, end)
+    elif report_type == "inventory":
+        rows = inventory_export(tables["inventory"], tables["sales"], date_range, as_of, start, end)
+    elif report_type == "user_activity":
+        rows = user_activity_export(tables["users"], tables["sales"], date_range, as_of, start, end)
+    else:
+        raise ValueError(f"Invalid report type: {report_type}")
+    return export_csv(rows, report_type, out_dir, as_of, single_file=single_file)
