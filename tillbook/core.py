@@ -134,3 +134,41 @@ def sequence_ids(df: DataFrame, order_cols: list, start: int, id_col: str = "id"
 def order_key(*cols) -> Column:
     """A struct used as a total order (time first, then a unique id)."""
     return F.struct(*[F.col(c) if isinstance(c, str) else c for c in cols])
+
+
+class Outputs(dict):
+    """The result tables of a change job, each built on first access and then kept.
+
+    Jobs that number new rows have to run Spark jobs while the DataFrame is built
+    (the numbering is materialised once); with this mapping a caller that reads
+    only one output never pays for the others.
+    """
+
+    def __init__(self, **builders):
+        super().__init__()
+        self._builders = builders
+
+    def __missing__(self, key):
+        if key not in self._builders:
+            raise KeyError(key)
+        value = self._builders[key]()
+        self[key] = value
+        return value
+
+    def keys(self):
+        return self._builders.keys()
+
+    def __contains__(self, key):
+        return key in self._builders
+
+    def __iter__(self):
+        return iter(self._builders)
+
+    def __len__(self):
+        return len(self._builders)
+
+    def items(self):
+        return [(k, self[k]) for k in self._builders]
+
+    def values(self):
+        return [self[k] for k in self._builders]

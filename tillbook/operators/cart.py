@@ -19,9 +19,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import cut_lineage, max_id, sequence_ids
+from ..core import Outputs, max_id, sequence_ids
 from .joins import SUM_MONEY, cart_lines
 
+# The messages and notes the reference writes (others are ours, in its style).
 CART_EMPTY = "Cart is empty"
 BAD_QUANTITY = "Please select a valid quantity"
 ACTIONS = ["add", "set", "remove", "checkout"]
@@ -95,13 +96,13 @@ def checkout(cart: DataFrame, inventory: DataFrame, requests: DataFrame, orders:
     largest existing id (``base_ids`` may pin them).
     """
     base_ids = dict(base_ids or {})
-    if "orders" not in base_ids:
-        base_ids["orders"] = max_id(orders) if orders is not None else 0
-    if "tracking" not in base_ids:
-        base_ids["tracking"] = max_id(tracking) if tracking is not None else 0
-    base_ids.setdefault("order_items", 0)
+    ids = Outputs(
+        orders=lambda: base_ids["orders"] if "orders" in base_ids else (max_id(orders) if orders is not None else 0),
+        tracking=lambda: base_ids["tracking"] if "tracking" in base_ids else (
+            max_id(tracking) if tracking is not None else 0),
+        order_items=lambda: base_ids.get("order_items", 0))
 
-    lines = cut_lineage(cart_lines(cart, inventory), "cart_lines")  # read by totals, items and the rest
+    lines = cart_lines(cart, inventory)
     totals = lines.groupBy("user_id").agg(F.sum("subtotal").cast(SUM_MONEY).alias("_total"))
     req = requests.select("request_id", "user_id", "delivery_address", "requested_at")
     first = req.groupBy("user_id").agg(F.min(F.struct("requested_at", "request_id")).alias("_first"))
@@ -110,26 +111,35 @@ def checkout(cart: DataFrame, inventory: DataFrame, requests: DataFrame, orders:
                           & (F.col("request_id") == F.col("_first.request_id")))
               .drop("_first"))
     placed = ranked.where("_is_first").join(totals, "user_id")
-    refused = (ranked.join(placed.select("request_id"), "request_id", "left_anti")
-               .select("request_id", "user_id", "delivery_address", "requested_at")
-               .withColumn("message", F.lit(CART_EMPTY)))
-
-    new_orders = sequence_ids(placed, ["requested_at", "request_id"], base_ids["orders"]).select(
-        "id", "user_id", F.col("_total").cast("decimal(10,2)").alias("total_amount"),
-        F.lit("pending").alias("status"), "delivery_address",
-        F.col("requested_at").alias("created_at"), F.col("requested_at").alias("updated_at"), "request_id")
-    order_of_user = new_orders.select(F.col("id").alias("order_id"), "user_id")
-    items = sequence_ids(
-        lines.join(order_of_user, "user_id").select(
-            "order_id", "product_id", "quantity", F.col("price").alias("price_per_unit"), "subtotal"),
-        ["order_id", "product_id"], base_ids["order_items"])
-    # order ids are dense (base+1 .. base+n), so the tracking ids follow them one to one
-    new_tracking = new_orders.select(
-        (F.col("id") - F.lit(base_ids["orders"]) + F.lit(base_ids["tracking"])).alias("id"),
-        F.col("id").alias("order_id"), F.lit("order_placed").alias("status"),
-        F.lit(None).cast("string").alias("location"),
-        F.lit("Order has been placed successfully").alias("notes"), "created_at")
-    cart_left = cart.join(order_of_user.select("user_id"), "user_id", "left_anti")
-    return {"orders": new_orders, "order_items": items, "order_tracking": new_tracking,
-            "cart": cart_left, "rejects": refused}
 
+    def new_orders():
+        return sequence_ids(placed, ["requested_at", "request_id"], ids["orders"]).select(
+            "id", "user_id", F.col("_total").cast("decimal(10,2)").alias("total_amount"),
+            F.lit("pending").alias("status"), "delivery_address",
+            F.col("requested_at").alias("created_at"), F.col("requested_at").alias("updated_at"), "request_id")
+
+    def order_of_user():
+        return out["orders"].select(F.col("id").alias("order_id"), "user_id")
+
+    def items():
+        return sequence_ids(
+            lines.join(order_of_user(), "user_id").select(
+                "order_id", "product_id", "quantity", F.col("price").alias("price_per_unit"), "subtotal"),
+            ["order_id", "product_id"], ids["order_items"])
+
+    def new_tracking():
+        # order ids are dense (base+1 .. base+n), so the tracking ids follow them one to one
+        return out["orders"].select(
+            (F.col("id") - F.lit(ids["orders"]) + F.lit(ids["tracking"])).alias("id"),
+            F.col("id").alias("order_id"), F.lit("order_placed").alias("status"),
+            F.lit(None).cast("string").alias("location"),
+            F.lit("Order has been placed successfully").alias("notes"), "created_at")
+
+    def refused():
+        return (ranked.join(placed.select("request_id"), "request_id", "left_anti")
+                .select("request_id", "user_id", "delivery_address", "requested_at")
+                .withColumn("message", F.lit(CART_EMPTY)))
+
+    out = Outputs(orders=new_orders, order_items=items, order_tracking=new_tracking,
+                  cart=lambda: cart.join(placed.select("user_id"), "user_id", "left_anti"), rejects=refused)
+    return out

@@ -11,11 +11,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import max_id, sequence_ids
+from ..core import Outputs, max_id, sequence_ids
 from ..functions.exprs import clean_phone, valid_signup_phone
 from ..sources.schemas import MONEY, ORDER_STATUSES, TRACKING_STATUSES
 from .joins import deletable
 
+# The messages and notes the reference writes (others are ours, in its style).
 PRODUCT_NOT_FOUND = "Product not found"
 ADD_FAILED = "Failed to add product"
 UPDATE_FAILED = "Failed to update product"
@@ -39,8 +40,6 @@ def apply_product_changes(inventory: DataFrame, requests: DataFrame, base_id: in
     not found"). Adds get new ids after the largest id. A missing name, price or
     quantity, or a negative price or stock, is refused.
     """
-    if base_id is None:
-        base_id = max_id(inventory)
     req = requests.select("request_id", "action", "product_id", "name", "price", "quantity", "description",
                           "image", "requested_at")
     incomplete = (F.col("name").isNull() | (F.trim(F.col("name")) == "") | F.col("price").isNull()
@@ -70,11 +69,16 @@ def apply_product_changes(inventory: DataFrame, requests: DataFrame, base_id: in
                        F.coalesce(F.col("_img"), F.col("image")).alias("image"),
                        "created_at",
                        F.coalesce(F.col("_at"), F.col("updated_at")).alias("updated_at")))
-    adds = sequence_ids(ok.where(F.col("action") == "add"), ["requested_at", "request_id"], base_id).select(
-        "id", "name", "description", F.col("price").cast(MONEY).alias("price"),
-        F.col("quantity").cast("int").alias("quantity"), F.nullif(F.col("image"), F.lit("")).alias("image"),
-        F.col("requested_at").alias("created_at"), F.col("requested_at").alias("updated_at"))
-    return {"inventory": updated.unionByName(adds), "added": adds, "rejects": rejects}
+
+    def adds():
+        start = base_id if base_id is not None else max_id(inventory)
+        return sequence_ids(ok.where(F.col("action") == "add"), ["requested_at", "request_id"], start).select(
+            "id", "name", "description", F.col("price").cast(MONEY).alias("price"),
+            F.col("quantity").cast("int").alias("quantity"), F.nullif(F.col("image"), F.lit("")).alias("image"),
+            F.col("requested_at").alias("created_at"), F.col("requested_at").alias("updated_at"))
+
+    out = Outputs(added=adds, inventory=lambda: updated.unionByName(out["added"]), rejects=lambda: rejects)
+    return out
 
 
 def apply_product_deletes(inventory: DataFrame, sales: DataFrame, requests: DataFrame) -> dict[str, DataFrame]:
@@ -85,7 +89,8 @@ def apply_product_deletes(inventory: DataFrame, sales: DataFrame, requests: Data
     free = deletable(req, sales)
     refused = req.join(free.select("request_id"), "request_id", "left_anti").withColumn("message", F.lit(HAS_SALES))
     gone = free.select(F.col("product_id").alias("id")).distinct()
-    return {"inventory": inventory.join(gone, "id", "left_anti"), "deleted": free, "rejects": refused}
+    return Outputs(inventory=lambda: inventory.join(gone, "id", "left_anti"), deleted=lambda: free,
+                   rejects=lambda: refused)
 
 
 def apply_status_updates(orders: DataFrame, tracking: DataFrame, requests: DataFrame,
@@ -98,8 +103,6 @@ def apply_status_updates(orders: DataFrame, tracking: DataFrame, requests: DataF
     tracking row; an order status also becomes the order's status (the latest
     request wins). 'pending' exists for orders only: order status set, no tracking row.
     """
-    if base_tracking_id is None:
-        base_tracking_id = max_id(tracking)
     pairs = requests.select("request_id", F.explode_outer("order_ids").alias("order_id"), "status", "notes",
                             "requested_at")
     known = orders.select(F.col("id").alias("order_id"), F.lit(True).alias("_known"))
@@ -109,10 +112,14 @@ def apply_status_updates(orders: DataFrame, tracking: DataFrame, requests: DataF
         .when(~F.col("status").isin(TRACKING_STATUSES + ORDER_STATUSES), INVALID_STATUS))
     rejects = marked.where(F.col("message").isNotNull()).drop("_known")
     ok = marked.where(F.col("message").isNull()).drop("_known", "message")
-    new_tracking = sequence_ids(ok.where(F.col("status").isin(TRACKING_STATUSES)),
-                                ["requested_at", "request_id", "order_id"], base_tracking_id).select(
-        "id", "order_id", "status", F.lit(None).cast("string").alias("location"), "notes",
-        F.col("requested_at").alias("created_at"))
+
+    def new_tracking():
+        start = base_tracking_id if base_tracking_id is not None else max_id(tracking)
+        return sequence_ids(ok.where(F.col("status").isin(TRACKING_STATUSES)),
+                            ["requested_at", "request_id", "order_id"], start).select(
+            "id", "order_id", "status", F.lit(None).cast("string").alias("location"), "notes",
+            F.col("requested_at").alias("created_at"))
+
     last = (ok.where(F.col("status").isin(ORDER_STATUSES)).groupBy("order_id")
             .agg(F.max_by("status", F.struct("requested_at", "request_id")).alias("_status"),
                  F.max("requested_at").alias("_at")))
@@ -120,7 +127,7 @@ def apply_status_updates(orders: DataFrame, tracking: DataFrame, requests: DataF
                   .withColumn("status", F.coalesce("_status", "status"))
                   .withColumn("updated_at", F.coalesce("_at", "updated_at"))
                   .drop("_status", "_at"))
-    return {"orders": new_orders, "order_tracking": new_tracking, "rejects": rejects}
+    return Outputs(orders=lambda: new_orders, order_tracking=new_tracking, rejects=lambda: rejects)
 
 
 def accept_signups(users: DataFrame, requests: DataFrame, base_id: int | None = None) -> dict[str, DataFrame]:
@@ -132,8 +139,6 @@ def accept_signups(users: DataFrame, requests: DataFrame, base_id: int | None =
     request wins). Accepted rows get new ids after the largest id; phone and email
     are kept as typed; no password column exists.
     """
-    if base_id is None:
-        base_id = max_id(users)
     req = requests.select("request_id", "full_name", "email", "phone", "role", "requested_at")
     missing = F.lit(False)
     for c in ["full_name", "email", "phone"]:
@@ -152,7 +157,11 @@ def accept_signups(users: DataFrame, requests: DataFrame, base_id: int | None =
     losers = (valid.join(winners.select("request_id"), "request_id", "left_anti")
               .withColumn("message", F.lit(EMAIL_TAKEN)).drop("_email"))
     rejects = pre.where(F.col("message").isNotNull()).unionByName(losers)
-    new_users = sequence_ids(winners, ["requested_at", "request_id"], base_id).select(
-        "id", "full_name", "email", "phone", "role", F.col("requested_at").alias("created_at"),
-        clean_phone("phone").alias("phone_digits"), "request_id")
-    return {"users": new_users, "rejects": rejects}
+
+    def new_users():
+        start = base_id if base_id is not None else max_id(users)
+        return sequence_ids(winners, ["requested_at", "request_id"], start).select(
+            "id", "full_name", "email", "phone", "role", F.col("requested_at").alias("created_at"),
+            clean_phone("phone").alias("phone_digits"), "request_id")
+
+    return Outputs(users=new_users, rejects=lambda: rejects)

@@ -10,9 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import max_id, sequence_ids
+from ..core import Outputs, max_id, sequence_ids
 from ..functions.exprs import payment_ref, valid_payment_phone
 
+# The messages and notes the reference writes (others are ours, in its style).
 ORDER_NOT_FOUND = "Order not found"
 BAD_PHONE = "Please enter a valid 10-digit phone number"
 TX_NOT_FOUND = "Transaction not found"
@@ -29,8 +30,6 @@ def open_payments(orders: DataFrame, requests: DataFrame, payments: DataFrame |
     the phone must be ten digits. A new pending payment carries the order total
     and a reference built from order id and request time (EXP12).
     """
-    if base_id is None:
-        base_id = max_id(payments) if payments is not None else 0
     req = requests.select("request_id", "order_id", "user_id", "phone_number", "requested_at")
     owned = orders.select(F.col("id").alias("order_id"), "user_id", F.col("total_amount").alias("amount"))
     joined = req.join(owned, ["order_id", "user_id"], "left")
@@ -40,12 +39,16 @@ def open_payments(orders: DataFrame, requests: DataFrame, payments: DataFrame |
     rejects = marked.where(F.col("message").isNotNull()).select(
         "request_id", "order_id", "user_id", "phone_number", "requested_at", "message")
     ok = marked.where(F.col("message").isNull())
-    new = sequence_ids(ok, ["requested_at", "request_id"], base_id).select(
-        "id", "order_id", payment_ref("order_id", "requested_at").alias("transaction_id"), "phone_number",
-        "amount", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("result_code"),
-        F.lit(None).cast("string").alias("result_desc"), F.col("requested_at").alias("created_at"),
-        F.lit(None).cast("timestamp_ntz").alias("completed_at"), "request_id")
-    return {"payments": new, "rejects": rejects}
+
+    def new_payments():
+        start = base_id if base_id is not None else (max_id(payments) if payments is not None else 0)
+        return sequence_ids(ok, ["requested_at", "request_id"], start).select(
+            "id", "order_id", payment_ref("order_id", "requested_at").alias("transaction_id"), "phone_number",
+            "amount", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("result_code"),
+            F.lit(None).cast("string").alias("result_desc"), F.col("requested_at").alias("created_at"),
+            F.lit(None).cast("timestamp_ntz").alias("completed_at"), "request_id")
+
+    return Outputs(payments=new_payments, rejects=lambda: rejects)
 
 
 def apply_payments(payments: DataFrame, orders: DataFrame, tracking: DataFrame, confirmations: DataFrame,
@@ -57,8 +60,6 @@ def apply_payments(payments: DataFrame, orders: DataFrame, tracking: DataFrame,
     written), any other code fails it. Unknown transactions, payments no longer
     pending and repeated confirmations are refused.
     """
-    if base_tracking_id is None:
-        base_tracking_id = max_id(tracking)
     conf = confirmations.select("confirmation_id", "transaction_id", "result_code", "result_desc", "confirmed_at")
     first = conf.groupBy("transaction_id").agg(F.min(F.struct("confirmed_at", "confirmation_id")).alias("_first"))
     pay = payments.select("transaction_id", F.col("status").alias("_pay_status"), F.col("order_id").alias("_order"))
@@ -84,12 +85,17 @@ def apply_payments(payments: DataFrame, orders: DataFrame, tracking: DataFrame,
                     .withColumn("completed_at", F.when(F.col("_ok"), F.col("_at")).otherwise(F.col("completed_at")))
                     .drop("_code", "_desc", "_at", "_ok"))
     paid = applied.where("_ok")
-    new_orders = orders_paid(orders, paid)
-    new_tracking = sequence_ids(paid.select("order_id", "confirmed_at", "transaction_id"),
-                                ["confirmed_at", "transaction_id"], base_tracking_id).select(
-        "id", "order_id", F.lit("payment_received").alias("status"), F.lit(None).cast("string").alias("location"),
-        F.lit(PAID_NOTE).alias("notes"), F.col("confirmed_at").alias("created_at"))
-    return {"payments": new_payments, "orders": new_orders, "order_tracking": new_tracking, "rejects": rejects}
+
+    def new_tracking():
+        start = base_tracking_id if base_tracking_id is not None else max_id(tracking)
+        return sequence_ids(paid.select("order_id", "confirmed_at", "transaction_id"),
+                            ["confirmed_at", "transaction_id"], start).select(
+            "id", "order_id", F.lit("payment_received").alias("status"),
+            F.lit(None).cast("string").alias("location"),
+            F.lit(PAID_NOTE).alias("notes"), F.col("confirmed_at").alias("created_at"))
+
+    return Outputs(payments=lambda: new_payments, orders=lambda: orders_paid(orders, paid),
+                   order_tracking=new_tracking, rejects=lambda: rejects)
 
 
 def orders_paid(orders: DataFrame, paid: DataFrame) -> DataFrame:

@@ -34,6 +34,7 @@ from ..core import cut_lineage
 from ..functions.exprs import subtotal
 from .running import running_sum, time_slice
 
+# The messages and notes the reference writes (others are ours, in its style).
 INVALID_QUANTITY = "Invalid quantity"
 PRODUCT_NOT_FOUND = "Product not found"
 INSUFFICIENT = "Insufficient quantity available"
