@@ -260,3 +260,24 @@ def test_expression_labels(spark):
                   X.report_title("user_activity", "2001-08-01 12:00:00").alias("f")).first()
     assert r["a"] == "Out For Delivery" and r["b"] == X.DEFAULT_IMAGE and r["c"] == "1,234,567.50"
     assert r["d"] == "WV9966672000042" and r["e"] == "Aug 1" and r["f"] == "User_activity Report - 2001-08-01 12:00:00"
+
+
+def test_product_changes_image_rules(spark):
+    inv = spark.createDataFrame([(1, "a", "d", Decimal("1.00"), 5, "old.png", ts(9), ts(9)),
+                                 (2, "b", "d", Decimal("1.00"), 5, "keep.png", ts(9), ts(9))], SCHEMAS["inventory"])
+    req = spark.createDataFrame([
+        ("r1", "update", 1, "A", Decimal("2.00"), 6, "d2", "new.png", ts(5)),
+        ("r2", "update", 1, "A2", Decimal("3.00"), 7, "d3", "0", ts(4)),      # "0" gives no image
+        ("r3", "update", 2, "B", Decimal("2.00"), 6, "d2", "", ts(5)),        # blank keeps the old one
+        ("r4", "update", 99, "X", Decimal("2.00"), 6, "d2", None, ts(5)),     # unknown id
+        ("r5", "add", None, "C", Decimal("4.00"), 9, "d", "", ts(3)),         # stored as given
+        ("r6", "add", None, "D", Decimal("-1.00"), 9, "d", None, ts(3)),      # negative price
+    ], "request_id string, action string, product_id long, name string, price decimal(10,2), quantity int, "
+       "description string, image string, requested_at timestamp_ntz")
+    out = CHG.apply_product_changes(inv, req)
+    rows = {r["id"]: r for r in out["inventory"].collect()}
+    assert (rows[1]["name"], rows[1]["price"], rows[1]["image"]) == ("A2", Decimal("3.00"), "new.png")
+    assert (rows[2]["name"], rows[2]["image"]) == ("B", "keep.png")
+    assert (rows[3]["name"], rows[3]["image"]) == ("C", "")
+    assert {r["request_id"]: r["message"] for r in out["rejects"].collect()} == {
+        "r4": "Product not found", "r6": "Failed to add product"}

@@ -35,8 +35,8 @@ def apply_product_changes(inventory: DataFrame, requests: DataFrame, base_id: in
     quantity, description, image, requested_at.
 
     Updates of one product apply in time order: name, price, quantity and description
-    come from the latest one; the image from the latest one with a non-blank image,
-    else the old image stays. An unknown id changes nothing (refused with "Product
+    come from the latest one; the image from the latest one that gives an image
+    (null, "" and "0" give none), else the old image stays; adds store the image as given. An unknown id changes nothing (refused with "Product
     not found"). Adds get new ids after the largest id. A missing name, price or
     quantity, or a negative price or stock, is refused.
     """
@@ -55,7 +55,8 @@ def apply_product_changes(inventory: DataFrame, requests: DataFrame, base_id: in
     ok = marked.where(F.col("message").isNull()).drop("_known", "message")
 
     order = F.struct("requested_at", "request_id")
-    image_set = F.when(F.coalesce(F.trim(F.col("image")), F.lit("")) != "", F.col("image"))
+    # an update sets the image only when one is given: null, "" and "0" keep the old one
+    image_set = F.when(F.col("image").isNotNull() & ~F.col("image").isin("", "0"), F.col("image"))
     latest = (ok.where(F.col("action") == "update").groupBy("product_id").agg(
         F.max_by(F.struct("name", "price", "quantity", "description"), order).alias("_u"),
         F.max_by(image_set, F.when(image_set.isNotNull(), order)).alias("_img"),
@@ -74,7 +75,7 @@ def apply_product_changes(inventory: DataFrame, requests: DataFrame, base_id: in
         start = base_id if base_id is not None else max_id(inventory)
         return sequence_ids(ok.where(F.col("action") == "add"), ["requested_at", "request_id"], start).select(
             "id", "name", "description", F.col("price").cast(MONEY).alias("price"),
-            F.col("quantity").cast("int").alias("quantity"), F.nullif(F.col("image"), F.lit("")).alias("image"),
+            F.col("quantity").cast("int").alias("quantity"), "image",
             F.col("requested_at").alias("created_at"), F.col("requested_at").alias("updated_at"))
 
     out = Outputs(added=adds, inventory=lambda: updated.unionByName(out["added"]), rejects=lambda: rejects)

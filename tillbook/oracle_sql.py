@@ -669,7 +669,7 @@ m_chlast AS (
 m_chimg AS (
   SELECT product_id, image FROM (
     SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY requested_at DESC, request_id DESC) AS rn
-    FROM m_chok WHERE action = 'update' AND coalesce(trim(image), '') <> '') WHERE rn = 1),
+    FROM m_chok WHERE action = 'update' AND image IS NOT NULL AND image NOT IN ('', '0')) WHERE rn = 1),
 m_chinv AS (
   SELECT i.id, coalesce(l.name, i.name) AS name, coalesce(l.description, i.description) AS description,
          coalesce(l.price, i.price) AS price, coalesce(l.quantity, i.quantity) AS quantity,
@@ -677,7 +677,7 @@ m_chinv AS (
   FROM m_inventory i LEFT JOIN m_chlast l ON l.product_id = i.id LEFT JOIN m_chimg g ON g.product_id = i.id
   UNION ALL
   SELECT (SELECT max(id) FROM m_inventory) + row_number() OVER (ORDER BY requested_at, request_id), name, description,
-         price, quantity, nullif(image, ''), requested_at, requested_at
+         price, quantity, image, requested_at, requested_at
   FROM m_chok WHERE action = 'add')
 """
 ORACLE["chg1_product_changes"] = _with(_PRODUCTS, "SELECT * FROM m_chinv")
