@@ -66,7 +66,9 @@ def apply_purchases(inventory: DataFrame, requests: DataFrame, slice_seconds: in
 
     done: list[DataFrame] = []
     rounds = 0
-    while rounds < max_rounds and not pending.isEmpty():
+    while not pending.isEmpty():
+        if rounds == max_rounds:
+            raise RuntimeError(f"purchase fold did not finish in {max_rounds} rounds")
         rounds += 1
         too_big = pending.where(F.col("quantity") > F.col("left")).withColumn("_outcome", F.lit("refused"))
         fits = running_sum(pending.where(F.col("quantity") <= F.col("left")), "product_id", ORDER,
@@ -83,8 +85,6 @@ def apply_purchases(inventory: DataFrame, requests: DataFrame, slice_seconds: in
                    .withColumn("left", F.col("left") - F.coalesce("_used", F.lit(0)))
                    .drop("_used"))
 
-    if not pending.isEmpty():
-        raise RuntimeError(f"purchase fold did not finish in {max_rounds} rounds")
     spark = requests.sparkSession
     out_schema = pending.schema.add("_outcome", "string")
     resolved = reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], out_schema)
