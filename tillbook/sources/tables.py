@@ -31,8 +31,28 @@ def read_table(spark: SparkSession, path: str, name: str | None = None) -> DataF
     return reader.parquet(path)
 
 
+# Declared schemas of the driver's tables: reading with them skips schema inference
+# (no parquet footer is opened to plan a query) and pins the types the adapters expect.
+SOURCE_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": ("o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+               "o_orderdate timestamp_ntz, o_orderpriority string"),
+    "lineitem": ("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                 "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                 "l_linestatus string, l_shipdate timestamp_ntz"),
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def raw(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
+    reader = spark.read
+    if table in SOURCE_SCHEMAS:
+        reader = reader.schema(SOURCE_SCHEMAS[table])
+    return reader.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
 def _case(col: str, mapping: dict[str, str]):
