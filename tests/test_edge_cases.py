@@ -4,7 +4,6 @@ import datetime as dt
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from tillbook.functions import exprs as X
 from tillbook.functions.periods import export_period, minus_months, order_period, report_period

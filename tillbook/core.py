@@ -37,10 +37,6 @@ def ts_lit(value) -> Column:
     return F.lit(as_datetime(value).strftime(TS_FMT)).cast(T.TimestampNTZType())
 
 
-def date_lit(value) -> Column:
-    return F.lit(as_datetime(value).strftime("%Y-%m-%d")).cast(T.DateType())
-
-
 def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "tillbook",
                   extra: dict | None = None) -> SparkSession:
     """Session for tests and the bench. On a cluster the caller's own session is used instead."""
@@ -97,7 +93,7 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def max_id(df: DataFrame, col: str = "id") -> int:
@@ -131,11 +127,6 @@ def sequence_ids(df: DataFrame, order_cols: list, start: int, id_col: str = "id"
             .drop("_slice", "_rn", "_off"))
 
 
-def order_key(*cols) -> Column:
-    """A struct used as a total order (time first, then a unique id)."""
-    return F.struct(*[F.col(c) if isinstance(c, str) else c for c in cols])
-
-
 class Outputs(dict):
     """The result tables of a change job, each built on first access and then kept.
 

@@ -6,7 +6,6 @@ rejects DataFrame carrying the first broken rule as ``reason``.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,12 +145,3 @@ def check_table(df: DataFrame, name: str, parents: dict[str, DataFrame] | None =
     good = marked.where(F.col("reason").isNull()).drop("reason").select(*df.columns)
     rejects = marked.where(F.col("reason").isNotNull()).select(*df.columns, "reason")
     return good, rejects
-
-
-def reject_rows(df: DataFrame, reason_col) -> DataFrame:
-    """Helper for the change jobs: keep the request columns and name the refusal."""
-    return df.withColumn("message", reason_col)
-
-
-def union_all(frames: list[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
