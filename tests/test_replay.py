@@ -1,7 +1,7 @@
 """Replay properties: the set-based folds equal a plain event-by-event loop.
 
 Generated inputs include a hot product holding about a third of all requests,
-spread over many time slices, so the two-level running totals are exercised.
+spread over many range slices, so the two-level running totals are exercised.
 """
 
 import datetime as dt
@@ -39,7 +39,7 @@ def test_purchase_fold_matches_replay(spark, seed):
     inv = spark.createDataFrame([(p, f"p{p}", Decimal("1.50"), q) for p, q in products.items()],
                                 "id long, name string, price decimal(10,2), quantity int")
     req = spark.createDataFrame(reqs, "request_id long, user_id long, product_id long, quantity int, requested_at timestamp_ntz")
-    out = apply_purchases(inv, req, slice_seconds=1800)
+    out = apply_purchases(inv, req, slices=16)
     ok, refused, left = replay_purchases(products, reqs)
     assert {r["request_id"] for r in out["sales"].collect()} == ok
     assert {r["request_id"] for r in out["rejects"].collect()} == refused
@@ -77,3 +77,26 @@ def test_cart_fold_matches_replay(spark, seed):
     df = spark.createDataFrame(events, "event_id long, user_id long, product_id long, action string, quantity int, event_time timestamp_ntz")
     got = {(r["user_id"], r["product_id"]): r["quantity"] for r in CART.fold_cart(df)["cart"].collect()}
     assert got == replay_cart(events)
+
+
+def test_purchase_fold_with_a_burst_on_one_product(spark):
+    """A third of the requests hit one product at the very same instant: only the request id orders
+    them, and the range slices still split that burst."""
+    rnd = random.Random(11)
+    products = {pid: rnd.randint(50, 300) for pid in range(8)}
+    burst = BASE + dt.timedelta(hours=5)
+    reqs = []
+    for rid in range(1200):
+        if rid % 3 == 0:
+            reqs.append((rid, 1, 0, rnd.randint(1, 9), burst))
+        else:
+            reqs.append((rid, 2, rnd.randrange(1, 8), rnd.randint(1, 30),
+                         BASE + dt.timedelta(minutes=rnd.randrange(0, 600))))
+    inv = spark.createDataFrame([(p, f"p{p}", Decimal("2.00"), q) for p, q in products.items()],
+                                "id long, name string, price decimal(10,2), quantity int")
+    req = spark.createDataFrame(reqs, "request_id long, user_id long, product_id long, quantity int, requested_at timestamp_ntz")
+    out = apply_purchases(inv, req, slices=12)
+    ok, refused, left = replay_purchases(products, reqs)
+    assert {r["request_id"] for r in out["sales"].collect()} == ok
+    assert {r["request_id"] for r in out["rejects"].collect()} == refused
+    assert {r["id"]: r["quantity"] for r in out["inventory"].collect()} == left

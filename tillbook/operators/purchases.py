@@ -10,7 +10,7 @@ It is computed exactly in rounds, all in Spark:
 1. Every pending request larger than its product's stock left is refused at
    once: stock never rises, so it could never pass later.
 2. The rest (each fits on its own) get a running total in time order (per
-   product and time slice, see ``running``). Rows whose running total fits are
+   product and range slice, see ``running``). Rows whose running total fits are
    accepted; the first that does not fit is refused (the stock before it is
    smaller than it); everything after it waits for the next round.
 3. The round's rows are checkpointed; the waiting ones carry on with their
@@ -20,7 +20,7 @@ Each round accepts at least the first waiting request of every product, and
 after the first round the stock left is below the largest request, so the
 number of rounds is at most one plus the largest quantity (and in practice a
 handful). Work per round shrinks with the waiting rows. A hot product is spread
-over its time slices; joins with the per-product stock use AQE's skew split.
+over its range slices; joins with the per-product stock use AQE's skew split.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..core import cut_lineage
 from ..functions.exprs import subtotal
-from .running import running_sum, time_slice
+from .running import running_sum, with_range_slices
 
 # The messages and notes the reference writes (others are ours, in its style).
 INVALID_QUANTITY = "Invalid quantity"
@@ -42,13 +42,14 @@ INSUFFICIENT = "Insufficient quantity available"
 ORDER = ["requested_at", "request_id"]
 
 
-def apply_purchases(inventory: DataFrame, requests: DataFrame, slice_seconds: int = 3600,
+def apply_purchases(inventory: DataFrame, requests: DataFrame, slices: int | None = None,
                     max_rounds: int = 10_000) -> dict[str, DataFrame]:
     """requests: request_id, user_id, product_id, quantity, requested_at (request_id unique, orderable).
 
     Returns ``sales`` (accepted: request_id, user_id, product_id, quantity, total_amount,
     transaction_date), ``rejects`` (the request plus ``message``), ``inventory`` (stock
-    lowered) and ``rounds`` (a one-row DataFrame with the round count).
+    lowered) and ``rounds`` (a one-row DataFrame with the round count). ``slices`` is the
+    number of sampled ranges the requests are cut into (default: the shuffle partitions).
     """
     cols = ["request_id", "user_id", "product_id", "quantity", "requested_at"]
     req = requests.select(*cols)
@@ -59,10 +60,11 @@ def apply_purchases(inventory: DataFrame, requests: DataFrame, slice_seconds: in
     early = (marked.where(bad_qty | F.col("_known").isNull())
              .withColumn("message", F.when(bad_qty, INVALID_QUANTITY).otherwise(PRODUCT_NOT_FOUND))
              .select(*cols, "message"))
-    # every waiting row carries its product's stock left ("left"), lowered after each round
-    pending = cut_lineage(marked.where(~bad_qty & F.col("_known").isNotNull())
-                          .select(*cols, "price", "left", time_slice("requested_at", slice_seconds).alias("_slice")),
-                          "purchases")
+    # every waiting row carries its product's stock left ("left"), lowered after each round,
+    # and the number of its range slice, fixed here once for all rounds
+    n = slices or max(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    valid = marked.where(~bad_qty & F.col("_known").isNotNull()).select(*cols, "price", "left")
+    pending = cut_lineage(with_range_slices(valid, "product_id", ORDER, n), "purchases")
 
     done: list[DataFrame] = []
     rounds = 0

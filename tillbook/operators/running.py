@@ -1,21 +1,26 @@
 """Running totals per key without putting a whole key in one task.
 
 A window partitioned by the key alone would send every row of a hot key to a
-single task. Here the ordered rows of a key are cut into time slices; the
-window runs per (key, slice), the slice totals are summed per key over the
-(few) slices before each one, and the two are added. Only a single slice of a
-single key ever shares a task.
+single task. Here the ordered rows of a key are cut into slices; the window
+runs per (key, slice), the slice totals are summed per key over the slices
+before each one, and the two are added. Only a single slice of a single key
+ever shares a task.
+
+Slices come from range partitioning on (key, order): Spark samples the bounds,
+so a key with a third of all rows, even all in one burst of time, spans many
+ranges. The slice number is the range's partition id, which grows along the
+order inside a key; callers write the sliced rows once so it never changes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def time_slice(ts_col: str, slice_seconds: int) -> Column:
-    """Order-preserving slice number of a TIMESTAMP_NTZ (epoch seconds are UTC-based for NTZ)."""
-    return F.floor(F.unix_timestamp(F.col(ts_col)) / F.lit(int(slice_seconds))).cast("long")
+def with_range_slices(df: DataFrame, key: str, order_cols: list[str], slices: int, out: str = "_slice") -> DataFrame:
+    """Add ``out``: the number of the sampled range (on key, then order) the row falls in."""
+    return df.repartitionByRange(slices, key, *order_cols).withColumn(out, F.spark_partition_id().cast("long"))
 
 
 def running_sum(df: DataFrame, key: str, order_cols: list[str], value: str, out: str,
