@@ -39,7 +39,7 @@ def test_purchase_fold_matches_replay(spark, seed):
     inv = spark.createDataFrame([(p, f"p{p}", Decimal("1.50"), q) for p, q in products.items()],
                                 "id long, name string, price decimal(10,2), quantity int")
     req = spark.createDataFrame(reqs, "request_id long, user_id long, product_id long, quantity int, requested_at timestamp_ntz")
-    out = apply_purchases(inv, req, slices=16)
+    out = apply_purchases(inv, req, slices=4, rows_per_slice=50)
     ok, refused, left = replay_purchases(products, reqs)
     assert {r["request_id"] for r in out["sales"].collect()} == ok
     assert {r["request_id"] for r in out["rejects"].collect()} == refused
@@ -95,7 +95,7 @@ def test_purchase_fold_with_a_burst_on_one_product(spark):
     inv = spark.createDataFrame([(p, f"p{p}", Decimal("2.00"), q) for p, q in products.items()],
                                 "id long, name string, price decimal(10,2), quantity int")
     req = spark.createDataFrame(reqs, "request_id long, user_id long, product_id long, quantity int, requested_at timestamp_ntz")
-    out = apply_purchases(inv, req, slices=12)
+    out = apply_purchases(inv, req, slices=3, rows_per_slice=40)
     ok, refused, left = replay_purchases(products, reqs)
     assert {r["request_id"] for r in out["sales"].collect()} == ok
     assert {r["request_id"] for r in out["rejects"].collect()} == refused

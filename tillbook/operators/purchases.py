@@ -42,29 +42,40 @@ INSUFFICIENT = "Insufficient quantity available"
 ORDER = ["requested_at", "request_id"]
 
 
+def _per_slice(rows: DataFrame, per_product: DataFrame) -> DataFrame:
+    """Per-product values spread onto the (product, slice) keys present in ``rows``: a small
+    table (one row per slice) that then joins the rows on both columns."""
+    keys = rows.select("product_id", "_slice").distinct()
+    return keys.join(per_product, "product_id", "left")
+
+
 def apply_purchases(inventory: DataFrame, requests: DataFrame, slices: int | None = None,
-                    max_rounds: int = 10_000) -> dict[str, DataFrame]:
+                    rows_per_slice: int = 100_000, max_rounds: int = 10_000) -> dict[str, DataFrame]:
     """requests: request_id, user_id, product_id, quantity, requested_at (request_id unique, orderable).
 
     Returns ``sales`` (accepted: request_id, user_id, product_id, quantity, total_amount,
     transaction_date), ``rejects`` (the request plus ``message``), ``inventory`` (stock
     lowered) and ``rounds`` (a one-row DataFrame with the round count). ``slices`` is the
-    number of sampled ranges the requests are cut into (default: the shuffle partitions).
+    number of sampled ranges the requests are cut into (default: the shuffle partitions);
+    each range is cut further into chunks of ``rows_per_slice`` rows.
     """
     cols = ["request_id", "user_id", "product_id", "quantity", "requested_at"]
-    req = requests.select(*cols)
+    spark = requests.sparkSession
+    n = slices or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    # Slice the requests once (written, so the slice numbers stay fixed). Every per-product value
+    # (price, stock, used units) reaches the rows through the (product, slice) keys, so even a
+    # product with a third of all requests is joined slice by slice, never in one task.
+    sliced = cut_lineage(with_range_slices(requests.select(*cols), "product_id", ORDER, n, rows_per_slice),
+                         "purchases")
     products = inventory.select(F.col("id").alias("product_id"), "price",
                                 F.col("quantity").cast("long").alias("left"), F.lit(True).alias("_known"))
-    marked = req.join(products, "product_id", "left")
+    marked = sliced.join(_per_slice(sliced, products), ["product_id", "_slice"], "left")
     bad_qty = F.col("quantity").isNull() | (F.col("quantity") < 1)
     early = (marked.where(bad_qty | F.col("_known").isNull())
              .withColumn("message", F.when(bad_qty, INVALID_QUANTITY).otherwise(PRODUCT_NOT_FOUND))
              .select(*cols, "message"))
-    # every waiting row carries its product's stock left ("left"), lowered after each round,
-    # and the number of its range slice, fixed here once for all rounds
-    n = slices or max(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    valid = marked.where(~bad_qty & F.col("_known").isNotNull()).select(*cols, "price", "left")
-    pending = cut_lineage(with_range_slices(valid, "product_id", ORDER, n), "purchases")
+    # every waiting row carries its product's stock left ("left"), lowered after each round
+    pending = marked.where(~bad_qty & F.col("_known").isNotNull()).select(*cols, "price", "left", "_slice")
 
     done: list[DataFrame] = []
     rounds = 0
@@ -82,12 +93,11 @@ def apply_purchases(inventory: DataFrame, requests: DataFrame, slices: int | Non
         done.append(labelled.where(F.col("_outcome") != "pending"))
         used = (labelled.where(F.col("_outcome") == "accepted").groupBy("product_id")
                 .agg(F.sum("quantity").cast("long").alias("_used")))
-        pending = (labelled.where(F.col("_outcome") == "pending").drop("_outcome")
-                   .join(used, "product_id", "left")
+        waiting = labelled.where(F.col("_outcome") == "pending").drop("_outcome")
+        pending = (waiting.join(_per_slice(waiting, used), ["product_id", "_slice"], "left")
                    .withColumn("left", F.col("left") - F.coalesce("_used", F.lit(0)))
                    .drop("_used"))
 
-    spark = requests.sparkSession
     out_schema = pending.schema.add("_outcome", "string")
     resolved = reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], out_schema)
     accepted = resolved.where(F.col("_outcome") == "accepted")

@@ -8,8 +8,9 @@ ever shares a task.
 
 Slices come from range partitioning on (key, order): Spark samples the bounds,
 so a key with a third of all rows, even all in one burst of time, spans many
-ranges. The slice number is the range's partition id, which grows along the
-order inside a key; callers write the sliced rows once so it never changes.
+ranges; each range is sorted and cut into chunks of ``rows_per_slice`` rows.
+The slice number grows along the order inside a key; callers write the sliced
+rows once, so it never changes afterwards.
 """
 
 from __future__ import annotations
@@ -18,9 +19,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_range_slices(df: DataFrame, key: str, order_cols: list[str], slices: int, out: str = "_slice") -> DataFrame:
-    """Add ``out``: the number of the sampled range (on key, then order) the row falls in."""
-    return df.repartitionByRange(slices, key, *order_cols).withColumn(out, F.spark_partition_id().cast("long"))
+def with_range_slices(df: DataFrame, key: str, order_cols: list[str], partitions: int,
+                      rows_per_slice: int = 100_000, out: str = "_slice") -> DataFrame:
+    """Add ``out``: a slice number that grows along (key, order) and covers at most
+    ``rows_per_slice`` rows. Rows are range-partitioned on (key, order) and sorted inside each
+    range; ``monotonically_increasing_id`` is then (range number << 33) + position, so dividing it
+    by the chunk size numbers consecutive chunks. Write the result once before using it."""
+    ranged = df.repartitionByRange(partitions, key, *order_cols).sortWithinPartitions(key, *order_cols)
+    return ranged.withColumn(out, F.floor(F.monotonically_increasing_id() / F.lit(int(rows_per_slice))).cast("long"))
 
 
 def running_sum(df: DataFrame, key: str, order_cols: list[str], value: str, out: str,

@@ -55,9 +55,10 @@ def build_copy(spark, out: str, copies: int) -> None:
     open(os.path.join(out, "_done"), "w").close()
 
 
-def stage_skew(log_dir: str, job_groups: dict[str, str]) -> dict[str, tuple[int, int, float]]:
-    """Per query: the stage that read the most shuffle records: (its records, the records of its
-    largest task, that task's share). Partial aggregation keeps most stages small."""
+def stage_skew(log_dir: str, job_groups: dict[str, str]) -> dict[str, tuple[int, int, float, int]]:
+    """Per query: among stages that read at least 100,000 shuffle records, the one whose largest
+    task read the biggest share: (its records, the records of that task, the share, task count).
+    Partial aggregation keeps most stages far below that size."""
     files = [f for f in glob.glob(os.path.join(log_dir, "**", "*"), recursive=True) if os.path.isfile(f)]
     per_stage = defaultdict(list)
     stage_group = {}
@@ -76,11 +77,14 @@ def stage_skew(log_dir: str, job_groups: dict[str, str]) -> dict[str, tuple[int,
                     per_stage[ev["Stage ID"]].append(rec)
     out = {}
     for name, group in job_groups.items():
-        best = (0, 0, 0.0)
+        worst = (0, 0, 0.0, 0)
         for sid, recs in per_stage.items():
-            if stage_group.get(sid) == group and sum(recs) > best[0]:
-                best = (sum(recs), max(recs), max(recs) / sum(recs))
-        out[name] = best
+            if stage_group.get(sid) != group or sum(recs) < 100_000:
+                continue
+            share = max(recs) / sum(recs)
+            if share > worst[2]:
+                worst = (sum(recs), max(recs), share, len(recs))
+        out[name] = worst
     return out
 
 
@@ -92,7 +96,9 @@ def main() -> None:
     os.makedirs(log_dir, exist_ok=True)
     from tillbook.core import build_session
     from tillbook.registry import QUERIES
-    spark = build_session("local[8]", 8, extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
+    # 32 shuffle partitions and no coalescing, so task shares show how keys spread (1/32 is even)
+    spark = build_session("local[8]", 32, extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
+                                                 "spark.sql.adaptive.coalescePartitions.enabled": "false",
                                                 "spark.eventLog.rolling.enabled": "false",
                                                 "spark.eventLog.compress": "false", "spark.driver.memory": "16g"})
     data = os.path.join(scratch, f"x{copies}")
@@ -111,11 +117,11 @@ def main() -> None:
     spark.sparkContext.setJobGroup("done", "done")
     spark.stop()
     skew = stage_skew(log_dir, groups)
-    print("| Query | Data | Seconds | Largest shuffle stage: records read, by its largest task, share |")
+    print("| Query | Data | Seconds | Worst stage of >= 100k shuffle rows: rows, largest task, share, tasks |")
     print("| --- | --- | --- | --- |")
     for name, label, sec, group in rows:
-        total, top, share = skew.get(group, (0, 0, 0.0))
-        cell = f"{total:,} / {top:,} / {share:.0%}" if total else "-"
+        total, top, share, tasks = skew.get(group, (0, 0, 0.0, 0))
+        cell = f"{total:,} / {top:,} / {share:.1%} / {tasks}" if total else "no stage that large"
         print(f"| `{name}` | {label} | {sec} | {cell} |")
 
 
