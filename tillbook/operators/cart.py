@@ -60,9 +60,13 @@ def fold_cart(events: DataFrame) -> dict[str, DataFrame]:
         F.max_by(F.when(act == "set", F.col("quantity")), F.when(act == "set", F.col("k"))).alias("_set_qty")))
     per_user = ev.where(act == "checkout").groupBy("user_id").agg(F.max("k").alias("_co"))
 
-    adds = (ev.where(act == "add").select("user_id", "product_id", "quantity", "k")
-            .join(per_line, ["user_id", "product_id"], "left")
-            .join(per_user, "user_id", "left")
+    added = ev.where(act == "add").select("user_id", "product_id", "quantity", "k")
+    # the per-user value meets the small table of line keys first, so the add events are joined
+    # on (user, product) only: a user with a huge share of events is still spread by product
+    lines_info = (added.select("user_id", "product_id").distinct()
+                  .join(per_line, ["user_id", "product_id"], "left")
+                  .join(per_user, "user_id", "left"))
+    adds = (added.join(lines_info, ["user_id", "product_id"], "left")
             .withColumn("_cleared", F.greatest("_rm", "_co")))
     live = F.col("_cleared").isNull() | (F.col("k") > F.col("_cleared"))
     after_set = F.col("_set").isNotNull() & (F.col("k") > F.col("_set"))
