@@ -109,12 +109,11 @@ def checkout(cart: DataFrame, inventory: DataFrame, requests: DataFrame, orders:
     lines = cart_lines(cart, inventory)
     totals = lines.groupBy("user_id").agg(F.sum("subtotal").cast(SUM_MONEY).alias("_total"))
     req = requests.select("request_id", "user_id", "delivery_address", "requested_at")
-    first = req.groupBy("user_id").agg(F.min(F.struct("requested_at", "request_id")).alias("_first"))
-    ranked = (req.join(first, "user_id")
-              .withColumn("_is_first", (F.col("requested_at") == F.col("_first.requested_at"))
-                          & (F.col("request_id") == F.col("_first.request_id")))
-              .drop("_first"))
-    placed = ranked.where("_is_first").join(totals, "user_id")
+    # the first request of each user, whole, as a partial aggregate (no join back on the user)
+    first = (req.groupBy("user_id")
+             .agg(F.min(F.struct("requested_at", "request_id", "delivery_address")).alias("_first"))
+             .select("user_id", "_first.*"))
+    placed = first.join(totals, "user_id")
 
     def new_orders():
         return sequence_ids(placed, ["requested_at", "request_id"], ids["orders"]).select(
@@ -140,7 +139,7 @@ def checkout(cart: DataFrame, inventory: DataFrame, requests: DataFrame, orders:
             F.lit("Order has been placed successfully").alias("notes"), "created_at")
 
     def refused():
-        return (ranked.join(placed.select("request_id"), "request_id", "left_anti")
+        return (req.join(placed.select("request_id"), "request_id", "left_anti")
                 .select("request_id", "user_id", "delivery_address", "requested_at")
                 .withColumn("message", F.lit(CART_EMPTY)))
 

@@ -150,11 +150,11 @@ def accept_signups(users: DataFrame, requests: DataFrame, base_id: int | None =
     valid = pre.where(F.col("message").isNull()).withColumn("_email", F.lower(F.trim("email")))
     taken = users.select(F.lower(F.trim("email")).alias("_email"))
     fresh = valid.join(taken, "_email", "left_anti")
-    first = fresh.groupBy("_email").agg(F.min(F.struct("requested_at", "request_id")).alias("_first"))
-    winners = (fresh.join(first, "_email")
-               .where((F.col("requested_at") == F.col("_first.requested_at"))
-                      & (F.col("request_id") == F.col("_first.request_id")))
-               .drop("_first"))
+    # the first request per email, whole, as a partial aggregate (no join back on the email)
+    winners = (fresh.groupBy("_email")
+               .agg(F.min(F.struct("requested_at", "request_id", "full_name", "email", "phone", "role"))
+                    .alias("_first"))
+               .select("_email", "_first.*"))
     losers = (valid.join(winners.select("request_id"), "request_id", "left_anti")
               .withColumn("message", F.lit(EMAIL_TAKEN)).drop("_email"))
     rejects = pre.where(F.col("message").isNotNull()).unionByName(losers)
