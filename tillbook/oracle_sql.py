@@ -237,9 +237,7 @@ m_receipt_headers AS (
   FROM m_orders o JOIN m_users u ON o.user_id = u.id LEFT JOIN m_best_payment b ON b.order_id = o.id)
 """
 ORACLE["join8_receipt_headers"] = _with(_BEST_PAYMENT, "SELECT * FROM m_receipt_headers")
-ORACLE["join9_deletable_products"] = _sql("""
-SELECT i.id AS product_id, i.name FROM m_inventory i
-WHERE NOT EXISTS (SELECT 1 FROM m_sales s WHERE s.product_id = i.id)""")
+
 
 ORACLE["agg1_sales_total"] = _sql(
     "SELECT CAST(coalesce(sum(total_amount), 0) AS DECIMAL(38,2)) AS total_revenue FROM m_month_detail")
@@ -477,7 +475,7 @@ SELECT user_id, CAST(sum(subtotal) AS DECIMAL(38,2)) AS total, count(*) AS items
 _CHECKOUT = _CART.rstrip().rstrip(",") + """,
 m_creq AS (
   SELECT 'co-' || c_custkey || '-1' AS request_id, c_custkey AS user_id, 'Nation ' || c_nationkey AS delivery_address,
-         TIMESTAMP '2024-02-01 09:00:00' AS requested_at FROM customer
+         TIMESTAMP '2024-02-01 09:00:00' AS requested_at FROM customer WHERE c_acctbal >= 0
   UNION ALL
   SELECT 'co-' || c_custkey || '-2', c_custkey, 'Nation ' || c_nationkey, TIMESTAMP '2024-02-01 08:00:00'
   FROM customer WHERE c_acctbal > 5000),
@@ -743,3 +741,6 @@ FROM m_sseq q JOIN m_swalk w ON w.product_id = q.product_id AND w.rn = q.rn WHER
 ORACLE["str4_purchases_stream_stock"] = _rsql(_STR4, """
 SELECT product_id AS id, CAST(arg_max(stock, rn) AS INTEGER) AS quantity FROM m_swalk GROUP BY product_id""")
 ORACLE["src1_read_table"] = ORACLE["src1_read_inventory"]
+ORACLE["join9_deletable_products"] = _with(_PRODUCTS, """
+SELECT i.id AS product_id, i.name FROM m_chinv i
+WHERE NOT EXISTS (SELECT 1 FROM m_sales s WHERE s.product_id = i.id)""")

@@ -22,6 +22,7 @@ from .operators.filters import filter_orders, for_user, top_products
 from .plans import orders as O
 from .plans import reports as R
 from .sources import tables as TB
+from .operators import changes as CHG
 from .sources.schemas import check_table
 
 # Fixed parameters of the registered queries (order dates run 1995-01-01 .. 2001-08-01).
@@ -208,9 +209,10 @@ def _join8(spark, sf):
 
 @query("join9_deletable_products")
 def _join9(spark, sf):
-    i, s = _tables(spark, sf, "inventory", "sales")
-    requests = i.select(F.col("id").alias("product_id"), "name")
-    return J.deletable(requests, s)
+    """Every product after the product-change job (its adds have no sales yet) as a delete request."""
+    inv = CHG.apply_product_changes(TB.inventory(spark, sf), TB.product_change_requests(spark, sf))["inventory"]
+    requests = inv.select(F.col("id").alias("product_id"), "name")
+    return J.deletable(requests, TB.sales(spark, sf))
 
 
 # ---------------------------------------------------------------- aggregates and windows
@@ -551,7 +553,6 @@ def _rep10(spark, sf):
 # ---------------------------------------------------------------- change jobs (whole request tables)
 
 from .operators import cart as CART  # noqa: E402
-from .operators import changes as CHG  # noqa: E402
 from .operators import payments as PAY  # noqa: E402
 from .operators.purchases import apply_purchases  # noqa: E402
 

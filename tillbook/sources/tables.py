@@ -218,10 +218,11 @@ UNKNOWN_ID_OFFSET = 1_000_000_000
 
 
 def checkout_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One checkout per customer; customers with a balance over 5000 also sent an earlier second one."""
+    """A checkout from every customer in credit (a negative balance sends none, so that cart stays);
+    customers with a balance over 5000 also sent an earlier second one."""
     c = raw(spark, sf_dir, "customer")
     base = dict(user_id=F.col("c_custkey"), delivery_address=F.concat(F.lit("Nation "), F.col("c_nationkey")))
-    first = c.select(F.concat(F.lit("co-"), F.col("c_custkey"), F.lit("-1")).alias("request_id"),
+    first = c.where(F.col("c_acctbal") >= 0).select(F.concat(F.lit("co-"), F.col("c_custkey"), F.lit("-1")).alias("request_id"),
                      *[v.alias(k) for k, v in base.items()], _ts(CHECKOUT_AT).alias("requested_at"))
     second = c.where(F.col("c_acctbal") > 5000).select(
         F.concat(F.lit("co-"), F.col("c_custkey"), F.lit("-2")).alias("request_id"),
