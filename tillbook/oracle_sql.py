@@ -113,27 +113,7 @@ ORACLE: dict[str, str] = {}
 
 ORACLE["src1_read_inventory"] = _sql("SELECT * FROM m_inventory")
 
-ORACLE["src2_check_tables"] = _sql("""
-SELECT 'users' AS table_name, outcome, count(*) AS row_count FROM (
-  SELECT CASE WHEN id IS NULL THEN 'id is null' WHEN full_name IS NULL THEN 'full_name is null'
-              WHEN email IS NULL THEN 'email is null' WHEN phone IS NULL THEN 'phone is null'
-              WHEN role IS NOT NULL AND role NOT IN ('customer', 'admin', 'master_admin')
-                THEN 'role not in customer/admin/master_admin'
-              WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate id'
-              WHEN count(*) OVER (PARTITION BY email) > 1 THEN 'duplicate email'
-              ELSE 'ok' END AS outcome FROM m_users) GROUP BY 1, 2
-UNION ALL
-SELECT 'payments' AS table_name, outcome, count(*) AS row_count FROM (
-  SELECT CASE WHEN id IS NULL THEN 'id is null' WHEN order_id IS NULL THEN 'order_id is null'
-              WHEN transaction_id IS NULL THEN 'transaction_id is null'
-              WHEN phone_number IS NULL THEN 'phone_number is null' WHEN amount IS NULL THEN 'amount is null'
-              WHEN status IS NOT NULL AND status NOT IN ('pending', 'completed', 'failed')
-                THEN 'status not in pending/completed/failed'
-              WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate id'
-              WHEN count(*) OVER (PARTITION BY transaction_id) > 1 THEN 'duplicate transaction_id'
-              WHEN NOT EXISTS (SELECT 1 FROM m_orders o WHERE o.id = p.order_id) THEN 'order_id has no orders.id'
-              ELSE 'ok' END AS outcome FROM m_payments p) GROUP BY 1, 2
-""")
+
 
 ORACLE["per1_report_periods"] = _period_rows("m_sales", T, "total_amount", [
     ("today", f"{T} BETWEEN TIMESTAMP '2001-08-01 00:00:00' AND TIMESTAMP '2001-08-01 12:00:00'",
@@ -744,3 +724,42 @@ ORACLE["src1_read_table"] = ORACLE["src1_read_inventory"]
 ORACLE["join9_deletable_products"] = _with(_PRODUCTS, """
 SELECT i.id AS product_id, i.name FROM m_chinv i
 WHERE NOT EXISTS (SELECT 1 FROM m_sales s WHERE s.product_id = i.id)""")
+ORACLE["src2_check_tables"] = _with(_CART, """
+SELECT 'users' AS table_name, outcome, count(*) AS row_count FROM (
+  SELECT CASE WHEN id IS NULL THEN 'id is null' WHEN full_name IS NULL THEN 'full_name is null'
+              WHEN email IS NULL THEN 'email is null' WHEN phone IS NULL THEN 'phone is null'
+              WHEN role IS NOT NULL AND role NOT IN ('customer', 'admin', 'master_admin')
+                THEN 'role not in customer/admin/master_admin'
+              WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate id'
+              WHEN count(*) OVER (PARTITION BY email) > 1 THEN 'duplicate email'
+              ELSE 'ok' END AS outcome FROM m_users) GROUP BY 1, 2
+UNION ALL
+SELECT 'payments' AS table_name, outcome, count(*) AS row_count FROM (
+  SELECT CASE WHEN id IS NULL THEN 'id is null' WHEN order_id IS NULL THEN 'order_id is null'
+              WHEN transaction_id IS NULL THEN 'transaction_id is null'
+              WHEN phone_number IS NULL THEN 'phone_number is null' WHEN amount IS NULL THEN 'amount is null'
+              WHEN status IS NOT NULL AND status NOT IN ('pending', 'completed', 'failed')
+                THEN 'status not in pending/completed/failed'
+              WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate id'
+              WHEN count(*) OVER (PARTITION BY transaction_id) > 1 THEN 'duplicate transaction_id'
+              WHEN NOT EXISTS (SELECT 1 FROM m_orders o WHERE o.id = p.order_id) THEN 'order_id has no orders.id'
+              ELSE 'ok' END AS outcome FROM m_payments p) GROUP BY 1, 2
+UNION ALL
+SELECT 'order_tracking' AS table_name, outcome, count(*) AS row_count FROM (
+  SELECT CASE WHEN id IS NULL THEN 'id is null' WHEN order_id IS NULL THEN 'order_id is null'
+              WHEN status IS NULL THEN 'status is null'
+              WHEN status NOT IN ('order_placed', 'payment_received', 'processing', 'in_transit', 'out_for_delivery',
+                                  'delivered', 'cancelled')
+                THEN 'status not in order_placed/payment_received/processing/in_transit/out_for_delivery/delivered/cancelled'
+              WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate id'
+              WHEN NOT EXISTS (SELECT 1 FROM m_orders o WHERE o.id = t.order_id) THEN 'order_id has no orders.id'
+              ELSE 'ok' END AS outcome FROM m_tracking t) GROUP BY 1, 2
+UNION ALL
+SELECT 'cart' AS table_name, outcome, count(*) AS row_count FROM (
+  SELECT CASE WHEN user_id IS NULL THEN 'user_id is null' WHEN product_id IS NULL THEN 'product_id is null'
+              WHEN quantity IS NULL THEN 'quantity is null'
+              WHEN count(*) OVER (PARTITION BY user_id, product_id) > 1 THEN 'duplicate user_id+product_id'
+              WHEN NOT EXISTS (SELECT 1 FROM m_users u WHERE u.id = c.user_id) THEN 'user_id has no users.id'
+              WHEN NOT EXISTS (SELECT 1 FROM m_inventory i WHERE i.id = c.product_id) THEN 'product_id has no inventory.id'
+              ELSE 'ok' END AS outcome FROM m_cart c) GROUP BY 1, 2
+""")

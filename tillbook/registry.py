@@ -22,6 +22,7 @@ from .operators.filters import filter_orders, for_user, top_products
 from .plans import orders as O
 from .plans import reports as R
 from .sources import tables as TB
+from .operators import cart as CART
 from .operators import changes as CHG
 from .sources.schemas import check_table
 
@@ -70,14 +71,22 @@ def _src1(spark, sf):
 
 @query("src2_check_tables")
 def _src2(spark, sf):
-    """Rule check of users (role enum, unique email) and payments (FK to orders, unique transaction)."""
+    """Rule checks: users (role enum, unique email), payments and tracking (enums, unique keys, FK to
+    orders) and the folded cart (unique line, FKs to users and products)."""
     users = TB.users(spark, sf)
     good_u, bad_u = check_table(users, "users")
-    good_p, bad_p = check_table(TB.payments(spark, sf), "payments", parents={"orders": TB.orders(spark, sf)})
-    parts = [good_u.select(F.lit("users").alias("table_name"), F.lit("ok").alias("outcome")),
-             bad_u.select(F.lit("users").alias("table_name"), F.col("reason").alias("outcome")),
-             good_p.select(F.lit("payments").alias("table_name"), F.lit("ok").alias("outcome")),
-             bad_p.select(F.lit("payments").alias("table_name"), F.col("reason").alias("outcome"))]
+    orders = TB.orders(spark, sf)
+    checked = {
+        "users": check_table(users, "users"),
+        "payments": check_table(TB.payments(spark, sf), "payments", parents={"orders": orders}),
+        "order_tracking": check_table(TB.order_tracking(spark, sf), "order_tracking", parents={"orders": orders}),
+        "cart": check_table(CART.fold_cart(TB.cart_events(spark, sf))["cart"], "cart",
+                            parents={"users": users, "inventory": TB.inventory(spark, sf)}),
+    }
+    parts = []
+    for name, (good, bad) in checked.items():
+        parts.append(good.select(F.lit(name).alias("table_name"), F.lit("ok").alias("outcome")))
+        parts.append(bad.select(F.lit(name).alias("table_name"), F.col("reason").alias("outcome")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -552,7 +561,6 @@ def _rep10(spark, sf):
 
 # ---------------------------------------------------------------- change jobs (whole request tables)
 
-from .operators import cart as CART  # noqa: E402
 from .operators import payments as PAY  # noqa: E402
 from .operators.purchases import apply_purchases  # noqa: E402
 
