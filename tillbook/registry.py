@@ -13,18 +13,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .core import sequence_ids
+from .core import scratch_path, sequence_ids
 from .functions import exprs as X
-from .functions.periods import export_period, order_period, preset_period, report_period
+from .functions.periods import export_period, in_dates, order_period, preset_period, report_period
 from .operators import aggregates as A
+from .operators import cart as CART
+from .operators import changes as CHG
 from .operators import joins as J
+from .operators import payments as PAY
 from .operators.filters import filter_orders, for_user, top_products
+from .operators.purchases import apply_purchases
 from .plans import orders as O
 from .plans import reports as R
+from .sinks import files as SNK
 from .sources import tables as TB
-from .operators import cart as CART
-from .operators import changes as CHG
 from .sources.schemas import check_table
+from .streaming import jobs as STR
 
 # Fixed parameters of the registered queries (order dates run 1995-01-01 .. 2001-08-01).
 AS_OF = "2001-08-01 12:00:00"
@@ -128,7 +132,6 @@ def _per3(spark, sf):
 
 @query("per4_order_periods")
 def _per4(spark, sf):
-    from .functions.periods import in_dates
     named = []
     for name in ["today", "week", "month", "custom"]:
         d = order_period(name, AS_OF, CUSTOM_START, CUSTOM_END)
@@ -138,7 +141,6 @@ def _per4(spark, sf):
 
 @query("per5_admin_default_period")
 def _per5(spark, sf):
-    from .functions.periods import in_dates
     d = order_period("admin_default", AS_OF)
     return _period_table(TB.orders(spark, sf), "created_at", "total_amount",
                          [("admin_default", in_dates("created_at", d), str(d[0]), str(d[1]))])
@@ -561,9 +563,6 @@ def _rep10(spark, sf):
 
 # ---------------------------------------------------------------- change jobs (whole request tables)
 
-from .operators import payments as PAY  # noqa: E402
-from .operators.purchases import apply_purchases  # noqa: E402
-
 
 def _purchases(spark, sf):
     inv = TB.inventory(spark, sf).withColumn("quantity", F.col("quantity") * 10)
@@ -744,10 +743,6 @@ def _chg2r(spark, sf):
 
 # ---------------------------------------------------------------- sinks (written, then read back)
 
-from .core import scratch_path  # noqa: E402
-from .sinks import files as SNK  # noqa: E402
-from .streaming import jobs as STR  # noqa: E402
-
 
 @query("snk1_export_csv")
 def _snk1(spark, sf):

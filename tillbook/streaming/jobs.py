@@ -24,6 +24,7 @@ from ..core import scratch_path
 from ..operators.joins import SUM_MONEY
 from ..operators.purchases import apply_purchases
 from ..sources.schemas import MONEY
+from ..sources.tables import TRACKING_FROM_EVENT, _case
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -54,7 +55,7 @@ def sales_from_events(events: DataFrame) -> DataFrame:
 
 
 def tracking_from_events(events: DataFrame) -> DataFrame:
-    from ..sources.tables import TRACKING_FROM_EVENT, _case
+    """Events as tracking rows (the same mapping as the batch adapter)."""
     return events.select(F.col("event_id").alias("id"), F.col("user_id").alias("order_id"),
                          _case("event_type", TRACKING_FROM_EVENT).alias("status"), F.col("ts").alias("created_at"))
 
