@@ -79,7 +79,8 @@ def apply_purchases(inventory: DataFrame, requests: DataFrame, slices: int | Non
 
     done: list[DataFrame] = []
     rounds = 0
-    while not pending.isEmpty():
+    waiting = pending  # same rows as ``pending``; later rounds test emptiness before the stock join
+    while not waiting.isEmpty():
         if rounds == max_rounds:
             raise RuntimeError(f"purchase fold did not finish in {max_rounds} rounds")
         rounds += 1
