@@ -337,7 +337,8 @@ SELECT id, 'WV' || CAST(CAST(epoch(created_at) AS BIGINT) AS VARCHAR)
        || CASE WHEN length(CAST(id AS VARCHAR)) >= 4 THEN CAST(id AS VARCHAR)
                ELSE lpad(CAST(id AS VARCHAR), 4, '0') END AS transaction_id FROM m_orders""")
 ORACLE["exp13_json_text"] = _sql("""
-SELECT id, to_json({'id': id, 'name': name, 'image': image, 'total_sales': total_sales, 'revenue': revenue}) AS data
+SELECT id, CAST(to_json({'id': id, 'name': name, 'image': image, 'total_sales': total_sales, 'revenue': revenue})
+       AS VARCHAR) AS data
 FROM m_inventory_report""")
 
 ORACLE["rep1_sales_report"] = _sql("SELECT * FROM m_month_detail")
