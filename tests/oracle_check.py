@@ -1,6 +1,6 @@
 """Side-by-side check of registered Spark queries against their DuckDB oracle SQL.
 
-Mirrors the driver's gate: same row count, same column names, same
+Mirrors the driver's gate: same row count, same column names and types, same
 order-insensitive multiset of values. Usable from pytest and as a script:
 
     python tests/oracle_check.py /root/testdata/sf0.01 [name-substring ...]
@@ -51,6 +51,22 @@ def digest(columns: list[str], rows: list[tuple]) -> tuple[int, str]:
     return len(lines), hashlib.sha256("\n".join(lines).encode()).hexdigest()
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "timestamp_ntz": "TIMESTAMP",
+                 "date": "DATE", "boolean": "BOOLEAN", "double": "DOUBLE"}
+
+
+def type_mismatches(df, relation) -> list[str]:
+    """Columns whose Spark type and DuckDB type differ (decimal precision and scale included)."""
+    duck = dict(zip(relation.columns, [str(t).replace(" ", "") for t in relation.types]))
+    out = []
+    for f in df.schema.fields:
+        t = f.dataType.simpleString()
+        want = SPARK_TO_DUCK.get(t, t.upper()).replace(" ", "")
+        if duck.get(f.name) != want:
+            out.append(f"{f.name}: {t} vs {duck.get(f.name)}")
+    return out
+
+
 def duck_connect(sf_dir: str):
     import duckdb
     con = duckdb.connect()
@@ -83,7 +99,9 @@ def check(spark, sf_dir: str, names=None, verbose=True) -> dict[str, dict]:
                 drows = cur.fetchall()
                 rec["oracle_rows"], rec["oracle_hash"] = digest(dcols, drows)
                 rec["columns_match"] = sorted(cols) == sorted(dcols)
-                rec["match"] = rec["columns_match"] and rec["spark_hash"] == rec["oracle_hash"]
+                rec["type_mismatches"] = type_mismatches(df, con.sql(sqls[name]))
+                rec["match"] = (rec["columns_match"] and not rec["type_mismatches"]
+                                and rec["spark_hash"] == rec["oracle_hash"])
                 if not rec["match"]:
                     rec["spark_cols"], rec["oracle_cols"] = sorted(cols), sorted(dcols)
                     order = sorted(range(len(cols)), key=lambda i: cols[i])
@@ -104,7 +122,7 @@ def check(spark, sf_dir: str, names=None, verbose=True) -> dict[str, dict]:
             print(f"{flag} {name:40s} {rec.get('spark_rows')} / {rec.get('oracle_rows')} "
                   f"{rec.get('spark_sec')}s {rec.get('error', '')}", flush=True)
             if rec["match"] is False and "error" not in rec:
-                for k in ("spark_cols", "oracle_cols", "only_spark", "only_oracle"):
+                for k in ("spark_cols", "oracle_cols", "only_spark", "only_oracle", "type_mismatches"):
                     print(f"      {k}: {rec.get(k)}")
     return results
 
