@@ -10,7 +10,7 @@ It is computed exactly in rounds, all in Spark:
 1. Every pending request larger than its product's stock left is refused at
    once: stock never rises, so it could never pass later.
 2. The rest (each fits on its own) get a running total in time order (per
-   product and range slice, see ``running``). Rows whose running total fits are
+   product and range slice, see ``running``; refused rows add nothing to it). Rows whose running total fits are
    accepted; the first that does not fit is refused (the stock before it is
    smaller than it); everything after it waits for the next round.
 3. The round's rows are checkpointed; the waiting ones carry on with their
@@ -84,13 +84,15 @@ def apply_purchases(inventory: DataFrame, requests: DataFrame, slices: int | Non
         if rounds == max_rounds:
             raise RuntimeError(f"purchase fold did not finish in {max_rounds} rounds")
         rounds += 1
-        too_big = pending.where(F.col("quantity") > F.col("left")).withColumn("_outcome", F.lit("refused"))
-        fits = running_sum(pending.where(F.col("quantity") <= F.col("left")), "product_id", ORDER,
-                           "quantity", "_run", "_slice")
-        outcome = (F.when(F.col("_run") <= F.col("left"), "accepted")
+        # a request larger than the stock left adds nothing to the running total: it is refused
+        fits = F.col("quantity") <= F.col("left")
+        counted = pending.withColumn("_fit", F.when(fits, F.col("quantity")).otherwise(F.lit(0)))
+        run = running_sum(counted, "product_id", ORDER, "_fit", "_run", "_slice")
+        outcome = (F.when(~fits, "refused")
+                   .when(F.col("_run") <= F.col("left"), "accepted")
                    .when(F.col("_run") - F.col("quantity") <= F.col("left"), "refused")
                    .otherwise("pending"))
-        labelled = cut_lineage(too_big.unionByName(fits.withColumn("_outcome", outcome).drop("_run")), "purchases")
+        labelled = cut_lineage(run.withColumn("_outcome", outcome).drop("_run", "_fit"), "purchases")
         done.append(labelled.where(F.col("_outcome") != "pending"))
         used = (labelled.where(F.col("_outcome") == "accepted").groupBy("product_id")
                 .agg(F.sum("quantity").cast("long").alias("_used")))
