@@ -10,9 +10,10 @@ It is computed exactly in rounds, all in Spark:
 1. Every pending request larger than its product's stock left is refused at
    once: stock never rises, so it could never pass later.
 2. The rest (each fits on its own) get a running total in time order (per
-   product and range slice, see ``running``; refused rows add nothing to it). Rows whose running total fits are
-   accepted; the first that does not fit is refused (the stock before it is
-   smaller than it); everything after it waits for the next round.
+   product and range slice, see ``running``; refused rows add nothing to it).
+   Rows whose running total fits are accepted; the first that does not fit is
+   refused (the stock before it is smaller than it); everything after it waits
+   for the next round.
 3. The round's rows are checkpointed; the waiting ones carry on with their
    product's stock lowered by what the round accepted.
 
@@ -20,7 +21,8 @@ Each round accepts at least the first waiting request of every product, and
 after the first round the stock left is below the largest request, so the
 number of rounds is at most one plus the largest quantity (and in practice a
 handful). Work per round shrinks with the waiting rows. A hot product is spread
-over its range slices; joins with the per-product stock use AQE's skew split.
+over its range slices, and its price, stock and used units reach its rows
+through the (product, slice) keys, so no task ever holds the whole product.
 """
 
 from __future__ import annotations
