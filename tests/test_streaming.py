@@ -82,3 +82,13 @@ def test_update_mode_over_several_batches_keeps_the_newest_row(spark, event_file
     got = {r["order_id"]: r["current_status"] for r in STR.latest_rows(spark, f"{scratch}/out", "order_id").collect()}
     batch = STR.stream_current_status(STR.tracking_from_events(spark.read.parquet(folder)))
     assert got == {r["order_id"]: r["current_status"] for r in batch.collect()}
+
+
+def test_product_totals_stream_in_batches_equals_batch(spark, event_files, scratch):
+    folder, _ = event_files
+    sales = STR.sales_from_events(STR.event_stream(spark, folder, max_files_per_trigger=1))
+    STR.run_updates(STR.stream_product_totals(sales), f"{scratch}/out", f"{scratch}/ckpt")
+    got = {r["product_id"]: (r["total_sales"], r["revenue"])
+           for r in STR.latest_rows(spark, f"{scratch}/out", "product_id").collect()}
+    batch = STR.stream_product_totals(STR.sales_from_events(spark.read.parquet(folder)))
+    assert got == {r["product_id"]: (r["total_sales"], r["revenue"]) for r in batch.collect()}
