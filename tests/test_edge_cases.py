@@ -280,3 +280,40 @@ def test_product_changes_image_rules(spark):
     assert (rows[3]["name"], rows[3]["image"]) == ("C", "")
     assert {r["request_id"]: r["message"] for r in out["rejects"].collect()} == {
         "r4": "Product not found", "r6": "Failed to add product"}
+
+
+def test_order_history_nesting_and_receipts(spark):
+    from tillbook.plans import orders as O
+    orders = spark.createDataFrame([(1, 5, Decimal("3.00"), "pending", "x", ts(3), ts(3)),
+                                    (2, 5, Decimal("1.00"), "pending", "x", ts(1), ts(1)),
+                                    (3, 6, Decimal("2.00"), "pending", "y", ts(2), ts(2))], SCHEMAS["orders"])
+    items = spark.createDataFrame([("a", 1, 10, 1, Decimal("1.00"), Decimal("1.00")),
+                                   ("b", 1, 11, 2, Decimal("1.00"), Decimal("2.00")),
+                                   ("c", 3, 10, 2, Decimal("1.00"), Decimal("2.00"))],
+                                  "item_key string, order_id long, product_id long, quantity int, "
+                                  "price_per_unit decimal(10,2), subtotal decimal(10,2)")
+    tracking = spark.createDataFrame([(20, 1, "order_placed", None, None, ts(3)),
+                                      (21, 1, "payment_received", None, None, ts(2)),
+                                      (22, 1, "processing", None, None, ts(2)),
+                                      (23, 3, "order_placed", None, None, ts(2))], SCHEMAS["order_tracking"])
+    inv = spark.createDataFrame([(10, "p10", Decimal("1.00"), 5, None), (11, "p11", Decimal("1.00"), 5, "i.png")],
+                                "id long, name string, price decimal(10,2), quantity int, image string")
+    hist = O.order_history(orders, items, tracking, inv, user=5)
+    assert [r["id"] for r in hist["orders"].collect()] == [2, 1]  # user 5 only, newest first
+    nested = {r["id"]: r for r in O.nest_order_history(hist).collect()}
+    assert [t["id"] for t in nested[1]["tracking"]] == [22, 21, 20]  # newest first, same second by id
+    assert nested[1]["current_status"] == "processing"
+    assert nested[2]["tracking"] == [] and nested[2]["items"] == [] and nested[2]["current_status"] is None
+    assert sorted(i["product_id"] for i in nested[1]["items"]) == [10, 11]
+    users = spark.createDataFrame([(5, "Ann", "a@x", "1234567890", "customer", ts(9)),
+                                   (6, "Bob", "b@x", "1234567891", "customer", ts(9))], SCHEMAS["users"])
+    pays = spark.createDataFrame([(1, 1, "WV1", "0712345678", Decimal("3.00"), "failed", "1", "x", ts(2), None),
+                                  (2, 1, "WV2", "0712345678", Decimal("3.00"), "completed", "0", "ok", ts(1), ts(1))],
+                                 SCHEMAS["payments"])
+    rec = O.receipts(orders, users, pays, items, inv).collect()
+    by_order = {}
+    for r in rec:
+        by_order.setdefault(r["id"], []).append(r)
+    assert {r["mpesa_transaction"] for r in by_order[1]} == {"WV2"} and len(by_order[1]) == 2
+    assert by_order[2][0]["mpesa_transaction"] is None and by_order[2][0]["item_key"] is None
+    assert by_order[3][0]["full_name"] == "Bob"
