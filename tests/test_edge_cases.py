@@ -317,3 +317,24 @@ def test_order_history_nesting_and_receipts(spark):
     assert {r["mpesa_transaction"] for r in by_order[1]} == {"WV2"} and len(by_order[1]) == 2
     assert by_order[2][0]["mpesa_transaction"] is None and by_order[2][0]["item_key"] is None
     assert by_order[3][0]["full_name"] == "Bob"
+
+
+def test_check_table_foreign_keys_and_product_deletes(spark):
+    orders = spark.createDataFrame([(1, 5, Decimal("1"), "pending", "x", ts(9), ts(9))], SCHEMAS["orders"])
+    pays = spark.createDataFrame([(1, 1, "WV1", "0712345678", Decimal("1"), "pending", None, None, ts(1), None),
+                                  (2, 9, "WV2", "0712345678", Decimal("1"), "pending", None, None, ts(1), None),
+                                  (3, 1, "WV3", "0712345678", Decimal("1"), "paid", None, None, ts(1), None)],
+                                 SCHEMAS["payments"])
+    good, bad = check_table(pays, "payments", parents={"orders": orders})
+    assert [r["id"] for r in good.collect()] == [1]
+    assert {r["id"]: r["reason"] for r in bad.collect()} == {
+        2: "order_id has no orders.id", 3: "status not in pending/completed/failed"}
+    inv = spark.createDataFrame([(1, "a", "d", Decimal("1"), 1, None, ts(9), ts(9)),
+                                 (2, "b", "d", Decimal("1"), 1, None, ts(9), ts(9))], SCHEMAS["inventory"])
+    sales = spark.createDataFrame([(1, 5, 1, 1, Decimal("1"), ts(2))], SCHEMAS["sales"])
+    req = spark.createDataFrame([("d1", 1), ("d2", 2), ("d3", 99)], "request_id string, product_id long")
+    out = CHG.apply_product_deletes(inv, sales, req)
+    assert [r["id"] for r in out["inventory"].collect()] == [1]
+    assert {r["request_id"]: r["message"] for r in out["rejects"].collect()} == {
+        "d1": "Cannot delete product with sales history"}
+    assert sorted(r["request_id"] for r in out["deleted"].collect()) == ["d2", "d3"]  # unknown id: a no-op
