@@ -338,3 +338,14 @@ def test_check_table_foreign_keys_and_product_deletes(spark):
     assert {r["request_id"]: r["message"] for r in out["rejects"].collect()} == {
         "d1": "Cannot delete product with sales history"}
     assert sorted(r["request_id"] for r in out["deleted"].collect()) == ["d2", "d3"]  # unknown id: a no-op
+
+
+def test_sequence_ids_dense_in_order_with_a_hot_value(spark):
+    from tillbook.core import sequence_ids
+    from pyspark.sql import functions as F
+    df = spark.range(20000).select(F.when(F.col("id") % 2 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"),
+                                   F.col("id").alias("tie"))
+    out = sequence_ids(df, ["k", "tie"], 100, slices=8).collect()
+    got = sorted((r["id"], r["k"], r["tie"]) for r in out)
+    assert [g[0] for g in got] == list(range(101, 20101))
+    assert [(g[1], g[2]) for g in got] == sorted((g[1], g[2]) for g in got)
