@@ -53,7 +53,7 @@ def open_payments(orders: DataFrame, requests: DataFrame, payments: DataFrame |
 
 def apply_payments(payments: DataFrame, orders: DataFrame, tracking: DataFrame, confirmations: DataFrame,
                    base_tracking_id: int | None = None) -> dict[str, DataFrame]:
-    """CHG7. confirmations: confirmation_id, transaction_id, result_code, result_desc, confirmed_at.
+    """CHG7. confirmations: confirmation_id (unique), transaction_id, result_code, result_desc, confirmed_at.
 
     The first confirmation of a pending payment applies: code '0' completes it
     (its order becomes processing, and a tracking row payment_received is
@@ -61,14 +61,16 @@ def apply_payments(payments: DataFrame, orders: DataFrame, tracking: DataFrame,
     pending and repeated confirmations are refused.
     """
     conf = confirmations.select("confirmation_id", "transaction_id", "result_code", "result_desc", "confirmed_at")
-    first = conf.groupBy("transaction_id").agg(F.min(F.struct("confirmed_at", "confirmation_id")).alias("_first"))
+    # the first confirmation of each transaction (partial aggregate); the others are repeats
+    first = (conf.groupBy("transaction_id")
+             .agg(F.min(F.struct("confirmed_at", "confirmation_id")).alias("_first"))
+             .select(F.col("_first.confirmation_id").alias("confirmation_id"), F.lit(True).alias("_is_first")))
     pay = payments.select("transaction_id", F.col("status").alias("_pay_status"), F.col("order_id").alias("_order"))
-    marked = (conf.join(first, "transaction_id").join(pay, "transaction_id", "left")
+    marked = (conf.join(first, "confirmation_id", "left").join(pay, "transaction_id", "left")
               .withColumn("message",
                           F.when(F.col("_pay_status").isNull(), TX_NOT_FOUND)
                           .when(F.col("_pay_status") != "pending", ALREADY_DONE)
-                          .when((F.col("confirmed_at") != F.col("_first.confirmed_at"))
-                                | (F.col("confirmation_id") != F.col("_first.confirmation_id")), DUPLICATE)))
+                          .when(F.col("_is_first").isNull(), DUPLICATE)))
     rejects = marked.where(F.col("message").isNotNull()).select(
         "confirmation_id", "transaction_id", "result_code", "confirmed_at", "message")
     applied = marked.where(F.col("message").isNull()).select(
