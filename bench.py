@@ -77,9 +77,15 @@ def main() -> None:
     except Exception as exc:  # the context timings are optional
         duck = {"error": str(exc)[:200]}
 
-    conf = {k: spark.conf.get(k, None) for k in ["spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled",
-                                                  "spark.sql.adaptive.skewJoin.enabled",
-                                                  "spark.sql.autoBroadcastJoinThreshold", "spark.driver.memory"]}
+    def effective(key: str):
+        try:
+            return spark.conf.get(key)
+        except Exception:  # not set and no default
+            return None
+
+    conf = {k: effective(k) for k in ["spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled",
+                                      "spark.sql.adaptive.skewJoin.enabled",
+                                      "spark.sql.autoBroadcastJoinThreshold", "spark.driver.memory"]}
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total_median_sec", "value": round(sum(timings.values()), 3),
                       "unit": "sec", "queries": timings, "sf": sf, "cpus": cpus, "runs": runs,
