@@ -18,11 +18,11 @@ w AS (
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d WHERE len(ws) >= 50)),
 f AS (SELECT h, min(doc_id) AS first_doc FROM w GROUP BY h),
 gone AS (
-  SELECT doc_id, list_sort(list_distinct(flatten(list(range(i, i + 50))))) AS at
+  SELECT doc_id, list_sort(list_distinct(flatten(list(range(i, i + 50))))) AS cutpos
   FROM w JOIN f USING (h) WHERE w.doc_id > f.first_doc GROUP BY doc_id),
 marked AS (
   SELECT doc_id, p, ws[p] AS word, len(ws) AS n FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS p FROM d)),
-cut AS (SELECT doc_id, unnest(at) AS p FROM gone),
+cut AS (SELECT doc_id, unnest(cutpos) AS p FROM gone),
 kept AS (
   SELECT m.doc_id, string_agg(word, ' ' ORDER BY p) AS rest, count(*) AS n_kept
   FROM marked m ANTI JOIN cut c ON m.doc_id = c.doc_id AND m.p = c.p GROUP BY m.doc_id)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, sharding, urls
+from . import decontam, mixing, sharding, substring, urls
 
 #: (verdict, host, path) of the URL rules (fixed by the contract).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -15,6 +15,12 @@ def _table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_remove_repeats(spark, sf_dir):
+    """Every document without the words of 50-word windows that also start in an earlier document."""
+    rows = substring.remove_repeats(_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op2_mix_sources(spark, sf_dir):
     """All documents mixed to 150% of their words with weights 3, 1, 2, at most twice each source."""
     return mixing.mix_documents(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -37,4 +43,4 @@ def op9_decontaminate(spark, sf_dir):
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op2_mix_sources, op3_shard_slots, op6_judge_urls, op9_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_remove_repeats, op2_mix_sources, op3_shard_slots, op6_judge_urls, op9_decontaminate)}
