@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, sharding, substring, urls
+from . import decontam, jaccard, mixing, sharding, substring, urls
 
 #: (verdict, host, path) of the URL rules (fixed by the contract).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -43,4 +43,9 @@ def op9_decontaminate(spark, sf_dir):
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_remove_repeats, op2_mix_sources, op3_shard_slots, op6_judge_urls, op9_decontaminate)}
+def op10_jaccard_join(spark, sf_dir):
+    """The component of every document under links of 3-word shingle Jaccard 0.9 or more."""
+    return jaccard.jaccard_groups(_table(spark, sf_dir, "documents")).drop("text_key")
+
+
+QUERIES = {f.__name__: f for f in (op1_remove_repeats, op2_mix_sources, op3_shard_slots, op6_judge_urls, op9_decontaminate, op10_jaccard_join)}
