@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, jaccard, mixing, sharding, substring, urls
+from . import decontam, fingerprints, jaccard, langid, mixing, sharding, substring, urls
 
 #: (verdict, host, path) of the URL rules (fixed by the contract).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -38,6 +38,12 @@ def op4_fingerprint_chunks(spark, sf_dir):
     return fingerprints.edited_likeness(_table(spark, sf_dir, "documents"))
 
 
+def op5_language_id(spark, sf_dir):
+    """The language of every document by models of the documents that are not held out."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out())
+    return langid.predict(docs, langid.train(docs.where("not held_out")), keep=("doc_id", "held_out"))
+
+
 def op6_judge_urls(spark, sf_dir):
     """The deciding rule and verdict of every page's URL."""
     return urls.judge(_table(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
@@ -53,4 +59,4 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_groups(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_remove_repeats, op2_mix_sources, op3_shard_slots, op4_fingerprint_chunks, op6_judge_urls, op9_decontaminate, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_remove_repeats, op2_mix_sources, op3_shard_slots, op4_fingerprint_chunks, op5_language_id, op6_judge_urls, op9_decontaminate, op10_jaccard_join)}
