@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, jaccard, langid, mixing, sharding, substring, urls
+from . import decontam, fingerprints, jaccard, langid, mixing, quality, sharding, substring, urls
 
 #: (verdict, host, path) of the URL rules (fixed by the contract).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -49,6 +49,13 @@ def op6_judge_urls(spark, sf_dir):
     return urls.judge(_table(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
 
 
+def op8_quality_bytes(spark, sf_dir):
+    """The quality score of every document by a network fitted on labelled rows that are not held out."""
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", quality.quality_held_out())
+    labels = _table(spark, sf_dir, "labels").where(~quality.quality_held_out()).select("doc_id", F.col("quality").alias("label"))
+    return quality.predict(docs, quality.train(docs, labels), keep=("doc_id", "held_out"))
+
+
 def op9_decontaminate(spark, sf_dir):
     """Words of each document inside 10-word windows of benchmark items."""
     return decontam.decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("text_key")
@@ -59,4 +66,4 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_groups(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_remove_repeats, op2_mix_sources, op3_shard_slots, op4_fingerprint_chunks, op5_language_id, op6_judge_urls, op9_decontaminate, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_remove_repeats, op2_mix_sources, op3_shard_slots, op4_fingerprint_chunks, op5_language_id, op6_judge_urls, op8_quality_bytes, op9_decontaminate, op10_jaccard_join)}
