@@ -92,11 +92,22 @@ def matches(lookups: DataFrame, postings: DataFrame, slack: int = 0) -> DataFram
     return hits.where("exact") if not slack else hits.groupBy("doc_id", "text_key", "words", "start").agg(F.max("exact").alias("exact"))
 
 
+def find_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
+    """(windows, phrase matches), both written."""
+    windows = cut_lineage(item_windows(items, window), "windows")
+    return windows, cut_lineage(matches(*index(docs, windows, window)), "matches")
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The rows of ``docs`` without any phrase match, all columns kept."""
+    found = find_matches(docs, items, window)[1].select(F.col("doc_id").alias("_hit_id"), F.col("text_key").alias("_hit_key")).distinct()
+    key = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(found["_hit_id"]) & (key == found["_hit_key"]), "left_anti")
+
+
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, text_key, n_words, n_hit, n_items, items_sha256, contaminated), one row per document."""
-    windows = cut_lineage(item_windows(items, window), "windows")
-    lookups, postings = index(docs, windows, window)
-    found = cut_lineage(matches(lookups, postings), "matches")
+    windows, found = find_matches(docs, items, window)
     covered = (found.select("doc_id", "text_key", "start", F.size("words").alias("n")).distinct()
                .select("doc_id", "text_key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos"))
                .distinct().groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n_hit")))

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core import cut_lineage
+from .common import SPACE_RE, count_words
 from .components import components
 from .packing import by_bucket, group_starts, spread, unpack_all
 from .substring import _blobs, _of_kind
@@ -401,3 +402,16 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, sk
     joined = own.join(ids, "class", "left").withColumn("component_id", F.coalesce("component_id", "o"))
     return joined.select(null_id("o").alias("doc_id"), F.col("th").alias("text_key"), F.col("n").cast("long").alias("n_shingles"),
                          null_id("component_id").alias("component_id"))
+
+
+def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
+    """One row of each linked group of ``docs``, the one of the smallest id, with all its columns; texts without words all stay."""
+    groups = jaccard_groups(docs, **options)
+    order = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_o"), F.col("text_key").alias("_th"))
+    stays = (groups.where("n_shingles > 0").withColumn("component_id", F.coalesce("component_id", F.lit(_NO_ID)))
+             .groupBy("component_id").agg(F.min(order).alias("k")).select("k._o", "k._th"))
+    text = F.coalesce("text", F.lit(""))
+    keyed = docs.withColumns({"_o": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_th": F.xxhash64(text)})
+    wordless = count_words(F.col("text"), SPACE_RE) == 0
+    return (keyed.where(~wordless).join(stays, ["_o", "_th"], "left_semi").dropDuplicates(["_o", "_th"])
+            .unionByName(keyed.where(wordless)).drop("_o", "_th"))

@@ -194,17 +194,17 @@ def mix_documents(docs: DataFrame, keep: tuple[str, ...] = (), seed: int = 0, bl
         F.col("copies").alias("draws"), *[F.col(f"r.{c}") for c in keep if c != "source"], F.col("r.source").alias("source"))
 
 
-def mixture(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: one row per drawn copy, (doc_id, source, text, shard, pass, order, words).
+def mixture(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """The mix itself: one row per drawn copy, (doc_id, source, text, *keep, shard, pass, order, words).
 
-    A copy that gives only part of its words keeps the first ones, joined by one space; documents without
-    words are not copied. Sorted by ``order`` inside a shard when written: ``write_mixture``.
+    A copy that gives only part of its words keeps the first ones, joined by one space. Documents without
+    words are copied with their block. Sorted by ``order`` inside a shard when written: ``write_mixture``.
     """
-    rows = mix_documents(docs, keep=("text",), **options)
-    copies = rows.select("doc_id", "source", "text", "size", F.explode("draws").alias("d")).where("d.words > 0 or size = 0")
+    rows = mix_documents(docs, keep=("text", *keep), **options)
+    copies = rows.select("doc_id", "source", "text", *keep, "size", F.explode("draws").alias("d")).where("d.words > 0 or size = 0")
     words = F.filter(split_words(F.col("text"), SPACE_RE), lambda w: w != "")
     text = F.when(F.col("d.words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("d.words").cast("int")), " ")).otherwise(F.col("text"))
-    return copies.select("doc_id", "source", text.alias("text"), "d.shard", "d.pass", "d.order", "d.words")
+    return copies.select("doc_id", "source", text.alias("text"), *keep, "d.shard", "d.pass", "d.order", "d.words")
 
 
 def write_mixture(mix: DataFrame, path: str, tasks_per_shard: int = 8) -> None:

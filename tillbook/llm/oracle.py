@@ -8,7 +8,6 @@ from __future__ import annotations
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _LETTER = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
-_ANY = "list_reduce(list_prepend(false, {}), (a, b) -> a OR b)"
 
 OP1 = rf"""
 WITH d AS (
@@ -91,9 +90,35 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(c) AS component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN reach USING (doc_id) GROUP BY d.doc_id, n.n
 """
 
+OP7 = r"""
+WITH p AS (SELECT page_id AS i, url, md5(coalesce(html, '')) AS dig, strlen(coalesce(html, '')) AS len FROM pages),
+t AS (SELECT *, CASE WHEN i % 5 <> 0 THEN '"' || substr(dig, 1, 12) || '"' END AS tag, CASE WHEN i % 7 <> 0 THEN 'day ' || (i % 28) END AS day,
+        CASE WHEN i % 13 = 0 THEN i * 10 - 5 ELSE i * 10 + 1000000 END AS later,
+        regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS bare FROM p),
+u AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\.', ''), ':(80|443)$', '') AS host,
+        regexp_replace(regexp_extract(bare, '^[^/?]*([^?]*)', 1), '/+$', '') AS path,
+        array_to_string(list_sort(list_filter(string_split(regexp_extract(bare, '^[^?]*\?(.*)$', 1), '&'),
+          lambda x: x <> '' AND NOT starts_with(x, 'utm_') AND NOT starts_with(x, 'ref='))), '&') AS query FROM t),
+k AS (SELECT *, CASE WHEN contains(url, '://') AND host <> '' THEN host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS url_key FROM u),
+v AS (SELECT i * 4 + 1 AS record_id, url_key, later AS ts, CASE WHEN i % 11 = 0 THEN '"changed"' WHEN i % 3 = 0 THEN 'W/' || tag ELSE tag END AS etag, day FROM k),
+r AS (SELECT i * 4 AS record_id, url_key, i * 10 AS ts, tag AS etag, day, dig, len FROM k),
+j AS (SELECT v.record_id, v.url_key, v.ts, v.etag, v.day, r.record_id AS response_id, r.etag AS r_etag, r.day AS r_day, r.ts AS r_ts, r.dig, r.len
+      FROM v LEFT JOIN r ON v.url_key = r.url_key AND r.ts < v.ts
+      QUALIFY row_number() OVER (PARTITION BY v.record_id ORDER BY r.ts DESC NULLS LAST, r.record_id DESC) = 1),
+s AS (SELECT *, CASE WHEN response_id IS NULL THEN 'no_response'
+        WHEN etag IS NOT NULL AND r_etag IS NOT NULL THEN CASE WHEN regexp_replace(etag, '^W/', '') = regexp_replace(r_etag, '^W/', '') THEN 'resolved' ELSE 'changed' END
+        WHEN day IS NOT NULL AND r_day IS NOT NULL THEN CASE WHEN day = r_day THEN 'resolved' ELSE 'changed' END
+        ELSE 'no_validator' END AS status FROM j)
+SELECT record_id, url_key, ts, response_id, status, CASE WHEN status = 'resolved' THEN dig END AS payload_digest,
+       CASE WHEN status = 'resolved' THEN 'cache-control: max-age=600' || chr(10) || 'content-length: ' || len || chr(10) || 'content-type: text/html'
+         || chr(10) || 'date: ' || ts || chr(10) || 'expires: ' || (ts + 600) END AS headers
+FROM s
+"""
+
 ORACLE: dict[str, str] = {
     "op1_remove_repeats": OP1,
     "op6_judge_urls": OP6,
+    "op7_resolve_revisits": OP7,
     "op9_decontaminate": OP9,
     "op10_jaccard_join": OP10,
 }

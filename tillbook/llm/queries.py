@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, jaccard, langid, mixing, quality, sharding, substring, urls
+from . import decontam, fingerprints, jaccard, langid, mixing, quality, sharding, substring, urls, warc
 
 #: (verdict, host, path) of the URL rules (fixed by the contract).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -49,6 +49,13 @@ def op6_judge_urls(spark, sf_dir):
     return urls.judge(_table(spark, sf_dir, "pages"), urls.rule_table(spark, URL_RULES))
 
 
+def op7_resolve_revisits(spark, sf_dir):
+    """Every revisit of the pages' crawl log with the response it stands for; headers as lines."""
+    rows = warc.resolve_revisits(warc.captures_of_pages(_table(spark, sf_dir, "pages")))
+    lines = F.array_join(F.transform("headers", lambda h: F.concat(h["key"], F.lit(": "), h["value"])), "\n")
+    return rows.withColumn("headers", lines)
+
+
 def op8_quality_bytes(spark, sf_dir):
     """The quality score of every document by a network fitted on labelled rows that are not held out."""
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", quality.quality_held_out())
@@ -66,4 +73,4 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_groups(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
-QUERIES = {f.__name__: f for f in (op1_remove_repeats, op2_mix_sources, op3_shard_slots, op4_fingerprint_chunks, op5_language_id, op6_judge_urls, op8_quality_bytes, op9_decontaminate, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_remove_repeats, op2_mix_sources, op3_shard_slots, op4_fingerprint_chunks, op5_language_id, op6_judge_urls, op7_resolve_revisits, op8_quality_bytes, op9_decontaminate, op10_jaccard_join)}

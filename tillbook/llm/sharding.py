@@ -26,12 +26,13 @@ VIRTUAL_SLOTS = 4096
 LANES = 16
 
 
-def with_slot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", virtual: int = VIRTUAL_SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, vslot, lane) of each row; size is the UTF-8 bytes of the text plus 8."""
+def with_slot(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", virtual: int = VIRTUAL_SLOTS,
+              keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, text_crc32, vslot, lane, *keep) of each row; size is the UTF-8 bytes of the text plus 8."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        (F.octet_length(text) + F.lit(8)).cast("long").alias("size"),
-                       F.crc32(text.cast("binary")).alias("text_crc32"))
+                       F.crc32(text.cast("binary")).alias("text_crc32"), *[F.col(c) for c in keep])
     key = F.xxhash64("doc_id", "text_crc32", "size")
     return rows.select("*", F.pmod(key, F.lit(virtual)).cast("int").alias("vslot"),
                        F.pmod(F.shiftrightunsigned(key, 40), F.lit(LANES)).cast("int").alias("lane"))
@@ -101,7 +102,7 @@ def load_slot_map(spark: SparkSession, path: str, version: int | None = None) ->
     return stored.where(F.col("version") == F.lit(version)).select("version", "vslot", "shard")
 
 
-def shard_rows(rows: DataFrame, sizes: DataFrame, slot_map: DataFrame) -> DataFrame:
+def shard_rows(rows: DataFrame, sizes: DataFrame, slot_map: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Each row with its shard and its place in it, numbered 0, 1, ... without gaps.
 
     A place is the rows of the shard's earlier (slot, lane) pairs plus the number inside the pair, so no
@@ -113,16 +114,17 @@ def shard_rows(rows: DataFrame, sizes: DataFrame, slot_map: DataFrame) -> DataFr
     inside = Window.partitionBy("vslot", "lane").orderBy("doc_id", "text_crc32", "size")
     return (rows.withColumn("inside", F.row_number().over(inside))
             .join(F.broadcast(starts), ["vslot", "lane"])  # virtual * LANES rows at most
-            .select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("inside") - 1).alias("slot"), "vslot"))
+            .select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("inside") - 1).alias("slot"), "vslot", *keep))
 
 
-def shard_documents(docs: DataFrame, shards: int = 24, virtual: int = VIRTUAL_SLOTS, map_path: str | None = None) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, slot, vslot) of every row under a newly built, stored map."""
+def shard_documents(docs: DataFrame, shards: int = 24, virtual: int = VIRTUAL_SLOTS, map_path: str | None = None,
+                    keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, slot, vslot, *keep) of every row under a newly built, stored map."""
     spark = docs.sparkSession
-    rows = with_slot(docs, virtual=virtual)
+    rows = with_slot(docs, virtual=virtual, keep=keep)
     sizes_path = scratch_path(spark, "slot-sizes")
-    slot_sizes(rows).write.parquet(sizes_path)
+    slot_sizes(with_slot(docs, virtual=virtual)).write.parquet(sizes_path)
     sizes = spark.read.schema("vslot int, lane int, n long, bytes long").parquet(sizes_path)
     path = map_path or scratch_path(spark, "slot-map")
     save_slot_map(build_slot_map(sizes, shards), path)
-    return shard_rows(rows, sizes, load_slot_map(spark, path, 1))
+    return shard_rows(rows, sizes, load_slot_map(spark, path, 1), keep)
