@@ -17,6 +17,7 @@ from ..sources.schemas import MONEY, ORDER_STATUSES, TRACKING_STATUSES
 from .joins import deletable
 
 # The messages and notes the reference writes (others are ours, in its style).
+INVALID_ACTION = "Invalid action"
 PRODUCT_NOT_FOUND = "Product not found"
 ADD_FAILED = "Failed to add product"
 UPDATE_FAILED = "Failed to update product"
@@ -38,7 +39,8 @@ def apply_product_changes(inventory: DataFrame, requests: DataFrame, base_id: in
     come from the latest one; the image from the latest one that gives an image
     (null, "" and "0" give none), else the old image stays; adds store the image as given. An unknown id changes nothing (refused with "Product
     not found"). Adds get new ids after the largest id. A missing name, price or
-    quantity, or a negative price or stock, is refused.
+    quantity, or a negative price or stock, is refused, and so is an action that is
+    neither of the two or null: every request ends applied or refused.
     """
     req = requests.select("request_id", "action", "product_id", "name", "price", "quantity", "description",
                           "image", "requested_at")
@@ -47,7 +49,7 @@ def apply_product_changes(inventory: DataFrame, requests: DataFrame, base_id: in
     known = inventory.select(F.col("id").alias("product_id"), F.lit(True).alias("_known"))
     marked = req.join(known, "product_id", "left").withColumn(
         "message",
-        F.when(~F.col("action").isin("add", "update"), F.lit("Invalid action"))
+        F.when(~F.coalesce(F.col("action").isin("add", "update"), F.lit(False)), F.lit(INVALID_ACTION))
         .when((F.col("action") == "update") & F.col("_known").isNull(), PRODUCT_NOT_FOUND)
         .when(incomplete & (F.col("action") == "add"), ADD_FAILED)
         .when(incomplete, UPDATE_FAILED))
@@ -100,7 +102,7 @@ def apply_status_updates(orders: DataFrame, tracking: DataFrame, requests: DataF
     notes, requested_at.
 
     Each (request, order) pair: an unknown order is refused; a status known to
-    neither the order nor the tracking list is refused. A tracking status appends a
+    neither the order nor the tracking list, or null, is refused. A tracking status appends a
     tracking row; an order status also becomes the order's status (the latest
     request wins). 'pending' exists for orders only: order status set, no tracking row.
     """
@@ -110,7 +112,7 @@ def apply_status_updates(orders: DataFrame, tracking: DataFrame, requests: DataF
     marked = pairs.join(known, "order_id", "left").withColumn(
         "message",
         F.when(F.col("_known").isNull(), ORDER_NOT_FOUND)
-        .when(~F.col("status").isin(TRACKING_STATUSES + ORDER_STATUSES), INVALID_STATUS))
+        .when(~F.coalesce(F.col("status").isin(TRACKING_STATUSES + ORDER_STATUSES), F.lit(False)), INVALID_STATUS))
     rejects = marked.where(F.col("message").isNotNull()).drop("_known")
     ok = marked.where(F.col("message").isNull()).drop("_known", "message")
 

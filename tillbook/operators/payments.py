@@ -19,6 +19,7 @@ BAD_PHONE = "Please enter a valid 10-digit phone number"
 TX_NOT_FOUND = "Transaction not found"
 ALREADY_DONE = "Payment already processed"
 DUPLICATE = "Duplicate confirmation"
+NO_RESULT = "Missing result code"
 PAID_NOTE = "Payment confirmed via M-Pesa"
 
 
@@ -55,20 +56,21 @@ def apply_payments(payments: DataFrame, orders: DataFrame, tracking: DataFrame,
                    base_tracking_id: int | None = None) -> dict[str, DataFrame]:
     """CHG7. confirmations: confirmation_id (unique), transaction_id, result_code, result_desc, confirmed_at.
 
-    The first confirmation of a pending payment applies: code '0' completes it
+    A confirmation without a result code is refused and does not count as the first one. The first confirmation of a pending payment applies: code '0' completes it
     (its order becomes processing, and a tracking row payment_received is
     written), any other code fails it. Unknown transactions, payments no longer
     pending and repeated confirmations are refused.
     """
     conf = confirmations.select("confirmation_id", "transaction_id", "result_code", "result_desc", "confirmed_at")
     # the first confirmation of each transaction (partial aggregate); the others are repeats
-    first = (conf.groupBy("transaction_id")
+    first = (conf.where(F.col("result_code").isNotNull()).groupBy("transaction_id")
              .agg(F.min(F.struct("confirmed_at", "confirmation_id")).alias("_first"))
              .select(F.col("_first.confirmation_id").alias("confirmation_id"), F.lit(True).alias("_is_first")))
     pay = payments.select("transaction_id", F.col("status").alias("_pay_status"), F.col("order_id").alias("_order"))
     marked = (conf.join(first, "confirmation_id", "left").join(pay, "transaction_id", "left")
               .withColumn("message",
-                          F.when(F.col("_pay_status").isNull(), TX_NOT_FOUND)
+                          F.when(F.col("result_code").isNull(), NO_RESULT)
+                          .when(F.col("_pay_status").isNull(), TX_NOT_FOUND)
                           .when(F.col("_pay_status") != "pending", ALREADY_DONE)
                           .when(F.col("_is_first").isNull(), DUPLICATE)))
     rejects = marked.where(F.col("message").isNotNull()).select(

@@ -5,24 +5,19 @@ request larger than the stock left is refused and *later smaller ones may still
 pass*; otherwise the stock falls and a sale of price x quantity is recorded.
 
 That is a greedy fold, and a prefix sum alone is wrong after the first refusal.
-It is computed exactly in rounds, all in Spark:
-
-1. Every pending request larger than its product's stock left is refused at
-   once: stock never rises, so it could never pass later.
-2. The rest (each fits on its own) get a running total in time order (per
-   product and range slice, see ``running``; refused rows add nothing to it).
-   Rows whose running total fits are accepted; the first that does not fit is
-   refused (the stock before it is smaller than it); everything after it waits
-   for the next round.
-3. The round's rows are checkpointed; the waiting ones carry on with their
-   product's stock lowered by what the round accepted.
-
-Each round accepts at least the first waiting request of every product, and
-after the first round the stock left is below the largest request, so the
-number of rounds is at most one plus the largest quantity (and in practice a
-handful). Work per round shrinks with the waiting rows. A hot product is spread
-over its range slices, and its price, stock and used units reach its rows
-through the (product, slice) keys, so no task ever holds the whole product.
+It is computed exactly, all in Spark:
+
+1. Round 1 is a running total in time order (per product and range slice, see ``running``; a request
+   larger than the whole stock adds nothing to it and is refused). Rows whose running total fits are accepted; the first
+   that does not fit is refused; what follows it waits.
+2. In every later round, requests larger than the stock left are refused at once, in all slices: stock never
+   rises. Of each product the first slice that still holds a request that fits is folded whole, one request after
+   another, over its sorted array (at most ``rows_per_slice`` rows). Its product's stock falls, and the later slices wait.
+
+A round settles one slice of every product, so there are at most as many rounds as the busiest product has slices, plus
+one, whatever the quantities; most products have one or two slices. A hot product is spread over its slices, and its price,
+stock and used units reach its rows through the (product, slice) keys, so no task ever holds the whole
+product.
 """
 
 from __future__ import annotations
@@ -51,8 +46,24 @@ def _per_slice(rows: DataFrame, per_product: DataFrame) -> DataFrame:
     return keys.join(per_product, "product_id", "left")
 
 
+def _fold_slices(rows: DataFrame, cols: list[str]) -> DataFrame:
+    """Whole slices (product_id, _slice) folded in time order: the rows with ``_outcome`` accepted or refused."""
+    items = F.sort_array(F.collect_list(F.struct(*ORDER, *[c for c in cols if c not in ORDER + ["product_id"]], "price")))
+    start = F.struct(F.col("left").alias("left"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("taken"))
+    step = lambda s, x: F.when(x["quantity"] <= s["left"], F.struct(
+        (s["left"] - x["quantity"]).alias("left"), (s["i"] + 1).alias("i"), F.concat(s["taken"], F.array(s["i"])).alias("taken"))
+        ).otherwise(F.struct(s["left"].alias("left"), (s["i"] + 1).alias("i"), s["taken"].alias("taken")))
+    folded = (rows.groupBy("product_id", "_slice").agg(items.alias("items"), F.first("left").alias("left"))
+              .withColumn("taken", F.aggregate("items", start, step)["taken"]))
+    others = F.array_except(F.sequence(F.lit(0), F.size("items") - 1), F.col("taken"))
+    marked = lambda at, name: F.transform(at, lambda i: F.struct(F.col("items")[i].alias("x"), F.lit(name).alias("_outcome")))
+    out = folded.select("product_id", "_slice", "left", F.explode(F.concat(
+        marked(F.col("taken"), "accepted"), marked(others, "refused"))).alias("r"))
+    return out.select(*[F.col(c) if c == "product_id" else F.col(f"r.x.{c}") for c in cols], "r.x.price", "left", "_slice", "r._outcome")
+
+
 def apply_purchases(inventory: DataFrame, requests: DataFrame, slices: int | None = None,
-                    rows_per_slice: int = 100_000, max_rounds: int = 10_000) -> dict[str, DataFrame]:
+                    rows_per_slice: int = 100_000) -> dict[str, DataFrame]:
     """requests: request_id, user_id, product_id, quantity, requested_at (request_id unique, orderable).
 
     Returns ``sales`` (accepted: request_id, user_id, product_id, quantity, total_amount,
@@ -79,32 +90,37 @@ def apply_purchases(inventory: DataFrame, requests: DataFrame, slices: int | Non
     # every waiting row carries its product's stock left ("left"), lowered after each round
     pending = marked.where(~bad_qty & F.col("_known").isNotNull()).select(*cols, "price", "left", "_slice")
 
-    done: list[DataFrame] = []
-    rounds = 0
-    waiting = pending  # same rows as ``pending``; later rounds test emptiness before the stock join
-    while not waiting.isEmpty():
-        if rounds == max_rounds:
-            raise RuntimeError(f"purchase fold did not finish in {max_rounds} rounds")
-        rounds += 1
-        # a request larger than the stock left adds nothing to the running total: it is refused
-        fits = F.col("quantity") <= F.col("left")
-        counted = pending.withColumn("_fit", F.when(fits, F.col("quantity")).otherwise(F.lit(0)))
-        run = running_sum(counted, "product_id", ORDER, "_fit", "_run", "_slice")
-        outcome = (F.when(~fits, "refused")
-                   .when(F.col("_run") <= F.col("left"), "accepted")
-                   .when(F.col("_run") - F.col("quantity") <= F.col("left"), "refused")
-                   .otherwise("pending"))
-        labelled = cut_lineage(run.withColumn("_outcome", outcome).drop("_run", "_fit"), "purchases")
+    # round 1: running totals; a request larger than the stock adds nothing
+    fits = F.col("quantity") <= F.col("left")
+    counted = pending.withColumn("_fit", F.when(fits, F.col("quantity")).otherwise(F.lit(0)))
+    run = running_sum(counted, "product_id", ORDER, "_fit", "_run", "_slice")
+    outcome = (F.when(~fits, "refused")
+               .when(F.col("_run") <= F.col("left"), "accepted")
+               .when(F.col("_run") - F.col("quantity") <= F.col("left"), "refused")
+               .otherwise("pending"))
+    labelled = cut_lineage(run.withColumn("_outcome", outcome).drop("_run", "_fit"), "purchases")
+    done, rounds = [], 1
+    while True:
         done.append(labelled.where(F.col("_outcome") != "pending"))
         used = (labelled.where(F.col("_outcome") == "accepted").groupBy("product_id")
                 .agg(F.sum("quantity").cast("long").alias("_used")))
         waiting = labelled.where(F.col("_outcome") == "pending").drop("_outcome")
+        if waiting.isEmpty():
+            break
         pending = (waiting.join(_per_slice(waiting, used), ["product_id", "_slice"], "left")
-                   .withColumn("left", F.col("left") - F.coalesce("_used", F.lit(0)))
-                   .drop("_used"))
+                   .withColumn("left", F.col("left") - F.coalesce("_used", F.lit(0))).drop("_used"))
+        # the first slice of each product that still holds a request that fits
+        per_slice = pending.groupBy("product_id", "_slice").agg(F.max(F.when(fits, 1)).alias("_some"))
+        first = per_slice.where("_some = 1").groupBy("product_id").agg(F.min("_slice").alias("_first"))
+        turn = per_slice.join(first, "product_id", "left").select("product_id", "_slice", "_first")
+        placed = pending.join(turn, ["product_id", "_slice"], "left")
+        now = placed.where(fits & (F.col("_slice") == F.col("_first"))).drop("_first")
+        rest = (placed.where(~fits | (F.col("_slice") != F.col("_first"))).drop("_first")
+                .withColumn("_outcome", F.when(~fits, "refused").otherwise("pending")))
+        labelled = cut_lineage(_fold_slices(now, cols).unionByName(rest), "purchases")
+        rounds += 1
 
-    out_schema = pending.schema.add("_outcome", "string")
-    resolved = reduce(DataFrame.unionByName, done) if done else spark.createDataFrame([], out_schema)
+    resolved = reduce(DataFrame.unionByName, done)
     accepted = resolved.where(F.col("_outcome") == "accepted")
     sales = accepted.select(
         "request_id", "user_id", "product_id", "quantity",

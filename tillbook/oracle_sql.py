@@ -515,7 +515,7 @@ _APPLY_PAY = """
 m_conf AS (
   SELECT event_id AS confirmation_id,
          CASE WHEN event_type = 'click' THEN 'WVX' || event_id ELSE 'WV' || event_id END AS transaction_id,
-         CASE WHEN value < 5 THEN '1' ELSE '0' END AS result_code,
+         CASE WHEN value < 5 THEN '1' WHEN value < 10 THEN NULL ELSE '0' END AS result_code,
          CASE WHEN value < 5 THEN 'Failed' ELSE 'Success' END AS result_desc,
          ts + INTERVAL 1 MINUTE AS confirmed_at
   FROM events WHERE event_type IN ('view', 'click', 'purchase')
@@ -525,9 +525,11 @@ m_conf AS (
   FROM events WHERE event_type = 'view' AND value > 100),
 m_cmsg AS (
   SELECT c.*, p.order_id,
-         CASE WHEN p.status IS NULL THEN 'Transaction not found'
-              WHEN p.status <> 'pending' THEN 'Payment already processed'
-              WHEN row_number() OVER (PARTITION BY c.transaction_id ORDER BY c.confirmed_at, c.confirmation_id) > 1
+         CASE WHEN c.result_code IS NULL THEN 'Missing result code'
+              WHEN p.status IS NULL THEN 'Transaction not found'
+              WHEN (p.status = 'pending') IS NOT TRUE THEN 'Payment already processed'
+              WHEN row_number() OVER (PARTITION BY c.transaction_id, c.result_code IS NULL
+                                      ORDER BY c.confirmed_at, c.confirmation_id) > 1
                 THEN 'Duplicate confirmation' END AS message
   FROM m_conf c LEFT JOIN m_payments p ON p.transaction_id = c.transaction_id),
 m_applied AS (SELECT * FROM m_cmsg WHERE message IS NULL)
@@ -558,12 +560,13 @@ m_sreq AS (
   SELECT event_id AS request_id,
          CASE WHEN event_type = 'click' THEN [user_id, user_id + 1000000000] ELSE [user_id] END AS order_ids,
          CASE event_type WHEN 'signup' THEN 'pending' WHEN 'click' THEN 'out_for_delivery' WHEN 'view' THEN 'in_transit'
-              WHEN 'purchase' THEN 'delivered' WHEN 'error' THEN 'refunded' END AS status,
+              WHEN 'purchase' THEN 'delivered' WHEN 'error' THEN 'refunded' END AS kind,
+         CASE WHEN event_id % 97 <> 0 THEN kind END AS status,
          'update ' || event_type AS notes, ts AS requested_at FROM events),
 m_spairs AS (SELECT request_id, unnest(order_ids) AS order_id, status, notes, requested_at FROM m_sreq),
 m_smarked AS (
   SELECT p.*, CASE WHEN o.id IS NULL THEN 'Order not found'
-                   WHEN p.status NOT IN ({_TRACK_ALL}, {_ORDER_ALL}) THEN 'Invalid status' END AS message
+                   WHEN (p.status IN ({_TRACK_ALL}, {_ORDER_ALL})) IS NOT TRUE THEN 'Invalid status' END AS message
   FROM m_spairs p LEFT JOIN m_orders o ON o.id = p.order_id),
 m_sok AS (SELECT * FROM m_smarked WHERE message IS NULL)
 """
@@ -630,9 +633,12 @@ m_chreq AS (
          CAST(NULL AS VARCHAR), TIMESTAMP '2024-03-01 00:00:00' FROM supplier
   UNION ALL
   SELECT 'add-' || s_suppkey, 'add', CAST(NULL AS BIGINT), s_name, CAST(s_acctbal AS DECIMAL(10,2)), 100, 'new',
-         CAST(NULL AS VARCHAR), TIMESTAMP '2024-03-01 00:00:00' FROM supplier),
+         CAST(NULL AS VARCHAR), TIMESTAMP '2024-03-01 00:00:00' FROM supplier
+  UNION ALL
+  SELECT 'no-add-' || s_suppkey, CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), s_name, CAST(s_acctbal AS DECIMAL(10,2)), 100,
+         'new', CAST(NULL AS VARCHAR), TIMESTAMP '2024-03-01 00:00:00' FROM supplier),
 m_chmarked AS (
-  SELECT r.*, CASE WHEN r.action NOT IN ('add', 'update') THEN 'Invalid action'
+  SELECT r.*, CASE WHEN (r.action IN ('add', 'update')) IS NOT TRUE THEN 'Invalid action'
                    WHEN r.action = 'update' AND i.id IS NULL THEN 'Product not found'
                    WHEN (r.name IS NULL OR trim(r.name) = '' OR r.price IS NULL OR r.quantity IS NULL OR r.price < 0
                          OR r.quantity < 0) AND r.action = 'add' THEN 'Failed to add product'

@@ -244,13 +244,13 @@ def payment_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def payment_confirmations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Provider confirmations from events: views confirm their pending payment (small values fail,
-    large ones are confirmed twice), clicks name unknown transactions, purchases confirm
+    """Provider confirmations from events: views confirm their pending payment (small values fail, the next
+    ones come without a code, large ones are confirmed twice), clicks name unknown transactions, purchases confirm
     payments that are already completed."""
     e = raw(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click", "purchase"))
     tx = F.when(F.col("event_type") == "click", F.concat(F.lit("WVX"), F.col("event_id"))) \
         .otherwise(F.concat(F.lit("WV"), F.col("event_id")))
-    code = F.when(F.col("value") < 5, F.lit("1")).otherwise(F.lit("0"))
+    code = F.when(F.col("value") < 5, F.lit("1")).when(F.col("value") < 10, F.lit(None)).otherwise(F.lit("0"))
     desc = F.when(F.col("value") < 5, F.lit("Failed")).otherwise(F.lit("Success"))
     once = e.select(F.col("event_id").alias("confirmation_id"), tx.alias("transaction_id"), code.alias("result_code"),
                     desc.alias("result_desc"), (F.col("ts") + F.expr("INTERVAL 1 MINUTE")).alias("confirmed_at"))
@@ -267,12 +267,12 @@ STATUS_FROM_EVENT = {"signup": "pending", "click": "out_for_delivery", "view": "
 
 def status_update_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Admin status updates from events; clicks are bulk updates that also name an unknown order,
-    errors ask for a status that does not exist."""
+    errors ask for a status that does not exist, every 97th event for none."""
     e = raw(spark, sf_dir, "events")
     ids = F.when(F.col("event_type") == "click",
                  F.array(F.col("user_id"), F.col("user_id") + UNKNOWN_ID_OFFSET)).otherwise(F.array(F.col("user_id")))
     return e.select(F.col("event_id").alias("request_id"), ids.alias("order_ids"),
-                    _case("event_type", STATUS_FROM_EVENT).alias("status"),
+                    F.when(F.col("event_id") % 97 != 0, _case("event_type", STATUS_FROM_EVENT)).alias("status"),
                     F.concat(F.lit("update "), F.col("event_type")).alias("notes"), F.col("ts").alias("requested_at"))
 
 
@@ -295,7 +295,8 @@ def signup_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def product_change_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An update for every product (large ones get a second, later one with a blank image), an
-    update of an unknown id and an add per supplier (negative balances give a negative price)."""
+    update of an unknown id, an add (negative balances give a negative price) and a request without
+    an action per supplier."""
     p = raw(spark, sf_dir, "part")
     s = raw(spark, sf_dir, "supplier")
     first = p.select(
@@ -324,7 +325,9 @@ def product_change_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("s_acctbal").cast(MONEY).alias("price"), F.lit(100).alias("quantity"),
         F.lit("new").alias("description"), F.lit(None).cast("string").alias("image"),
         _ts(CHANGE_AT).alias("requested_at"))
-    return first.unionByName(second).unionByName(unknown).unionByName(adds)
+    no_action = adds.withColumn("request_id", F.concat(F.lit("no-"), F.col("request_id"))).withColumn(
+        "action", F.lit(None).cast("string"))
+    return first.unionByName(second).unionByName(unknown).unionByName(adds).unionByName(no_action)
 
 
 __all__ = ["read_table", "raw", "users", "inventory", "sales", "purchase_requests", "orders", "order_items",

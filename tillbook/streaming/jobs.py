@@ -140,29 +140,33 @@ def latest_rows(spark: SparkSession, out_path: str, key: str) -> DataFrame:
     return newest.select(key, "_v.*")
 
 
+def finished_batches(spark: SparkSession, path: str) -> list[int]:
+    """Ids of the ``batch=<id>`` folders below ``path`` whose writer has finished (``_SUCCESS`` is there)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    folders = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("batch=")]
+    return sorted(int(p.getName()[len("batch="):]) for p in folders
+                  if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
 def stream_apply_purchases(requests: DataFrame, inventory: DataFrame, state_dir: str,
                            checkpoint: str | None = None) -> None:
     """STR4: fold each micro-batch of purchase requests into the stock.
 
-    Batch n reads the stock written by batch n-1 (the initial inventory for the
-    first) and writes ``stock/batch=n``, ``sales/batch=n`` and ``rejects/batch=n``
+    Batch n reads the stock of the last finished batch before it (batch ids can skip) and
+    fails if that cannot be read; the initial inventory is used only when no batch has
+    finished yet. It writes ``stock/batch=n``, ``sales/batch=n`` and ``rejects/batch=n``
     with overwrite, so a batch replayed after a failure produces the same files.
     """
     spark = requests.sparkSession
     base = state_dir.rstrip("/")
 
     def stock_before(batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return inventory
-        try:
-            return spark.read.parquet(f"{base}/stock/batch={batch_id - 1}")
-        except Exception:  # batch ids can skip when a trigger had no data
-            for prev in range(batch_id - 2, -1, -1):
-                try:
-                    return spark.read.parquet(f"{base}/stock/batch={prev}")
-                except Exception:
-                    continue
-            return inventory
+        done = [n for n in finished_batches(spark, f"{base}/stock") if n < batch_id]
+        return spark.read.parquet(f"{base}/stock/batch={max(done)}") if done else inventory
 
     def fold(batch: DataFrame, batch_id: int) -> None:
         out = apply_purchases(stock_before(batch_id), batch)
