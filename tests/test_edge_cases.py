@@ -163,7 +163,7 @@ def test_csv_round_trip_with_awkward_text(spark, scratch):
                                 "id long, name string, description string, price decimal(10,2), quantity int")
     sales = spark.createDataFrame([(1, 1, 1, 2, Decimal("2.00"), dt.datetime(2001, 3, 30))], SCHEMAS["sales"])
     export = R.inventory_export(inv, sales, "month", "2001-03-31 12:00:00")
-    path = SNK.export_csv(export, "inventory", scratch, "2001-03-31 12:00:00", single_file=True)
+    path = SNK.export_csv(export, "inventory", scratch, "2001-03-31 12:00:00")
     assert path.endswith("inventory_report_2001-03-31.csv")
     back = SNK.read_export(spark, path, "inventory").collect()
     assert len(back) == 1
@@ -301,6 +301,9 @@ def test_order_history_nesting_and_receipts(spark):
     hist = O.order_history(orders, items, tracking, inv, user=5)
     assert [r["id"] for r in hist["orders"].collect()] == [2, 1]  # user 5 only, newest first
     nested = {r["id"]: r for r in O.nest_order_history(hist).collect()}
+    chunked = [r for r in O.nest_order_history(hist, rows_per_chunk=1).collect() if r["id"] == 1]
+    assert [(r["chunk"], [t["id"] for t in r["tracking"]], [i["item_key"] for i in r["items"]]) for r in sorted(chunked, key=lambda r: r["chunk"])] == [
+        (0, [22], ["a"]), (1, [21], ["b"]), (2, [20], [])]
     assert [t["id"] for t in nested[1]["tracking"]] == [22, 21, 20]  # newest first, same second by id
     assert nested[1]["current_status"] == "processing"
     assert nested[2]["tracking"] == [] and nested[2]["items"] == [] and nested[2]["current_status"] is None

@@ -106,19 +106,19 @@ def sequence_ids(df: DataFrame, order_cols: list, start: int, id_col: str = "id"
                  slices: int | None = None) -> DataFrame:
     """Dense ids start+1, start+2, ... following ``order_cols`` without a single-task window.
 
-    Rows are range-partitioned on the order (Spark samples the bounds, so one
-    hot value is split), numbered inside each slice, and shifted by the row
-    count of all earlier slices. The slice table has one row per slice, so its
-    broadcast is bounded by the slice count. The numbered rows are checkpointed
-    once so that the slice of a row can never change between the two uses.
+    Rows are range-partitioned on the order (sampled bounds; a value with many rows is split as
+    far as the order columns tell its rows apart) and sorted inside each range;
+    ``monotonically_increasing_id`` is then (range << 33) + position. The rows are written once,
+    so a row's number can never change, and shifted by the row count of all
+    earlier ranges. That table has one row per range, so its broadcast is bounded by the range count. One exchange.
     """
     spark = df.sparkSession
     n = slices or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     order = [F.col(c) if isinstance(c, str) else c for c in order_cols]
-    numbered = (df.repartitionByRange(n, *order)
-                .withColumn("_slice", F.spark_partition_id())
-                .withColumn("_rn", F.row_number().over(Window.partitionBy("_slice").orderBy(*order))))
-    numbered = cut_lineage(numbered)
+    numbered = cut_lineage(df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+                           .withColumn("_at", F.monotonically_increasing_id()))
+    numbered = (numbered.withColumn("_slice", F.shiftright("_at", 33).cast("int"))
+                .withColumn("_rn", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at"))
     sizes = numbered.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))

@@ -10,8 +10,9 @@ remove and its user's last checkout; the line exists iff an add follows it;
 sets before that first add found no line; the quantity is the last set after
 the first add plus the adds after that set, or else all adds after the clear.
 
-Each step is a groupBy with map-side partial aggregation; the per-line and
-per-user results are joined to the adds (AQE splits a hot key on the big side).
+Each step is a groupBy with map-side partial aggregation. The per-line and per-user results reach
+the adds through (user, product, salt) keys, and the adds are summed per key before they meet per line, so a
+single line with a huge share of events is spread over the salts.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ CART_EMPTY = "Cart is empty"
 BAD_QUANTITY = "Please select a valid quantity"
 ACTIONS = ["add", "set", "remove", "checkout"]
 
+#: One line's events are joined in so many parts.
+LINE_SALTS = 32
+
 
 def _k(prefix: str = ""):
     return F.struct(F.col(prefix + "event_time").alias("t"), F.col(prefix + "event_id").alias("i"))
@@ -60,13 +64,13 @@ def fold_cart(events: DataFrame) -> dict[str, DataFrame]:
         F.max_by(F.when(act == "set", F.col("quantity")), F.when(act == "set", F.col("k"))).alias("_set_qty")))
     per_user = ev.where(act == "checkout").groupBy("user_id").agg(F.max("k").alias("_co"))
 
-    added = ev.where(act == "add").select("user_id", "product_id", "quantity", "k")
-    # the per-user value meets the small table of line keys first, so the add events are joined
-    # on (user, product) only: a user with a huge share of events is still spread by product
-    lines_info = (added.select("user_id", "product_id").distinct()
+    salt = F.pmod(F.xxhash64("event_id"), F.lit(LINE_SALTS)).alias("_salt")
+    added = ev.where(act == "add").select("user_id", "product_id", salt, "quantity", "k")
+    # the per-line and per-user values meet the small table of salted line keys first
+    lines_info = (added.select("user_id", "product_id", "_salt").distinct()
                   .join(per_line, ["user_id", "product_id"], "left")
                   .join(per_user, "user_id", "left"))
-    adds = (added.join(lines_info, ["user_id", "product_id"], "left")
+    adds = (added.join(lines_info, ["user_id", "product_id", "_salt"], "left")
             .withColumn("_cleared", F.greatest("_rm", "_co")))
     live = F.col("_cleared").isNull() | (F.col("k") > F.col("_cleared"))
     after_set = F.col("_set").isNotNull() & (F.col("k") > F.col("_set"))

@@ -220,7 +220,7 @@ ORACLE["join8_receipt_headers"] = _with(_BEST_PAYMENT, "SELECT * FROM m_receipt_
 
 
 ORACLE["agg1_sales_total"] = _sql(
-    "SELECT CAST(coalesce(sum(total_amount), 0) AS DECIMAL(38,2)) AS total_revenue FROM m_month_detail")
+    "SELECT CAST(coalesce(sum(total_amount), 0) AS DECIMAL(38,2)) AS total_revenue FROM m_detail")
 ORACLE["agg2_product_totals"] = _sql("SELECT id, total_sales, revenue FROM m_inventory_report")
 
 _USER_ACTIVITY = """
@@ -232,13 +232,13 @@ ORACLE["agg4_user_period_totals"] = _sql(
     f"SELECT id, total_purchases, total_spent, last_purchase FROM ({_USER_PERIOD.format(cond=YEAR_EXPORT)})")
 ORACLE["agg5_daily_sales"] = _sql("""
 SELECT CAST(transaction_date AS DATE) AS day, CAST(sum(total_amount) AS DECIMAL(38,2)) AS revenue
-FROM m_month_detail GROUP BY 1""")
+FROM m_detail GROUP BY 1""")
 ORACLE["agg6_units_by_product_name"] = _sql(
-    "SELECT product_name, CAST(sum(quantity) AS BIGINT) AS units FROM m_month_detail GROUP BY 1")
+    "SELECT product_name, CAST(sum(quantity) AS BIGINT) AS units FROM m_detail GROUP BY 1")
 ORACLE["agg7_role_distribution"] = _sql("SELECT role, count(*) AS users FROM m_users GROUP BY 1")
 ORACLE["agg8_sales_kpis"] = _sql("""
 SELECT CAST(coalesce(sum(total_amount), 0) AS DECIMAL(38,2)) AS total_revenue, count(*) AS total_sales,
-       count(DISTINCT product_id) AS active_products FROM m_month_detail""")
+       count(DISTINCT product_id) AS active_products FROM m_detail""")
 ORACLE["agg9_inventory_kpis"] = _sql("""
 SELECT CAST(coalesce(sum(revenue), 0) AS DECIMAL(38,2)) AS total_revenue,
        CAST(coalesce(sum(total_sales), 0) AS BIGINT) AS total_sales, count(*) AS active_products
@@ -267,19 +267,20 @@ SELECT count(*) AS total_orders, count(*) FILTER (WHERE current_status = 'pendin
        count(*) FILTER (WHERE current_status = 'delivered') AS delivered_orders
 FROM ({_ORDERS_CURRENT})""")
 ORACLE["agg15_order_history_nested"] = _sql("""
-SELECT o.id, o.user_id, c.current_status, CAST(coalesce(it.n, 0) AS BIGINT) AS n_items,
-       CAST(coalesce(tr.n, 0) AS BIGINT) AS n_tracking, c.current_status AS newest_status,
-       CAST(coalesce(it.units, 0) AS BIGINT) AS units
+SELECT o.id, o.user_id, c.current_status, coalesce((e.position - 1) // 3, 0) AS chunk, e.part, e.position, e.label
 FROM m_orders o LEFT JOIN m_current c ON c.order_id = o.id
-LEFT JOIN (SELECT it.order_id, count(*) AS n, sum(it.quantity) AS units
-           FROM m_items it JOIN m_inventory i ON it.product_id = i.id GROUP BY 1) it ON it.order_id = o.id
-LEFT JOIN (SELECT order_id, count(*) AS n FROM m_tracking GROUP BY 1) tr ON tr.order_id = o.id""")
+LEFT JOIN (
+  SELECT it.order_id, 'item' AS part, i.name AS label, row_number() OVER (PARTITION BY it.order_id ORDER BY it.item_key) AS position
+  FROM m_items it JOIN m_inventory i ON it.product_id = i.id
+  UNION ALL
+  SELECT order_id, 'tracking', status, row_number() OVER (PARTITION BY order_id ORDER BY created_at DESC, id DESC)
+  FROM m_tracking) e ON e.order_id = o.id""")
 ORACLE["win1_current_status"] = _sql(
     "SELECT o.id, o.user_id, o.status, c.current_status FROM m_orders o LEFT JOIN m_current c ON c.order_id = o.id")
 
 ORACLE["srt1_sales_newest_first"] = _sql("""
 SELECT sale_key, transaction_date, total_amount,
-       row_number() OVER (ORDER BY transaction_date DESC, sale_key ASC) AS position FROM m_month_detail""")
+       row_number() OVER (ORDER BY transaction_date DESC, sale_key ASC) AS position FROM m_detail""")
 ORACLE["srt2_products_by_name"] = _sql(
     "SELECT id, name, row_number() OVER (ORDER BY lower(name), id) AS position FROM m_inventory")
 ORACLE["srt2_users_by_name"] = _sql(
@@ -328,10 +329,10 @@ ORACLE["exp9_money_text"] = _sql(
     "SELECT id, total_spent, format('{:,.2f}', total_spent) AS shown FROM m_user_sales")
 ORACLE["exp10_report_title"] = _sql("""
 SELECT 'Sales Report - 2001-08-01 12:00:00' AS title,
-       CAST(coalesce(sum(total_amount), 0) AS DECIMAL(38,2)) AS total_revenue FROM m_month_detail""")
+       CAST(coalesce(sum(total_amount), 0) AS DECIMAL(38,2)) AS total_revenue FROM m_detail""")
 ORACLE["exp11_day_label"] = _sql("""
 SELECT CAST(transaction_date AS DATE) AS day, strftime(CAST(transaction_date AS DATE), '%b %-d') AS label,
-       CAST(sum(total_amount) AS DECIMAL(38,2)) AS revenue FROM m_month_detail GROUP BY 1, 2""")
+       CAST(sum(total_amount) AS DECIMAL(38,2)) AS revenue FROM m_detail GROUP BY 1, 2""")
 ORACLE["exp12_payment_ref"] = _sql("""
 SELECT id, 'WV' || CAST(CAST(epoch(created_at) AS BIGINT) AS VARCHAR)
        || CASE WHEN length(CAST(id AS VARCHAR)) >= 4 THEN CAST(id AS VARCHAR)
@@ -356,6 +357,7 @@ FROM ({_INV_PERIOD.format(cond=MONTH_EXPORT)})""")
 ORACLE["rep6_user_activity_export"] = _sql(f"""
 SELECT id, full_name, email, role, total_purchases, total_spent, last_purchase
 FROM ({_USER_PERIOD.format(cond=YEAR_EXPORT)})""")
+ORACLE["rep7_dashboard_sales"] = _sql(_DASH_DETAIL)
 ORACLE["rep7_dashboard_daily"] = _sql(f"""
 SELECT CAST(transaction_date AS DATE) AS day, CAST(sum(total_amount) AS DECIMAL(38,2)) AS revenue,
        strftime(CAST(transaction_date AS DATE), '%b %-d') AS label FROM ({_DASH_DETAIL}) GROUP BY 1, 3""")
@@ -374,6 +376,21 @@ SELECT h.id, h.user_id, h.total_amount, h.full_name, h.email, h.phone, h.mpesa_t
        l.item_key, l.product_id, l.quantity AS item_quantity, l.price_per_unit, l.subtotal, l.name
 FROM m_receipt_headers h LEFT JOIN (
   SELECT it.*, i.name FROM m_items it JOIN m_inventory i ON it.product_id = i.id) l ON l.order_id = h.id""")
+_IN_TRANSIT = "SELECT order_id FROM m_current WHERE current_status = 'in_transit' AND order_id IN (SELECT id FROM m_orders)"
+ORACLE["rep10_admin_order_items"] = _sql(f"""
+SELECT it.*, i.name, i.image FROM m_items it JOIN m_inventory i ON it.product_id = i.id WHERE it.order_id IN ({_IN_TRANSIT})""")
+ORACLE["rep10_admin_order_tracking"] = _sql(f"SELECT * FROM m_tracking WHERE order_id IN ({_IN_TRANSIT})")
+ORACLE["rep8_order_history_tracking"] = _sql("SELECT * FROM m_tracking WHERE order_id IN (SELECT id FROM m_orders)")
+_ASKED = """
+m_asked AS (SELECT o_orderkey AS order_id, CASE WHEN o_orderstatus = 'F' THEN o_custkey + 1 ELSE o_custkey END AS user_id FROM orders),
+"""
+ORACLE["rep9_requested_receipts"] = _with(_ASKED + _BEST_PAYMENT, """
+SELECT h.id, h.user_id, h.email, h.mpesa_transaction, l.item_key, l.quantity AS item_quantity, l.subtotal, l.name
+FROM m_receipt_headers h JOIN m_asked a ON a.order_id = h.id AND a.user_id = h.user_id LEFT JOIN (
+  SELECT it.*, i.name FROM m_items it JOIN m_inventory i ON it.product_id = i.id) l ON l.order_id = h.id""")
+ORACLE["rep9_receipt_rejects"] = _with(_ASKED + _BEST_PAYMENT, """
+SELECT a.order_id, a.user_id, 'Order not found' AS message FROM m_asked a
+WHERE NOT EXISTS (SELECT 1 FROM m_orders o WHERE o.id = a.order_id AND o.user_id = a.user_id)""")
 ORACLE["rep10_admin_orders"] = _sql(f"""
 SELECT o.id, o.user_id, u.full_name AS customer_name, u.phone AS customer_phone, o.status, o.current_status,
        o.created_at

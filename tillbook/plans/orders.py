@@ -12,9 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core import cut_lineage
 from ..operators.aggregates import current_status
 from ..operators.filters import filter_orders, for_user
 from ..operators.joins import order_lines, receipt_headers
+from ..operators.payments import ORDER_NOT_FOUND
+from ..operators.running import running_sum, with_range_slices
+
+
+def _of_orders(orders: DataFrame, items: DataFrame, inventory: DataFrame, tracking: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines (with product name and image) and tracking rows of the given orders; both tables are
+    reduced to these orders before anything is joined or aggregated."""
+    keys = orders.select(F.col("id").alias("order_id"))
+    return (order_lines(items.join(keys, "order_id", "left_semi"), inventory),
+            tracking.join(keys, "order_id", "left_semi"))
 
 
 def order_history(orders: DataFrame, items: DataFrame, tracking: DataFrame, inventory: DataFrame,
@@ -22,35 +33,56 @@ def order_history(orders: DataFrame, items: DataFrame, tracking: DataFrame, inve
     """REP8 (flat): orders with current status (newest first), their lines with product
     name and image, and their tracking rows (newest first, ties by id)."""
     o = orders if user is None else for_user(orders, user)
-    with_status = current_status(o, tracking)
-    keys = o.select(F.col("id").alias("order_id"))
-    lines = order_lines(items, inventory).join(keys, "order_id", "left_semi")
-    track = tracking.join(keys, "order_id", "left_semi")
+    lines, track = _of_orders(o, items, inventory, tracking)
+    with_status = current_status(o, tracking if user is None else track)
     if ordered:
         with_status = with_status.orderBy(F.col("created_at").desc(), F.col("id").desc())
         track = track.orderBy("order_id", F.col("created_at").desc(), F.col("id").desc())
     return {"orders": with_status, "items": lines, "tracking": track}
 
 
-def nest_order_history(history: dict[str, DataFrame]) -> DataFrame:
-    """REP8 (nested): items[] and tracking[] arrays per order, tracking newest first.
+def _entries(rows: DataFrame, order_cols: list[str], fields: list[str], name: str, rows_per_chunk: int) -> DataFrame:
+    """(id, chunk, <name>): arrays of at most ``rows_per_chunk`` entries (position, *fields) in the given
+    order. Positions are running counts over range slices, so an order with a huge log is numbered by many tasks."""
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sliced = cut_lineage(with_range_slices(rows.withColumn("_one", F.lit(1)), "order_id", order_cols, partitions), "entries")
+    numbered = running_sum(sliced, "order_id", order_cols, "_one", "position", "_slice")
+    chunk = F.floor((F.col("position") - 1) / rows_per_chunk).cast("long").alias("chunk")
+    return numbered.groupBy(F.col("order_id").alias("id"), chunk).agg(
+        F.sort_array(F.collect_list(F.struct("position", *fields))).alias(name))
+
+
+def nest_order_history(history: dict[str, DataFrame], rows_per_chunk: int = 1000) -> DataFrame:
+    """REP8 (nested): items[] (by item id) and tracking[] (newest first) per order and chunk.
 
-    Meant for display of a bounded selection (one user's orders); each array is
-    one order's rows.
+    Chunk k of an order holds entries k * rows_per_chunk + 1 to (k + 1) * rows_per_chunk of both; every
+    order has chunk 0, and most have no other. So no row grows with the log of one order.
     """
-    item_cols = [c for c in history["items"].columns if c != "order_id"]
-    items = (history["items"].groupBy("order_id")
-             .agg(F.collect_list(F.struct(*item_cols)).alias("items")))
-    track = (history["tracking"].groupBy("order_id")
-             .agg(F.sort_array(F.collect_list(F.struct("created_at", "id", "status", "location", "notes")),
-                               asc=False).alias("tracking")))
+    key = "id" if "id" in history["items"].columns else "item_key"
+    items = _entries(history["items"], [key], [c for c in history["items"].columns if c != "order_id"], "items", rows_per_chunk)
+    newest = history["tracking"].withColumn("_late", -F.unix_micros(F.col("created_at").cast("timestamp"))).withColumn("_high", -F.col("id"))
+    track = _entries(newest, ["_late", "_high"], ["created_at", "id", "status", "location", "notes"], "tracking", rows_per_chunk)
     o = history["orders"]
-    return (o.join(items.withColumnRenamed("order_id", "id"), "id", "left")
-            .join(track.withColumnRenamed("order_id", "id"), "id", "left")
+    chunks = (items.select("id", "chunk").union(track.select("id", "chunk"))
+              .union(o.select("id", F.lit(0).cast("long"))).distinct())
+    return (o.join(chunks, "id").join(items, ["id", "chunk"], "left").join(track, ["id", "chunk"], "left")
             .withColumn("items", F.coalesce("items", F.array()))
             .withColumn("tracking", F.coalesce("tracking", F.array())))
 
 
+def receipts_for(requests: DataFrame, orders: DataFrame, users: DataFrame, payments: DataFrame, items: DataFrame,
+                 inventory: DataFrame) -> dict[str, DataFrame]:
+    """REP9 for requested receipts (order_id, user_id): ``receipts`` of the orders that belong to the
+    requesting user, and ``rejects`` with "Order not found" for the others."""
+    owned = orders.select(F.col("id").alias("order_id"), "user_id")
+    found = requests.select("order_id", "user_id").join(owned, ["order_id", "user_id"], "left_semi").distinct()
+    rejects = (requests.join(owned, ["order_id", "user_id"], "left_anti").withColumn("message", F.lit(ORDER_NOT_FOUND)))
+    keys = found.select("order_id")
+    chosen = orders.join(keys.withColumnRenamed("order_id", "id"), "id", "left_semi")
+    return {"receipts": receipts(chosen, users, payments.join(keys, "order_id", "left_semi"),
+                                 items.join(keys, "order_id", "left_semi"), inventory), "rejects": rejects}
+
+
 def receipts(orders: DataFrame, users: DataFrame, payments: DataFrame, items: DataFrame,
              inventory: DataFrame) -> DataFrame:
     """REP9 (flat): one row per receipt line: order, customer contact, payment reference
@@ -60,12 +92,19 @@ def receipts(orders: DataFrame, users: DataFrame, payments: DataFrame, items: Da
     return head.join(lines.withColumnRenamed("quantity", "item_quantity"), "id", "left")
 
 
-def admin_orders(orders: DataFrame, tracking: DataFrame, users: DataFrame, status: str | None = None,
-                 dates=None, ordered: bool = True) -> DataFrame:
-    """REP10: every order with current status, customer name and phone, filtered by current
-    status and created date (FIL2), newest first."""
+def admin_orders(orders: DataFrame, tracking: DataFrame, users: DataFrame, items: DataFrame, inventory: DataFrame,
+                 status: str | None = None, dates=None, ordered: bool = True) -> dict[str, DataFrame]:
+    """REP10: the admin order list. ``orders``: every order with current status, customer name and
+    phone, filtered by current status and created date (FIL2), newest first; ``items`` and
+    ``tracking``: the lines and the timeline of these orders."""
     contact = users.select(F.col("id").alias("user_id"), F.col("full_name").alias("customer_name"),
                            F.col("phone").alias("customer_phone"))
-    out = filter_orders(current_status(orders, tracking).join(contact, "user_id", "left"),
-                        status, dates, status_col="current_status")
-    return out.orderBy(F.col("created_at").desc(), F.col("id").desc()) if ordered else out
+    in_dates = filter_orders(orders, None, dates)
+    recent = tracking.join(in_dates.select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    out = filter_orders(current_status(in_dates, recent), status, None, status_col="current_status")
+    lines, track = _of_orders(out, items, inventory, recent)
+    listed = out.join(contact, "user_id", "left")
+    if ordered:
+        listed = listed.orderBy(F.col("created_at").desc(), F.col("id").desc())
+        track = track.orderBy("order_id", F.col("created_at").desc(), F.col("id").desc())
+    return {"orders": listed, "items": lines, "tracking": track}

@@ -26,6 +26,27 @@ def by_name(col: str):
     return F.collate(F.col(col), "UTF8_LCASE")
 
 
+def newest_sales(df: DataFrame) -> list:
+    """Newest first; ties by the sale's id (the driver's line key where there is none)."""
+    return [F.col("transaction_date").desc(), F.col("id" if "id" in df.columns else "sale_key")]
+
+
+def products_by_name() -> list:
+    return [by_name("name"), F.col("id")]
+
+
+def users_by_name() -> list:
+    return [by_name("full_name"), F.col("id")]
+
+
+def by_revenue() -> list:
+    return [F.col("revenue").desc(), F.col("id")]
+
+
+def by_spend() -> list:
+    return [F.col("total_spent").desc(), F.col("id")]
+
+
 @dataclass
 class SalesReport:
     sales: DataFrame
@@ -38,29 +59,29 @@ def sales_report(sales: DataFrame, inventory: DataFrame, users: DataFrame, date_
     """REP1: sale rows with product and customer names in a PER1 period, newest first, and the total."""
     period = report_period(date_range, as_of, start, end)
     detail = sales_detail(sales, inventory, users, period)
-    rows = detail.orderBy(F.col("transaction_date").desc()) if ordered else detail
+    rows = detail.orderBy(*newest_sales(detail)) if ordered else detail
     return SalesReport(rows, sales_total(detail), period)
 
 
 def inventory_report(inventory: DataFrame, sales: DataFrame, ordered: bool = True) -> DataFrame:
     """REP2: every product with all-time units and revenue and the two-level stock flag, by name."""
     out = inventory_with_sales(inventory, sales).withColumn("stock_flag", stock_flag("quantity"))
-    return out.orderBy(by_name("name"), "id") if ordered else out
+    return out.orderBy(*products_by_name()) if ordered else out
 
 
 def user_activity_report(users: DataFrame, sales: DataFrame, as_of, ordered: bool = True) -> DataFrame:
     """REP3: purchases, last activity and active flag per user, by name. All time: the
     reference works out a period here and never uses it."""
     out = user_activity(users, sales, as_of)
-    return out.orderBy(by_name("full_name"), "id") if ordered else out
+    return out.orderBy(*users_by_name()) if ordered else out
 
 
 def sales_export(sales: DataFrame, inventory: DataFrame, users: DataFrame, date_range: str, as_of,
                  start=None, end=None, ordered: bool = True) -> DataFrame:
     """REP4: the sales CSV rows under a PER2 period, newest first."""
     detail = sales_detail(sales, inventory, users, export_period(date_range, as_of, start, end))
-    out = detail.select("transaction_date", "product_name", "customer_name", "quantity", "total_amount")
-    return out.orderBy(F.col("transaction_date").desc()) if ordered else out
+    detail = detail.orderBy(*newest_sales(detail)) if ordered else detail
+    return detail.select("transaction_date", "product_name", "customer_name", "quantity", "total_amount")
 
 
 def inventory_export(inventory: DataFrame, sales: DataFrame, date_range: str, as_of, start=None, end=None,
@@ -69,7 +90,7 @@ def inventory_export(inventory: DataFrame, sales: DataFrame, date_range: str, as
     joined = inventory_with_sales(inventory, sales, export_period(date_range, as_of, start, end))
     out = joined.select("id", "name", "description", F.col("quantity").alias("current_stock"),
                         "total_sales", "revenue")
-    return out.orderBy(F.col("revenue").desc(), "id") if ordered else out
+    return out.orderBy(*by_revenue()) if ordered else out
 
 
 def user_activity_export(users: DataFrame, sales: DataFrame, date_range: str, as_of, start=None, end=None,
@@ -77,15 +98,15 @@ def user_activity_export(users: DataFrame, sales: DataFrame, date_range: str, as
     """REP6: purchases, spend and last purchase per user in the period (everyone listed), by spend."""
     joined = users_with_sales(users, sales, export_period(date_range, as_of, start, end))
     out = joined.select("id", "full_name", "email", "role", "total_purchases", "total_spent", "last_purchase")
-    return out.orderBy(F.col("total_spent").desc(), "id") if ordered else out
+    return out.orderBy(*by_spend()) if ordered else out
 
 
 def dashboard(sales: DataFrame, inventory: DataFrame, users: DataFrame, start, end, as_of) -> dict[str, DataFrame]:
     """REP7: the dashboard's data for a custom date range.
 
     cards (AGG11), daily revenue series with labels (AGG5), top 5 products by units
-    (TOP1), the inventory table with the three-level stock status (EXP3) and the
-    customer table with spend and tier (EXP5). Sales follow the period; the
+    (TOP1), the sales table (newest first), the inventory table with the three-level stock status
+    (EXP3) and the customer table with spend and tier (EXP5). Sales follow the period; the
     inventory and customer tables are all-time, as the reports they come from.
     """
     period = report_period("custom", as_of, start, end)
@@ -96,6 +117,7 @@ def dashboard(sales: DataFrame, inventory: DataFrame, users: DataFrame, start, e
         customer_tier("last_purchase", as_of).alias("tier"))
     return {
         "cards": dashboard_kpis(detail, inventory, users),
+        "sales": detail.orderBy(*newest_sales(detail)),
         "daily": daily_sales(detail).withColumn("label", day_label("day")),
         "top_products": top_products(inv).select("id", "name", "total_sales"),
         "inventory": inv.select("id", "name", "quantity", "total_sales", "revenue",
@@ -120,7 +142,7 @@ def generate_report(report_type: str, tables: dict[str, DataFrame], date_range:
 
 
 def export_report(report_type: str, tables: dict[str, DataFrame], date_range: str, as_of, out_dir: str,
-                  start=None, end=None, single_file: bool = False) -> str:
+                  start=None, end=None) -> str:
     """The 'exportReport' action: the export rows of a type under a PER2 period, written as CSV
     with the reference's headers to ``<out_dir>/<type>_report_<date>.csv``; returns that path."""
     if report_type == "sales":
@@ -131,4 +153,4 @@ def export_report(report_type: str, tables: dict[str, DataFrame], date_range: st
         rows = user_activity_export(tables["users"], tables["sales"], date_range, as_of, start, end)
     else:
         raise ValueError(f"Invalid report type: {report_type}")
-    return export_csv(rows, report_type, out_dir, as_of, single_file=single_file)
+    return export_csv(rows, report_type, out_dir, as_of)

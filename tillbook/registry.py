@@ -228,14 +228,15 @@ def _join9(spark, sf):
 
 # ---------------------------------------------------------------- aggregates and windows
 
-def _month_detail(spark, sf):
+def _detail(spark, sf):
+    """All sales of all time with product and customer names."""
     s, i, u = _tables(spark, sf, "sales", "inventory", "users")
-    return J.sales_detail(s, i, u, report_period("month", AS_OF))
+    return J.sales_detail(s, i, u)
 
 
 @query("agg1_sales_total")
 def _agg1(spark, sf):
-    return A.sales_total(_month_detail(spark, sf))
+    return A.sales_total(_detail(spark, sf))
 
 
 @query("agg2_product_totals")
@@ -259,12 +260,12 @@ def _agg4(spark, sf):
 
 @query("agg5_daily_sales")
 def _agg5(spark, sf):
-    return A.daily_sales(_month_detail(spark, sf))
+    return A.daily_sales(_detail(spark, sf))
 
 
 @query("agg6_units_by_product_name")
 def _agg6(spark, sf):
-    return A.units_by_product(_month_detail(spark, sf))
+    return A.units_by_product(_detail(spark, sf))
 
 
 @query("agg7_role_distribution")
@@ -274,7 +275,7 @@ def _agg7(spark, sf):
 
 @query("agg8_sales_kpis")
 def _agg8(spark, sf):
-    return A.sales_kpis(_month_detail(spark, sf))
+    return A.sales_kpis(_detail(spark, sf))
 
 
 @query("agg9_inventory_kpis")
@@ -310,13 +311,11 @@ def _agg13(spark, sf):
 @query("agg15_order_history_nested")
 def _agg15(spark, sf):
     o, it, t, i = _tables(spark, sf, "orders", "order_items", "order_tracking", "inventory")
-    nested = O.nest_order_history(O.order_history(o, it, t, i, ordered=False))
-    return nested.select("id", "user_id", "current_status",
-                         F.size("items").cast("long").alias("n_items"),
-                         F.size("tracking").cast("long").alias("n_tracking"),
-                         F.get("tracking", 0)["status"].alias("newest_status"),
-                         F.aggregate("items", F.lit(0).cast("long"),
-                                     lambda acc, x: acc + x["quantity"]).alias("units"))
+    nested = O.nest_order_history(O.order_history(o, it, t, i, ordered=False), rows_per_chunk=3)
+    entry = lambda part, label: lambda x: F.struct(F.lit(part).alias("part"), x["position"].alias("position"), x[label].alias("label"))
+    entries = F.concat(F.transform("items", entry("item", "name")), F.transform("tracking", entry("tracking", "status")))
+    return nested.select("id", "user_id", "current_status", "chunk", F.explode_outer(entries).alias("e")).select(
+        "id", "user_id", "current_status", "chunk", "e.part", "e.position", "e.label")
 
 
 @query("win1_current_status")
@@ -333,8 +332,8 @@ def _positions(df: DataFrame, order: list, cols: list[str]) -> DataFrame:
 
 @query("srt1_sales_newest_first")
 def _srt1(spark, sf):
-    d = _month_detail(spark, sf)
-    return _positions(d, [F.col("transaction_date").desc(), F.col("sale_key").asc()],
+    d = _detail(spark, sf)
+    return _positions(d, R.newest_sales(d),
                       ["sale_key", "transaction_date", "total_amount"])
 
 
@@ -342,28 +341,28 @@ def _srt1(spark, sf):
 def _srt2(spark, sf):
     i, s = _tables(spark, sf, "inventory", "sales")
     rep = R.inventory_report(i, s, ordered=False)
-    return _positions(rep, [R.by_name("name"), F.col("id")], ["id", "name"])
+    return _positions(rep, R.products_by_name(), ["id", "name"])
 
 
 @query("srt2_users_by_name")
 def _srt2u(spark, sf):
     u, s = _tables(spark, sf, "users", "sales")
     rep = R.user_activity_report(u, s, AS_OF, ordered=False)
-    return _positions(rep, [R.by_name("full_name"), F.col("id")], ["id", "full_name"])
+    return _positions(rep, R.users_by_name(), ["id", "full_name"])
 
 
 @query("srt3_products_by_revenue")
 def _srt3(spark, sf):
     i, s = _tables(spark, sf, "inventory", "sales")
     rep = R.inventory_export(i, s, "month", AS_OF, ordered=False)
-    return _positions(rep, [F.col("revenue").desc(), F.col("id")], ["id", "revenue"])
+    return _positions(rep, R.by_revenue(), ["id", "revenue"])
 
 
 @query("srt3_users_by_spend")
 def _srt3u(spark, sf):
     u, s = _tables(spark, sf, "users", "sales")
     rep = R.user_activity_export(u, s, "year", AS_OF, ordered=False)
-    return _positions(rep, [F.col("total_spent").desc(), F.col("id")], ["id", "total_spent"])
+    return _positions(rep, R.by_spend(), ["id", "total_spent"])
 
 
 @query("srt4_orders_newest_first")
@@ -400,9 +399,9 @@ def _exp2(spark, sf):
 
 @query("exp3_stock_status")
 def _exp3(spark, sf):
-    i, s = _tables(spark, sf, "inventory", "sales")
+    s, = _tables(spark, sf, "sales")
     # stock left after all-time sales may run out: shows all three levels
-    left = J.inventory_with_sales(i.withColumn("quantity", F.col("quantity") * 10), s)
+    left = J.inventory_with_sales(TB.stocked_inventory(spark, sf), s)
     stock = (F.col("quantity") - F.col("total_sales")).cast("long")
     return left.select("id", stock.alias("stock_left"), X.stock_status(stock).alias("stock_status"))
 
@@ -443,13 +442,13 @@ def _exp9(spark, sf):
 
 @query("exp10_report_title")
 def _exp10(spark, sf):
-    return A.sales_total(_month_detail(spark, sf)).select(X.report_title("sales", AS_OF).alias("title"),
+    return A.sales_total(_detail(spark, sf)).select(X.report_title("sales", AS_OF).alias("title"),
                                                           "total_revenue")
 
 
 @query("exp11_day_label")
 def _exp11(spark, sf):
-    return A.daily_sales(_month_detail(spark, sf)).select("day", X.day_label("day").alias("label"), "revenue")
+    return A.daily_sales(_detail(spark, sf)).select("day", X.day_label("day").alias("label"), "revenue")
 
 
 @query("exp12_payment_ref")
@@ -513,6 +512,11 @@ def _dash(spark, sf):
     return R.dashboard(s, i, u, DASH_START, DASH_END, AS_OF)
 
 
+@query("rep7_dashboard_sales")
+def _rep7s(spark, sf):
+    return _dash(spark, sf)["sales"]
+
+
 @query("rep7_dashboard_daily")
 def _rep7d(spark, sf):
     return _dash(spark, sf)["daily"]
@@ -557,16 +561,56 @@ def _rep9(spark, sf):
 @query("rep10_admin_orders")
 def _rep10(spark, sf):
     o, t, u = _tables(spark, sf, "orders", "order_tracking", "users")
-    out = O.admin_orders(o, t, u, "all", order_period("admin_default", AS_OF))
+    out = O.admin_orders(o, t, u, *_tables(spark, sf, "order_items", "inventory"), "all", order_period("admin_default", AS_OF))["orders"]
     return out.select("id", "user_id", "customer_name", "customer_phone", "status", "current_status", "created_at")
 
 
+def _admin_in_transit(spark, sf):
+    o, t, u, it, i = _tables(spark, sf, "orders", "order_tracking", "users", "order_items", "inventory")
+    return O.admin_orders(o, t, u, it, i, "in_transit", ordered=False)
+
+
+@query("rep10_admin_order_items")
+def _rep10i(spark, sf):
+    """The lines of all orders now in transit."""
+    return _admin_in_transit(spark, sf)["items"]
+
+
+@query("rep10_admin_order_tracking")
+def _rep10t(spark, sf):
+    """The timelines of all orders now in transit."""
+    return _admin_in_transit(spark, sf)["tracking"]
+
+
+@query("rep8_order_history_tracking")
+def _rep8t(spark, sf):
+    o, it, t, i = _tables(spark, sf, "orders", "order_items", "order_tracking", "inventory")
+    return O.order_history(o, it, t, i)["tracking"]
+
+
+def _receipt_requests(spark, sf):
+    """Every order's receipt asked for, finished orders by the wrong customer."""
+    return TB.payment_requests(spark, sf).select("order_id", "user_id")
+
+
+@query("rep9_requested_receipts")
+def _rep9q(spark, sf):
+    o, u, p, it, i = _tables(spark, sf, "orders", "users", "payments", "order_items", "inventory")
+    return O.receipts_for(_receipt_requests(spark, sf), o, u, p, it, i)["receipts"].select(
+        "id", "user_id", "email", "mpesa_transaction", "item_key", "item_quantity", "subtotal", "name")
+
+
+@query("rep9_receipt_rejects")
+def _rep9r(spark, sf):
+    o, u, p, it, i = _tables(spark, sf, "orders", "users", "payments", "order_items", "inventory")
+    return O.receipts_for(_receipt_requests(spark, sf), o, u, p, it, i)["rejects"]
+
+
 # ---------------------------------------------------------------- change jobs (whole request tables)
 
 
 def _purchases(spark, sf):
-    inv = TB.inventory(spark, sf).withColumn("quantity", F.col("quantity") * 10)
-    return apply_purchases(inv, TB.purchase_requests(spark, sf))
+    return apply_purchases(TB.stocked_inventory(spark, sf), TB.purchase_requests(spark, sf))
 
 
 @query("chg3_purchases_sales")

@@ -1,7 +1,6 @@
 """Sinks: the report CSV export (SNK1) and stored report snapshots (SNK2).
 
-Both write with Spark's own writers, one part file per task. ``single_file``
-coalesces to one task and exists only for small exports a person downloads.
+Both write with Spark's own writers, one part file per task.
 """
 
 from __future__ import annotations
@@ -40,14 +39,12 @@ def export_name(report_type: str, as_of) -> str:
     return f"{report_type}_report_{as_datetime(as_of).strftime('%Y-%m-%d')}.csv"
 
 
-def export_csv(df: DataFrame, report_type: str, out_dir: str, as_of, single_file: bool = False) -> str:
+def export_csv(df: DataFrame, report_type: str, out_dir: str, as_of) -> str:
     """SNK1: write an export DataFrame under the reference's headers; returns the folder path."""
     if report_type not in CSV_HEADERS:
         raise ValueError(f"Invalid report type: {report_type}")
     cols = [F.col(src).alias(dst) for src, dst in zip(CSV_SOURCE[report_type], CSV_HEADERS[report_type])]
     out = df.select(*cols)
-    if single_file:
-        out = out.coalesce(1)
     path = f"{out_dir.rstrip('/')}/{export_name(report_type, as_of)}"
     out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
     return path

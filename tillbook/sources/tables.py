@@ -100,6 +100,11 @@ def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stocked_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inventory with ten units in stock for each unit of size, so that sales run some products out and not others."""
+    return inventory(spark, sf_dir).withColumn("quantity", F.col("quantity") * 10)
+
+
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem x orders -> sales. Keeps the lineitem key columns, which together are unique.
 

@@ -103,20 +103,6 @@ def run_append(df: DataFrame, out_path: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def run_snapshots(df: DataFrame, out_path: str, checkpoint: str, join_with: DataFrame | None = None,
-                  on: str | None = None) -> None:
-    """Run a complete-mode aggregate; each micro-batch's full result overwrites the snapshot
-    (optionally joined with a static table first)."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        out = batch if join_with is None else join_with.join(batch, on, "left")
-        out.write.mode("overwrite").parquet(out_path)
-
-    q = (df.writeStream.outputMode("complete").foreachBatch(write)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
-
-
 def run_updates(df: DataFrame, out_path: str, checkpoint: str) -> None:
     """Run an aggregate in update mode: each micro-batch writes only the keys it changed to
     ``out_path/batch=<id>`` (overwrite, so a replayed batch rewrites the same folder).
