@@ -1,3 +1,5 @@
+"""Documents for the training-data tests."""
+
 import random
 
 import pytest

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from llm_fixtures import make, rows  # noqa: F401
 from tillbook.llm import mixing, sharding, urls, warc
 from tillbook.llm.queries import URL_RULES
 

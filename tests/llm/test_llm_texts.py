@@ -6,6 +6,7 @@ from collections import Counter
 
 import pytest
 
+from llm_fixtures import make, rows  # noqa: F401
 from tillbook.llm import decontam, jaccard, substring
 from tillbook.llm.components import components
 

@@ -44,6 +44,14 @@ def uniform(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
+def free_name(base: str, taken) -> str:
+    """``base``, with underscores until no column in ``taken`` has that name in any letter case."""
+    taken = {c.lower() for c in taken}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
 def small_or_joined(df: DataFrame, rows: int) -> DataFrame:
     """A broadcast hint if ``rows``, counted by the caller, is within the bound; else the table as it is."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

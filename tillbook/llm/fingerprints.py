@@ -137,7 +137,8 @@ def beside_next(docs: DataFrame, part_bytes: int = PART_BYTES, slices: int = SLI
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("th"))
     low, high = docs.select(F.col("doc_id").cast("long").alias("i")).agg(F.min("i"), F.max("i")).first()
     width = max((float(high) - float(low)) / slices, 1e-9) if low is not None else 1.0
-    slice_of = F.coalesce(F.least(F.floor((F.col("doc_id").cast("double") - F.lit(float(low or 0))) / F.lit(width)), F.lit(slices)).cast("int"), F.lit(-1))
+    place = F.floor((F.col("doc_id").cast("double") - F.lit(float(low or 0))) / F.lit(width))
+    slice_of = F.when(F.col("doc_id").isNotNull(), F.least(place, F.lit(slices)).cast("int")).otherwise(-1)
     rows = rows.withColumn("slice", slice_of)
     table = rows.groupBy("slice").agg(F.sum(F.octet_length("text") + F.lit(16)).alias("bytes"), F.max(F.struct("doc_id", "th")).alias("head"))
     # at most `slices` + 2 rows from here on, whatever the input

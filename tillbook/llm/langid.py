@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
 from .tokens import pieces, text_buffers
 
 ORDER, BITS = 4, 6
@@ -267,12 +268,12 @@ def train(rows: DataFrame) -> Model | None:
     return fit(symbol, {x: (key[lang == x], n[lang == x]) for x in np.unique(lang).tolist()})
 
 
-def _score_map(shared):
+def _score_map(shared, text: str):
     def run(batches):
         model = shared.value
         names = np.array(model.langs, object)
         for batch in batches:
-            data, offsets = text_buffers(batch.column("_text"))
+            data, offsets = text_buffers(batch.column(text))
             best, score, bits, rejected = [], [], [], []
             for a, b in pieces(offsets, _PIECE):
                 grams, rows, letters = _grams(*_code_points(data, offsets[a:b + 1]), model.symbol)
@@ -295,20 +296,21 @@ def _score_map(shared):
                 rejected.append(~known | (low > limit))
             join = lambda parts, t: pa.array(np.concatenate(parts) if parts else [], t)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in batch.schema.names if c != "_text"]
+                [batch.column(c) for c in batch.schema.names if c != text]
                 + [join(best, pa.string()), join(score, pa.float64()), join(bits, pa.float64()), join(rejected, pa.bool_())],
-                [c for c in batch.schema.names if c != "_text"] + ["lang_pred", "score", "bits", "rejected"])
+                [c for c in batch.schema.names if c != text] + ["lang_pred", "score", "bits", "rejected"])
     return run
 
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(*keep, lang_pred, score, bits, rejected) of each row from its text alone; bits is the cross-entropy per symbol."""
-    rows = docs.select(*[F.col(c) for c in keep], F.coalesce("text", F.lit("")).alias("_text"))
+    text = free_name("_text", keep)
+    rows = docs.select(*[F.col(c) for c in keep], F.coalesce("text", F.lit("")).alias(text))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
     if model is None:
         return rows.select(*keep, F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"), F.lit(True).alias("rejected"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_score_map(shared), f"{kept}, lang_pred string, score double, bits double, rejected boolean")
+    return rows.mapInArrow(_score_map(shared, text), f"{kept}, lang_pred string, score double, bits double, rejected boolean")
 
 
 def held_out(id_col: str = "doc_id", modulo: int = 4, remainder: int = 2):

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
 from .langid import held_out
 from .tokens import pieces, text_buffers
 
@@ -154,25 +155,26 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chun
     return fit([x for _, x in found], [y for y, _ in found])
 
 
-def _score_map(shared):
+def _score_map(shared, text: str):
     def run(batches):
         net = shared.value
         for batch in batches:
-            data, offsets = text_buffers(batch.column("text"))
+            data, offsets = text_buffers(batch.column(text))
             parts = [net.scores(data, offsets[a:b + 1]) for a, b in pieces(offsets, 1 << 20)]
-            names = [c for c in batch.schema.names if c != "text"]
+            names = [c for c in batch.schema.names if c != text]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [pa.array(np.concatenate(parts) if parts else np.zeros(0))], names + ["score"])
     return run
 
 
 def predict(docs: DataFrame, net: Network | float, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(*keep, score, predicted) of each row from its text alone."""
-    rows = docs.select(*[F.col(c) for c in keep], F.coalesce("text", F.lit("")).alias("text"))
+    text = free_name("_text", keep)
+    rows = docs.select(*[F.col(c) for c in keep], F.coalesce("text", F.lit("")).alias(text))
     if isinstance(net, float):
         scored = rows.select(*keep, F.lit(net).alias("score"))
     else:
         kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep)
-        scored = rows.mapInArrow(_score_map(docs.sparkSession.sparkContext.broadcast(net)), f"{kept}, score double")
+        scored = rows.mapInArrow(_score_map(docs.sparkSession.sparkContext.broadcast(net), text), f"{kept}, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
