@@ -102,13 +102,6 @@ def _of_kind(table: pa.Table, kind: int):
     return [b.as_py() for b, k in zip(table.column("blob"), kinds) if k == kind]
 
 
-def _by_document(o: np.ndarray, th: np.ndarray, values: np.ndarray, name: str) -> pa.Table:
-    by = np.lexsort((values, th, o))
-    o, th, values = o[by], th[by], values[by]
-    first = group_starts(o, th)
-    return pa.table({"o": o[first], "th": th[first], name: lists(first, pa.array(values))})
-
-
 def _anchor_reduce(table: pa.Table) -> pa.Table:
     h, o, th, at = unpack_all(_of_kind(table, 0), _ANCHOR)
     by = np.lexsort((o, h))
@@ -116,7 +109,7 @@ def _anchor_reduce(table: pa.Table) -> pa.Table:
     last = np.r_[first[1:], len(by)] - 1 if len(by) else first
     hit = by[spread(first, o[by][first] < o[by][last], len(by))]
     ko, kth, kat = unpack_all(_of_kind(table, 1), _KNOWN)
-    return _by_document(np.r_[o[hit], ko], np.r_[th[hit], kth], np.r_[at[hit], kat].astype(np.int32), "at")
+    return pa.table({"o": np.r_[o[hit], ko], "th": np.r_[th[hit], kth], "at": np.r_[at[hit], kat].astype(np.int32)})
 
 
 def _runs(o, th, start):
@@ -202,7 +195,7 @@ def _window_reduce(table: pa.Table) -> pa.Table:
     r, a = run[gone], at[gone]
     first, length = _runs(o[r], th[r], a)
     ko, kth, kruns = unpack_all(_of_kind(table, 1), [np.int64, np.int64, np.int64])
-    return _by_document(np.r_[o[r][first], ko], np.r_[th[r][first], kth], np.r_[(a[first] << 32) | length, kruns].astype(np.int64), "runs")
+    return pa.table({"o": np.r_[o[r][first], ko], "th": np.r_[th[r][first], kth], "run": np.r_[(a[first] << 32) | length, kruns].astype(np.int64)})
 
 
 def _cut_map(window: int):
@@ -265,12 +258,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     buckets = max(1, math.ceil(size / bucket_bytes))
     blob = "bucket long, kind int, blob binary"
     anchors = (texts.select("o", "th", "text").mapInArrow(_anchor_map(window, period, cover, buckets), blob)
-               .groupBy("bucket").applyInArrow(_anchor_reduce, "o long, th long, at array<int>")
-               .groupBy("o", "th").agg(F.flatten(F.collect_list("at")).alias("at")))
-    repeats = (texts.join(anchors, ["o", "th"]).select("o", "th", "text", "at")
+               .groupBy("bucket").applyInArrow(_anchor_reduce, "o long, th long, at int")
+               .groupBy("o", "th").agg(F.collect_list("at").alias("at")))
+    # the same columns as in the last join, so that Spark shuffles the texts once for both
+    repeats = (texts.join(anchors, ["o", "th"]).select("o", "th", "doc_id", "text", "at")
                .mapInArrow(_window_map(window, period, buckets), blob)
-               .groupBy("bucket").applyInArrow(_window_reduce, "o long, th long, runs array<long>")
-               .groupBy("o", "th").agg(F.flatten(F.collect_list("runs")).alias("runs")))
+               .groupBy("bucket").applyInArrow(_window_reduce, "o long, th long, run long")
+               .groupBy("o", "th").agg(F.collect_list("run").alias("runs")))
     return (texts.join(repeats, ["o", "th"], "left")
             .select("doc_id", "text", F.coalesce("runs", F.array().cast("array<long>")).alias("runs"))
             .mapInArrow(_cut_map(window), "doc_id long, n_words long, n_removed long, spans array<struct<start:int,stop:int>>, kept string"))
