@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..core import cut_lineage
-from .common import SPACE_RE, count_words
+from .common import SPACE_RE, count_words, free_name, small_or_joined
 from .components import components
 from .packing import by_bucket, group_starts, spread, unpack_all
 from .substring import _blobs, _of_kind
@@ -288,29 +288,35 @@ def _posting_reduce(percent: int, top: int):
     return run
 
 
-def _round_reduce(percent: int, top: int, pivots: int = 4):
-    """Another round over open lists: sets of one component need no comparison any more."""
+def _round_reduce(percent: int, top: int):
+    """Another round over open lists: sets of one component need no comparison any more.
+
+    Pivots are taken in order until a list has looked at 512 pairs or emitted 8 per member, or all is settled;
+    pairs that the parity sketches tell apart are settled at once.
+    """
     def run(table: pa.Table) -> pa.Table:
         e, s, n, pos, done, label = (np.asarray(table.column(c)) for c in ("e", "x", "n", "pos", "done", "label"))
         by = np.lexsort((s, pos, e))
         e, s, n, pos, done, label = (c[by] for c in (e, s, n, pos, done, label))
+        sketch = np.stack([np.asarray(table.column(f"g{i}"))[by] for i in range(_SIG)], axis=1)
         first = np.r_[group_starts(e), len(e)]
         xs, ys, rest = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for a, b in zip(first[:-1], first[1:]):
             left = a + np.flatnonzero(~done[a:b])
-            _, size = np.unique(label[left], return_counts=True)
-            unsettled = (len(left) ** 2 - (size ** 2).sum()) // 2
-            if not unsettled:
-                continue
-            few = unsettled <= 8 * len(left)
-            for p in range(len(left) if few else pivots):
+            looked = sent = p = 0
+            while p < len(left) and looked <= 512 * len(left) and sent <= 8 * len(left):
                 i, j = left[p], left[p + 1:]
+                looked += len(j)
                 j = j[label[j] != label[i]]
                 j = j[_possible(n[i], pos[i], n[j], pos[j], percent, top)]
+                size = n[j].astype(np.int64) + n[i]
+                j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1) <= size - 2 * least_overlap(n[j].astype(np.int64), int(n[i]), percent)]
                 xs.append(np.full(len(j), s[i]))
                 ys.append(s[j])
-            if not few:
-                done[left[:pivots]] = True
+                sent += len(j)
+                p += 1
+            done[left[:p]] = True
+            if len(np.unique(label[left[p:]])) > 1:
                 rest.append(np.arange(a, b))
         r = np.concatenate(rest)
         return pa.concat_tables([_pairs(np.concatenate(xs), np.concatenate(ys)),
@@ -348,8 +354,11 @@ def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, perc
     apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, _SIG)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
     size = F.col("n_x") + F.col("n_y")
     need = F.ceil(size * percent / F.lit(100 + percent))
-    near = (pairs.distinct().join(side("x"), "x").join(side("y"), "y").where(apart <= size - 2 * need)
-            .select("c_x", "c_y"))
+    near = cut_lineage(pairs.distinct().join(side("x"), "x").join(side("y"), "y").where(apart <= size - 2 * need)
+                       .select("c_x", "c_y"), "near")
+    # only the texts that these pairs compare are shuffled
+    wanted = near.select(F.col("c_x").alias("c")).union(near.select("c_y")).distinct()
+    texts = texts.join(small_or_joined(wanted, wanted.count()), "c", "left_semi")
     text = lambda name, out: texts.select(F.col("c").alias(name), F.col("text").alias(out))
     return (near.join(text("c_x", "text_a"), "c_x").join(text("c_y", "text_b"), "c_y")
             .select(F.col("c_x").alias("u"), F.col("c_y").alias("v"), "text_a", "text_b")
@@ -376,17 +385,20 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, sk
     open_lists = open_lists.select("e", "x", "n", "pos", "done")
     # the texts of sets that any list or key brings together
     wanted = pairs.select(F.col("x").alias("s1")).union(pairs.select("y")).union(open_lists.select("x")).distinct()
-    wanted = classes.join(wanted, "s1", "left_semi").select("c", "o", "th")
-    # equal ids with equal texts are repeated rows: one of them is enough
-    kept_texts = cut_lineage(texts.join(wanted, ["o", "th"]).select("c", "text").dropDuplicates(["c"]), "texts")
+    copies = members.groupBy("o", "th").agg((F.count(F.lit(1)) > 1).alias("repeated"))
+    wanted = cut_lineage(classes.join(wanted, "s1", "left_semi").select("c", "o", "th").join(copies, ["o", "th"]), "wanted")
+    kept_texts = cut_lineage(texts.join(small_or_joined(wanted, wanted.count()), ["o", "th"]).select("c", "repeated", "text"), "texts")
+    if not wanted.where("repeated").isEmpty():  # equal ids with equal texts are repeated rows: one of them is enough
+        kept_texts = cut_lineage(kept_texts.where("not repeated").unionByName(
+            kept_texts.where("repeated").dropDuplicates(["c"])), "texts")
     while True:
         new = cut_lineage(_linked(pairs, classes, kept_texts, k, percent), "links")
         links = new if links is None else links.unionByName(new)
         label = components(links)
         if open_lists.isEmpty():
             break
-        named = classes.select(F.col("s1").alias("x"), "c").join(label.select(F.col("node").alias("c"), "component"), "c", "left")
-        named = named.select("x", F.xxhash64(F.coalesce("component", "c")).alias("label"))
+        named = classes.select(F.col("s1").alias("x"), "c", *[f"g{i}" for i in range(_SIG)]).join(label.select(F.col("node").alias("c"), "component"), "c", "left")
+        named = named.select("x", F.xxhash64(F.coalesce("component", "c")).alias("label"), *[f"g{i}" for i in range(_SIG)])
         step = cut_lineage(open_lists.join(named, "x").withColumn("bucket", F.pmod(F.xxhash64("e"), F.lit(buckets)))
                            .groupBy("bucket").applyInArrow(_round_reduce(percent, top), _FOUND), "round")
         pairs = step.where(F.col("kind") == _PAIR).select("x", "y")
@@ -407,11 +419,12 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, sk
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """One row of each linked group of ``docs``, the one of the smallest id, with all its columns; texts without words all stay."""
     groups = jaccard_groups(docs, **options)
-    order = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias("_o"), F.col("text_key").alias("_th"))
+    o, th = free_name("_o", docs.columns), free_name("_th", docs.columns)
+    order = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias(o), F.col("text_key").alias(th))
     stays = (groups.where("n_shingles > 0").withColumn("component_id", F.coalesce("component_id", F.lit(_NO_ID)))
-             .groupBy("component_id").agg(F.min(order).alias("k")).select("k._o", "k._th"))
+             .groupBy("component_id").agg(F.min(order).alias("k")).select(f"k.{o}", f"k.{th}"))
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"_o": F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), "_th": F.xxhash64(text)})
+    keyed = docs.withColumns({o: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), th: F.xxhash64(text)})
     wordless = count_words(F.col("text"), SPACE_RE) == 0
-    return (keyed.where(~wordless).join(stays, ["_o", "_th"], "left_semi").dropDuplicates(["_o", "_th"])
-            .unionByName(keyed.where(wordless)).drop("_o", "_th"))
+    return (keyed.where(~wordless).join(stays, [o, th], "left_semi").dropDuplicates([o, th])
+            .unionByName(keyed.where(wordless)).drop(o, th))
