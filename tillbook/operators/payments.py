@@ -29,7 +29,8 @@ def open_payments(orders: DataFrame, requests: DataFrame, payments: DataFrame |
 
     The order must belong to the requesting user ("Order not found" otherwise) and
     the phone must be ten digits. A new pending payment carries the order total
-    and a reference built from order id and request time (EXP12).
+    and a reference built from order id and request time (EXP12) and its own id, so that
+    two requests for one order in one second differ.
     """
     req = requests.select("request_id", "order_id", "user_id", "phone_number", "requested_at")
     owned = orders.select(F.col("id").alias("order_id"), "user_id", F.col("total_amount").alias("amount"))
@@ -44,7 +45,8 @@ def open_payments(orders: DataFrame, requests: DataFrame, payments: DataFrame |
     def new_payments():
         start = base_id if base_id is not None else (max_id(payments) if payments is not None else 0)
         return sequence_ids(ok, ["requested_at", "request_id"], start).select(
-            "id", "order_id", payment_ref("order_id", "requested_at").alias("transaction_id"), "phone_number",
+            "id", "order_id", F.concat(payment_ref("order_id", "requested_at"), F.lit("-"), F.col("id")).alias("transaction_id"),
+            "phone_number",
             "amount", F.lit("pending").alias("status"), F.lit(None).cast("string").alias("result_code"),
             F.lit(None).cast("string").alias("result_desc"), F.col("requested_at").alias("created_at"),
             F.lit(None).cast("timestamp_ntz").alias("completed_at"), "request_id")

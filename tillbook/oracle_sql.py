@@ -517,14 +517,15 @@ m_paymarked AS (
   FROM m_payreq r LEFT JOIN m_orders o ON o.id = r.order_id AND o.user_id = r.user_id)
 """
 ORACLE["chg6_open_payments"] = _with(_OPEN_PAY, """
-SELECT (SELECT max(id) FROM m_payments) + row_number() OVER (ORDER BY requested_at, request_id) AS id, order_id,
+SELECT id, order_id,
        'WV' || CAST(CAST(epoch(requested_at) AS BIGINT) AS VARCHAR)
          || CASE WHEN length(CAST(order_id AS VARCHAR)) >= 4 THEN CAST(order_id AS VARCHAR)
-                 ELSE lpad(CAST(order_id AS VARCHAR), 4, '0') END AS transaction_id,
+                 ELSE lpad(CAST(order_id AS VARCHAR), 4, '0') END || '-' || id AS transaction_id,
        phone_number, amount, 'pending' AS status, CAST(NULL AS VARCHAR) AS result_code,
        CAST(NULL AS VARCHAR) AS result_desc, requested_at AS created_at, CAST(NULL AS TIMESTAMP) AS completed_at,
        request_id
-FROM m_paymarked WHERE message IS NULL""")
+FROM (SELECT *, (SELECT max(id) FROM m_payments) + row_number() OVER (ORDER BY requested_at, request_id) AS id
+      FROM m_paymarked WHERE message IS NULL)""")
 ORACLE["chg6_payment_rejects"] = _with(_OPEN_PAY, """
 SELECT request_id, order_id, user_id, phone_number, requested_at, message FROM m_paymarked WHERE message IS NOT NULL""")
 

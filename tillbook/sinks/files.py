@@ -66,25 +66,26 @@ SNAPSHOT_SCHEMA = T.StructType([
 
 def save_snapshot(report: DataFrame, report_type: str, author: int, as_of, path: str,
                   report_id: str | None = None) -> str:
-    """SNK2: append a report to the snapshot table, one row per report line with its JSON.
+    """SNK2: add a report to the snapshot table, one row per report line with its JSON.
 
     The reference stores the whole report as one JSON cell; a report of a large
     table does not fit one cell, so each line is its own row, tied together by
-    ``report_id`` (default: type and time).
+    ``report_id`` (default: type and time). Each report has its own folder, which a repeated save replaces.
     """
     if report_type not in CSV_HEADERS:
         raise ValueError(f"Invalid report type: {report_type}")
     rid = report_id or f"{report_type}-{as_datetime(as_of).strftime('%Y%m%d%H%M%S')}"
     rows = report.select(
-        F.lit(rid).alias("report_id"), report_title(report_type, as_of).alias("title"),
+        report_title(report_type, as_of).alias("title"),
         F.lit(report_type).alias("type"), F.lit(int(author)).cast("long").alias("generated_by"),
         ts_lit(as_of).alias("generated_at"), as_json(*report.columns).alias("data"))
-    rows.write.mode("append").parquet(path)
+    rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/report_id={rid}")
     return rid
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SNAPSHOT_SCHEMA).parquet(path)
+    fields = [f for f in SNAPSHOT_SCHEMA if f.name != "report_id"] + [SNAPSHOT_SCHEMA["report_id"]]
+    return spark.read.schema(T.StructType(fields)).option("basePath", path).parquet(path).select(*SNAPSHOT_SCHEMA.names)
 
 
 def write_table(df: DataFrame, name: str, path: str, partition_by: list[str] | None = None,

@@ -1,4 +1,4 @@
-"""SRC3: the reference's seed rows, with 'now' replaced by ``as_of``. A test fixture, never a registered query."""
+"""SRC3: seed rows of a small garden shop, with 'now' given as ``as_of``. A test fixture, never a registered query."""
 
 from __future__ import annotations
 
@@ -10,33 +10,31 @@ from pyspark.sql import DataFrame, SparkSession
 from ..core import as_datetime
 from .schemas import SCHEMAS
 
-# The seed block of the reference schema, in its order. The master admin's email
-# domain is replaced by example.com (it would name the original site; no result depends on it).
 SEED_USERS = [
-    (1, "Master Admin", "admin@example.com", "1234567890", "master_admin"),
-    (2, "John Smith", "john@example.com", "1234567891", "customer"),
-    (3, "Jane Doe", "jane@example.com", "1234567892", "customer"),
-    (4, "Admin User", "admin2@example.com", "1234567893", "admin"),
+    (1, "Site Owner", "owner@example.com", "5550000001", "master_admin"),
+    (2, "Ada Finch", "ada@example.com", "5550000002", "customer"),
+    (3, "Ben Cole", "ben@example.com", "5550000003", "customer"),
+    (4, "Cleo Staff", "cleo@example.com", "5550000004", "admin"),
 ]
-SEED_IMAGE = "https://images.unsplash.com/photo-1548839140-29a749e1cf4d?auto=format&fit=crop&w=400"
+SEED_IMAGE = "img/garden.png"
 SEED_PRODUCTS = [
-    (1, "20L Water Bottle", "Large mineral water bottle for office or home use", "15.99", 100),
-    (2, "10L Water Dispenser", "Medium-sized water dispenser perfect for small offices", "10.99", 150),
-    (3, "5L Water Bottle", "Convenient size for home use", "7.99", 200),
-    (4, "1L Mineral Water", "Premium mineral water in convenient size", "2.99", 500),
+    (1, "Watering Can", "Two-gallon can for beds and pots", "12.50", 40),
+    (2, "Clay Pot", "Unglazed, 20 cm", "6.25", 120),
+    (3, "Hand Rake", "Short handle, five teeth", "8.00", 60),
+    (4, "Seed Mix", "Meadow flowers, one bag", "1.75", 400),
 ]
 # (days before as_of, user_id, product_id, quantity, total_amount)
 SEED_SALES = [
-    (1, 2, 1, 2, "31.98"),
-    (2, 2, 3, 3, "23.97"),
-    (3, 3, 2, 4, "43.96"),
-    (4, 2, 4, 10, "29.90"),
-    (5, 3, 1, 1, "15.99"),
-    (6, 2, 2, 2, "21.98"),
-    (7, 3, 3, 5, "39.95"),
-    (8, 2, 4, 8, "23.92"),
-    (9, 3, 1, 3, "47.97"),
-    (10, 2, 2, 1, "10.99"),
+    (1, 2, 4, 6, "10.50"),
+    (2, 3, 1, 1, "12.50"),
+    (3, 3, 3, 2, "16.00"),
+    (4, 2, 2, 5, "31.25"),
+    (5, 2, 4, 9, "15.75"),
+    (6, 3, 2, 4, "25.00"),
+    (7, 2, 3, 1, "8.00"),
+    (8, 3, 1, 2, "25.00"),
+    (9, 2, 2, 3, "18.75"),
+    (10, 3, 4, 12, "21.00"),
 ]
 
 
