@@ -756,7 +756,7 @@ SELECT 'users' AS table_name, outcome, count(*) AS row_count FROM (
               WHEN role IS NOT NULL AND role NOT IN ('customer', 'admin', 'master_admin')
                 THEN 'role not in customer/admin/master_admin'
               WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate id'
-              WHEN count(*) OVER (PARTITION BY email) > 1 THEN 'duplicate email'
+              WHEN count(*) OVER (PARTITION BY lower(email)) > 1 THEN 'duplicate email'
               ELSE 'ok' END AS outcome FROM m_users) GROUP BY 1, 2
 UNION ALL
 SELECT 'payments' AS table_name, outcome, count(*) AS row_count FROM (
@@ -788,3 +788,45 @@ SELECT 'cart' AS table_name, outcome, count(*) AS row_count FROM (
               WHEN NOT EXISTS (SELECT 1 FROM m_inventory i WHERE i.id = c.product_id) THEN 'product_id has no inventory.id'
               ELSE 'ok' END AS outcome FROM m_cart c) GROUP BY 1, 2
 """)
+
+_FK = "WHEN NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.id = t.{col}) THEN '{col} has no {name}.id'"
+_TO = {name: lambda col, name=name: _FK.format(parent=f"m_{name}", col=col, name=name) for name in ("users", "inventory", "orders")}
+_OFF = "CASE WHEN {key} % 50 = 1 THEN {col} + 1000000000 ELSE {col} END AS {col}"
+ORACLE["src2_check_flawed_tables"] = _sql(f"""
+SELECT 'users' AS table_name, outcome, count(*) AS row_count FROM (
+  SELECT CASE WHEN full_name IS NULL THEN 'full_name is null'
+              WHEN role NOT IN ('customer', 'admin', 'master_admin') THEN 'role not in customer/admin/master_admin'
+              WHEN count(*) OVER (PARTITION BY lower(email)) > 1 THEN 'duplicate email' ELSE 'ok' END AS outcome
+  FROM (SELECT CASE WHEN id % 50 <> 0 THEN full_name END AS full_name,
+               CASE role WHEN 'BUILDING' THEN 'admin' WHEN 'MACHINERY' THEN role ELSE 'customer' END AS role,
+               CASE WHEN id % 50 = 2 THEN upper('customer' || lpad(CAST(id - 1 AS VARCHAR), 9, '0') || '@example.com') ELSE email END AS email
+        FROM m_users)) GROUP BY 1, 2
+UNION ALL
+SELECT 'inventory', outcome, count(*) FROM (
+  SELECT CASE WHEN name IS NULL THEN 'name is null' WHEN price IS NULL THEN 'price is null'
+              WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate id' ELSE 'ok' END AS outcome
+  FROM (SELECT CASE WHEN id % 50 = 2 THEN id - 1 ELSE id END AS id, CASE WHEN id % 50 <> 1 THEN name END AS name,
+               CASE WHEN id % 50 <> 0 THEN price END AS price FROM m_inventory)) GROUP BY 1, 2
+UNION ALL
+SELECT 'sales', outcome, count(*) FROM (
+  SELECT CASE WHEN quantity IS NULL THEN 'quantity is null' {_TO['users']('user_id')} {_TO['inventory']('product_id')} ELSE 'ok' END AS outcome
+  FROM (SELECT user_id, CASE WHEN user_id % 50 <> 0 THEN quantity END AS quantity, {_OFF.format(key='user_id', col='product_id')} FROM m_sales) t) GROUP BY 1, 2
+UNION ALL
+SELECT 'orders', outcome, count(*) FROM (
+  SELECT CASE WHEN total_amount IS NULL THEN 'total_amount is null'
+              WHEN status NOT IN ('pending', 'processing', 'in_transit', 'delivered', 'cancelled')
+                THEN 'status not in pending/processing/in_transit/delivered/cancelled'
+              WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate id' {_TO['users']('user_id')} ELSE 'ok' END AS outcome
+  FROM (SELECT id, CASE WHEN id % 50 <> 0 THEN total_amount END AS total_amount, {_OFF.format(key='id', col='user_id')},
+               CASE WHEN id % 50 = 3 THEN 'lost' ELSE status END AS status FROM m_orders) t) GROUP BY 1, 2
+UNION ALL
+SELECT 'order_items', outcome, count(*) FROM (
+  SELECT CASE WHEN quantity IS NULL THEN 'quantity is null' {_TO['orders']('order_id')} {_TO['inventory']('product_id')} ELSE 'ok' END AS outcome
+  FROM (SELECT product_id, CASE WHEN product_id % 50 <> 0 THEN quantity END AS quantity, {_OFF.format(key='product_id', col='order_id')} FROM m_items) t) GROUP BY 1, 2
+UNION ALL
+SELECT 'reports', outcome, count(*) FROM (
+  SELECT CASE WHEN title IS NULL THEN 'title is null' WHEN type NOT IN ('sales', 'inventory', 'user_activity') THEN 'type not in sales/inventory/user_activity'
+              WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate id' {_TO['users']('generated_by')} ELSE 'ok' END AS outcome
+  FROM (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 50 <> 0 THEN s_name END AS title, CASE WHEN s_suppkey % 50 = 3 THEN 'weather' ELSE 'sales' END AS type,
+               CASE WHEN s_suppkey % 50 = 1 THEN s_suppkey + 1 + 1000000000 ELSE s_suppkey + 1 END AS generated_by FROM supplier) t) GROUP BY 1, 2
+""")

@@ -76,6 +76,9 @@ UNIQUE: dict[str, list[list[str]]] = {
     "payments": [["transaction_id"]],
 }
 
+# Text keys that are compared without regard to letter case, as sign-ups compare them.
+CASELESS = {"email"}
+
 # (column, parent table, parent column)
 FOREIGN_KEYS: dict[str, list[tuple[str, str, str]]] = {
     "sales": [("user_id", "users", "id"), ("product_id", "inventory", "id")],
@@ -126,9 +129,11 @@ def check_table(df: DataFrame, name: str, parents: dict[str, DataFrame] | None =
         if not all(k in df.columns for k in key):
             continue
         flag = f"_dup{i}"
-        dups = (df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-                .select(*key, F.lit(True).alias(flag)))
-        marked = marked.join(dups, key, "left")
+        names = [f"_dupkey{i}_{k}" for k in key]
+        marked = marked.withColumns({n: F.lower(k) if k in CASELESS else F.col(k) for n, k in zip(names, key)})
+        dups = (marked.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+                .select(*names, F.lit(True).alias(flag)))
+        marked = marked.join(dups, names, "left")
         reasons.append(F.when(F.col(flag), F.lit(f"duplicate {'+'.join(key)}")))
     for i, (col, parent, parent_col) in enumerate(FOREIGN_KEYS.get(name, [])):
         if parent not in parents or col not in df.columns:

@@ -214,6 +214,30 @@ def model_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     }
 
 
+def flawed_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Copies of the shop tables with broken rows, chosen by the key modulo 50: a missing field (0), a parent that
+    does not exist (1), a repeated key (2), a value outside its list (3). Reports are one row per supplier."""
+    def flaw(df: DataFrame, key: str, **values) -> DataFrame:
+        return df.withColumns({c: F.when(F.col(key) % 50 == k, v).otherwise(F.col(c)) for c, (k, v) in values.items()})
+
+    none, gone = F.lit(None), lambda c: F.col(c) + UNKNOWN_ID_OFFSET
+    role = F.when(F.col("role") == "BUILDING", "admin").when(F.col("role") == "MACHINERY", F.col("role")).otherwise("customer")
+    before = F.upper(F.concat(F.lit("customer"), F.lpad((F.col("id") - 1).cast("string"), 9, "0"), F.lit("@example.com")))
+    reports = raw(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("id"), F.col("s_name").alias("title"),
+        F.element_at(F.array(*[F.lit(t) for t in ("sales", "inventory", "user_activity")]), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("type"),
+        F.lit("{}").alias("data"), (F.col("s_suppkey") + 1).alias("generated_by"), _ts(EPOCH_TS).alias("generated_at"))
+    return {
+        "users": flaw(users(spark, sf_dir).withColumn("role", role), "id", full_name=(0, none), email=(2, before)),
+        "inventory": flaw(inventory(spark, sf_dir), "id", price=(0, none), name=(1, none)).withColumn(
+            "id", F.when(F.col("id") % 50 == 2, F.col("id") - 1).otherwise(F.col("id"))),
+        "sales": flaw(sales(spark, sf_dir), "user_id", quantity=(0, none), product_id=(1, gone("product_id"))),
+        "orders": flaw(orders(spark, sf_dir), "id", total_amount=(0, none), user_id=(1, gone("user_id")), status=(3, F.lit("lost"))),
+        "order_items": flaw(order_items(spark, sf_dir), "product_id", quantity=(0, none), order_id=(1, gone("order_id"))),
+        "reports": flaw(reports, "id", title=(0, none), generated_by=(1, gone("generated_by")), type=(3, F.lit("weather"))),
+    }
+
+
 # ---------------------------------------------------------------- request tables for the change jobs
 # Each is derived row by row from a whole driver table, so its size grows with the data.
 
