@@ -2,6 +2,8 @@
 and rows behind the watermark are dropped."""
 
 import os
+from decimal import Decimal
+import shutil
 import time
 
 import pyarrow.parquet as pq
@@ -92,3 +94,48 @@ def test_product_totals_stream_in_batches_equals_batch(spark, event_files, scrat
            for r in STR.latest_rows(spark, f"{scratch}/out", "product_id").collect()}
     batch = STR.stream_product_totals(STR.sales_from_events(spark.read.parquet(folder)))
     assert got == {r["product_id"]: (r["total_sales"], r["revenue"]) for r in batch.collect()}
+
+
+def test_compaction_bounds_what_readers_scan(spark, scratch):
+    """Twelve batches in two runs with a restart: snapshots at every fifth, the reader starts from the last."""
+    events = spark.read.parquet(os.path.join(SF_SMALL, "events.parquet")).orderBy("ts").toPandas()
+    folder = f"{scratch}/in"
+    os.makedirs(folder)
+    for run in range(2):
+        for i in range(6):
+            k = run * 6 + i
+            part = events.iloc[k * len(events) // 12:(k + 1) * len(events) // 12]
+            spark.createDataFrame(part, STR.EVENTS_SCHEMA).coalesce(1).write.parquet(f"{scratch}/tmp{k}")
+            name = [f for f in os.listdir(f"{scratch}/tmp{k}") if f.endswith(".parquet")][0]
+            shutil.copy(f"{scratch}/tmp{k}/{name}", f"{folder}/part-{k:02}.parquet")
+        stream = STR.event_stream(spark, folder, max_files_per_trigger=1)
+        STR.run_updates(STR.stream_current_status(STR.tracking_from_events(stream)), f"{scratch}/out", f"{scratch}/ckpt",
+                        key="order_id", compact_every=5)
+    assert STR.finished_batches(spark, f"{scratch}/out") == list(range(12))
+    assert STR.finished_batches(spark, f"{scratch}/out/_compact", "upto=") == [4, 9]
+    latest = STR.latest_rows(spark, f"{scratch}/out", "order_id")
+    assert not [f for f in latest.inputFiles() if "/batch=9/" in f or "/batch=0/" in f]
+    got = {r["order_id"]: r["current_status"] for r in latest.collect()}
+    batch = STR.stream_current_status(STR.tracking_from_events(spark.read.parquet(os.path.join(SF_SMALL, "events.parquet"))))
+    assert got == {r["order_id"]: r["current_status"] for r in batch.collect()}
+
+
+def test_stock_of_a_damaged_batch_is_an_error(spark, scratch):
+    inventory = spark.createDataFrame([(1, "a", Decimal("2.00"), 60)], "id long, name string, price decimal(10,2), quantity int")
+    rows = spark.range(1).coalesce(1).selectExpr("id AS request_id", "1L AS user_id", "1L AS product_id", "5 AS quantity", "timestamp_ntz'2024-01-01 00:00:00' AS requested_at")
+    for k in range(2):
+        rows.write.mode("append").parquet(f"{scratch}/in")
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(f"{scratch}/in")
+        if k:
+            for name in os.listdir(f"{scratch}/state/stock/batch=0"):
+                if name.endswith(".parquet"):
+                    with open(f"{scratch}/state/stock/batch=0/{name}", "wb") as f:
+                        f.write(b"damaged")
+                    if os.path.exists(f"{scratch}/state/stock/batch=0/.{name}.crc"):
+                        with open(f"{scratch}/state/stock/batch=0/.{name}.crc", "wb") as f:
+                            f.write(b"damaged")
+            with pytest.raises(Exception):
+                STR.stream_apply_purchases(stream, inventory, f"{scratch}/state")
+        else:
+            STR.stream_apply_purchases(stream, inventory, f"{scratch}/state")
+            assert STR.latest_stock(spark, f"{scratch}/state").first()["quantity"] == 55

@@ -16,6 +16,8 @@ checkpoint folder. Nothing is collected to the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,38 +105,51 @@ def run_append(df: DataFrame, out_path: str, checkpoint: str) -> None:
     q.awaitTermination()
 
 
-def run_updates(df: DataFrame, out_path: str, checkpoint: str) -> None:
+def run_updates(df: DataFrame, out_path: str, checkpoint: str, key: str | None = None, compact_every: int = 10) -> None:
     """Run an aggregate in update mode: each micro-batch writes only the keys it changed to
     ``out_path/batch=<id>`` (overwrite, so a replayed batch rewrites the same folder).
-    Nothing proportional to all keys is emitted per trigger."""
-    base = out_path.rstrip("/")
+    Nothing proportional to all keys is emitted per trigger.
+
+    With ``key``, every ``compact_every``-th batch also writes the current row of each key to
+    ``_compact/upto=<id>``, from which ``latest_rows`` starts: a reader's cost is bounded by the keys and the batches since."""
+    base, spark = out_path.rstrip("/"), df.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/batch={batch_id}")
+        if key is not None and (batch_id + 1) % compact_every == 0:
+            # a batch being replayed must not start from a snapshot that already holds it
+            latest_rows(spark, base, key, before=batch_id).write.mode("overwrite").parquet(f"{base}/_compact/upto={batch_id}")
 
     q = (df.writeStream.outputMode("update").foreachBatch(write)
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def latest_rows(spark: SparkSession, out_path: str, key: str) -> DataFrame:
+def latest_rows(spark: SparkSession, out_path: str, key: str, before: int | None = None) -> DataFrame:
     """Current value per key from an update-mode output: the row of the highest batch id
-    (a partial max_by aggregate, no window)."""
-    changes = spark.read.option("basePath", out_path).parquet(out_path)
+    (a partial max_by aggregate, no window), from the last snapshot (earlier than batch ``before``) and the batches after it."""
+    base = out_path.rstrip("/")
+    snapshots = [n for n in finished_batches(spark, f"{base}/_compact", "upto=") if before is None or n < before]
+    start = max(snapshots, default=-1)
+    later = [f"{base}/batch={n}" for n in finished_batches(spark, base) if n > start and (before is None or n <= before)]
+    parts = [spark.read.parquet(f"{base}/_compact/upto={start}").withColumn("batch", F.lit(start))] if snapshots else []
+    if later:
+        parts.append(spark.read.option("basePath", base).parquet(*later))
+    changes = reduce(lambda x, y: x.unionByName(y), parts)
     cols = [c for c in changes.columns if c not in (key, "batch")]
     newest = changes.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("batch")).alias("_v"))
     return newest.select(key, "_v.*")
 
 
-def finished_batches(spark: SparkSession, path: str) -> list[int]:
-    """Ids of the ``batch=<id>`` folders below ``path`` whose writer has finished (``_SUCCESS`` is there)."""
+def finished_batches(spark: SparkSession, path: str, prefix: str = "batch=") -> list[int]:
+    """Ids of the ``batch=<id>`` (or another prefix) folders below ``path`` whose writer has finished (``_SUCCESS`` is there)."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(root):
         return []
-    folders = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith("batch=")]
-    return sorted(int(p.getName()[len("batch="):]) for p in folders
+    folders = [f.getPath() for f in fs.listStatus(root) if f.getPath().getName().startswith(prefix)]
+    return sorted(int(p.getName()[len(prefix):]) for p in folders
                   if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
