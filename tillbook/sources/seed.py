@@ -18,7 +18,7 @@ SEED_USERS = [
 ]
 SEED_IMAGE = "img/garden.png"
 SEED_PRODUCTS = [
-    (1, "Watering Can", "Two-gallon can for beds and pots", "12.50", 40),
+    (1, "Trowel", "Forged, ash handle", "12.50", 40),
     (2, "Clay Pot", "Unglazed, 20 cm", "6.25", 120),
     (3, "Hand Rake", "Short handle, five teeth", "8.00", 60),
     (4, "Seed Mix", "Meadow flowers, one bag", "1.75", 400),
