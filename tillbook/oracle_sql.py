@@ -46,7 +46,7 @@ m_tracking AS (
          CAST(NULL AS VARCHAR) AS location, event_type AS notes, ts AS created_at
   FROM events),
 m_payments AS (
-  SELECT event_id AS id, event_id % 5000 AS order_id, 'WV' || CAST(event_id AS VARCHAR) AS transaction_id,
+  SELECT event_id AS id, event_id // 2 AS order_id, 'WV' || CAST(event_id AS VARCHAR) AS transaction_id,
          CASE WHEN event_type = 'error' THEN CAST(user_id AS VARCHAR)
               ELSE lpad(CAST(user_id AS VARCHAR), 10, '0') END AS phone_number,
          CAST(value AS DECIMAL(10,2)) AS amount,
@@ -56,7 +56,7 @@ m_payments AS (
          ts AS created_at, CASE WHEN event_type = 'purchase' THEN ts END AS completed_at
   FROM events),
 m_cart_events AS (
-  SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS product_id,
+  SELECT event_id, user_id, user_id * 13 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 13 AS product_id,
          CASE event_type WHEN 'click' THEN 'add' WHEN 'view' THEN 'set' WHEN 'error' THEN 'remove'
               WHEN 'purchase' THEN 'checkout' END AS action,
          CAST(1 + CAST(floor(value) AS BIGINT) % 9 AS INTEGER) AS quantity, ts AS event_time
@@ -706,7 +706,7 @@ FROM m_inventory_report""")
 
 _EVENT_SALES = """
 m_esales AS (
-  SELECT event_id AS sale_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS product_id,
+  SELECT event_id AS sale_id, user_id, user_id * 13 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 13 AS product_id,
          CAST(1 + CAST(floor(value) AS BIGINT) % 9 AS INTEGER) AS quantity, CAST(value AS DECIMAL(10,2)) AS total_amount,
          ts AS transaction_date FROM events WHERE event_type = 'purchase')
 """
@@ -726,7 +726,7 @@ FROM m_inventory i LEFT JOIN (SELECT product_id, sum(quantity) AS total_sales, s
 
 _STR4 = """
 m_sreqs AS (
-  SELECT event_id AS request_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) % 20 AS product_id,
+  SELECT event_id AS request_id, user_id, user_id * 13 + CAST(json_extract_string(props, '$.k') AS BIGINT) % 13 AS product_id,
          CAST(1 + CAST(floor(value) AS BIGINT) % 9 AS INTEGER) AS quantity, ts AS requested_at FROM events),
 m_sstock0 AS (SELECT id, price, CAST(quantity AS BIGINT) AS stock FROM m_inventory),
 m_sseq AS (

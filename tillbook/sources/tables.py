@@ -20,7 +20,6 @@ ORDER_STATUS_FROM_TPCH = {"F": "delivered", "O": "pending", "P": "processing"}
 TRACKING_FROM_EVENT = {"signup": "order_placed", "click": "processing", "view": "in_transit",
                        "purchase": "delivered", "error": "cancelled"}
 CART_ACTION_FROM_EVENT = {"click": "add", "view": "set", "error": "remove", "purchase": "checkout"}
-PAYMENT_ORDERS = 5000
 
 
 def read_table(spark: SparkSession, path: str, name: str | None = None) -> DataFrame:
@@ -176,7 +175,7 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("event_type")
     return e.select(
         F.col("event_id").alias("id"),
-        (F.col("event_id") % PAYMENT_ORDERS).alias("order_id"),
+        F.floor(F.col("event_id") / 2).cast("long").alias("order_id"),
         F.concat(F.lit("WV"), F.col("event_id").cast("string")).alias("transaction_id"),
         F.when(kind == "error", F.col("user_id").cast("string"))
          .otherwise(F.lpad(F.col("user_id").cast("string"), 10, "0")).alias("phone_number"),
@@ -189,13 +188,18 @@ def payments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_product():
+    """The product an event is about: 13 for each user, so that products grow with the users."""
+    return F.col("user_id") * 13 + F.get_json_object("props", "$.k").cast("long") % 13
+
+
 def cart_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events -> cart events (add / set / remove / checkout); sign-ups are not cart events."""
     e = raw(spark, sf_dir, "events").where(F.col("event_type") != "signup")
     return e.select(
         F.col("event_id"),
         F.col("user_id"),
-        (F.get_json_object("props", "$.k").cast("long") % 20).alias("product_id"),
+        event_product().alias("product_id"),
         _case("event_type", CART_ACTION_FROM_EVENT).alias("action"),
         (F.lit(1) + F.floor("value").cast("long") % 9).cast("int").alias("quantity"),
         F.col("ts").alias("event_time"),

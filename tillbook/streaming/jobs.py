@@ -26,7 +26,7 @@ from ..core import scratch_path
 from ..operators.joins import SUM_MONEY
 from ..operators.purchases import apply_purchases
 from ..sources.schemas import MONEY
-from ..sources.tables import TRACKING_FROM_EVENT, _case
+from ..sources.tables import TRACKING_FROM_EVENT, _case, event_product
 
 EVENTS_SCHEMA = T.StructType([
     T.StructField("event_id", T.LongType()), T.StructField("ts", T.TimestampNTZType()),
@@ -51,7 +51,7 @@ def sales_from_events(events: DataFrame) -> DataFrame:
     """Purchase events as sales rows (works on a batch or a streaming DataFrame)."""
     return events.where(F.col("event_type") == "purchase").select(
         F.col("event_id").alias("sale_id"), F.col("user_id"),
-        (F.get_json_object("props", "$.k").cast("long") % 20).alias("product_id"),
+        event_product().alias("product_id"),
         (F.lit(1) + F.floor("value").cast("long") % 9).cast("int").alias("quantity"),
         F.col("value").cast(MONEY).alias("total_amount"), F.col("ts").alias("transaction_date"))
 
@@ -63,10 +63,10 @@ def tracking_from_events(events: DataFrame) -> DataFrame:
 
 
 def purchase_requests_from_events(events: DataFrame) -> DataFrame:
-    """Every event as a purchase request of a product (k mod 20) and 1-9 units."""
+    """Every event as a purchase request of its product and 1-9 units."""
     return events.select(
         F.col("event_id").alias("request_id"), F.col("user_id"),
-        (F.get_json_object("props", "$.k").cast("long") % 20).alias("product_id"),
+        event_product().alias("product_id"),
         (F.lit(1) + F.floor("value").cast("long") % 9).cast("int").alias("quantity"),
         F.col("ts").alias("requested_at"))
 
