@@ -327,23 +327,18 @@ def _round_reduce(percent: int, top: int):
 # -- comparison --------------------------------------------------------------------------------------
 
 def _compare_map(k: int, percent: int):
-    def sets(column):
-        data, offsets = text_buffers(column)
-        parts = [distinct_by_row(*shingles(data, offsets, a, b, k), b - a) + (a,) for a, b in pieces(offsets)]
-        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] + p[2] for p in parts])
-
     def run(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            (ha, ra), (hb, rb) = sets(batch.column("text_a")), sets(batch.column("text_b"))
-            na, nb = (np.bincount(r, minlength=batch.num_rows) for r in (ra, rb))
-            h, rows = np.concatenate([ha, hb]), np.concatenate([ra, rb])
-            by = np.lexsort((h, rows))
-            twice = (h[by][1:] == h[by][:-1]) & (rows[by][1:] == rows[by][:-1])
-            both = np.bincount(rows[by][1:][twice], minlength=batch.num_rows)
-            linked = pa.array(100 * both >= percent * (na + nb - both))
-            yield batch.select(["u", "v"]).filter(linked)
+            (da, oa), (db, ob) = text_buffers(batch.column("text_a")), text_buffers(batch.column("text_b"))
+            for a, b in pieces((oa - oa[0]) + (ob - ob[0])):  # a few megabytes of both texts at a time
+                n = b - a
+                (ha, ra), (hb, rb) = (distinct_by_row(*shingles(d, o, a, b, k), n) for d, o in ((da, oa), (db, ob)))
+                na, nb = (np.bincount(r, minlength=n) for r in (ra, rb))
+                h, rows = np.concatenate([ha, hb]), np.concatenate([ra, rb])
+                by = np.lexsort((h, rows))
+                twice = (h[by][1:] == h[by][:-1]) & (rows[by][1:] == rows[by][:-1])
+                both = np.bincount(rows[by][1:][twice], minlength=n)
+                yield batch.select(["u", "v"]).slice(a, n).filter(pa.array(100 * both >= percent * (na + nb - both)))
     return run
 
 
