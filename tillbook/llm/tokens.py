@@ -13,7 +13,7 @@ import pyarrow as pa
 
 #: Separators of the word rule ``[^\\x20\\x09-\\x0D]+``.
 SPACES = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
-PIECE_BYTES = 3 << 20
+PIECE_BYTES, PIECE_ROWS = 1 << 20, 8192
 
 _U = np.uint64
 _MULT = 0x9E3779B97F4A7C15
@@ -57,12 +57,11 @@ def text_buffers(column: pa.Array):
     """(bytes as uint8, offsets as int64 with one more entry than rows); a null text has no bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if column.type != pa.large_string() and column.type != pa.large_binary():
-        column = column.cast(pa.large_string() if pa.types.is_string(column.type) else pa.large_binary())
-    n = len(column)
+    n, wide = len(column), pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     if n == 0 or column.buffers()[2] is None:
         return np.zeros(0, np.uint8), np.zeros(n + 1, np.int64)
-    offsets = np.frombuffer(column.buffers()[1], np.int64, n + 1, column.offset * 8)
+    width = np.int64 if wide else np.int32
+    offsets = np.frombuffer(column.buffers()[1], width, n + 1, column.offset * width().itemsize).astype(np.int64)
     data = np.frombuffer(column.buffers()[2], np.uint8)
     if column.null_count:
         null = np.asarray(column.is_null())
@@ -73,11 +72,11 @@ def text_buffers(column: pa.Array):
 
 
 def pieces(offsets: np.ndarray, size: int = PIECE_BYTES):
-    """Row ranges [a, b) of at most ``size`` bytes each, or of one row if that row is longer."""
+    """Row ranges [a, b) of at most ``size`` bytes and PIECE_ROWS rows each, or of one row if that row is longer."""
     n, a = len(offsets) - 1, 0
     while a < n:
         b = int(np.searchsorted(offsets, offsets[a] + size, side="right")) - 1
-        b = min(max(b, a + 1), n)
+        b = min(max(b, a + 1), a + PIECE_ROWS, n)
         yield a, b
         a = b
 
