@@ -30,7 +30,7 @@ LEAST, NORMAL, MOST = 32, 64, 256
 #: Leading zero bits that end a chunk below and above the normal size.
 HARD_BITS, EASY_BITS = 7, 5
 SLICES = 65536
-PART_BYTES = 16 << 20
+PART_BYTES = 4 << 20
 _PIECE = 4 << 20
 _GEAR = np.random.default_rng(77).integers(0, 1 << 32, 256, dtype=np.uint32)
 
