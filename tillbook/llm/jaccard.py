@@ -382,7 +382,7 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, sk
     wanted = pairs.select(F.col("x").alias("s1")).union(pairs.select("y")).union(open_lists.select("x")).distinct()
     copies = members.groupBy("o", "th").agg((F.count(F.lit(1)) > 1).alias("repeated"))
     wanted = cut_lineage(classes.join(wanted, "s1", "left_semi").select("c", "o", "th").join(copies, ["o", "th"]), "wanted")
-    kept_texts = cut_lineage(texts.join(small_or_joined(wanted, wanted.count()), ["o", "th"]).select("c", "repeated", "text"), "texts")
+    kept_texts = cut_lineage(texts.join(wanted, ["o", "th"]).select("c", "repeated", "text"), "texts")
     if not wanted.where("repeated").isEmpty():  # equal ids with equal texts are repeated rows: one of them is enough
         kept_texts = cut_lineage(kept_texts.where("not repeated").unionByName(
             kept_texts.where("repeated").dropDuplicates(["c"])), "texts")
