@@ -183,3 +183,17 @@ def test_proximity(make, spark):
     got = {(r.doc_id, r.exact) for r in found.collect()}
     assert (1, True) in got and (2, True) not in got and not [x for x in got if x[0] == 4]
     assert {d for d, _ in got} >= {1, 2}
+
+
+@pytest.mark.parametrize("top", [11, 13, 20])
+def test_jaccard_light_sets_of_two_sizes(make, monkeypatch, top):
+    """Two extensions of one set link with it, not with each other, whichever of them has the smallest hash."""
+    monkeypatch.setattr(jaccard, "boundary", lambda *a: top)
+    rows = []
+    for i in range(30):
+        ws = [f"l{i}_{j}" for j in range(12)]
+        rows += [(3 * i, " ".join(ws + ["one"])), (3 * i + 1, " ".join(ws + ["two"])), (3 * i + 2, " ".join(ws))]
+        more = [f"m{i}_{j}" for j in range(12)]  # the other way round: one set within two, and two smaller ones within it
+        rows += [(1000 + 4 * i, " ".join(more)), (1001 + 4 * i, " ".join(more[1:])), (1002 + 4 * i, " ".join(more[:-1]))]
+    got = jaccard.jaccard_groups(make(rows)).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows)

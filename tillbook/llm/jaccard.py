@@ -4,7 +4,8 @@ Two documents link when 100 * |A and B| >= percent * |A or B|. Documents of equa
 classes are compared.
 
 * Light sets (up to a size chosen by cost): for each size the partner may have, the size c that the
-  intersection must reach is fixed, and every c-subset is enumerated as a hash. Equal hashes are links.
+  intersection must reach is fixed, and every c-subset is enumerated as a hash. Equal hashes are links between
+  sets of these two sizes (not among sets of the larger one, whose overlap must be higher).
 * Heavy sets: inverted lists are scanned for the shingles of a set that come first in a global order, rare
   ones first; linked sets share one of their first n - ceil(percent * n) + 1. The order comes from a counting
   sketch of all shingles (2^18 counters, whatever the input); any order gives whole results.
@@ -150,8 +151,11 @@ def boundary(sizes: np.ndarray, counts: np.ndarray, percent: int) -> int:
 
 
 def _light_keys(h, rows, first, size, percent: int, top: int):
-    """(key, row) of every enumerated subset; a subset's hash is the sum of its members' hashes."""
-    keys, owners = [], []
+    """(key, row, side) of every enumerated subset; a subset's hash is the sum of its members' hashes.
+
+    The side is 0 for partners of the same size, else 1 for the smaller and 2 for the larger set.
+    """
+    keys, owners, sides = [], [], []
     for n in np.unique(size[(size > 0) & (size <= top)]):
         own = np.flatnonzero(size == n)
         members = mix(h[first[own][:, None] + np.arange(n)], 11)
@@ -162,9 +166,28 @@ def _light_keys(h, rows, first, size, percent: int, top: int):
             salt = (min(int(n), b) << 20) | max(int(n), b)
             keys.append(mix(part, salt).ravel())
             owners.append(np.repeat(rows[first[own]], len(pick)))
+            sides.append(np.full(len(owners[-1]), 0 if b == n else 1 if n < b else 2, np.int32))
     if not keys:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(owners)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+    return np.concatenate(keys), np.concatenate(owners), np.concatenate(sides)
+
+
+def _light_pairs(key, s, side):
+    """(x, y) that connect all sets linked by a key: a star for one size, two stars across for two sizes.
+
+    Sets of equal side share a key without being linked, unless the side is 0; so the first set of each side is paired
+    with all sets of the other.
+    """
+    by = np.lexsort((s, side, key))
+    key, s, side = key[by], s[by], side[by]
+    first = group_starts(key)
+    low = spread(first, first, len(key))
+    large = np.searchsorted(np.flatnonzero(side == 2), first)  # first set of the larger size at or after the group's start
+    large = np.r_[np.flatnonzero(side == 2), len(key)][large]
+    high = spread(first, large, len(key))
+    both = (side[low] == 1) & (key[np.minimum(high, len(key) - 1)] == key) & (high < len(key))
+    equal, up, down = side == 0, both & (side == 2), both & (side == 1)
+    return np.concatenate([s[low[equal]], s[low[up]], s[high[down]]]), np.concatenate([s[equal], s[up], s[down]])
 
 
 # -- postings ----------------------------------------------------------------------------------------
@@ -192,8 +215,8 @@ def _posting_map(counts: np.ndarray, bits: int, k: int, percent: int, top: int,
             if s1[i] not in sent:
                 sent.add(s1[i])
                 new[i] = True
-        keys, owner = _light_keys(h, rows, first, np.where(new, size, 0), percent, top)
-        light = [keys, s1[owner].view(np.int64), size[owner].astype(np.int32)]
+        keys, owner, side = _light_keys(h, rows, first, np.where(new, size, 0), percent, top)
+        light = [keys, s1[owner].view(np.int64), side]
         use = new[rows] & (size[rows] >= scanned)
         h, rows = h[use], rows[use]
         common = rank[(h >> np.uint64(64 - bits)).astype(np.int64)]
@@ -261,10 +284,7 @@ def _posting_reduce(percent: int, top: int):
         meta = unpack_all(_of_kind(table, 1), _META)
         if len(meta[0]):
             out.append(_rows(_DOC, o=meta[0], th=meta[1], s1=meta[2], s2=meta[3], n=meta[4], **{f"g{i}": meta[5 + i] for i in range(_SIG)}))
-        key, s, n = unpack_all(_of_kind(table, 2), _KEY)
-        by = np.lexsort((s, key))
-        first = group_starts(key[by])
-        out.append(_pairs(spread(first, s[by][first], len(by)), s[by]))
+        out.append(_pairs(*_light_pairs(*unpack_all(_of_kind(table, 2), _KEY))))
         e, s, n, pos = unpack_all(_of_kind(table, 0), _POSTING)
         by = np.lexsort((s, e))
         keep = by[group_starts(e[by], s[by])]
