@@ -197,3 +197,13 @@ def test_jaccard_light_sets_of_two_sizes(make, monkeypatch, top):
         rows += [(1000 + 4 * i, " ".join(more)), (1001 + 4 * i, " ".join(more[1:])), (1002 + 4 * i, " ".join(more[:-1]))]
     got = jaccard.jaccard_groups(make(rows)).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows)
+
+
+def test_one_of_each_group_keeps_unrelated_texts_of_equal_ids(make):
+    """Null and repeated ids: texts without a link all stay, linked ones leave one."""
+    text = lambda i: " ".join(f"u{i}_{j}" for j in range(40))
+    alone = [(None, text(i)) for i in range(20)] + [(7, text(i)) for i in range(20, 30)]
+    linked = [(None, text(40)), (None, text(40) + " more"), (None, text(40)), (7, text(41)), (7, text(41) + " more")]
+    kept = Counter((r.doc_id, r.text) for r in jaccard.one_of_each_group(make(alone + linked)).collect())
+    assert all(kept[x] == 1 for x in alone)
+    assert sum(kept.values()) == len(alone) + 2 and sum(kept[x] for x in set(linked[:3])) == 1

@@ -380,9 +380,13 @@ def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, perc
             .mapInArrow(_compare_map(k, percent), "u string, v string"))
 
 
-def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS,
-                   bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """(doc_id, text_key, n_shingles, component_id), one row per document."""
+def _members(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, sketch_bits: int = SKETCH_BITS,
+             bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+    """(o, th, n, component, least), one row per document.
+
+    ``component`` is the smallest name of the component's classes, null without words; ``least`` its smallest id, which
+    unrelated components may share.
+    """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("o"), F.xxhash64(text).alias("th"), text.alias("text"))
@@ -423,21 +427,24 @@ def jaccard_groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, sk
     comp = classes.join(label.select(F.col("node").alias("c"), "component"), "c", "left")
     least = comp.withColumn("component", F.coalesce("component", "c"))
     ids = least.groupBy("component").agg(F.min("o").alias("component_id"))
-    ids = least.join(ids, "component").select(F.col("c").alias("class"), "component_id")
+    ids = least.join(ids, "component").select(F.col("c").alias("class"), "component", "component_id")
     own = members.withColumn("class", F.when(F.col("n") > 0, name))
+    return own.join(ids, "class", "left").select("o", "th", "n", "component", F.coalesce("component_id", "o").alias("least"))
+
+
+def jaccard_groups(docs: DataFrame, **options) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component_id), one row per document."""
     null_id = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    joined = own.join(ids, "class", "left").withColumn("component_id", F.coalesce("component_id", "o"))
-    return joined.select(null_id("o").alias("doc_id"), F.col("th").alias("text_key"), F.col("n").cast("long").alias("n_shingles"),
-                         null_id("component_id").alias("component_id"))
+    return _members(docs, **options).select(null_id("o").alias("doc_id"), F.col("th").alias("text_key"),
+                                            F.col("n").cast("long").alias("n_shingles"), null_id("least").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, **options) -> DataFrame:
     """One row of each linked group of ``docs``, the one of the smallest id, with all its columns; texts without words all stay."""
-    groups = jaccard_groups(docs, **options)
     o, th = free_name("_o", docs.columns), free_name("_th", docs.columns)
-    order = F.struct(F.coalesce("doc_id", F.lit(_NO_ID)).alias(o), F.col("text_key").alias(th))
-    stays = (groups.where("n_shingles > 0").withColumn("component_id", F.coalesce("component_id", F.lit(_NO_ID)))
-             .groupBy("component_id").agg(F.min(order).alias("k")).select(f"k.{o}", f"k.{th}"))
+    order = F.struct(F.col("o").alias(o), F.col("th").alias(th))
+    stays = (_members(docs, **options).where("n > 0").groupBy("component")
+             .agg(F.min(order).alias("k")).select(f"k.{o}", f"k.{th}"))
     text = F.coalesce("text", F.lit(""))
     keyed = docs.withColumns({o: F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), th: F.xxhash64(text)})
     wordless = count_words(F.col("text"), SPACE_RE) == 0
