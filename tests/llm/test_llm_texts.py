@@ -207,3 +207,13 @@ def test_one_of_each_group_keeps_unrelated_texts_of_equal_ids(make):
     kept = Counter((r.doc_id, r.text) for r in jaccard.one_of_each_group(make(alone + linked)).collect())
     assert all(kept[x] == 1 for x in alone)
     assert sum(kept.values()) == len(alone) + 2 and sum(kept[x] for x in set(linked[:3])) == 1
+
+
+def test_decontamination_null_ids(make, spark):
+    """Documents without an id are found like others, and told apart by their texts."""
+    docs = [(None, "x " + ITEMS[0][1]), (None, "y y " + ITEMS[0][1]), (None, "clean words only"), (None, "x " + ITEMS[0][1]), (4, ITEMS[0][1])]
+    items = spark.createDataFrame(ITEMS, "item_id string, text string")
+    got = decontam.decontaminate(make(docs), items).collect()
+    expected = brute_leaks(docs, ITEMS)
+    assert Counter((r.doc_id, r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in got) == expected
+    assert [r.text for r in decontam.clean_documents(make(docs), items).collect()] == ["clean words only"]

@@ -11,7 +11,7 @@ uses A-Z lower-casing alone.
 
 Defined cases: a null or empty text has no words and is clean; an item without words occurs nowhere; an item of
 fewer than 10 words is one window; repeated items each count, repeated windows are looked up once; null item
-ids are left out of the list of items; rows of equal id and text share their hits; equal ids with different texts are kept apart; empty tables give no
+ids are left out of the list of items; documents with a null id are looked up like others; rows of equal id and text share their hits; equal ids with different texts are kept apart; empty tables give no
 rows or no hits. Other columns are not read.
 """
 
@@ -84,7 +84,9 @@ def matches(lookups: DataFrame, postings: DataFrame, slack: int = 0) -> DataFram
     first = first.withColumn("bin", F.floor(F.col("start") / span))
     bins = [F.floor(F.col("start2") / span) + i for i in ((-1, 0, 1) if slack else (0,))]
     second = second.withColumn("bin", F.explode(F.array(*bins))).distinct()
-    near = first.join(second, ["words", "doc_id", "text_key", "bin"]).where(F.abs(F.col("start") - F.col("start2")) <= slack)
+    second = second.select(F.col("words").alias("words2"), F.col("doc_id").alias("doc_id2"), F.col("text_key").alias("text_key2"), "start2", F.col("bin").alias("bin2"))
+    met = (F.col("words") == F.col("words2")) & F.col("doc_id").eqNullSafe(F.col("doc_id2")) & (F.col("text_key") == F.col("text_key2")) & (F.col("bin") == F.col("bin2"))
+    near = first.join(second, met).where(F.abs(F.col("start") - F.col("start2")) <= slack)
     phrase = F.slice("context", F.greatest(F.col("start") - F.col("low") + 1, F.lit(1)).cast("int"), F.size("words"))
     exact = (F.col("start") >= F.col("low")) & (F.col("start") == F.col("start2")) & (
         F.transform(phrase, ascii_lower) == F.col("words"))
@@ -112,9 +114,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
                .select("doc_id", "text_key", F.explode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("pos"))
                .distinct().groupBy("doc_id", "text_key").agg(F.count(F.lit(1)).alias("n_hit")))
     seen = found.select("doc_id", "text_key", "words").distinct().join(windows.where("item_id is not null").distinct(), "words")
-    listed = (seen.select("doc_id", "text_key", "item_id").distinct().groupBy("doc_id", "text_key")
+    listed = (seen.select("doc_id", "text_key", "item_id").distinct().groupBy(F.col("doc_id").alias("item_doc"), F.col("text_key").alias("item_key"))
               .agg(F.sort_array(F.collect_list("item_id")).alias("items")))
-    hits = covered.join(listed, ["doc_id", "text_key"], "left").select(
+    hits = covered.join(listed, F.col("doc_id").eqNullSafe(F.col("item_doc")) & (F.col("text_key") == F.col("item_key")), "left").select(
         F.col("doc_id").alias("hit_id"), F.col("text_key").alias("hit_key"), "n_hit", "items")
     rows = _keyed(docs).select("doc_id", "text_key", count_words(F.col("text"), LETTER_RE).alias("n_words"))
     none = F.array().cast("array<string>")
