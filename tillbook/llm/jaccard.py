@@ -36,7 +36,7 @@ from ..core import cut_lineage
 from .common import SPACE_RE, count_words, free_name, small_or_joined
 from .components import components
 from .packing import by_bucket, group_starts, spread, unpack_all
-from .substring import _blobs, _of_kind
+from .substring import _blobs, _of_kind, anywhere
 from .tokens import SPACES, byte_table, mix, pieces, text_buffers, window_hashes, word_hashes, word_spans
 
 SHINGLE, PERCENT = 3, 90
@@ -240,7 +240,7 @@ def _posting_map(counts: np.ndarray, bits: int, k: int, percent: int, top: int,
                 continue
             meta, light, heavy = ([np.concatenate(c) for c in zip(*group)] for group in zip(*parts))
             place = lambda x: (mix(x.view(np.uint64), 5) % np.uint64(buckets)).astype(np.int64)
-            out = [(x, 1, blob) for x, blob in by_bucket(place(meta[1]), meta)]
+            out = [(x, 1, blob) for x, blob in by_bucket(anywhere(buckets, meta[0], meta[1], np.arange(len(meta[0]))), meta)]
             out += [(x, 2, blob) for x, blob in by_bucket(place(light[0]), light)]
             out += [(x, 0, blob) for x, blob in by_bucket(place(heavy[0]), heavy)]
             if out:

@@ -12,7 +12,8 @@ sampled in both documents.
 3. The covered words are cut from the texts.
 
 Steps 1 and 2 combine equal hashes of a batch of rows before the shuffle: a passage in a third of all documents sends one
-entry per batch, the other documents are answered on the spot. Buckets hold about ``bucket_bytes`` of text. A window's
+entry per batch, the other documents are answered on the spot; these answers go to buckets by id and text, and rows of equal
+id and text are sent once per batch, so copies of one text spread over all buckets. Buckets hold about ``bucket_bytes`` of text. A window's
 bucket follows its smallest anchor, so neighbouring windows stay together and travel as runs.
 
 Defined cases: null and empty texts have no words and keep an empty text; a null id ranks above every other
@@ -64,14 +65,14 @@ def _anchor_map(window: int, period: int, cover: tuple[int, ...], buckets: int):
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
             order, key = (np.asarray(batch.column(c)) for c in ("o", "th"))
-            found = []
+            once, found = _once(order, key), []
             for a, b in pieces(offsets):
                 starts, ends, rows, at, count, _ = _words(data, offsets, a, b)
                 h = window_hashes(word_hashes(data, starts, ends), k)
                 if not len(h):
                     continue
                 rows, at = rows[:len(h)], at[:len(h)]
-                use = np.flatnonzero(covered[at % period] & (at + k <= count[rows]) & (count[rows] >= window))
+                use = np.flatnonzero(covered[at % period] & (at + k <= count[rows]) & (count[rows] >= window) & once[rows + a])
                 found.append((h[use], rows[use] + a, at[use].astype(np.int32)))
             if not found:
                 continue
@@ -85,12 +86,28 @@ def _anchor_map(window: int, period: int, cover: tuple[int, ...], buckets: int):
             send = np.sort(np.r_[by[~spread(first, shared, len(by))], by[first[shared]]])
             out = [(x, 0, blob) for x, blob in by_bucket((h[send] % np.uint64(buckets)).astype(np.int64), [h[send], o[send], th[send], at[send]])]
             known = np.sort(known)
-            out += [(x, 1, blob) for x, blob in by_bucket((mix(th[known].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), [o[known], th[known], at[known]])]
+            out += [(x, 1, blob) for x, blob in by_bucket(anywhere(buckets, o[known], th[known]), [o[known], th[known], at[known]])]
             if out:
                 yield _blobs(out)
     return run
 
 
+def anywhere(buckets: int, *columns: np.ndarray) -> np.ndarray:
+    """A bucket for each of some entries that need no grouping, by the given columns."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = mix(h + c.astype(np.int64).view(np.uint64), 9)
+    return (h % np.uint64(buckets)).astype(np.int64)
+
+
+def _once(o: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """Whether each row is the first of its id and text in this batch; the others get its result."""
+    by = np.lexsort((th, o))
+    first = np.zeros(len(o), bool)
+    first[by[group_starts(o[by], th[by])]] = True
+    return first
+
+
 def _blobs(rows) -> pa.RecordBatch:
     bucket, kind, blob = zip(*rows)
     return pa.RecordBatch.from_arrays([pa.array(bucket, pa.int64()), pa.array(kind, pa.int32()), pa.array(blob, pa.binary())],
@@ -129,7 +146,7 @@ def _window_map(window: int, period: int, buckets: int):
             order, key = (np.asarray(batch.column(c)) for c in ("o", "th"))
             anchors = batch.column("at")
             marks, mark_at = np.asarray(anchors.offsets).astype(np.int64), np.asarray(anchors.values)
-            found = []
+            once, found = _once(order, key), []
             for a, b in pieces(offsets):
                 starts, ends, rows, at, count, first = _words(data, offsets, a, b)
                 h = word_hashes(data, starts, ends)
@@ -142,7 +159,7 @@ def _window_map(window: int, period: int, buckets: int):
                 edge = np.zeros(len(h) + 1, np.int64)
                 np.add.at(edge, first[row_of[ok]] + low[ok], 1)
                 np.add.at(edge, first[row_of[ok]] + high[ok] + 1, -1)
-                use = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
+                use = np.flatnonzero((np.cumsum(edge[:-1]) > 0) & once[rows + a])
                 small = sliding_min(window_hashes(h, k), period)
                 found.append((window_hashes(h, window)[use], small[use], rows[use] + a, at[use].astype(np.int32)))
             if not found:
@@ -171,7 +188,7 @@ def _window_map(window: int, period: int, buckets: int):
             first, n = _runs(o[gone], th[gone], at[gone])
             if len(first):
                 g = gone[first]
-                out += [(x, 1, blob) for x, blob in by_bucket((mix(th[g].view(np.uint64)) % np.uint64(buckets)).astype(np.int64), [o[g], th[g], (at[g].astype(np.int64) << 32) | n])]
+                out += [(x, 1, blob) for x, blob in by_bucket(anywhere(buckets, o[g], th[g]), [o[g], th[g], (at[g].astype(np.int64) << 32) | n])]
             if out:
                 yield _blobs(out)
     return run
