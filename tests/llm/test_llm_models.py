@@ -198,3 +198,27 @@ def test_pipeline_stages(spark, make, rows, scratch):
 
 def test_pipeline_run(spark):
     assert corpus_pipeline.run(spark, SF_SMALL).count() > 0
+
+
+def test_quality_sample_of_repeated_ids(make, spark, monkeypatch):
+    """An id with many rows takes one place of the sample, and long texts are learned whole."""
+    long = " ".join(f"long{i}" for i in range(3000))
+    docs = make([(0, f"copy {i}") for i in range(60)] + [(i, f"text {i}") for i in range(1, 9)] + [(9, long)] * 3)
+    labels = spark.createDataFrame([(i, int(i > 4)) for i in range(10)] + [(0, 0), (77, 1)], "doc_id long, label int")
+    seen = {}
+    monkeypatch.setattr(quality, "fit", lambda texts, labels: seen.update(texts=texts, labels=labels))
+    quality.train(docs, labels, max_rows=10)
+    assert sorted(seen["labels"]) == [0] * 5 + [1] * 5
+    whole = int(quality.chunk_counts(np.array([len(long)]))[0])
+    assert whole > 100 and sorted(map(len, seen["texts"])) == [1] * 9 + [whole]
+    quality.train(docs, labels, max_rows=6)
+    assert len(seen["labels"]) == 6 and set(seen["labels"]) == {0, 1}
+
+
+def test_gradients_do_not_depend_on_blocks(monkeypatch):
+    net, rng = quality.Network(1), np.random.default_rng(0)
+    data = rng.integers(1, 255, (9, quality.CHUNK + quality.WIDTH - 1)).astype(np.uint8)
+    count, target = np.array([2, 7]), np.array([0.0, 1.0], np.float32)
+    whole = quality._gradients(net, data, count, target)
+    monkeypatch.setattr(quality, "_FIT_CHUNKS", 4)
+    assert all(np.allclose(g, whole[k], atol=1e-5) for k, g in quality._gradients(net, data, count, target).items())

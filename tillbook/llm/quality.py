@@ -4,12 +4,13 @@ Every byte of a text has a small learned vector; filters of eight bytes run over
 max-pooled over chunks of 256 positions, of which neighbouring ones overlap by 64 and which together cover the whole text.
 The mean and the maximum of the chunks' pools go through one logistic unit.
 
-Training takes place on a bounded sample of labelled rows (``max_rows``, chosen by a hash of the id, with at most ``max_chunks``
-evenly spaced chunks each), by Adam with fixed seeds, on the driver. Scoring reads every byte of every text, in
+Training takes place on a bounded sample of labelled rows that have a document (``max_rows``, chosen by a hash of the id), on all
+chunks of their texts, by Adam with fixed seeds, on the driver, which holds these texts. Scoring reads every byte of every text, in
 numpy inside tasks, a bounded block of bytes at a time.
 
 Defined cases: null and empty texts are scored as one chunk of padding; label rows without id or label, or
-whose document is missing, are left out; a document with several labels counts with each; without any labels, or with one
+whose document is missing, are left out; a document with several labels counts once with each; of the
+documents of a repeated id the one of the smallest text hash is learned; without any labels, or with one
 kind only, every score is that share (0.5 without labels); repeated rows score alike; an empty table gives no rows.
 """
 
@@ -26,8 +27,9 @@ from .tokens import pieces, text_buffers
 
 WIDTH, DIM, FILTERS = 8, 4, 16
 BLOCK, CHUNK, STEP = 64, 256, 192
-MAX_ROWS, MAX_CHUNKS, EPOCHS, BATCH, RATE = 3000, 12, 14, 32, 0.004
+MAX_ROWS, EPOCHS, BATCH, RATE = 3000, 14, 32, 0.004
 _AT_ONCE = 1 << 18
+_FIT_CHUNKS = 512
 
 
 def chunk_counts(lengths: np.ndarray) -> np.ndarray:
@@ -35,10 +37,10 @@ def chunk_counts(lengths: np.ndarray) -> np.ndarray:
     return 1 + np.maximum(0, -(-(np.asarray(lengths) - CHUNK) // STEP))
 
 
-def text_chunks(raw: bytes, most: int) -> list[bytes]:
-    """At most ``most`` evenly spaced chunks of a text, each with the bytes its last windows reach."""
+def text_chunks(raw: bytes, most: int | None = None) -> list[bytes]:
+    """All or at most ``most`` evenly spaced chunks of a text, each with the bytes its last windows reach."""
     n = int(chunk_counts(np.array([len(raw)]))[0])
-    pick = np.unique(np.linspace(0, n - 1, min(n, most)).round().astype(int))
+    pick = np.unique(np.linspace(0, n - 1, min(n, most or n)).round().astype(int))
     size = CHUNK + WIDTH - 1
     return [raw[i * STEP:i * STEP + size].ljust(size, b"\0") for i in pick]
 
@@ -88,12 +90,8 @@ class Network:
 def _gradients(net: Network, chunk_bytes: np.ndarray, count: np.ndarray, target: np.ndarray):
     """Gradients of the mean log loss over rows; chunk_bytes is [chunks, CHUNK + WIDTH - 1]."""
     p, n = net.p, len(count)
-    flat = p["emb"][chunk_bytes]
-    size = flat.strides
-    windows = np.lib.stride_tricks.as_strided(flat, (len(flat), CHUNK, WIDTH * DIM), (size[0], size[1], size[2]))
-    values = np.maximum(windows.reshape(-1, WIDTH * DIM) @ p["filters"] + p["shift"], 0).reshape(len(flat), CHUNK, FILTERS)
-    peak = values.argmax(axis=1)
-    pool = np.take_along_axis(values, peak[:, None, :], axis=1)[:, 0, :]
+    blocks = [slice(a, a + _FIT_CHUNKS) for a in range(0, len(chunk_bytes), _FIT_CHUNKS)]  # a long text has many chunks
+    peak, pool = (np.concatenate(x) for x in zip(*[_peaks(net, chunk_bytes[x]) for x in blocks]))
     features = net.combine(pool, count)
     error = (1 / (1 + np.exp(-np.clip(features @ p["out"] + p["bias"][0], -40, 40))) - target) / n
     back = error[:, None] * p["out"][None, :]
@@ -101,16 +99,27 @@ def _gradients(net: Network, chunk_bytes: np.ndarray, count: np.ndarray, target:
     is_top = pool == features[row, FILTERS:]
     d_pool = (back[row, :FILTERS] / count[row][:, None] + back[row, FILTERS:] * is_top) * (pool > 0)
     grads = {"out": features.T @ error, "bias": np.array([error.sum()], np.float32), "shift": d_pool.sum(axis=0)}
-    chunk = np.arange(len(flat))
     d_filters, d_emb = np.zeros_like(p["filters"]), np.zeros_like(p["emb"])
-    for f in range(FILTERS):
-        d_filters[:, f] = d_pool[:, f] @ windows[chunk, peak[:, f]]
-        under = chunk_bytes[chunk[:, None], peak[:, f][:, None] + np.arange(WIDTH)]
-        np.add.at(d_emb, under.ravel(), (d_pool[:, f][:, None] * p["filters"][:, f]).reshape(-1, DIM))
+    for x in blocks:
+        chunk = np.arange(len(chunk_bytes[x]))
+        for f in range(FILTERS):
+            under = chunk_bytes[x][chunk[:, None], peak[x, f][:, None] + np.arange(WIDTH)]
+            d_filters[:, f] += d_pool[x, f] @ p["emb"][under].reshape(len(chunk), -1)
+            np.add.at(d_emb, under.ravel(), (d_pool[x, f][:, None] * p["filters"][:, f]).reshape(-1, DIM))
     d_emb[0] = 0
     return grads | {"filters": d_filters, "emb": d_emb}
 
 
+def _peaks(net: Network, chunk_bytes: np.ndarray):
+    """(position of each filter's highest value, the value), both [chunks, FILTERS]."""
+    flat = net.p["emb"][chunk_bytes]
+    size = flat.strides
+    windows = np.lib.stride_tricks.as_strided(flat, (len(flat), CHUNK, WIDTH * DIM), (size[0], size[1], size[2]))
+    values = np.maximum(windows.reshape(-1, WIDTH * DIM) @ net.p["filters"] + net.p["shift"], 0).reshape(len(flat), CHUNK, FILTERS)
+    peak = values.argmax(axis=1)
+    return peak, np.take_along_axis(values, peak[:, None, :], axis=1)[:, 0, :]
+
+
 def fit(texts: list[list[bytes]], labels: list[int], epochs: int = EPOCHS, seed: int = 5) -> Network | float:
     """A network from the chunks of each text; the share of label 1 if there is nothing to tell apart."""
     if len(set(labels)) < 2:
@@ -136,23 +145,15 @@ def fit(texts: list[list[bytes]], labels: list[int], epochs: int = EPOCHS, seed:
     return net
 
 
-def _chunk_map(max_chunks: int):
-    def run(batches):
-        for batch in batches:
-            raw = batch.column("text").cast(pa.binary()).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([text_chunks(x, max_chunks) for x in raw], pa.list_(pa.binary()))],
-                                             ["label", "chunks"])
-    return run
-
-
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chunks: int = MAX_CHUNKS) -> Network | float:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Network | float:
     """A network for ``labels`` (doc_id, label 0 or 1) over the texts of ``docs``."""
-    sample = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).dropna()
-              .orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id")
-    found = (rows.select("label", "text").mapInArrow(_chunk_map(max_chunks), "label int, chunks array<binary>")).collect()
-    found = sorted(((r["label"], [bytes(c) for c in r["chunks"]]) for r in found))[:max_rows]
-    return fit([x for _, x in found], [y for y, _ in found])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
+    labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")).dropna().distinct()
+    sample = (rows.groupBy("doc_id").agg(F.min("key").alias("key")).join(labelled, "doc_id")
+              .orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("doc_id", "label")).limit(max_rows))
+    found = rows.join(F.broadcast(sample), ["doc_id", "key"]).dropDuplicates(["doc_id", "label"]).select("key", "doc_id", "label", F.col("text").cast("binary")).collect()
+    found = sorted((r["key"], r["doc_id"], r["label"], bytes(r["text"])) for r in found)
+    return fit([text_chunks(x) for *_, x in found], [y for *_, y, _ in found])
 
 
 def _score_map(shared, text: str):
