@@ -115,10 +115,62 @@ SELECT record_id, url_key, ts, response_id, status, CASE WHEN status = 'resolved
 FROM s
 """
 
+OP12 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
+         CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, {_WORD}) END AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_WORD})) AS ls FROM documents),
+win AS (SELECT r, i, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT r, ws, unnest(range(1, len(ws) - 3)) AS i FROM d)),
+twice AS (SELECT r, g FROM win GROUP BY r, g HAVING count(*) > 1),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM win JOIN twice USING (r, g)) GROUP BY r),
+m AS (
+  SELECT r, doc_id, lang, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+         (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines
+  FROM d LEFT JOIN rep USING (r)),
+v AS (
+  SELECT *, 1000 * n_symbols // n_words AS symbols, 1000 * n_dup_lines // n_lines AS dup_lines,
+         1000 * n_repeat_words // n_words AS repeats, 1000 * word_chars // n_words AS word_len FROM m WHERE n_words > 0),
+long AS (UNPIVOT (SELECT lang, source, symbols, dup_lines, repeats, word_len FROM v) ON symbols, dup_lines, repeats, word_len INTO NAME measure VALUE x),
+sk AS (
+  SELECT lang, source, measure, (x >> s) << s AS bucket, count(*) AS n
+  FROM (SELECT *, greatest(length(bin(x::BIGINT)) - 6, 0)::BIGINT AS s FROM (SELECT * REPLACE (x::BIGINT AS x) FROM long)) GROUP BY ALL),
+lv AS (
+  SELECT 1 AS level, lang, source, measure, bucket, n FROM sk
+  UNION ALL SELECT 2, lang, NULL, measure, bucket, sum(n) FROM sk GROUP BY ALL
+  UNION ALL SELECT 3, NULL, NULL, measure, bucket, sum(n) FROM sk GROUP BY ALL),
+cum AS (
+  SELECT *, sum(n) OVER (PARTITION BY level, lang, source, measure ORDER BY bucket) AS upto,
+         sum(n) OVER (PARTITION BY level, lang, source, measure) AS total FROM lv),
+q AS (
+  SELECT level, lang, source, measure, total, min(bucket) FILTER (4 * upto >= total) AS q1, min(bucket) FILTER (4 * upto >= 3 * total) AS q3
+  FROM cum GROUP BY ALL),
+pick AS (
+  SELECT o.lang, o.source, o.measure,
+         CASE WHEN o.total >= 200 THEN o.q1 WHEN l.total >= 200 THEN l.q1 ELSE a.q1 END AS q1,
+         CASE WHEN o.total >= 200 THEN o.q3 WHEN l.total >= 200 THEN l.q3 ELSE a.q3 END AS q3
+  FROM q o JOIN q l ON l.level = 2 AND l.lang IS NOT DISTINCT FROM o.lang AND l.measure = o.measure
+  JOIN q a ON a.level = 3 AND a.measure = o.measure WHERE o.level = 1),
+each AS (UNPIVOT (SELECT r, lang, source, n_words, symbols, dup_lines, repeats, word_len FROM v) ON symbols, dup_lines, repeats, word_len INTO NAME measure VALUE x),
+bad AS (
+  SELECT r, bool_or(CASE each.measure
+      WHEN 'symbols' THEN x > q3 + 3 * (q3 - q1) + 100
+      WHEN 'dup_lines' THEN x > q3 + 3 * (q3 - q1) + 400
+      WHEN 'repeats' THEN x > q3 + 3 * (q3 - q1) + 150
+      ELSE x > q3 + (3 * (q3 - q1) + 500 + 10000e0 / sqrt(n_words::DOUBLE)) OR x < q1 - (3 * (q3 - q1) + 500 + 10000e0 / sqrt(n_words::DOUBLE)) END) AS out
+  FROM each JOIN pick ON each.measure = pick.measure AND each.lang IS NOT DISTINCT FROM pick.lang AND each.source IS NOT DISTINCT FROM pick.source
+  GROUP BY r)
+SELECT m.doc_id, m.n_words, m.word_chars, m.n_symbols, m.n_dup_lines, m.n_repeat_words,
+       (m.n_words < 10 OR 100 * m.n_repeat_words > 20 * m.n_words) AS base_failed,
+       NOT (m.n_words < 10 OR 100 * m.n_repeat_words > 20 * m.n_words) AND NOT coalesce(bad.out, false) AS kept
+FROM m LEFT JOIN bad USING (r)
+"""
+
 ORACLE: dict[str, str] = {
     "op1_remove_repeats": OP1,
     "op6_judge_urls": OP6,
     "op7_resolve_revisits": OP7,
     "op9_decontaminate": OP9,
     "op10_jaccard_join": OP10,
+    "op12_quality_rules": OP12,
 }
