@@ -8,6 +8,7 @@ from __future__ import annotations
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORD = r"'[^\x20\x09-\x0D]+'"
 _LETTER = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_TERM = r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'"
 
 OP1 = rf"""
 WITH d AS (
@@ -115,6 +116,26 @@ SELECT record_id, url_key, ts, response_id, status, CASE WHEN status = 'resolved
 FROM s
 """
 
+OP11 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format('text')}, {_TERM}) AS ws
+  FROM documents WHERE regexp_matches(text, {_TERM})),
+size AS (SELECT count(*)::BIGINT AS nd, sum(len(ws))::BIGINT AS l FROM d),
+q AS (
+  SELECT item_id, t, count(*) AS k FROM (
+    SELECT item_id, unnest(regexp_extract_all({_LOWER.format('text')}, {_TERM})) AS t FROM (SELECT DISTINCT item_id, text FROM benchmark WHERE text IS NOT NULL))
+  GROUP BY item_id, t),
+p AS (
+  SELECT r, doc_id, t, count(*)::BIGINT AS tf, any_value(n)::BIGINT AS n
+  FROM (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS t FROM d) SEMI JOIN q USING (t) GROUP BY r, doc_id, t),
+w AS (SELECT t, floor(1000 * ln((2 * any_value(nd) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM p, size GROUP BY t),
+s AS (
+  SELECT item_id, r, doc_id, sum(k * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // l))))::BIGINT AS score
+  FROM p JOIN w USING (t) JOIN q USING (t), size GROUP BY item_id, r, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
 OP12 = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, lang, source, coalesce(text, '') AS text,
@@ -172,5 +193,6 @@ ORACLE: dict[str, str] = {
     "op7_resolve_revisits": OP7,
     "op9_decontaminate": OP9,
     "op10_jaccard_join": OP10,
+    "op11_ranked_search": OP11,
     "op12_quality_rules": OP12,
 }

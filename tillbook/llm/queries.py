@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, jaccard, langid, mixing, quality, rules, sharding, substring, urls, warc
+from . import decontam, fingerprints, jaccard, langid, mixing, quality, rules, sharding, signatures, substring, urls, warc
 
 #: (verdict, host, path) of the URL rules (fixed by the contract).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -73,10 +73,15 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_groups(_table(spark, sf_dir, "documents")).drop("text_key")
 
 
+def op11_ranked_search(spark, sf_dir):
+    """The 10 best documents of each benchmark item."""
+    return signatures.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), top=10)
+
+
 def op12_quality_rules(spark, sf_dir):
     """Counts and verdict of every document by cutoffs of its language and source."""
     return rules.judge(_table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_remove_repeats, op2_mix_sources, op3_shard_slots, op4_fingerprint_chunks, op5_language_id, op6_judge_urls, op7_resolve_revisits, op8_quality_bytes, op9_decontaminate, op10_jaccard_join, op12_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_remove_repeats, op2_mix_sources, op3_shard_slots, op4_fingerprint_chunks, op5_language_id, op6_judge_urls, op7_resolve_revisits, op8_quality_bytes, op9_decontaminate, op10_jaccard_join, op11_ranked_search, op12_quality_rules)}
