@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontam, fingerprints, jaccard, langid, mixing, quality, rules, sharding, signatures, substring, urls, warc
+from . import alignment, decontam, fingerprints, jaccard, langid, mixing, quality, rules, sharding, signatures, substring, urls, warc
 
 #: (verdict, host, path) of the URL rules (fixed by the contract).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
@@ -84,4 +84,9 @@ def op12_quality_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_remove_repeats, op2_mix_sources, op3_shard_slots, op4_fingerprint_chunks, op5_language_id, op6_judge_urls, op7_resolve_revisits, op8_quality_bytes, op9_decontaminate, op10_jaccard_join, op11_ranked_search, op12_quality_rules)}
+def op13_align_tokenizers(spark, sf_dir):
+    """Token groups and links of every document under two tokenizers, with corpus-wide counts of linked id pairs."""
+    return alignment.align(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_remove_repeats, op2_mix_sources, op3_shard_slots, op4_fingerprint_chunks, op5_language_id, op6_judge_urls, op7_resolve_revisits, op8_quality_bytes, op9_decontaminate, op10_jaccard_join, op11_ranked_search, op12_quality_rules, op13_align_tokenizers)}
