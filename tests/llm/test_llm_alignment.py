@@ -103,6 +103,16 @@ def test_tokens_and_overlap_links(make):
         assert got[i].b_groups == [k for k, (_, y) in enumerate(groups) for _ in y]
 
 
+def test_both_encoders_of_side_a_agree():
+    """Every code point that the quicker encoder may see, between letters, digits, spaces and marks."""
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(os.path.join(A.FOLDER, A.FILES[0]))
+    t.encode_special_tokens = True
+    texts = [x.format(chr(c)) for c in range(0x250) for x in ("{0}", "a{0}b", "1{0} {0}2", "  {0}{0} !{0}", "it{0}s don't{0}", "{0}\n\n{0} x")]
+    assert not any(A.UNUSUAL.search(x) for x in texts)
+    assert A.vocabularies()[0].encode(texts) == [e.ids for e in t.encode_batch([" " + x for x in texts], add_special_tokens=False)]
+
+
 def test_row_products():
     rng = np.random.default_rng(1)
     csr = lambda m: (np.r_[0, np.cumsum((m > 0).sum(1))], np.nonzero(m)[1], m[m > 0])
