@@ -83,7 +83,7 @@ def check(spark, sf_dir: str, names=None, verbose=True) -> dict[str, dict]:
     con = duck_connect(sf_dir)
     results = {}
     for name, fn in qs.items():
-        if names and not any(n in name for n in names):
+        if names and not (name in names if isinstance(names, set) else any(n in name for n in names)):
             continue
         rec = {"oracle": name in sqls}
         t0 = time.time()

@@ -100,3 +100,35 @@ def test_purchase_fold_with_a_burst_on_one_product(spark):
     assert {r["request_id"] for r in out["sales"].collect()} == ok
     assert {r["request_id"] for r in out["rejects"].collect()} == refused
     assert {r["id"]: r["quantity"] for r in out["inventory"].collect()} == left
+
+
+def test_requests_of_an_uncounted_product_are_refused(spark):
+    """NULL stock: every request ends as a sale or a reject, none is lost, and the stock stays unknown."""
+    inv = spark.createDataFrame([(1, "a", Decimal("2.00"), None), (2, "b", Decimal("2.00"), 5)],
+                                "id long, name string, price decimal(10,2), quantity int")
+    reqs = [(k, 1, 1 + k % 2, 1 + k % 3, BASE + dt.timedelta(minutes=k)) for k in range(20)]
+    req = spark.createDataFrame(reqs, "request_id long, user_id long, product_id long, quantity int, requested_at timestamp_ntz")
+    out = apply_purchases(inv, req, slices=2, rows_per_slice=4)
+    sold = {r["request_id"] for r in out["sales"].collect()}
+    refused = {r["request_id"]: r["message"] for r in out["rejects"].collect()}
+    assert len(sold) + len(refused) == 20 and not sold & set(refused)
+    assert all(refused[k] == "Insufficient quantity available" for k in range(0, 20, 2))
+    left = replay_purchases({1: 0, 2: 5}, reqs)
+    assert sold == left[0]
+    assert {r["id"]: r["quantity"] for r in out["inventory"].collect()} == {1: None, 2: left[2][2]}
+
+
+@pytest.mark.parametrize("n", [1, 255, 256, 257, 3000])
+def test_two_level_fold_of_one_slice(spark, n):
+    """A single slice that is folded whole, at and around the block size."""
+    rnd = random.Random(n)
+    reqs = [(k, 1, 7, 10_000 if k == 0 else rnd.randint(1, 40), BASE + dt.timedelta(seconds=k)) for k in range(n + 1)]
+    reqs[0] = (0, 1, 7, 30, BASE)
+    stock = {7: 25 * n // 2}
+    inv = spark.createDataFrame([(7, "p", Decimal("2.00"), stock[7])], "id long, name string, price decimal(10,2), quantity int")
+    req = spark.createDataFrame(reqs, "request_id long, user_id long, product_id long, quantity int, requested_at timestamp_ntz")
+    out = apply_purchases(inv, req, slices=1)
+    ok, refused, left = replay_purchases(stock, reqs)
+    assert {r["request_id"] for r in out["sales"].collect()} == ok
+    assert {r["request_id"] for r in out["rejects"].collect()} == refused
+    assert {r["id"]: r["quantity"] for r in out["inventory"].collect()} == left

@@ -1,6 +1,7 @@
 """CHG3: apply a whole table of purchase requests against stock, in time order per product.
 
-Rule (one request at a time, per product): an unknown product is refused; a
+Rule (one request at a time, per product): an unknown product is refused; a product whose stock is
+not known (NULL) has none to sell, so its requests are refused and its stock stays NULL; a
 request larger than the stock left is refused and *later smaller ones may still
 pass*; otherwise the stock falls and a sale of price x quantity is recorded.
 
@@ -12,7 +13,7 @@ It is computed exactly, all in Spark:
    that does not fit is refused; what follows it waits.
 2. In every later round, requests larger than the stock left are refused at once, in all slices: stock never
    rises. Of each product the first slice that still holds a request that fits is folded whole, one request after
-   another, over its sorted array (at most ``rows_per_slice`` rows). Its product's stock falls, and the later slices wait.
+   another, over its sorted array (at most ``rows_per_slice`` rows, in two levels, in time linear in the rows). Its product's stock falls, and the later slices wait.
 
 A round settles one slice of every product, so there are at most as many rounds as the busiest product has slices, plus
 one, whatever the quantities; most products have one or two slices. A hot product is spread over its slices, and its price,
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import cut_lineage
@@ -37,6 +38,8 @@ PRODUCT_NOT_FOUND = "Product not found"
 INSUFFICIENT = "Insufficient quantity available"
 
 ORDER = ["requested_at", "request_id"]
+#: Rows that are folded at once inside a slice; near the root of the rows of a slice, so that both levels copy little.
+BLOCK = 256
 
 
 def _per_slice(rows: DataFrame, per_product: DataFrame) -> DataFrame:
@@ -46,20 +49,40 @@ def _per_slice(rows: DataFrame, per_product: DataFrame) -> DataFrame:
     return keys.join(per_product, "product_id", "left")
 
 
+def _accepted(quantities: Column, left: Column) -> Column:
+    """One boolean per quantity: does it still fit, taken in order, into what the accepted ones before it left of ``left``?
+
+    Folded in two levels, because an array that grows by one entry is copied at each step: the flags of a block of
+    ``BLOCK`` quantities are gathered first, then joined to those of the blocks before. The time of a row does not grow with the array.
+    """
+    start = lambda rest: F.struct(rest.alias("left"), F.array().cast("array<boolean>").alias("flags"))
+
+    def one(state: Column, quantity: Column) -> Column:
+        fits = quantity <= state["left"]
+        return F.struct(F.when(fits, state["left"] - quantity).otherwise(state["left"]).alias("left"),
+                        F.concat(state["flags"], F.array(fits)).alias("flags"))
+
+    def block(state: Column, quantities: Column) -> Column:
+        done = F.aggregate(quantities, start(state["left"]), one)
+        # the block's result is needed twice: a one-entry array keeps it from being folded twice
+        return F.transform(F.array(done), lambda d: F.struct(
+            d["left"].alias("left"), F.concat(state["blocks"], F.array(d["flags"])).alias("blocks")))[0]
+
+    n_blocks = F.ceil(F.size(quantities) / F.lit(BLOCK)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), n_blocks - 1), lambda k: F.slice(quantities, k * BLOCK + 1, BLOCK))
+    first = F.struct(left.alias("left"), F.array().cast("array<array<boolean>>").alias("blocks"))
+    return F.flatten(F.aggregate(blocks, first, block)["blocks"])
+
+
 def _fold_slices(rows: DataFrame, cols: list[str]) -> DataFrame:
     """Whole slices (product_id, _slice) folded in time order: the rows with ``_outcome`` accepted or refused."""
     items = F.sort_array(F.collect_list(F.struct(*ORDER, *[c for c in cols if c not in ORDER + ["product_id"]], "price")))
-    start = F.struct(F.col("left").alias("left"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("taken"))
-    step = lambda s, x: F.when(x["quantity"] <= s["left"], F.struct(
-        (s["left"] - x["quantity"]).alias("left"), (s["i"] + 1).alias("i"), F.concat(s["taken"], F.array(s["i"])).alias("taken"))
-        ).otherwise(F.struct(s["left"].alias("left"), (s["i"] + 1).alias("i"), s["taken"].alias("taken")))
     folded = (rows.groupBy("product_id", "_slice").agg(items.alias("items"), F.first("left").alias("left"))
-              .withColumn("taken", F.aggregate("items", start, step)["taken"]))
-    others = F.array_except(F.sequence(F.lit(0), F.size("items") - 1), F.col("taken"))
-    marked = lambda at, name: F.transform(at, lambda i: F.struct(F.col("items")[i].alias("x"), F.lit(name).alias("_outcome")))
-    out = folded.select("product_id", "_slice", "left", F.explode(F.concat(
-        marked(F.col("taken"), "accepted"), marked(others, "refused"))).alias("r"))
-    return out.select(*[F.col(c) if c == "product_id" else F.col(f"r.x.{c}") for c in cols], "r.x.price", "left", "_slice", "r._outcome")
+              .withColumn("quantities", F.transform("items", lambda x: x["quantity"]))
+              .withColumn("fits", _accepted(F.col("quantities"), F.col("left"))))
+    out = folded.select("product_id", "_slice", "left", F.explode(F.arrays_zip("items", "fits")).alias("r"))
+    outcome = F.when(F.col("r.fits"), "accepted").otherwise("refused").alias("_outcome")
+    return out.select(*[F.col(c) if c == "product_id" else F.col(f"r.items.{c}") for c in cols], "r.items.price", "left", "_slice", outcome)
 
 
 def apply_purchases(inventory: DataFrame, requests: DataFrame, slices: int | None = None,
@@ -81,7 +104,7 @@ def apply_purchases(inventory: DataFrame, requests: DataFrame, slices: int | Non
     sliced = cut_lineage(with_range_slices(requests.select(*cols), "product_id", ORDER, n, rows_per_slice),
                          "purchases")
     products = inventory.select(F.col("id").alias("product_id"), "price",
-                                F.col("quantity").cast("long").alias("left"), F.lit(True).alias("_known"))
+                                F.coalesce(F.col("quantity").cast("long"), F.lit(0)).alias("left"), F.lit(True).alias("_known"))
     marked = sliced.join(_per_slice(sliced, products), ["product_id", "_slice"], "left")
     bad_qty = F.col("quantity").isNull() | (F.col("quantity") < 1)
     early = (marked.where(bad_qty | F.col("_known").isNull())

@@ -406,7 +406,7 @@ def _rsql(extra: str, body: str) -> str:
 
 _CHG3 = """
 m_preq AS (SELECT sale_key AS request_id, user_id, product_id, quantity, transaction_date AS requested_at FROM m_sales),
-m_stock0 AS (SELECT id, price, CAST(quantity AS BIGINT) * 10 AS stock FROM m_inventory),
+m_stock0 AS (SELECT id, price, CASE WHEN id % 101 = 17 THEN 0 ELSE CAST(quantity AS BIGINT) * 10 END AS stock FROM m_inventory),
 m_pvalid AS (SELECT r.*, s.price FROM m_preq r JOIN m_stock0 s ON s.id = r.product_id WHERE r.quantity >= 1),
 m_pseq AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY requested_at, request_id) AS rn FROM m_pvalid),
 m_walk AS (
@@ -427,7 +427,8 @@ FROM m_preq r WHERE quantity IS NULL OR quantity < 1 OR NOT EXISTS (SELECT 1 FRO
 UNION ALL
 SELECT request_id, user_id, product_id, quantity, requested_at, 'Insufficient quantity available' FROM m_pout WHERE NOT ok""")
 ORACLE["chg3_purchases_stock"] = _rsql(_CHG3, """
-SELECT product_id AS id, CAST(arg_max(stock, rn) AS INTEGER) AS quantity FROM m_walk GROUP BY product_id""")
+SELECT product_id AS id, CASE WHEN product_id % 101 <> 17 THEN CAST(arg_max(stock, rn) AS INTEGER) END AS quantity
+FROM m_walk GROUP BY product_id""")
 
 _CART = """
 m_keys AS (SELECT DISTINCT user_id, product_id FROM m_cart_events WHERE action IN ('add', 'set', 'remove')),

@@ -621,7 +621,7 @@ def _rep9r(spark, sf):
 
 
 def _purchases(spark, sf):
-    return apply_purchases(TB.stocked_inventory(spark, sf), TB.purchase_requests(spark, sf))
+    return apply_purchases(TB.uncounted_inventory(spark, sf), TB.purchase_requests(spark, sf))
 
 
 @query("chg3_purchases_sales")

@@ -104,6 +104,12 @@ def stocked_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory(spark, sf_dir).withColumn("quantity", F.col("quantity") * 10)
 
 
+def uncounted_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stocked inventory in which one product in a hundred and one was never counted (NULL stock)."""
+    counted = stocked_inventory(spark, sf_dir)
+    return counted.withColumn("quantity", F.when(F.col("id") % 101 != 17, F.col("quantity")))
+
+
 def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """lineitem x orders -> sales. Keeps the lineitem key columns, which together are unique.
 
