@@ -1,7 +1,9 @@
 """Streaming jobs: several micro-batches give the batch result, a restart replays nothing,
 and rows behind the watermark are dropped."""
 
+import datetime as dt
 import os
+import re
 from decimal import Decimal
 import shutil
 import time
@@ -139,3 +141,62 @@ def test_stock_of_a_damaged_batch_is_an_error(spark, scratch):
         else:
             STR.stream_apply_purchases(stream, inventory, f"{scratch}/state")
             assert STR.latest_stock(spark, f"{scratch}/state").first()["quantity"] == 55
+
+
+def _request_batches(spark, folder, sizes, products=40, first=0):
+    """One parquet file of requests per micro-batch; batch k asks for products around k only."""
+    schema = "request_id long, user_id long, product_id long, quantity int, requested_at timestamp_ntz"
+    k0 = len(os.listdir(folder)) if os.path.isdir(folder) else 0
+    os.makedirs(folder, exist_ok=True)
+    rows, rid = [], first
+    for k, n in enumerate(sizes, start=k0):
+        part = [(rid + i, 1, (3 * k + i % 5) % products, 1 + (rid + i) % 6, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=rid + i)) for i in range(n)]
+        rid += n
+        rows += part
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{folder}-tmp{k}")
+        name = [f for f in os.listdir(f"{folder}-tmp{k}") if f.endswith(".parquet")][0]
+        shutil.copy(f"{folder}-tmp{k}/{name}", f"{folder}/part-{k:03}.parquet")
+        stamp = 1_700_000_000 + k
+        os.utime(f"{folder}/part-{k:03}.parquet", (stamp, stamp))
+    return schema, rows, rid
+
+
+def _stream(spark, folder, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", "1").parquet(folder)
+
+
+def test_stock_state_over_ten_batches_with_a_restart_and_an_unfinished_batch(spark, scratch):
+    n_products = 4000
+    inventory = spark.range(n_products).select("id", F.concat(F.lit("p"), "id").alias("name"), F.lit("2.00").cast("decimal(10,2)").alias("price"),
+                                               (F.lit(20) + F.col("id") % 9).cast("int").alias("quantity"))
+    folder, state = f"{scratch}/in", f"{scratch}/state"
+    schema, rows, rid = _request_batches(spark, folder, [12] * 6, n_products)
+    STR.stream_apply_purchases(_stream(spark, folder, schema), inventory, state, compact_every=4, buckets=16)
+    assert STR.StockState(spark, state).bases() == [-1, 3]
+    # an unfinished writer leaves a folder without _SUCCESS: it must not be read
+    os.makedirs(f"{state}/stock/batch=99")
+    open(f"{state}/stock/batch=99/part-0.parquet", "wb").write(b"half written")
+    _, more, _ = _request_batches(spark, folder, [12] * 4, n_products, first=rid)
+    other = inventory.withColumn("quantity", F.lit(0))  # ignored: the state already has a base
+    STR.stream_apply_purchases(_stream(spark, folder, schema), other, state, compact_every=4, buckets=16)
+    assert STR.finished_batches(spark, f"{state}/stock") == list(range(10))
+    whole = apply_purchases(inventory, spark.createDataFrame(rows + more, schema))
+    expected = {r["id"]: r["quantity"] for r in whole["inventory"].collect()}
+    assert {r["id"]: r["quantity"] for r in STR.latest_stock(spark, state).collect()} == expected
+    # a batch writes its own products only
+    for k in range(10):
+        assert spark.read.parquet(f"{state}/stock/batch={k}").count() <= 5
+    # and reads only their buckets of the base
+    asked = spark.createDataFrame([(7,), (8,)], "product_id long")
+    one = STR.StockState(spark, state).before(10, asked)
+    assert {r["id"]: r["quantity"] for r in one.collect()} == {k: expected[k] for k in (7, 8)}
+    pruned = re.findall(r"PartitionFilters: \[([^\]]*bucket[^\]]*)\]", one._jdf.queryExecution().executedPlan().toString())
+    assert pruned and all("bucket" in f for f in pruned)
+
+
+def test_readers_of_an_empty_state(spark, scratch):
+    with pytest.raises(ValueError):
+        STR.latest_stock(spark, f"{scratch}/none")
+    empty = STR.latest_rows(spark, f"{scratch}/none", "order_id", schema="order_id long, current_status string")
+    assert empty.count() == 0 and empty.columns == ["order_id", "current_status"]
+    assert STR.latest_rows(spark, f"{scratch}/none", "order_id").columns == ["order_id"]

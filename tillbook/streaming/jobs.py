@@ -7,8 +7,9 @@
 * STR3 units and revenue per product: streaming sums in update mode, written the
   same way; the product table is joined when the result is read.
 * STR4 stock run-down: foreachBatch runs the batch purchase fold (CHG3) on each
-  micro-batch against the stock left by the previous batch. Outputs go to
-  folders named by batch id, so a replayed batch rewrites the same files.
+  micro-batch against the stock of its own products. Outputs go to
+  folders named by batch id, so a replayed batch rewrites the same files; only changed products
+  are written, and read back through key buckets.
 
 Sources are file streams over parquet; sinks are files under the shared
 checkpoint folder. Nothing is collected to the driver.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import scratch_path
+from ..core import cut_lineage, scratch_path
 from ..operators.joins import SUM_MONEY
 from ..operators.purchases import apply_purchases
 from ..sources.schemas import MONEY
@@ -125,9 +126,11 @@ def run_updates(df: DataFrame, out_path: str, checkpoint: str, key: str | None =
     q.awaitTermination()
 
 
-def latest_rows(spark: SparkSession, out_path: str, key: str, before: int | None = None) -> DataFrame:
+def latest_rows(spark: SparkSession, out_path: str, key: str, before: int | None = None,
+                schema: T.StructType | str | None = None) -> DataFrame:
     """Current value per key from an update-mode output: the row of the highest batch id
-    (a partial max_by aggregate, no window), from the last snapshot (earlier than batch ``before``) and the batches after it."""
+    (a partial max_by aggregate, no window), from the last snapshot (earlier than batch ``before``) and the batches after it.
+    While no batch has finished the table is empty, with the columns of ``schema`` or, without one, the key alone (long)."""
     base = out_path.rstrip("/")
     snapshots = [n for n in finished_batches(spark, f"{base}/_compact", "upto=") if before is None or n < before]
     start = max(snapshots, default=-1)
@@ -135,6 +138,8 @@ def latest_rows(spark: SparkSession, out_path: str, key: str, before: int | None
     parts = [spark.read.parquet(f"{base}/_compact/upto={start}").withColumn("batch", F.lit(start))] if snapshots else []
     if later:
         parts.append(spark.read.option("basePath", base).parquet(*later))
+    if not parts:
+        return spark.createDataFrame([], schema if schema is not None else f"`{key}` long")
     changes = reduce(lambda x, y: x.unionByName(y), parts)
     cols = [c for c in changes.columns if c not in (key, "batch")]
     newest = changes.groupBy(key).agg(F.max_by(F.struct(*cols), F.col("batch")).alias("_v"))
@@ -153,27 +158,82 @@ def finished_batches(spark: SparkSession, path: str, prefix: str = "batch=") ->
                   if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
 
 
-def stream_apply_purchases(requests: DataFrame, inventory: DataFrame, state_dir: str,
-                           checkpoint: str | None = None) -> None:
-    """STR4: fold each micro-batch of purchase requests into the stock.
+def _bucket(key: str, buckets: int) -> F.Column:
+    return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(buckets)).cast("int")
+
+
+class StockState:
+    """The stock of a purchase stream under one folder: a base in key buckets and each batch's changed products.
 
-    Batch n reads the stock of the last finished batch before it (batch ids can skip) and
-    fails if that cannot be read; the initial inventory is used only when no batch has
-    finished yet. It writes ``stock/batch=n``, ``sales/batch=n`` and ``rejects/batch=n``
-    with overwrite, so a batch replayed after a failure produces the same files.
+    * ``_base/upto=<n>/buckets=<b>/bucket=<k>``: every product as of batch n (-1: the first inventory), in b buckets of the product id.
+    * ``stock/batch=<n>``: only the products that batch n changed.
+
+    The stock before a batch is read for that batch's products alone: their buckets of the last finished base and the
+    changes written since. Every ``compact_every``-th batch folds the changes into a new base, so a batch reads at
+    most that many changes. Folders count only once their writer has finished (``_SUCCESS``).
     """
-    spark = requests.sparkSession
-    base = state_dir.rstrip("/")
 
-    def stock_before(batch_id: int) -> DataFrame:
-        done = [n for n in finished_batches(spark, f"{base}/stock") if n < batch_id]
-        return spark.read.parquet(f"{base}/stock/batch={max(done)}") if done else inventory
+    def __init__(self, spark: SparkSession, state_dir: str):
+        self.spark, self.base = spark, state_dir.rstrip("/")
+
+    def bases(self) -> list[int]:
+        return finished_batches(self.spark, f"{self.base}/_base", "upto=")
+
+    def write_base(self, products: DataFrame, upto: int, buckets: int) -> None:
+        # a bucket is one file: rows are dealt by it, and the folders carry its number
+        rows = products.withColumn("buckets", F.lit(buckets)).withColumn("bucket", _bucket("id", buckets))
+        rows.repartition(F.col("bucket")).write.mode("overwrite").partitionBy("buckets", "bucket").parquet(f"{self.base}/_base/upto={upto}")
+
+    def before(self, batch_id: int | None, products: DataFrame | None = None) -> DataFrame:
+        """Stock rows before ``batch_id`` (None: after all finished batches); with ``products`` (product_id) only theirs."""
+        spark = self.spark
+        start = max((n for n in self.bases() if batch_id is None or n < batch_id), default=None)
+        if start is None:
+            raise ValueError(f"no finished stock below {self.base}")
+        base = spark.read.parquet(f"{self.base}/_base/upto={start}")
+        later = [f"{self.base}/stock/batch={n}" for n in finished_batches(spark, f"{self.base}/stock")
+                 if n > start and (batch_id is None or n < batch_id)]
+        if products is not None:
+            buckets = base.select("buckets").first()
+            if buckets is not None:
+                touched = products.select(_bucket("product_id", buckets[0]).alias("b")).where("b is not null").distinct().collect()
+                base = base.where(F.col("bucket").isin([r.b for r in touched]))  # at most one number a bucket
+        rows = base.drop("buckets", "bucket").withColumn("batch", F.lit(start))
+        if later:
+            rows = rows.unionByName(spark.read.option("basePath", f"{self.base}/stock").parquet(*later))
+        if products is not None:
+            rows = rows.join(products.select(F.col("product_id").alias("id")), "id", "left_semi")
+        if not later:
+            return rows.drop("batch")
+        cols = [c for c in rows.columns if c not in ("id", "batch")]
+        newest = rows.groupBy("id").agg(F.max_by(F.struct(*cols), "batch").alias("_v")).select("id", "_v.*")
+        return newest.select(*[c for c in rows.columns if c != "batch"])
+
+
+def stream_apply_purchases(requests: DataFrame, inventory: DataFrame, state_dir: str,
+                           checkpoint: str | None = None, compact_every: int = 20, buckets: int = 64) -> None:
+    """STR4: fold each micro-batch of purchase requests into the stock (``StockState``).
+
+    Batch n reads the stock of its own products after the last finished batch before it (batch ids can skip) and
+    fails if that cannot be read; ``inventory`` is used only when no base has been written yet. It writes ``sales/batch=n``, ``rejects/batch=n`` and, last, the changed
+    products as ``stock/batch=n``, all with overwrite, so a batch replayed after a failure produces the same files. What a batch
+    writes follows the batch, not the stock. ``buckets`` should grow with the table, some 100 MB of products each.
+    """
+    spark, state = requests.sparkSession, StockState(requests.sparkSession, state_dir)
+    base = state.base
+    if not state.bases():
+        state.write_base(inventory, -1, buckets)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        out = apply_purchases(stock_before(batch_id), batch)
+        asked = batch.select("product_id").where("product_id is not null").distinct()
+        before = cut_lineage(state.before(batch_id, asked), "stock")
+        out = apply_purchases(before, batch)
         out["sales"].write.mode("overwrite").parquet(f"{base}/sales/batch={batch_id}")
         out["rejects"].write.mode("overwrite").parquet(f"{base}/rejects/batch={batch_id}")
-        out["inventory"].write.mode("overwrite").parquet(f"{base}/stock/batch={batch_id}")
+        sold = out["sales"].select(F.col("product_id").alias("id")).distinct()
+        out["inventory"].join(sold, "id", "left_semi").write.mode("overwrite").parquet(f"{base}/stock/batch={batch_id}")
+        if (batch_id + 1) % compact_every == 0:
+            state.write_base(state.before(batch_id + 1), batch_id, buckets)
 
     q = (requests.writeStream.foreachBatch(fold)
          .option("checkpointLocation", checkpoint or f"{base}/_checkpoint")
@@ -182,11 +242,8 @@ def stream_apply_purchases(requests: DataFrame, inventory: DataFrame, state_dir:
 
 
 def latest_stock(spark: SparkSession, state_dir: str) -> DataFrame:
-    """The stock after the last completed batch."""
-    base = state_dir.rstrip("/")
-    all_stock = spark.read.option("basePath", f"{base}/stock").parquet(f"{base}/stock")
-    last = all_stock.agg(F.max("batch").alias("b")).first()["b"]
-    return all_stock.where(F.col("batch") == last).drop("batch")
+    """The stock of every product after the last finished batch; the first inventory when none has finished."""
+    return StockState(spark, state_dir).before(None)
 
 
 def new_scratch(spark: SparkSession, name: str) -> dict[str, str]:
