@@ -700,6 +700,29 @@ FROM m_chinv i WHERE EXISTS (SELECT 1 FROM m_sales s WHERE s.product_id = i.id)"
 ORACLE["snk1_export_csv"] = _sql(f"""
 SELECT name AS "Product", description AS "Description", quantity AS "Current Stock", total_sales AS "Total Sales",
        revenue AS "Revenue" FROM ({_INV_PERIOD.format(cond=MONTH_EXPORT)})""")
+ORACLE["snk1_one_file_inventory"] = ORACLE["snk1_export_csv"]
+ORACLE["snk1_export_sales"] = ORACLE["snk1_one_file_sales"] = _sql(f"""
+SELECT transaction_date AS "Date", product_name AS "Product", customer_name AS "Customer", quantity AS "Quantity",
+       total_amount AS "Total Amount" FROM m_detail WHERE {MONTH_EXPORT}""")
+ORACLE["snk1_export_user_activity"] = ORACLE["snk1_one_file_user_activity"] = _sql(f"""
+SELECT full_name AS "User", email AS "Email", role AS "Role", total_purchases AS "Total Purchases", total_spent AS "Total Spent",
+       last_purchase AS "Last Purchase" FROM ({_USER_PERIOD.format(cond=YEAR_EXPORT)})""")
+ORACLE["snk2_stored_reports"] = _sql("""
+SELECT CAST(r.id AS BIGINT) AS id, r.label || ' Report - 2001-08-01 12:00:00' AS title, r.type, CAST(1 AS BIGINT) AS generated_by,
+       TIMESTAMP '2001-08-01 12:00:00' AS generated_at,
+       CASE WHEN r.id = 1 THEN (SELECT CAST(coalesce(sum(total_amount), 0) AS DECIMAL(38,2)) FROM m_month_detail) END AS total_revenue,
+       CASE WHEN r.id = 1 THEN TIMESTAMP '2001-07-02 00:00:00' END AS period_start,
+       CASE WHEN r.id = 1 THEN TIMESTAMP '2001-08-01 12:00:00' END AS period_end,
+       CASE r.id WHEN 1 THEN (SELECT count(*) FROM m_month_detail) WHEN 2 THEN (SELECT count(*) FROM m_inventory)
+                 ELSE (SELECT count(*) FROM m_users) END AS n_lines
+FROM (VALUES (1, 'sales', 'Sales'), (2, 'inventory', 'Inventory'), (3, 'user_activity', 'User_activity')) r(id, type, label)""")
+ORACLE["snk2_stored_report_lines"] = _sql("""
+SELECT CAST(1 AS BIGINT) AS id, row_number() OVER (ORDER BY transaction_date DESC, sale_key) AS position, sale_key AS label,
+       CAST(total_amount AS DECIMAL(38,2)) AS figure FROM m_month_detail
+UNION ALL
+SELECT 2, row_number() OVER (ORDER BY lower(name), id), name, revenue FROM m_inventory_report
+UNION ALL
+SELECT 3, row_number() OVER (ORDER BY lower(full_name), id), full_name, CAST(total_purchases AS DECIMAL(38,2)) FROM m_user_sales""")
 ORACLE["snk2_report_snapshot"] = _sql("""
 SELECT 'inventory-20010801120000' AS report_id, 'Inventory Report - 2001-08-01 12:00:00' AS title, 'inventory' AS type,
        CAST(1 AS BIGINT) AS generated_by, TIMESTAMP '2001-08-01 12:00:00' AS generated_at, id, name, total_sales, revenue

@@ -19,6 +19,7 @@ from ..operators.aggregates import (dashboard_kpis, daily_sales, sales_total, us
 from ..operators.filters import top_products
 from ..operators.joins import inventory_with_sales, sales_detail, users_with_sales
 from ..sinks.files import export_csv
+from ..sinks.report_store import StoredReport, save_report
 
 
 def by_name(col: str):
@@ -126,25 +127,38 @@ def dashboard(sales: DataFrame, inventory: DataFrame, users: DataFrame, start, e
     }
 
 
-REPORT_TYPES = ("sales", "inventory", "user_activity")
-
-
-def generate_report(report_type: str, tables: dict[str, DataFrame], date_range: str, as_of, start=None, end=None):
+def generate_report(report_type: str, tables: dict[str, DataFrame], date_range: str, as_of, start=None, end=None,
+                    ordered: bool = True):
     """On-screen report by type (the 'generateReport' action): sales -> SalesReport, inventory and
-    user_activity -> DataFrame. Unknown types raise ValueError."""
+    user_activity -> DataFrame. Unknown types raise ValueError. ``store_report`` also keeps it."""
     if report_type == "sales":
-        return sales_report(tables["sales"], tables["inventory"], tables["users"], date_range, as_of, start, end)
+        return sales_report(tables["sales"], tables["inventory"], tables["users"], date_range, as_of, start, end, ordered)
     if report_type == "inventory":
-        return inventory_report(tables["inventory"], tables["sales"])
+        return inventory_report(tables["inventory"], tables["sales"], ordered)
     if report_type == "user_activity":
-        return user_activity_report(tables["users"], tables["sales"], as_of)
+        return user_activity_report(tables["users"], tables["sales"], as_of, ordered)
     raise ValueError(f"Invalid report type: {report_type}")
 
 
+def store_report(report_type: str, tables: dict[str, DataFrame], date_range: str, as_of, author: int, path: str,
+                 start=None, end=None) -> int:
+    """Make a report by type and store it (SNK2) under a new id: its lines in their order, and for sales the total and the
+    period. Readers see it once it is whole (``sinks.report_store``)."""
+    report = generate_report(report_type, tables, date_range, as_of, start, end, ordered=False)
+    if report_type == "sales":
+        stored = StoredReport("sales", report.sales, newest_sales(report.sales), report.total_revenue, report.period.start, report.period.end)
+    elif report_type == "inventory":
+        stored = StoredReport("inventory", report, products_by_name())
+    else:
+        stored = StoredReport("user_activity", report, users_by_name())
+    return save_report(stored, author, as_of, path)
+
+
 def export_report(report_type: str, tables: dict[str, DataFrame], date_range: str, as_of, out_dir: str,
-                  start=None, end=None) -> str:
+                  start=None, end=None, single_file: bool = False) -> str:
     """The 'exportReport' action: the export rows of a type under a PER2 period, written as CSV
-    with the reference's headers to ``<out_dir>/<type>_report_<date>.csv``; returns that path."""
+    with the reference's headers to ``<out_dir>/<type>_report_<date>.csv`` (a folder of parts, or one file with
+    ``single_file``); returns that path."""
     if report_type == "sales":
         rows = sales_export(tables["sales"], tables["inventory"], tables["users"], date_range, as_of, start, end)
     elif report_type == "inventory":
@@ -153,4 +167,4 @@ def export_report(report_type: str, tables: dict[str, DataFrame], date_range: st
         rows = user_activity_export(tables["users"], tables["sales"], date_range, as_of, start, end)
     else:
         raise ValueError(f"Invalid report type: {report_type}")
-    return export_csv(rows, report_type, out_dir, as_of)
+    return export_csv(rows, report_type, out_dir, as_of, single_file)

@@ -26,8 +26,9 @@ from .operators.purchases import apply_purchases
 from .plans import orders as O
 from .plans import reports as R
 from .sinks import files as SNK
+from .sinks import report_store as STORE
 from .sources import tables as TB
-from .sources.schemas import check_table
+from .sources.schemas import REPORT_TYPES, check_table
 from .streaming import jobs as STR
 
 # Fixed parameters of the registered queries (order dates run 1995-01-01 .. 2001-08-01).
@@ -806,6 +807,53 @@ def _snk1(spark, sf):
     return SNK.read_export(spark, path, "inventory")
 
 
+def _all_tables(spark, sf):
+    return {n: getattr(TB, n)(spark, sf) for n in ("sales", "inventory", "users")}
+
+
+def _exported(report_type, date_range, single_file):
+    def run(spark, sf):
+        path = R.export_report(report_type, _all_tables(spark, sf), date_range, AS_OF, scratch_path(spark, "export"),
+                               single_file=single_file)
+        return SNK.read_export(spark, path, report_type)
+    return run
+
+
+# as folders of part files, and as one file each
+query("snk1_export_sales")(_exported("sales", "month", False))
+query("snk1_export_user_activity")(_exported("user_activity", "year", False))
+query("snk1_one_file_sales")(_exported("sales", "month", True))
+query("snk1_one_file_inventory")(_exported("inventory", "month", True))
+query("snk1_one_file_user_activity")(_exported("user_activity", "year", True))
+
+
+def _report_store(spark, sf):
+    """All three on-screen reports made and stored by user 1."""
+    path, tables = scratch_path(spark, "report-store"), _all_tables(spark, sf)
+    for report_type in REPORT_TYPES:
+        R.store_report(report_type, tables, "month", AS_OF, 1, path)
+    return path
+
+
+@query("snk2_stored_reports")
+def _snk2h(spark, sf):
+    """The headers of the stored reports that keep every rule of the reports table."""
+    headers = STORE.read_reports(spark, _report_store(spark, sf))
+    return check_table(headers, "reports", parents={"users": TB.users(spark, sf)})[0].drop("data")
+
+
+REPORT_LINE = "sale_key STRING, name STRING, full_name STRING, total_amount DECIMAL(38,2), revenue DECIMAL(38,2), total_purchases BIGINT"
+
+
+@query("snk2_stored_report_lines")
+def _snk2l(spark, sf):
+    """Every line of the stored reports: its place, what it is about and its figure."""
+    lines = STORE.read_report_lines(spark, _report_store(spark, sf))
+    d = lines.select("id", "position", F.from_json("data", REPORT_LINE).alias("d"))
+    return d.select("id", "position", F.coalesce("d.sale_key", "d.name", "d.full_name").alias("label"),
+                    F.coalesce("d.total_amount", "d.revenue", F.col("d.total_purchases").cast("decimal(38,2)")).alias("figure"))
+
+
 SNAPSHOT_FIELDS = "id BIGINT, name STRING, total_sales BIGINT, revenue DECIMAL(38,2)"
 
 

@@ -1,10 +1,12 @@
-"""Sinks: the report CSV export (SNK1) and stored report snapshots (SNK2).
+"""Sinks: the report CSV export (SNK1) and stored report snapshots (SNK2, see also ``report_store``).
 
-Both write with Spark's own writers, one part file per task.
+Both write with Spark's own writers, one part file per task; an export can be merged into one file afterwards.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,6 +14,7 @@ from pyspark.sql import types as T
 from ..core import as_datetime, ts_lit
 from ..functions.exprs import as_json, report_title
 from ..sources.schemas import conform
+from .folders import Folder
 
 # The reference's CSV headers, by report type, in column order.
 CSV_HEADERS = {
@@ -39,14 +42,25 @@ def export_name(report_type: str, as_of) -> str:
     return f"{report_type}_report_{as_datetime(as_of).strftime('%Y-%m-%d')}.csv"
 
 
-def export_csv(df: DataFrame, report_type: str, out_dir: str, as_of) -> str:
-    """SNK1: write an export DataFrame under the reference's headers; returns the folder path."""
+def export_csv(df: DataFrame, report_type: str, out_dir: str, as_of, single_file: bool = False) -> str:
+    """SNK1: write an export DataFrame under the reference's headers; returns the path.
+
+    By default the path is a folder of part files, each with the header. With ``single_file`` it is one CSV file with one
+    header: the tasks write parts as before (no ``coalesce(1)``), and the finished parts are then joined in their order,
+    which is the order of a sorted export. The merge copies bytes one file after another, so it is for files someone downloads.
+    """
     if report_type not in CSV_HEADERS:
         raise ValueError(f"Invalid report type: {report_type}")
     cols = [F.col(src).alias(dst) for src, dst in zip(CSV_SOURCE[report_type], CSV_HEADERS[report_type])]
     out = df.select(*cols)
     path = f"{out_dir.rstrip('/')}/{export_name(report_type, as_of)}"
-    out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+    if not single_file:
+        out.write.mode("overwrite").options(**CSV_OPTIONS).csv(path)
+        return path
+    parts = Folder(df.sparkSession, f"{path}.parts-{uuid.uuid4().hex[:8]}")
+    out.write.options(**{**CSV_OPTIONS, "header": "false"}).csv(parts.path)
+    parts.merge((",".join(out.columns) + "\n").encode(), "part-", path)
+    parts.delete()
     return path
 
 
