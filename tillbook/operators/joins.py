@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.exprs import subtotal
 from ..sources.schemas import MONEY
+from .skew import split_join
 
 SUM_MONEY = "decimal(38,2)"
 
@@ -38,6 +39,12 @@ def sales_detail(sales: DataFrame, inventory: DataFrame, users: DataFrame, perio
     return s.join(products, "product_id").join(customers, "user_id")
 
 
+def known_sales(sales: DataFrame, inventory: DataFrame, users: DataFrame, period=None) -> DataFrame:
+    """The rows of JOIN1 without the names: sales whose product and customer exist, for sums that use neither name."""
+    return (_pred(sales, period).join(inventory.select(F.col("id").alias("product_id")), "product_id", "left_semi")
+            .join(users.select(F.col("id").alias("user_id")), "user_id", "left_semi"))
+
+
 def product_sales(sales: DataFrame, period=None) -> DataFrame:
     """Sales pre-aggregated per product (partial aggregation map-side, one row per product shuffled)."""
     return (_pred(sales, period).groupBy("product_id")
@@ -80,9 +87,12 @@ def cart_lines(cart: DataFrame, inventory: DataFrame) -> DataFrame:
 
 
 def order_lines(items: DataFrame, inventory: DataFrame) -> DataFrame:
-    """JOIN7: order lines with product name and image."""
+    """JOIN7: order lines with product name and image.
+
+    Callers join the lines again by order, which keeps adaptive execution from splitting a hot product, so its rows
+    are split here (``skew.split_join``)."""
     products = inventory.select(F.col("id").alias("product_id"), "name", "image")
-    return items.join(products, "product_id")
+    return split_join(items, products, "product_id")
 
 
 def best_payment(payments: DataFrame) -> DataFrame:
@@ -111,5 +121,5 @@ def deletable(requests: DataFrame, sales: DataFrame, key: str = "product_id") ->
     return requests.join(sold, key, "left_anti")
 
 
-__all__ = ["sales_detail", "product_sales", "inventory_with_sales", "user_sales", "users_with_sales",
+__all__ = ["sales_detail", "known_sales", "product_sales", "inventory_with_sales", "user_sales", "users_with_sales",
            "cart_lines", "order_lines", "best_payment", "receipt_headers", "deletable", "SUM_MONEY", "MONEY"]

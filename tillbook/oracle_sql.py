@@ -295,7 +295,7 @@ ORACLE["srt4_orders_newest_first"] = _sql(
     "SELECT id, created_at, row_number() OVER (ORDER BY created_at DESC, id DESC) AS position FROM m_orders")
 ORACLE["srt4_tracking_newest_first"] = _sql("""
 SELECT id, order_id, created_at, row_number() OVER (ORDER BY order_id, created_at DESC, id DESC) AS position
-FROM m_tracking""")
+FROM m_tracking WHERE order_id IN (SELECT id FROM m_orders)""")
 ORACLE["top1_top_products"] = _sql(
     "SELECT id, name, total_sales FROM m_inventory_report ORDER BY total_sales DESC, id LIMIT 5")
 

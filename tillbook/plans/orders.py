@@ -20,6 +20,16 @@ from ..operators.payments import ORDER_NOT_FOUND
 from ..operators.running import running_sum, with_range_slices
 
 
+def newest_orders() -> list:
+    """SRT4: orders newest first, ties by id."""
+    return [F.col("created_at").desc(), F.col("id").desc()]
+
+
+def newest_tracking() -> list:
+    """SRT4: each order's tracking rows newest first, ties by id."""
+    return [F.col("order_id"), F.col("created_at").desc(), F.col("id").desc()]
+
+
 def _of_orders(orders: DataFrame, items: DataFrame, inventory: DataFrame, tracking: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The lines (with product name and image) and tracking rows of the given orders; both tables are
     reduced to these orders before anything is joined or aggregated."""
@@ -36,8 +46,8 @@ def order_history(orders: DataFrame, items: DataFrame, tracking: DataFrame, inve
     lines, track = _of_orders(o, items, inventory, tracking)
     with_status = current_status(o, tracking if user is None else track)
     if ordered:
-        with_status = with_status.orderBy(F.col("created_at").desc(), F.col("id").desc())
-        track = track.orderBy("order_id", F.col("created_at").desc(), F.col("id").desc())
+        with_status = with_status.orderBy(*newest_orders())
+        track = track.orderBy(*newest_tracking())
     return {"orders": with_status, "items": lines, "tracking": track}
 
 
@@ -105,6 +115,6 @@ def admin_orders(orders: DataFrame, tracking: DataFrame, users: DataFrame, items
     lines, track = _of_orders(out, items, inventory, recent)
     listed = out.join(contact, "user_id", "left")
     if ordered:
-        listed = listed.orderBy(F.col("created_at").desc(), F.col("id").desc())
-        track = track.orderBy("order_id", F.col("created_at").desc(), F.col("id").desc())
+        listed = listed.orderBy(*newest_orders())
+        track = track.orderBy(*newest_tracking())
     return {"orders": listed, "items": lines, "tracking": track}
