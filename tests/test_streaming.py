@@ -200,3 +200,36 @@ def test_readers_of_an_empty_state(spark, scratch):
     empty = STR.latest_rows(spark, f"{scratch}/none", "order_id", schema="order_id long, current_status string")
     assert empty.count() == 0 and empty.columns == ["order_id", "current_status"]
     assert STR.latest_rows(spark, f"{scratch}/none", "order_id").columns == ["order_id"]
+
+
+def test_late_rows_are_accounted_for(spark, event_files, scratch):
+    """Closed days, open days and late rows together are all rows; a restart and a compaction change nothing."""
+    folder, table = event_files
+    late = table.slice(0, 50)
+    pq.write_table(late, os.path.join(folder, "part-9-late.parquet"))
+    try:
+        def run():
+            sales = STR.sales_from_events(STR.event_stream(spark, folder, max_files_per_trigger=1))
+            STR.stream_daily_sales_accounted(sales, scratch, compact_every=2)
+        run()
+        run()
+        everything = STR.sales_from_events(spark.read.parquet(folder))
+        all_rows, on_time = everything.count(), STR.sales_from_events(spark.read.parquet(*[os.path.join(folder, f"part-{i}.parquet") for i in range(3)]))
+        n_late = STR.sales_from_events(spark.read.parquet(os.path.join(folder, "part-9-late.parquet"))).count()
+    finally:
+        os.remove(os.path.join(folder, "part-9-late.parquet"))
+    days, behind = STR.accounted_days(spark, scratch), STR.late_rows(spark, scratch)
+    assert behind.count() == n_late > 0 and {r["batch"] for r in behind.select("batch").distinct().collect()} == {3}
+    assert days.agg(F.sum("sales")).first()[0] + behind.count() == all_rows
+    assert {r["closed"] for r in days.collect()} == {True, False}
+    expected = {r["day"]: r["revenue"] for r in daily_sales(on_time.withColumn("product_name", F.lit("x"))).collect()}
+    assert {r["day"]: r["revenue"] for r in days.collect()} == expected
+    assert STR.finished_batches(spark, f"{scratch}/_days", "upto=") == [1, 3]
+    # the closed days are those that the append-mode stream gives
+    out = f"{scratch}/append"
+    pq.write_table(late, os.path.join(folder, "part-9-late.parquet"))
+    try:
+        STR.run_append(STR.stream_daily_sales(STR.sales_from_events(STR.event_stream(spark, folder, 1)), "1 day"), out, f"{scratch}/append-ckpt")
+    finally:
+        os.remove(os.path.join(folder, "part-9-late.parquet"))
+    assert {tuple(r) for r in days.where("closed").select("day", "revenue", "sales").collect()} == {tuple(r) for r in spark.read.parquet(out).collect()}

@@ -854,3 +854,31 @@ SELECT 'reports', outcome, count(*) FROM (
   FROM (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 50 <> 0 THEN s_name END AS title, CASE WHEN s_suppkey % 50 = 3 THEN 'weather' ELSE 'sales' END AS type,
                CASE WHEN s_suppkey % 50 = 1 THEN s_suppkey + 1 + 1000000000 ELSE s_suppkey + 1 END AS generated_by FROM supplier) t) GROUP BY 1, 2
 """)
+
+# ---------------------------------------------------------------- tables kept in buckets, roll-ups, accounted days
+
+for _name, _same in {"chg1_kept_products": "chg1_product_changes", "chg1_kept_rejects": "chg1_product_rejects",
+                     "chg2_kept_products": "chg2_product_deletes", "chg7_kept_payments": "chg7_payments_updated",
+                     "chg7_kept_tracking": "chg7_tracking_added", "join11_kept_orders": "join11_orders_paid",
+                     "chg8_kept_orders": "chg8_orders_updated", "chg8_kept_tracking": "chg8_tracking_added"}.items():
+    ORACLE[_name] = ORACLE[_same]
+ORACLE["rep8_kept_history"] = _sql("""
+SELECT o.id, o.user_id, o.status, c.current_status FROM m_orders o LEFT JOIN m_current c ON c.order_id = o.id
+WHERE o.user_id IN (SELECT id FROM m_users WHERE role = 'BUILDING')""")
+ORACLE["rep8_kept_lines"] = _sql("""
+SELECT i.*, p.name, p.image FROM m_items i JOIN m_inventory p ON p.id = i.product_id JOIN m_orders o ON o.id = i.order_id
+WHERE o.user_id IN (SELECT id FROM m_users WHERE role = 'BUILDING')""")
+ORACLE["win1_kept_status"] = _sql("""
+SELECT o.id, o.user_id, o.status, c.current_status FROM m_orders o LEFT JOIN m_current c ON c.order_id = o.id
+WHERE o.created_at >= TIMESTAMP '1998-01-01 00:00:00' AND o.created_at < TIMESTAMP '1999-01-01 00:00:00'""")
+ORACLE["agg2_rollup_products"] = _sql("""
+SELECT product_id, CAST(sum(quantity) AS BIGINT) AS total_sales, CAST(sum(total_amount) AS DECIMAL(38,2)) AS revenue FROM m_sales
+WHERE transaction_date >= TIMESTAMP '2000-03-15 06:30:00' AND transaction_date < TIMESTAMP '2001-06-01 00:00:00' GROUP BY product_id""")
+ORACLE["agg4_rollup_users"] = _sql("""
+SELECT user_id, count(*) AS total_purchases, CAST(sum(total_amount) AS DECIMAL(38,2)) AS total_spent, max(transaction_date) AS last_purchase
+FROM m_sales WHERE transaction_date >= TIMESTAMP '2000-08-01 00:00:00' GROUP BY user_id""")
+ORACLE["str1_accounted_days_stream"] = _with(_EVENT_SALES, """
+SELECT CAST(transaction_date AS DATE) AS day, CAST(sum(total_amount) AS DECIMAL(38,2)) AS revenue, count(*) AS sales,
+       CAST(CAST(transaction_date AS DATE) AS TIMESTAMP) + INTERVAL 1 DAY
+         <= (SELECT max(date_trunc('second', transaction_date)) - INTERVAL 1 DAY FROM m_esales) AS closed
+FROM m_esales GROUP BY 1""")

@@ -23,10 +23,13 @@ from .operators import joins as J
 from .operators import payments as PAY
 from .operators.filters import filter_orders, for_user, top_products
 from .operators.purchases import apply_purchases
+from .operators.rollup import SalesRollup
+from .plans import kept_tables as KEPT
 from .plans import orders as O
 from .plans import reports as R
 from .sinks import files as SNK
 from .sinks import report_store as STORE
+from .sinks.buckets import BucketTable, hash_bucket
 from .sources import tables as TB
 from .sources.schemas import REPORT_TYPES, check_table
 from .streaming import jobs as STR
@@ -802,6 +805,136 @@ def _chg2r(spark, sf):
     return _product_deletes(spark, sf)["rejects"]
 
 
+# ---------------------------------------------------------------- change jobs and look-ups on tables kept in buckets
+
+BUCKETS = 8
+
+
+def _kept(spark, name, df, key):
+    table = BucketTable(spark, scratch_path(spark, f"kept-{name}"), key, hash_bucket(BUCKETS))
+    table.commit(df)
+    return table
+
+
+def _kept_products(spark, sf):
+    kept = _kept(spark, "inventory", TB.inventory(spark, sf), "id")
+    return kept, KEPT.change_products(kept, TB.product_change_requests(spark, sf), "batch-1")
+
+
+@query("chg1_kept_products")
+def _chg1k(spark, sf):
+    return _kept_products(spark, sf)[0].read()
+
+
+@query("chg1_kept_rejects")
+def _chg1kr(spark, sf):
+    return _kept_products(spark, sf)[1]
+
+
+@query("chg2_kept_products")
+def _chg2k(spark, sf):
+    kept, _ = _kept_products(spark, sf)
+    requests = kept.read().select(F.concat(F.lit("del-"), F.col("id")).alias("request_id"), F.col("id").alias("product_id"))
+    KEPT.delete_products(kept, TB.sales(spark, sf), requests, "batch-2")
+    return kept.read()
+
+
+def _kept_orders(spark, sf):
+    o, t = _tables(spark, sf, "orders", "order_tracking")
+    return _kept(spark, "orders", o, "id"), _kept(spark, "tracking", t, "order_id")
+
+
+def _kept_payments(spark, sf):
+    orders, tracking = _kept_orders(spark, sf)
+    payments = _kept(spark, "payments", TB.payments(spark, sf), "transaction_id")
+    before = tracking.version().max_id
+    KEPT.confirm_payments(payments, orders, tracking, TB.payment_confirmations(spark, sf), "batch-1")
+    return payments, orders, tracking.read().where(F.col("id") > before)
+
+
+@query("chg7_kept_payments")
+def _chg7k(spark, sf):
+    return _kept_payments(spark, sf)[0].read()
+
+
+@query("chg7_kept_tracking")
+def _chg7kt(spark, sf):
+    """The tracking rows that the confirmations added."""
+    return _kept_payments(spark, sf)[2]
+
+
+@query("join11_kept_orders")
+def _join11k(spark, sf):
+    return _kept_payments(spark, sf)[1].read()
+
+
+@query("chg8_kept_orders")
+def _chg8k(spark, sf):
+    orders, tracking = _kept_orders(spark, sf)
+    KEPT.update_statuses(orders, tracking, TB.status_update_requests(spark, sf), "batch-1")
+    return orders.read()
+
+
+@query("chg8_kept_tracking")
+def _chg8kt(spark, sf):
+    """The tracking rows that the updates added."""
+    orders, tracking = _kept_orders(spark, sf)
+    before = tracking.version().max_id
+    KEPT.update_statuses(orders, tracking, TB.status_update_requests(spark, sf), "batch-1")
+    return tracking.read().where(F.col("id") > before)
+
+
+def _one_role_history(spark, sf):
+    """The order history of the users of one role, from lines and tracking kept by order."""
+    o, it, t, i = _tables(spark, sf, "orders", "order_items", "order_tracking", "inventory")
+    users = TB.users(spark, sf).where(F.col("role") == FIL1_ROLE)
+    return KEPT.history_of(o, _kept(spark, "items", it, "order_id"), _kept(spark, "tracking", t, "order_id"), i, users, ordered=False)
+
+
+@query("rep8_kept_history")
+def _rep8k(spark, sf):
+    return _one_role_history(spark, sf)["orders"].select("id", "user_id", "status", "current_status")
+
+
+@query("rep8_kept_lines")
+def _rep8kl(spark, sf):
+    return _one_role_history(spark, sf)["items"]
+
+
+@query("win1_kept_status")
+def _win1k(spark, sf):
+    """The current status of the orders created in one year."""
+    o, t = _tables(spark, sf, "orders", "order_tracking")
+    chosen = filter_orders(o, None, FIL2_DATES)
+    return KEPT.status_of(chosen, _kept(spark, "tracking", t, "order_id")).select("id", "user_id", "status", "current_status")
+
+
+# ---------------------------------------------------------------- day roll-ups
+
+
+def _rollup(spark, sf):
+    """The roll-up of all sales, its last month made again as after a day's load; it covers the days up to the one before AS_OF."""
+    s = TB.sales(spark, sf)
+    rollup = SalesRollup(spark, scratch_path(spark, "rollup"))
+    rollup.refresh(s)
+    rollup.refresh(s, spark.sql("SELECT DATE '2001-07-31' AS day"))
+    return s, rollup, ("1995-01-01", "2001-07-31")
+
+
+@query("agg2_rollup_products")
+def _agg2r(spark, sf):
+    """Units and revenue per product of a period with a part of a day at its start, merged from days."""
+    s, rollup, covered = _rollup(spark, sf)
+    return rollup.product_sales(s, covered, "2000-03-15 06:30:00", "2001-06-01 00:00:00")
+
+
+@query("agg4_rollup_users")
+def _agg4r(spark, sf):
+    """Purchases and spend per user of the last year, open at its end."""
+    s, rollup, covered = _rollup(spark, sf)
+    return rollup.user_sales(s, covered, "2000-08-01")
+
+
 # ---------------------------------------------------------------- sinks (written, then read back)
 
 
@@ -888,6 +1021,15 @@ def _str1(spark, sf):
     return spark.read.parquet(sc["out"])
 
 
+@query("str1_accounted_days_stream")
+def _str1a(spark, sf):
+    """Every day with its sums and whether it is closed; nothing is late in one batch."""
+    sc = STR.new_scratch(spark, "str1a")
+    sales = STR.sales_from_events(STR.event_stream(spark, _events_path(sf)))
+    STR.stream_daily_sales_accounted(sales, sc["root"], sc["checkpoint"])
+    return STR.accounted_days(spark, sc["root"])
+
+
 @query("str2_current_status_stream")
 def _str2(spark, sf):
     sc = STR.new_scratch(spark, "str2")

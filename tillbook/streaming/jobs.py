@@ -1,7 +1,8 @@
 """Structured Streaming jobs STR1-STR4, re-aimed from the reference's append-only tables.
 
 * STR1 daily revenue: event-time watermark + 1-day tumbling window, append mode;
-  a day is emitted once the watermark passes its end, rows behind it are dropped.
+  a day is emitted once the watermark passes its end, rows behind it are dropped. ``stream_daily_sales_accounted`` keeps
+  the rows behind the watermark as a table of their own, and shows open days.
 * STR2 current status per order: streaming max_by over (created_at, id) in update
   mode; each micro-batch writes only the orders it changed, under its batch id.
 * STR3 units and revenue per product: streaming sums in update mode, written the
@@ -17,13 +18,14 @@ checkpoint folder. Nothing is collected to the driver.
 
 from __future__ import annotations
 
+import datetime as dt
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import cut_lineage, scratch_path
+from ..core import cut_lineage, scratch_path, ts_lit
 from ..operators.joins import SUM_MONEY
 from ..operators.purchases import apply_purchases
 from ..sources.schemas import MONEY
@@ -86,6 +88,80 @@ def stream_daily_sales(sales: DataFrame, delay: str = "1 day") -> DataFrame:
                       "revenue", "sales")
 
 
+DAYS = "day date, revenue decimal(38,2), sales bigint"
+
+
+def stream_daily_sales_accounted(sales: DataFrame, state_dir: str, checkpoint: str | None = None, delay: dt.timedelta = dt.timedelta(days=1),
+                                 compact_every: int = 20) -> None:
+    """STR1 with nothing dropped: every row ends in a day's sums or in the late rows.
+
+    The watermark of a batch is the latest sale of the batches before it less ``delay``, as in ``stream_daily_sales``. Rows of
+    days that it has passed go to ``late/batch=<n>`` as they are; the others are summed by day into ``days/batch=<n>``.
+    ``marks/batch=<n>``, one row with the latest sale so far, is written last and makes the batch count.
+    Every ``compact_every``-th batch sums the days so far into ``_days/upto=<n>``. All folders are overwritten by a replay.
+    """
+    spark, base = sales.sparkSession, state_dir.rstrip("/")
+
+    def fold(batch: DataFrame, batch_id: int) -> None:
+        before = watermark(spark, base, delay, batch_id)
+        end = F.date_add(F.to_date("transaction_date"), 1).cast("timestamp_ntz")
+        is_late = F.lit(False) if before is None else F.coalesce(end <= ts_lit(before), F.lit(False))
+        batch.where(is_late).write.mode("overwrite").parquet(f"{base}/late/batch={batch_id}")
+        (batch.where(~is_late).groupBy(F.to_date("transaction_date").alias("day"))
+         .agg(F.sum("total_amount").cast(SUM_MONEY).alias("revenue"), F.count(F.lit(1)).alias("sales"))
+         .write.mode("overwrite").parquet(f"{base}/days/batch={batch_id}"))
+        if (batch_id + 1) % compact_every == 0:
+            days_so_far(spark, base, batch_id + 1, also=batch_id).write.mode("overwrite").parquet(f"{base}/_days/upto={batch_id}")
+        so_far = None if before is None else before + delay
+        (batch.agg(F.max(F.date_trunc("second", "transaction_date")).alias("latest"))
+         .select(F.greatest("latest", F.lit(None).cast("timestamp_ntz") if so_far is None else ts_lit(so_far)).alias("latest"))
+         .write.mode("overwrite").parquet(f"{base}/marks/batch={batch_id}"))
+
+    q = (sales.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint or f"{base}/_checkpoint")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def watermark(spark: SparkSession, state_dir: str, delay: dt.timedelta, before: int | None = None) -> dt.datetime | None:
+    """The latest sale (to the second) of the finished batches (before batch ``before``) less ``delay``; None without any."""
+    base = state_dir.rstrip("/")
+    done = [n for n in finished_batches(spark, f"{base}/marks") if before is None or n < before]
+    latest = spark.read.parquet(f"{base}/marks/batch={done[-1]}").first()["latest"] if done else None
+    return None if latest is None else latest - delay
+
+
+def days_so_far(spark: SparkSession, state_dir: str, before: int | None = None, also: int | None = None) -> DataFrame:
+    """day, revenue, sales summed over the finished batches (before batch ``before``), from the last compaction on.
+
+    A null day holds the sales without a time. ``also`` names a batch whose days are written but that does not count yet."""
+    base = state_dir.rstrip("/")
+    done = {n for n in finished_batches(spark, f"{base}/marks")} | ({also} if also is not None else set())
+    done = sorted(n for n in done if before is None or n < before)
+    # a compaction counts once its batch does
+    start = max((n for n in finished_batches(spark, f"{base}/_days", "upto=") if n in done and n != also), default=None)
+    paths = [f"{base}/days/batch={n}" for n in done if start is None or n > start]
+    paths += [] if start is None else [f"{base}/_days/upto={start}"]
+    if not paths:
+        return spark.createDataFrame([], DAYS)
+    return spark.read.schema(DAYS).parquet(*paths).groupBy("day").agg(
+        F.sum("revenue").cast(SUM_MONEY).alias("revenue"), F.sum("sales").alias("sales"))
+
+
+def accounted_days(spark: SparkSession, state_dir: str, delay: dt.timedelta = dt.timedelta(days=1)) -> DataFrame:
+    """day, revenue, sales and whether the watermark has closed the day; the late rows are ``late_rows``."""
+    mark = watermark(spark, state_dir, delay)
+    end = F.date_add("day", 1).cast("timestamp_ntz")
+    closed = F.lit(False) if mark is None else F.coalesce(end <= ts_lit(mark), F.lit(False))
+    return days_so_far(spark, state_dir).withColumn("closed", closed)
+
+
+def late_rows(spark: SparkSession, state_dir: str) -> DataFrame | None:
+    """The sales that came after their day was closed, with the batch they came in; None while no batch has finished."""
+    base = state_dir.rstrip("/")
+    done = finished_batches(spark, f"{base}/marks")
+    return spark.read.option("basePath", f"{base}/late").parquet(*[f"{base}/late/batch={n}" for n in done]) if done else None
+
+
 def stream_current_status(tracking: DataFrame) -> DataFrame:
     """STR2: newest tracking status per order (complete / update mode)."""
     return tracking.groupBy("order_id").agg(
