@@ -62,32 +62,38 @@ def report_period(name: str, as_of, start=None, end=None) -> Period:
     return Period(_midnight(now - dt.timedelta(days=30)), now)
 
 
-def export_period(name: str, as_of, start=None, end=None) -> Column | None:
-    """PER2, exports: a predicate builder over a timestamp column.
+def export_range(name: str, as_of, start=None, end=None) -> tuple[dt.date | None, dt.date | None]:
+    """PER2 as half-open dates (first day, day after the last); None where the range is open.
 
     today = same calendar date; week / month / year = on or after today minus one
     calendar week / month / year (no upper bound); custom = date between start and
-    end; any other name = no filter. Returns a function col -> Column. Date tests are
-    written as half-open timestamp ranges so they stay pushable into the scan.
+    end; any other name = everything.
     """
     today = as_datetime(as_of).date()
+    if name == "today":
+        return today, today + dt.timedelta(days=1)
+    if name == "week":
+        return today - dt.timedelta(days=7), None
+    if name == "month":
+        return minus_months(today, 1), None
+    if name == "year":
+        return minus_months(today, 12), None
+    if name == "custom":
+        if not start or not end:
+            raise ValueError("custom export needs both start and end dates")
+        return as_datetime(start).date(), as_datetime(end).date() + dt.timedelta(days=1)
+    return None, None
+
 
+def export_period(name: str, as_of, start=None, end=None) -> Column | None:
+    """PER2, exports: a predicate builder over a timestamp column, a function col -> Column. Date tests are
+    written as half-open timestamp ranges (``export_range``) so they stay pushable into the scan.
+    """
     def build(col) -> Column:
         c = F.col(col) if isinstance(col, str) else col
-        if name == "today":
-            return (c >= ts_lit(today)) & (c < ts_lit(today + dt.timedelta(days=1)))
-        if name == "week":
-            return c >= ts_lit(today - dt.timedelta(days=7))
-        if name == "month":
-            return c >= ts_lit(minus_months(today, 1))
-        if name == "year":
-            return c >= ts_lit(minus_months(today, 12))
-        if name == "custom":
-            if not start or not end:
-                raise ValueError("custom export needs both start and end dates")
-            first, last = as_datetime(start).date(), as_datetime(end).date()
-            return (c >= ts_lit(first)) & (c < ts_lit(last + dt.timedelta(days=1)))
-        return F.lit(True)
+        lo, hi = export_range(name, as_of, start, end)
+        test = F.lit(True) if lo is None else c >= ts_lit(lo)
+        return test if hi is None else test & (c < ts_lit(hi))
 
     return build
 

@@ -58,8 +58,12 @@ def inventory_with_sales(inventory: DataFrame, sales: DataFrame, period=None) ->
     With a period this is the reference's "period in the ON clause": the filter
     goes on the sales side only, so products without sales in it still appear.
     """
-    agg = product_sales(sales, period).withColumnRenamed("product_id", "id")
-    return (inventory.join(agg, "id", "left")
+    return with_product_sums(inventory, product_sales(sales, period))
+
+
+def with_product_sums(inventory: DataFrame, sums: DataFrame) -> DataFrame:
+    """Every product with the sums of ``product_sales`` or of a roll-up (``rollup.SalesRollup``)."""
+    return (inventory.join(sums.withColumnRenamed("product_id", "id"), "id", "left")
             .withColumn("total_sales", F.coalesce("total_sales", F.lit(0).cast("long")))
             .withColumn("revenue", F.coalesce("revenue", F.lit(0).cast(SUM_MONEY))))
 
@@ -73,8 +77,12 @@ def user_sales(sales: DataFrame, period=None) -> DataFrame:
 
 def users_with_sales(users: DataFrame, sales: DataFrame, period=None) -> DataFrame:
     """JOIN4 / JOIN5: every user with purchase count, spend and last purchase; 0 / 0 / null if none."""
-    agg = user_sales(sales, period).withColumnRenamed("user_id", "id")
-    return (users.join(agg, "id", "left")
+    return with_user_sums(users, user_sales(sales, period))
+
+
+def with_user_sums(users: DataFrame, sums: DataFrame) -> DataFrame:
+    """Every user with the sums of ``user_sales`` or of a roll-up."""
+    return (users.join(sums.withColumnRenamed("user_id", "id"), "id", "left")
             .withColumn("total_purchases", F.coalesce("total_purchases", F.lit(0).cast("long")))
             .withColumn("total_spent", F.coalesce("total_spent", F.lit(0).cast(SUM_MONEY))))
 

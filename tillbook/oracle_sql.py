@@ -860,7 +860,8 @@ SELECT 'reports', outcome, count(*) FROM (
 for _name, _same in {"chg1_kept_products": "chg1_product_changes", "chg1_kept_rejects": "chg1_product_rejects",
                      "chg2_kept_products": "chg2_product_deletes", "chg7_kept_payments": "chg7_payments_updated",
                      "chg7_kept_tracking": "chg7_tracking_added", "join11_kept_orders": "join11_orders_paid",
-                     "chg8_kept_orders": "chg8_orders_updated", "chg8_kept_tracking": "chg8_tracking_added"}.items():
+                     "chg8_kept_orders": "chg8_orders_updated", "chg8_kept_tracking": "chg8_tracking_added",
+                     "rep5_rollup_export": "rep5_inventory_export", "rep6_rollup_export": "rep6_user_activity_export"}.items():
     ORACLE[_name] = ORACLE[_same]
 ORACLE["rep8_kept_history"] = _sql("""
 SELECT o.id, o.user_id, o.status, c.current_status FROM m_orders o LEFT JOIN m_current c ON c.order_id = o.id

@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import customer_tier, day_label, stock_flag, stock_status
-from ..functions.periods import Period, export_period, report_period
+from ..functions.periods import Period, export_period, export_range, report_period
 from ..operators.aggregates import (dashboard_kpis, daily_sales, sales_total, user_activity)
 from ..operators.filters import top_products
-from ..operators.joins import inventory_with_sales, sales_detail, users_with_sales
+from ..operators.joins import inventory_with_sales, sales_detail, users_with_sales, with_product_sums, with_user_sums
+from ..operators.rollup import SalesRollup
 from ..sinks.files import export_csv
 from ..sinks.report_store import StoredReport, save_report
 
@@ -86,18 +87,25 @@ def sales_export(sales: DataFrame, inventory: DataFrame, users: DataFrame, date_
 
 
 def inventory_export(inventory: DataFrame, sales: DataFrame, date_range: str, as_of, start=None, end=None,
-                     ordered: bool = True) -> DataFrame:
-    """REP5: every product with units and revenue *in the period* (unsold ones show 0), by revenue."""
-    joined = inventory_with_sales(inventory, sales, export_period(date_range, as_of, start, end))
+                     ordered: bool = True, rollup: SalesRollup | None = None, covered: tuple | None = None) -> DataFrame:
+    """REP5: every product with units and revenue *in the period* (unsold ones show 0), by revenue. With a ``rollup`` of
+    the days ``covered`` only the sales outside these days are read."""
+    if rollup is None:
+        joined = inventory_with_sales(inventory, sales, export_period(date_range, as_of, start, end))
+    else:
+        joined = with_product_sums(inventory, rollup.product_sales(sales, covered, *export_range(date_range, as_of, start, end)))
     out = joined.select("id", "name", "description", F.col("quantity").alias("current_stock"),
                         "total_sales", "revenue")
     return out.orderBy(*by_revenue()) if ordered else out
 
 
 def user_activity_export(users: DataFrame, sales: DataFrame, date_range: str, as_of, start=None, end=None,
-                         ordered: bool = True) -> DataFrame:
-    """REP6: purchases, spend and last purchase per user in the period (everyone listed), by spend."""
-    joined = users_with_sales(users, sales, export_period(date_range, as_of, start, end))
+                         ordered: bool = True, rollup: SalesRollup | None = None, covered: tuple | None = None) -> DataFrame:
+    """REP6: purchases, spend and last purchase per user in the period (everyone listed), by spend; ``rollup`` as in REP5."""
+    if rollup is None:
+        joined = users_with_sales(users, sales, export_period(date_range, as_of, start, end))
+    else:
+        joined = with_user_sums(users, rollup.user_sales(sales, covered, *export_range(date_range, as_of, start, end)))
     out = joined.select("id", "full_name", "email", "role", "total_purchases", "total_spent", "last_purchase")
     return out.orderBy(*by_spend()) if ordered else out
 

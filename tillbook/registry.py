@@ -935,6 +935,18 @@ def _agg4r(spark, sf):
     return rollup.user_sales(s, covered, "2000-08-01")
 
 
+@query("rep5_rollup_export")
+def _rep5r(spark, sf):
+    s, rollup, covered = _rollup(spark, sf)
+    return R.inventory_export(TB.inventory(spark, sf), s, "month", AS_OF, rollup=rollup, covered=covered)
+
+
+@query("rep6_rollup_export")
+def _rep6r(spark, sf):
+    s, rollup, covered = _rollup(spark, sf)
+    return R.user_activity_export(TB.users(spark, sf), s, "year", AS_OF, rollup=rollup, covered=covered)
+
+
 # ---------------------------------------------------------------- sinks (written, then read back)
 
 
