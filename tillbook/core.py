@@ -97,6 +97,23 @@ def cut_lineage(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_scratch(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """``cut_lineage`` with the path, for tables that ``delete_scratch`` removes once what is made of them has been written."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def delete_scratch(spark: SparkSession, *paths: str) -> None:
+    """Delete folders that ``write_scratch`` made; no plan that is still to run may read them."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    for path in paths:
+        if not path.startswith(f"{base}/"):
+            raise ValueError(f"{path} is not a scratch folder")
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def max_id(df: DataFrame, col: str = "id") -> int:
     """Largest id of a table, 0 when empty (one number to the driver)."""
     row = df.agg(F.max(col).alias("m")).first()
