@@ -9,7 +9,7 @@ rare words that meet within ``slack`` positions of their place give a proximity
 Words are indexed in Unicode lower case, which words equal under A-Z lower-casing share; the exact comparison
 uses A-Z lower-casing alone.
 
-Plan: windows and terms are numbered, so postings and lists are rows of a few numbers; no array of words is ever a key or travels
+Plan: windows and terms go by 64-bit hashes (two of one hash give more to compare, never a wrong match), so postings and lists are rows of a few numbers; no array of words is ever a key or travels
 beside another row. Texts that have (window, start) pairs left are picked by a broadcast of at most ``common.BROADCAST_ROWS`` counted
 keys, else by one shuffle of the texts; only the picked ones meet the pairs. Postings, lists and look-ups are deleted once the matches are written.
 
@@ -51,14 +51,14 @@ def _folded_words(text) -> Column:
 
 
 class Index:
-    """Numbered windows (win, words), look-ups (win, nth, term, at) of their two rarest terms, postings (term, id_key, text_key, pos)."""
+    """Windows (win, words), look-ups (win, nth, term, at) of their two rarest terms, postings (term, id_key, text_key, pos)."""
 
     def __init__(self, docs: DataFrame, windows: DataFrame):
         self.spark, self.docs, self.paths = docs.sparkSession, _keyed(docs), []
-        self.windows = self._written(windows.select("words").distinct().withColumn("win", F.monotonically_increasing_id()), "windows")
+        self.windows = windows.select("words").distinct().withColumn("win", F.xxhash64("words"))
         self.longest = max(windows.agg(F.max(F.size("words"))).first()[0] or 1, 1)
         placed = self.windows.select("win", F.posexplode(F.transform("words", F.lower)).alias("at", "word"))
-        terms = self._written(placed.select("word").distinct().withColumn("term", F.monotonically_increasing_id()), "terms")
+        terms = placed.select("word").distinct().withColumn("term", F.xxhash64("word"))
         counted = terms.count()
         tokens = self.docs.select(F.explode(_folded_words(F.col("text"))).alias("word"))
         dfs = tokens.join(small_or_joined(terms, counted), "word").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
