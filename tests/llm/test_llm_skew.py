@@ -52,5 +52,5 @@ def test_hot_copies_keep_their_results(make):
     rows = [(None, TEXT)] * 50 + [(i, TEXT) for i in range(50)]
     got = substring.remove_repeats(make(rows), bucket_bytes=1 << 12).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == brute_repeats(rows, 50)
-    groups = jaccard.jaccard_groups(make(rows), bucket_bytes=1 << 12).collect()
+    groups = jaccard.jaccard_groups(make(rows), k=3, percent=90, bucket_bytes=1 << 12).collect()
     assert Counter((r.doc_id, r.component_id) for r in groups) == Counter((i, 0) for i, _ in rows)

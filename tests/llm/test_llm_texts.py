@@ -1,9 +1,12 @@
 """Operators on words and shingles against brute force on small fixtures with odd cases."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_fixtures import make, rows  # noqa: F401
@@ -94,8 +97,8 @@ def ladder(n=240):
 
 @pytest.mark.parametrize("percent", [90, 80])
 def test_jaccard_groups(make, rows, percent):
-    got = jaccard.jaccard_groups(make(rows), percent=percent, bucket_bytes=1 << 12).collect()
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows, percent)
+    got = jaccard.jaccard_groups(make(rows), k=3, percent=percent, bucket_bytes=1 << 12).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows, percent, 3)
 
 
 @pytest.mark.parametrize("top", [None, 40])
@@ -103,7 +106,7 @@ def test_jaccard_boundaries_and_hot_group(make, monkeypatch, top):
     if top is not None:  # any boundary between light and heavy sets gives the same result
         monkeypatch.setattr(jaccard, "boundary", lambda *a: top)
     rows = ladder()
-    got = jaccard.jaccard_groups(make(rows), bucket_bytes=1 << 13).collect()
+    got = jaccard.jaccard_groups(make(rows), k=3, percent=90, bucket_bytes=1 << 13).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows)
 
 
@@ -114,14 +117,51 @@ def test_jaccard_rounds_settle_lists_without_a_hub(make):
     for i in range(40):
         ws = base + [f"x{(i + j) % 40}" for j in range(6)]
         rows.append((i, " ".join(ws)))
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(make(rows)).collect()) == brute_groups(rows)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_groups(make(rows), k=3, percent=90).collect()) == brute_groups(rows)
+
+
+def test_large_sets_are_told_apart_by_wide_sketches(make):
+    """Texts of thousands of words that share many rare shingles: some link, some just do not, one has half the words."""
+    rng = random.Random(3)
+    base = [f"v{i}" for i in range(3000)]
+    rows = []
+    for i, changes in enumerate([0, 1, 20, 49, 50, 51, 52, 53, 60, 90, 300, 900]):
+        ws = list(base)
+        for at in rng.sample(range(1, 1000), changes):
+            ws[3 * at] = f"c{i}_{at}"
+        rows.append((i, " ".join(ws)))
+    rows += [(100, " ".join(base[:1500])), (101, " ".join(base[:2700])), (102, " ".join(base[:2730]))]
+    for k, percent in ((3, 90), (5, 80)):
+        got = jaccard.jaccard_groups(make(rows), k=k, percent=percent).collect()
+        assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows, percent, k)
+
+
+def test_wide_sketches_never_exceed_the_difference():
+    rng = np.random.default_rng(4)
+    for n, m in ((700, 720), (1500, 1600), (4000, 4300), (9000, 20000)):
+        words = [f"w{i}" for i in range(max(n, m) + 400)]
+        a, b = words[:n], words[300:300 + m]
+        table = pa.table({"c": ["a", "b"], "text": [" ".join(a), " ".join(b)]})
+        wide = [x for out in jaccard._wide_map(1, 90)(table.to_batches()) for x in out.column("wide").to_pylist()]
+        assert [8 * len(x) for x in wide] == [jaccard.sketch_width(n, 90), jaccard.sketch_width(m, 90)]
+        assert jaccard._apart(*wide) <= len(set(a) ^ set(b))
+        assert jaccard._apart(wide[0], wide[0]) == 0
+
+
+def test_defaults_are_five_words_and_four_fifths(make):
+    """A text of 100 words with two separate one-word edits is a near copy (86 of 106 shingles)."""
+    ws = [f"q{i}" for i in range(100)]
+    edited = ws[:30] + ["x"] + ws[31:70] + ["y"] + ws[71:]
+    far = ws[:10] + ["s"] + ws[11:50] + ["t"] + ws[51:90] + ["u"] + ws[91:]  # three edits elsewhere: 81 of 111
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_groups(make([(1, " ".join(ws)), (2, " ".join(edited)), (3, " ".join(far))])).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
 
 
 def test_one_of_each_group(make, rows):
     kept = Counter((r.doc_id, r.text) for r in jaccard.one_of_each_group(make(rows)).collect())
     wordless = Counter((d, t) for d, t in rows if not WORD.findall(t or ""))
     assert all(kept[x] == n for x, n in wordless.items())
-    groups = {c for _, n, c in brute_groups(rows) if n}
+    groups = {c for _, n, c in brute_groups(rows, 80, 5) if n}
     with_words = [(d, t) for d, t in kept.elements() if WORD.findall(t or "")]
     assert {d for d, _ in with_words} == groups
     assert jaccard.jaccard_groups(make([])).count() == 0 and jaccard.one_of_each_group(make([])).count() == 0
@@ -195,7 +235,7 @@ def test_jaccard_light_sets_of_two_sizes(make, monkeypatch, top):
         rows += [(3 * i, " ".join(ws + ["one"])), (3 * i + 1, " ".join(ws + ["two"])), (3 * i + 2, " ".join(ws))]
         more = [f"m{i}_{j}" for j in range(12)]  # the other way round: one set within two, and two smaller ones within it
         rows += [(1000 + 4 * i, " ".join(more)), (1001 + 4 * i, " ".join(more[1:])), (1002 + 4 * i, " ".join(more[:-1]))]
-    got = jaccard.jaccard_groups(make(rows)).collect()
+    got = jaccard.jaccard_groups(make(rows), k=3, percent=90).collect()
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_groups(rows)
 
 

@@ -15,7 +15,7 @@ Lists never emit all pairs. A list of up to three sets does; a longer one links
 with the fewest rarer shingles), and only sets that are still in different components meet again in the next
 round, with further pivots, until no list holds an unsettled pair. So a group of near copies costs about one
 comparison each, and no link is lost. Candidates pass exact bounds (sizes, positions, a 512-bit parity sketch
-of the sets) before the two texts are compared.
+of the sets, for large sets a wider one made for the sets that meet) before the two texts are compared.
 
 Defined cases: null, empty and wordless texts have no shingles and link with nothing (their component is their own
 id); texts of fewer words than a shingle have one, the whole; a null id ranks above every other id and a component of null ids
@@ -39,7 +39,7 @@ from .packing import by_bucket, group_starts, spread, unpack_all
 from .substring import _blobs, _of_kind, anywhere
 from .tokens import SPACES, byte_table, mix, pieces, text_buffers, window_hashes, word_hashes, word_spans
 
-SHINGLE, PERCENT = 3, 90
+SHINGLE, PERCENT = 5, 80
 SKETCH_BITS = 18
 BUCKET_BYTES = 32 << 20
 #: Sizes up to this are considered for the light side; the cost picks the boundary among them.
@@ -362,6 +362,55 @@ def _compare_map(k: int, percent: int):
     return run
 
 
+# -- wide sketches -----------------------------------------------------------------------------------
+
+def _difference(size, percent: int):
+    """The most shingles in which linked sets of ``size`` shingles together differ."""
+    return size - 2 * (-(-percent * size // (100 + percent)))
+
+
+def sketch_width(n: int, percent: int) -> int:
+    """Bits of a set's parity sketch: a power of two of at least four times the differences that a link allows, so that
+    the sketches of unlike sets, which differ in half their bits, are told apart."""
+    return max(1024, 1 << int(4 * _difference(2 * n, percent) - 1).bit_length())
+
+
+def _wide_map(k: int, percent: int):
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_buffers(batch.column("text"))
+            for a, b in pieces(offsets):
+                h, rows = distinct_by_row(*shingles(data, offsets, a, b, k), b - a)
+                cuts = np.searchsorted(rows, np.arange(b - a + 1))
+                bits = mix(h, 4)
+                out = []
+                for i, j in zip(cuts[:-1], cuts[1:]):
+                    width = sketch_width(int(j - i), percent)
+                    parity = np.bincount((bits[i:j] & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+                    out.append(np.packbits(parity.astype(np.uint8)).tobytes())
+                yield pa.RecordBatch.from_arrays([batch.column("c").slice(a, b - a), pa.array(out, pa.binary())], ["c", "wide"])
+    return run
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """In how many bits two parity sketches differ; the wider one is folded to the width of the other."""
+    x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    x, y = (x, y) if len(x) <= len(y) else (y, x)
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _wide_filter(percent: int):
+    def run(batches):
+        for batch in batches:
+            sizes = np.asarray(batch.column("n_x")).astype(np.int64) + np.asarray(batch.column("n_y"))
+            most = _difference(sizes, percent)
+            near = [_apart(x.as_py(), y.as_py()) <= m for x, y, m in zip(batch.column("wide_x"), batch.column("wide_y"), most)]
+            yield batch.select(["c_x", "c_y"]).filter(pa.array(near, pa.bool_()))
+    return run
+
+
 def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(u, v): the pairs of classes that link. ``pairs`` has 64-bit set ids x and y."""
     side = lambda name: classes.select(F.col("s1").alias(name), F.col("c").alias(f"c_{name}"), F.col("n").alias(f"n_{name}"),
@@ -369,10 +418,21 @@ def _linked(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, perc
     apart = sum((F.bit_count(F.col(f"x{i}").bitwiseXOR(F.col(f"y{i}"))) for i in range(1, _SIG)), F.bit_count(F.col("x0").bitwiseXOR(F.col("y0"))))
     size = F.col("n_x") + F.col("n_y")
     need = F.ceil(size * percent / F.lit(100 + percent))
-    near = cut_lineage(pairs.distinct().join(side("x"), "x").join(side("y"), "y").where(apart <= size - 2 * need)
-                       .select("c_x", "c_y"), "near")
+    met = cut_lineage(pairs.distinct().join(side("x"), "x").join(side("y"), "y").where(apart <= size - 2 * need)
+                      .select("c_x", "c_y", "n_x", "n_y"), "met")
+    # the sketches of the postings have 8 * 64 bits, of which unlike sets differ in half: larger sets need wider ones
+    small = size - 2 * need < 32 * _SIG - 4 * 16
+    large = met.where(~small)
+    of = lambda rows: rows.select(F.col("c_x").alias("c")).union(rows.select("c_y")).distinct()
+    asked = of(large)
+    wide = texts.join(small_or_joined(asked, asked.count()), "c", "left_semi").select("c", "text").mapInArrow(
+        _wide_map(k, percent), "c string, wide binary")
+    wide = cut_lineage(wide, "wide")
+    named = lambda name: wide.select(F.col("c").alias(f"c_{name}"), F.col("wide").alias(f"wide_{name}"))
+    large = large.join(named("x"), "c_x").join(named("y"), "c_y").mapInArrow(_wide_filter(percent), "c_x string, c_y string")
+    near = cut_lineage(met.where(small).select("c_x", "c_y").unionByName(large), "near")
     # only the texts that these pairs compare are shuffled
-    wanted = near.select(F.col("c_x").alias("c")).union(near.select("c_y")).distinct()
+    wanted = of(near)
     texts = texts.join(small_or_joined(wanted, wanted.count()), "c", "left_semi")
     text = lambda name, out: texts.select(F.col("c").alias(name), F.col("text").alias(out))
     return (near.join(text("c_x", "text_a"), "c_x").join(text("c_y", "text_b"), "c_y")

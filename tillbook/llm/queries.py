@@ -70,7 +70,7 @@ def op9_decontaminate(spark, sf_dir):
 
 def op10_jaccard_join(spark, sf_dir):
     """The component of every document under links of 3-word shingle Jaccard 0.9 or more."""
-    return jaccard.jaccard_groups(_table(spark, sf_dir, "documents")).drop("text_key")
+    return jaccard.jaccard_groups(_table(spark, sf_dir, "documents"), k=3, percent=90).drop("text_key")
 
 
 def op11_ranked_search(spark, sf_dir):
