@@ -26,7 +26,7 @@ def language(spark, docs, sf_dir):
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group linked by 3-word shingle Jaccard of 0.9 or more."""
+    """One document of each group linked by 5-word shingle Jaccard of 0.8 or more."""
     return jaccard.one_of_each_group(docs.select(*COLUMNS))
 
 
