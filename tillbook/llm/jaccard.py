@@ -470,15 +470,18 @@ def _members(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT, sketch_b
     if not wanted.where("repeated").isEmpty():  # equal ids with equal texts are repeated rows: one of them is enough
         kept_texts = cut_lineage(kept_texts.where("not repeated").unionByName(
             kept_texts.where("repeated").dropDuplicates(["c"])), "texts")
+    listed = cut_lineage(classes.join(open_lists.select(F.col("x").alias("s1")).distinct(), "s1", "left_semi").select(
+        F.col("s1").alias("x"), "c", *[f"g{i}" for i in range(_SIG)]), "listed")
     while True:
         new = cut_lineage(_linked(pairs, classes, kept_texts, k, percent), "links")
         links = new if links is None else links.unionByName(new)
         label = components(links)
         if open_lists.isEmpty():
             break
-        named = classes.select(F.col("s1").alias("x"), "c", *[f"g{i}" for i in range(_SIG)]).join(label.select(F.col("node").alias("c"), "component"), "c", "left")
-        named = named.select("x", F.xxhash64(F.coalesce("component", "c")).alias("label"), *[f"g{i}" for i in range(_SIG)])
-        step = cut_lineage(open_lists.join(named, "x").withColumn("bucket", F.pmod(F.xxhash64("e"), F.lit(buckets)))
+        # only the sets of open lists are told their components; their sketches come by the set's id
+        labels = listed.select("x", "c").join(label.select(F.col("node").alias("c"), "component"), "c", "left").select(
+            "x", F.xxhash64(F.coalesce("component", "c")).alias("label"))
+        step = cut_lineage(open_lists.join(labels, "x").join(listed.drop("c"), "x").withColumn("bucket", F.pmod(F.xxhash64("e"), F.lit(buckets)))
                            .groupBy("bucket").applyInArrow(_round_reduce(percent, top), _FOUND), "round")
         pairs = step.where(F.col("kind") == _PAIR).select("x", "y")
         open_lists = step.where(F.col("kind") == _LIST).select("e", "x", "n", "pos", "done")
