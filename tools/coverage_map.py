@@ -17,7 +17,7 @@ sys.path.insert(0, ROOT)
 IDS = {
     "SRC1": "sources.tables.read_table", "SRC2": "sources.schemas.SCHEMAS, check_table",
     "SRC3": "sources.seed.seed (fixture, tests only)",
-    "SNK1": "sinks.files.export_csv, read_export", "SNK2": "sinks.files.save_snapshot, read_snapshots",
+    "SNK1": "sinks.files.export_csv (parts or one file), read_export", "SNK2": "plans.reports.store_report, sinks.report_store.read_reports, read_report_lines; sinks.files.save_snapshot, read_snapshots",
     "PER1": "functions.periods.report_period", "PER2": "functions.periods.export_period",
     "PER3": "functions.periods.preset_period", "PER4": "functions.periods.order_period",
     "PER5": "functions.periods.order_period('admin_default')",
