@@ -25,7 +25,8 @@ sys.path.insert(0, ROOT)
 
 SOURCE = "/root/testdata/sf0.1"
 DEFAULT = ["rep2_inventory_report", "rep5_inventory_export", "rep1_sales_report", "win1_current_status",
-           "agg12_customer_order_stats", "chg4_fold_cart", "chg3_purchases_sales"]
+           "agg12_customer_order_stats", "chg4_fold_cart", "chg3_purchases_sales", "join7_order_lines", "rep9_receipts", "join9_deletable_products",
+           "chg2_product_deletes", "chg5_checkout_orders", "agg15_order_history_nested"]
 
 
 def build_copy(spark, out: str, copies: int) -> None:
@@ -96,9 +97,15 @@ def main() -> None:
     os.makedirs(log_dir, exist_ok=True)
     from tillbook.core import build_session
     from tillbook.registry import QUERIES
-    # 32 shuffle partitions and no coalescing, so task shares show how keys spread (1/32 is even)
+    # 32 shuffle partitions and no coalescing, so task shares show how keys spread (1/32 is even); no forced skew splits
     spark = build_session("local[8]", 32, extra={"spark.eventLog.enabled": "true", "spark.eventLog.dir": log_dir,
                                                  "spark.sql.adaptive.coalescePartitions.enabled": "false",
+                                                 "spark.sql.adaptive.forceOptimizeSkewedJoin": "false",
+                                                 # a hot partition has some 20 MB here, not the 256 MB from which Spark calls it skewed
+                                                 "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2m",
+                                                 "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m",
+                                                 # dimension tables are not small enough to broadcast at scale
+                                                 "spark.sql.autoBroadcastJoinThreshold": "-1",
                                                 "spark.eventLog.rolling.enabled": "false",
                                                 "spark.eventLog.compress": "false", "spark.driver.memory": "16g"})
     data = os.path.join(scratch, f"x{copies}")
