@@ -77,17 +77,81 @@ def test_edited_likeness_repeated_rows_and_empty(make, rows):
     assert (only.n_chars, only.edited_sha256, only.near_next) == (5, hashlib.sha256(b"alo" + b"al").hexdigest(), 1.0)
 
 
+def language_counts(texts):
+    """(contexts, symbols, counts) of texts as the operator's tasks count them, and the letters of each text."""
+    data, offsets = text_buffers(pa.array(texts))
+    context, last, _, n = langid._grams(*langid._code_points(data, offsets))
+    return langid._added(context, last, np.ones(len(last), np.int64)), n.tolist()
+
+
 def test_probabilities_sum_to_one():
-    letters = sorted({c for c in "the quick brown fox jumps over lazy dogs"} - {" "})
-    symbol = langid.symbols([(ord(c), 1) for c in letters])
-    data, offsets = text_buffers(pa.array(["the quick brown fox jumps over the lazy dogs the the", "fox", None]))
-    grams, _, n = langid._grams(*langid._code_points(data, offsets), symbol)
-    assert n.tolist() == [42, 3, 0]
-    key, count = np.unique(grams, return_counts=True)
-    model = langid.fit(symbol, {"en": (key, count), "xx": (key[::2], count[::2])})
-    for context in (0, int(key[5]) >> 6, 12345, (1 << 18) - 1):
-        whole = (np.uint32(context) << np.uint32(6)) | np.arange(64, dtype=np.uint32)
-        assert np.allclose(np.exp2(model.log_probs(whole).astype(float)).sum(axis=0), 1, atol=1e-3), context
+    english, n = language_counts(["the quick brown fox jumps over the lazy dogs the the", "fox", None])
+    assert n == [42, 3, 0]
+    other, _ = language_counts(["Ελληνικά και ελληνικό", "𐐨𐐩𐐪 日本語"])
+    model = langid.fit({"en": english, "xx": other})
+    every = np.arange(langid.LETTERS, dtype=np.uint64)
+    for context in (0, int(english[0][5]), int(other[0][7]), 12345, (1 << 63) - 1):
+        whole = model.log_probs(np.full(len(every), context, np.uint64), every)
+        assert np.allclose(np.exp2(whole.astype(float)).sum(axis=0), 1, atol=1e-3), context
+
+
+def plain_symbols(text):
+    words = "".join(c.lower() if len(c.lower()) == 1 and c.isalpha() else c if c.isalpha() else " " for c in text).split()
+    return "   " + "".join(w + " " for w in words) if text.strip() else "   "
+
+
+def plain_kneser_ney(texts):
+    """Interpolated Kneser-Ney from dictionaries: a function of (context, symbol)."""
+    grams = Counter(s[i - 3:i + 1] for s in map(plain_symbols, texts) for i in range(3, len(s)))
+    levels = {4: grams}
+    for k in (3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def prob(context, symbol):
+        k = len(context) + 1
+        level = levels[k]
+        if k == 1:
+            return 0.01 / langid.LETTERS + 0.99 * level[symbol] / sum(level.values())
+        d = langid._discount(np.array(list(level.values())))
+        after = [n for g, n in level.items() if g[:-1] == context]
+        shorter = prob(context[1:], symbol)
+        if not after:
+            return shorter
+        return (max(level[context + symbol] - d, 0) if level[context + symbol] else 0) / sum(after) + d * len(after) / sum(after) * shorter
+    return prob
+
+
+def test_scores_follow_the_plain_rule():
+    texts = {"en": ["the cat and the dog sat on the mat", "a theme of cats"], "el": ["η γάτα και ο σκύλος", "γάτες και σκύλοι"], "zh": ["日本 語本 日本語", "語日"]}
+    model = langid.fit({k: language_counts(v)[0] for k, v in texts.items()})
+    for text in ["the cats", "Γάτα the 日本", "ქართული ენა", "мир", "mat 語本語 𐐨"]:
+        data, offsets = text_buffers(pa.array([text]))
+        got = model.log_probs(*langid._grams(*langid._code_points(data, offsets))[:2]).sum(axis=0)
+        s = plain_symbols(text)
+        for lang, value in zip(model.langs, got):
+            prob = plain_kneser_ney(texts[lang])
+            assert abs(value - sum(np.log2(prob(s[i - 3:i], s[i])) for i in range(3, len(s)))) < 0.01, (text, lang)
+
+
+def invented(letters, seed, n, words=400):
+    rng = np.random.default_rng(seed)
+    vocab = ["".join(rng.choice(list(letters), rng.integers(2, 9))) for _ in range(words)]
+    return [" ".join(vocab[i] for i in rng.zipf(1.3, rng.integers(15, 80)) % words) for _ in range(n)]
+
+
+def test_languages_of_small_scripts(spark):
+    latin = "abcdefghijklmnopqrstuvwxyzàâäåæçèéêëìíîïñòóôöøùúûüýþßœšžłńśźż"
+    cyrillic, greek, georgian = (["".join(map(chr, range(a, b))) for a, b in ((0x430, 0x450), (0x3B1, 0x3CA), (0x10D0, 0x10F1))])
+    texts = {f"latin{i}": invented(latin[i * 5:i * 5 + 30], i, 300) for i in range(6)}
+    texts |= {"cyr1": invented(cyrillic, 11, 40), "cyr2": invented(cyrillic, 12, 40), "ell1": invented(greek, 13, 40), "ell2": invented(greek, 14, 40)}
+    learned = [(t, k) for k, v in texts.items() for t in v[:len(v) * 3 // 4]]
+    held = [(t, k) for k, v in texts.items() for t in v[len(v) * 3 // 4:]] + [(t, "none") for t in invented(georgian, 15, 50)]
+    model = langid.train(spark.createDataFrame(learned, "text string, lang string"))
+    got = langid.predict(spark.createDataFrame(held, "text string, lang string"), model, keep=("lang",)).collect()
+    for lang in texts:
+        own = [r for r in got if r.lang == lang]
+        assert sum(r.lang_pred == lang and not r.rejected for r in own) >= 0.95 * len(own), lang
+    assert all(r.rejected for r in got if r.lang == "none")
 
 
 def test_language_held_out(spark):
