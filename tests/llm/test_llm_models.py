@@ -233,7 +233,7 @@ def test_quality_defined_cases(make, spark, rows):
 
 def test_pipeline_stages(spark, make, rows, scratch):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "benchmark_leaks", "source_mix", "shards"]
-    planted = rows + [(70001, ITEMS[0][1] + " and more words of its own")]
+    planted = rows + [(70001, ITEMS[0][1] + " w13 of the w14 w15")]
     items = spark.createDataFrame(ITEMS[:1], "item_id string, text string")
     items.write.parquet(f"{scratch}/benchmark.parquet")
     docs = make(planted).select(*corpus_pipeline.COLUMNS)

@@ -1,19 +1,21 @@
 """Mixing sources to target weights with exact quotas and a hypergeometric splitting tree.
 
 Each source's rows are dealt into fixed blocks by a hash. A source whose target is p times its size and a
-rest draws all its blocks p times and, in a further pass, blocks in permuted order until the rest is
-reached; of the last block each document gives the same share of its words. The number of draws of each source is its
-block quota. A binary tree over the output shards splits the quotas: at each node the left half of the
+rest draws all its blocks p times and, in a further pass, blocks in permuted order (any that hold over a sixteenth of the rest
+first) as long as they fit what is left of it. The smallest block that does not fit is opened: its lanes (a finer hash), and then the documents of the smallest lane that
+does not fit, are taken by the same rule, and one more document if that comes nearer. No text is ever cut. The number of draws of
+each source is its block quota. A binary tree over the output shards splits the quotas: at each node the left half of the
 shards receives a multivariate hypergeometric draw of the node's blocks, which is what a uniform shuffle
 of all blocks would give, without ever listing the blocks together. At a leaf the shard's quota of each source is
 the next run of that source's permuted draws, so shards are disjoint; inside a shard rows are ordered by a hash.
 
 DataFrame operations only. Tables besides the documents have one row per source and block (1,024 a
-source); the tree works on one row per node that holds one number per source.
+source); the tree works on one row per node that holds one number per source. An opened lane, some millionth of a source's
+documents, is folded in one row.
 
 Defined cases: a null text counts 0 words, is drawn like other documents and takes 0; a null source is a
 source of its own, last in order; sources without words have target 0; null ids are hashed like values;
-repeated rows are drawn alike (equal rows share a block); an empty table gives no rows.
+repeated rows are drawn alike (equal rows go together); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,22 +24,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import cut_lineage, sequence_ids
-from .common import SPACE_RE, count_words, let, small_or_joined, split_words, uniform
+from .common import SPACE_RE, count_words, let, small_or_joined, uniform
 
 WEIGHTS = (3, 1, 2)
 BLOCKS = 1024
+#: Parts of an opened block.
+LANES = 1024
 SHARDS = 16
 
 
+def _rank(seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
+
+
 def with_block(docs: DataFrame, blocks: int = BLOCKS, seed: int = 0, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, source, size, rank, block, *keep): words and the block of each row."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source"),
-                       count_words(F.col("text"), SPACE_RE).alias("size"),
-                       F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))).alias("rank"),
-                       *[F.col(c) for c in keep])
+                       count_words(F.col("text"), SPACE_RE).alias("size"), _rank(seed).alias("rank"), *[F.col(c) for c in keep])
     return rows.withColumn("block", F.pmod("rank", F.lit(blocks)).cast("int"))
 
 
+def _lane(rank: str) -> Column:
+    return F.pmod(F.shiftrightunsigned(rank, 20), F.lit(LANES)).cast("int")
+
+
 def targets(sizes: DataFrame, share: float, limit: float, weights: tuple[int, ...]) -> DataFrame:
     """(idx, source, source_size, target) from (source, source_size), one row per source.
 
@@ -141,12 +151,56 @@ def shard_quotas(draws: DataFrame, shards: int, seed: int) -> DataFrame:
             .agg(F.transform(F.sort_array(F.collect_list(F.struct("shard", "end"))), lambda x: x["end"]).alias("ends")))
 
 
+def _fitting(items: Column, left: Column, key_type: str) -> Column:
+    """Take items (struct of order, key, words; in order) with words as long as they fit: (left, taken, smallest, words).
+
+    ``smallest`` is the key of the smallest item that did not fit, ``words`` its size.
+    """
+    start = F.struct(left.cast("long").alias("left"), F.array().cast(f"array<{key_type}>").alias("taken"),
+                     F.lit(None).cast(key_type).alias("smallest"), F.lit(None).cast("long").alias("words"))
+
+    def one(s: Column, x: Column) -> Column:
+        fits = (x["words"] > 0) & (x["words"] <= s["left"])
+        smaller = ~fits & (x["words"] > 0) & (s["words"].isNull() | (x["words"] < s["words"]))
+        return F.struct(F.when(fits, s["left"] - x["words"]).otherwise(s["left"]).alias("left"),
+                        F.when(fits, F.concat(s["taken"], F.array(x["key"]))).otherwise(s["taken"]).alias("taken"),
+                        F.when(smaller, x["key"]).otherwise(s["smallest"]).alias("smallest"),
+                        F.when(smaller, x["words"]).otherwise(s["words"]).alias("words"))
+    return F.aggregate(F.sort_array(items), start, one)
+
+
+def _items(key: str, left: str, seed: int) -> Column:
+    """Items in permuted order, those of over a sixteenth of ``left`` before all others: later they would not fit."""
+    return F.collect_list(F.struct((F.col("words") * 16 <= F.col(left)).alias("small"), F.xxhash64(F.lit(seed), F.col("idx"), F.col(key)).alias("order"), F.col(key).alias("key"), F.col("words").alias("words")))
+
+
+def open_blocks(docs: DataFrame, opened: DataFrame, n_sources: int, blocks: int, seed: int) -> DataFrame:
+    """(idx, lanes, ranks): what is taken of each opened block, as whole lanes and as single documents by rank.
+
+    ``opened`` has (idx, source, block, left), at most one row a source. Only the documents of these blocks are counted again.
+    """
+    rows = docs.select(F.col("source"), _rank(seed).alias("rank"), F.col("text")).withColumn("block", F.pmod("rank", F.lit(blocks)).cast("int"))
+    units = (rows.alias("r").join(small_or_joined(opened, n_sources).alias("o"),
+                                  F.col("r.source").eqNullSafe(F.col("o.source")) & (F.col("r.block") == F.col("o.block")))
+             .select("o.idx", "o.left", "r.rank", count_words(F.col("r.text"), SPACE_RE).alias("words"))
+             .groupBy("idx", "rank").agg(F.first("left").alias("left"), F.sum("words").alias("words")))
+    units = cut_lineage(units.withColumn("lane", _lane("rank")), "mix-units")
+    lanes = (units.groupBy("idx", "lane").agg(F.first("left").alias("left"), F.sum("words").alias("words"))
+             .groupBy("idx").agg(_fitting(_items("lane", "left", seed + 3), F.first("left"), "int").alias("f"))
+             .select("idx", F.col("f.taken").alias("lanes"), F.col("f.left").alias("open_left"), F.col("f.smallest").alias("open_lane")))
+    lanes = cut_lineage(lanes, "mix-lanes")
+    inside = (units.join(small_or_joined(lanes.where("open_left > 0"), n_sources), "idx").where("lane = open_lane")
+              .groupBy("idx").agg(_fitting(_items("rank", "open_left", seed + 4), F.first("open_left"), "bigint").alias("f"))
+              .select("idx", F.when(F.col("f.words") < 2 * F.col("f.left"), F.concat("f.taken", F.array("f.smallest"))).otherwise(F.col("f.taken")).alias("ranks")))
+    return lanes.join(inside, "idx", "left").select("idx", "lanes", F.coalesce("ranks", F.array().cast("array<bigint>")).alias("ranks"))
+
+
 def mix_plan(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights: tuple[int, ...] = WEIGHTS,
              blocks: int = BLOCKS, shards: int = SHARDS, seed: int = 0) -> DataFrame:
-    """(source, block, source_size, target, draws): what is drawn of each block.
+    """(source, block, source_size, target, draws, lanes, ranks): what is drawn of each block.
 
-    ``draws`` is an array of (pass, shard, part): part is the share of each document's words, 1 but for the
-    last block of a source's last pass.
+    ``draws`` is an array of (pass, shard, opened). Of a block drawn as opened only the documents of ``lanes`` and those
+    with one of ``ranks`` are taken; other blocks have neither.
     """
     sized = cut_lineage(with_block(docs, blocks, seed).groupBy("source", "block").agg(
         F.sum("size").cast("long").alias("words")), "mix-blocks")
@@ -157,37 +211,37 @@ def mix_plan(docs: DataFrame, share: float = 1.5, limit: float = 2.0, weights: t
     asked = F.round("target").cast("long")
     whole = F.when(F.col("source_size") > 0, F.floor(asked / F.col("source_size"))).otherwise(0).cast("int")
     table = table.withColumn("whole", whole).withColumn("rest", asked - F.col("whole") * F.col("source_size"))
-    passes = table.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("whole"))))
-    order = Window.partitionBy("idx", "pass").orderBy(F.xxhash64(F.lit(seed), "idx", "pass", "block"))
-    before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    part = F.when(F.col("pass") < F.col("whole"), F.lit(1.0)).when(F.col("words") > 0, F.least(F.lit(1.0), F.greatest(
-        F.lit(0.0), (F.col("rest") - before) / F.col("words")))).otherwise(F.lit(0.0))
-    drawn = passes.withColumn("part", part).where("part > 0")
+    partly = cut_lineage(table.groupBy("idx").agg(F.first("source").alias("source"), F.first("whole").alias("pass"),
+                                                  _fitting(_items("block", "rest", seed), F.first("rest"), "int").alias("f"))
+                         .select("idx", "source", "pass", "f.*"), "mix-partly")
+    opened = partly.where("left > 0 and smallest is not null").select("idx", "source", "pass", "left", F.col("smallest").alias("block"))
+    drawn = (table.where("whole > 0").select("idx", "block", F.explode(F.sequence(F.lit(0), F.col("whole") - 1)).alias("pass"), F.lit(False).alias("opened"))
+             .unionByName(partly.select("idx", F.explode("taken").alias("block"), "pass", F.lit(False).alias("opened")))
+             .unionByName(opened.select("idx", "block", "pass", F.lit(True).alias("opened"))))
     place = Window.partitionBy("idx").orderBy("pass", F.xxhash64(F.lit(seed), "idx", "pass", "block"))
     drawn = cut_lineage(drawn.withColumn("at", F.row_number().over(place) - 1), "mix-draws")
     ends = shard_quotas(drawn.groupBy("idx").agg(F.count(F.lit(1)).alias("q")), shards, seed)
     drawn = drawn.join(small_or_joined(ends, n_sources), "idx").groupBy("idx", "block").agg(F.sort_array(F.collect_list(F.struct(
-        "pass", F.size(F.filter("ends", lambda e: e <= F.col("at"))).alias("shard"), "part"))).alias("draws"))
-    return cut_lineage(table.join(drawn, ["idx", "block"], "left").select(
+        "pass", F.size(F.filter("ends", lambda e: e <= F.col("at"))).alias("shard"), "opened"))).alias("draws"))
+    parts = open_blocks(docs, opened, n_sources, blocks, seed).join(opened.select("idx", "block"), "idx")
+    return cut_lineage(table.join(drawn, ["idx", "block"], "left").join(parts, ["idx", "block"], "left").select(
         "source", "block", "source_size", "target",
-        F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:int,part:double>>")).alias("draws")), "mix-plan")
+        F.coalesce("draws", F.array().cast("array<struct<pass:int,shard:int,opened:boolean>>")).alias("draws"), "lanes", "ranks"), "mix-plan")
 
 
 def mix_documents(docs: DataFrame, keep: tuple[str, ...] = (), seed: int = 0, blocks: int = BLOCKS, **plan) -> DataFrame:
     """(doc_id, size, source_size, target, taken, draws, *keep), one row per document.
 
     ``draws`` is an array of (pass, shard, order, words): the copies of this document, each with its output
-    shard, its place in the shard's local shuffle and the words it gives. ``taken`` is their sum.
+    shard, its place in the shard's local shuffle and its words. ``taken`` is their sum.
     """
     plan_rows = mix_plan(docs, blocks=blocks, seed=seed, **plan)
     rows = with_block(docs, blocks, seed, keep)
     joined = rows.alias("r").join(small_or_joined(plan_rows, plan_rows.count()).alias("p"),
                                   F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.block") == F.col("p.block")))
-    # floor(size * part + u) with a hashed u keeps the sum over a block near the asked one
-    words = lambda d: F.when(d["part"] >= 1, F.col("r.size")).otherwise(
-        F.least(F.col("r.size"), F.floor(F.col("r.size") * d["part"] + uniform(F.lit(seed + 1), F.col("r.rank")))))
-    copies = F.transform("p.draws", lambda d: F.struct(
-        d["pass"].alias("pass"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed + 2), d["pass"], F.col("r.rank")).alias("order"), words(d).cast("long").alias("words")))
+    inside = F.array_contains("p.lanes", _lane("r.rank")) | F.array_contains("p.ranks", F.col("r.rank"))
+    copies = F.transform(F.filter("p.draws", lambda d: ~d["opened"] | inside), lambda d: F.struct(
+        d["pass"].alias("pass"), d["shard"].alias("shard"), F.xxhash64(F.lit(seed + 2), d["pass"], F.col("r.rank")).alias("order"), F.col("r.size").alias("words")))
     return joined.withColumn("copies", copies).select(
         "doc_id", "size", "source_size", "target",
         F.aggregate("copies", F.lit(0).cast("long"), lambda a, c: a + c["words"]).alias("taken"),
@@ -197,14 +251,11 @@ def mix_documents(docs: DataFrame, keep: tuple[str, ...] = (), seed: int = 0, bl
 def mixture(docs: DataFrame, keep: tuple[str, ...] = (), **options) -> DataFrame:
     """The mix itself: one row per drawn copy, (doc_id, source, text, *keep, shard, pass, order, words).
 
-    A copy that gives only part of its words keeps the first ones, joined by one space. Documents without
-    words are copied with their block. Sorted by ``order`` inside a shard when written: ``write_mixture``.
+    Documents without words are copied with their block. Sorted by ``order`` inside a shard when written: ``write_mixture``.
     """
     rows = mix_documents(docs, keep=("text", *keep), **options)
-    copies = rows.select("doc_id", "source", "text", *keep, "size", F.explode("draws").alias("d")).where("d.words > 0 or size = 0")
-    words = F.filter(split_words(F.col("text"), SPACE_RE), lambda w: w != "")
-    text = F.when(F.col("d.words") < F.col("size"), F.array_join(F.slice(words, F.lit(1), F.col("d.words").cast("int")), " ")).otherwise(F.col("text"))
-    return copies.select("doc_id", "source", text.alias("text"), *keep, "d.shard", "d.pass", "d.order", "d.words")
+    copies = rows.select("doc_id", "source", "text", *keep, F.explode("draws").alias("d"))
+    return copies.select("doc_id", "source", "text", *keep, "d.shard", "d.pass", "d.order", "d.words")
 
 
 def write_mixture(mix: DataFrame, path: str, tasks_per_shard: int = 8) -> None:
