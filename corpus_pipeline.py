@@ -4,8 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on everything its predecessor k
 the columns of documents. A stage's rows are written as Parquet and read again for the next one.
 
 Defined cases: rows with null or letterless texts are rejected by the language stage; of repeated rows the join keeps
-one; a document that the mix draws twice is two rows, one that it does not draw is gone, and one that gives part of its
-words keeps the first ones with ``n_chars`` counted anew; an empty table stays empty. Null ids and sources
+one; a document that the mix draws twice is two rows, one that it does not draw is gone, and texts are never cut; an empty
+table stays empty. Null ids and sources
 are handled by each operator as its docstring says.
 """
 
