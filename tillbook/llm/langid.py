@@ -35,7 +35,7 @@ LETTERS, UNSEEN = 0x110000, 0.01
 #: Log2 units per symbol that a text may lie above its language's mean, besides Z deviations of the mean of its symbols.
 MARGIN, Z = 2.0, 6.0
 #: Bytes of texts, and grams of them, worked on at a time; 4-gram types held by a counting task before it passes them on.
-_PIECE, _GRAMS, _HELD = 2 << 20, 1 << 18, 1 << 21
+_PIECE, _GRAMS, _HELD = 1 << 18, 1 << 18, 1 << 19
 _U, _BITS = np.uint64, np.uint64(21)
 _ONE, _TWO = _U((1 << 21) - 1), _U((1 << 42) - 1)
 _letters: np.ndarray | None = None
