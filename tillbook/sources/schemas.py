@@ -104,14 +104,21 @@ def conform(df: DataFrame, name: str, keep: list[str] | None = None) -> DataFram
     return df.select(*cols, *[c for c in (keep or []) if c not in declared])
 
 
+def _listed(keys: DataFrame, names: list[str], flag: str) -> DataFrame:
+    """Broken keys, flagged, behind an exchange of their own: what grouped them is finished before the rows are joined, so
+    no task holds both, and adaptive execution broadcasts a list that it measures to be short (then the rows are not sorted)."""
+    return keys.select(*names, F.lit(True).alias(flag)).hint("rebalance")
+
+
 def check_table(df: DataFrame, name: str, parents: dict[str, DataFrame] | None = None,
                 enforce_pk: bool = True) -> tuple[DataFrame, DataFrame]:
     """Split ``df`` into (good, rejects) by the rules declared for table ``name``.
 
-    Rules run as column predicates (NOT NULL, ENUM), grouped counts (UNIQUE, a
-    shuffle on the key with map-side partial counts) and anti joins (FK, only
-    for parents passed in). A row breaking several rules is rejected once, with
-    the first reason in declaration order.
+    Rules run as column predicates (NOT NULL, ENUM) and as lists of broken keys: the
+    keys counted more than once (UNIQUE) and the keys that occur here but not in the
+    parent (FK, only for parents passed in). Both lists are grouped with map-side
+    partial results and join the rows as stages of their own (``_listed``). A row
+    breaking several rules is rejected once, with the first reason in declaration order.
     """
     schema = SCHEMAS[name]
     parents = parents or {}
@@ -131,18 +138,18 @@ def check_table(df: DataFrame, name: str, parents: dict[str, DataFrame] | None =
         flag = f"_dup{i}"
         names = [f"_dupkey{i}_{k}" for k in key]
         marked = marked.withColumns({n: F.lower(k) if k in CASELESS else F.col(k) for n, k in zip(names, key)})
-        dups = (marked.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-                .select(*names, F.lit(True).alias(flag)))
-        marked = marked.join(dups, names, "left")
+        dups = marked.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        marked = marked.join(_listed(dups, names, flag), names, "left")
         reasons.append(F.when(F.col(flag), F.lit(f"duplicate {'+'.join(key)}")))
     for i, (col, parent, parent_col) in enumerate(FOREIGN_KEYS.get(name, [])):
         if parent not in parents or col not in df.columns:
             continue
         flag = f"_fk{i}"
-        present = parents[parent].select(F.col(parent_col).alias(col)).distinct().withColumn(flag, F.lit(True))
-        marked = marked.join(present, col, "left")
-        reasons.append(F.when(F.col(col).isNotNull() & F.col(flag).isNull(),
-                              F.lit(f"{col} has no {parent}.{parent_col}")))
+        here = df.select(F.col(col), F.lit(False).alias("_there")).where(F.col(col).isNotNull())
+        there = parents[parent].select(F.col(parent_col).alias(col), F.lit(True).alias("_there"))
+        gone = here.union(there).groupBy(col).agg(F.max("_there").alias("_there")).where(~F.col("_there"))
+        marked = marked.join(_listed(gone, [col], flag), col, "left")
+        reasons.append(F.when(F.col(flag), F.lit(f"{col} has no {parent}.{parent_col}")))
     reason = F.coalesce(*reasons) if reasons else F.lit(None).cast("string")
     marked = marked.withColumn("reason", reason)
     helper = [c for c in marked.columns if c.startswith("_dup") or c.startswith("_fk")]
