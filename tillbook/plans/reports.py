@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..core import cut_lineage
 from ..functions.exprs import customer_tier, day_label, stock_flag, stock_status
 from ..functions.periods import Period, export_period, export_range, report_period
 from ..operators.aggregates import (dashboard_kpis, daily_sales, sales_total, user_activity)
@@ -151,10 +152,12 @@ def generate_report(report_type: str, tables: dict[str, DataFrame], date_range:
 def store_report(report_type: str, tables: dict[str, DataFrame], date_range: str, as_of, author: int, path: str,
                  start=None, end=None) -> int:
     """Make a report by type and store it (SNK2) under a new id: its lines in their order, and for sales the total and the
-    period. Readers see it once it is whole (``sinks.report_store``)."""
+    period. Readers see it once it is whole (``sinks.report_store``). The sale rows of the period are joined once: the total is
+    the sum of the rows that are stored."""
     report = generate_report(report_type, tables, date_range, as_of, start, end, ordered=False)
     if report_type == "sales":
-        stored = StoredReport("sales", report.sales, newest_sales(report.sales), report.total_revenue, report.period.start, report.period.end)
+        rows = cut_lineage(report.sales, "report")
+        stored = StoredReport("sales", rows, newest_sales(rows), sales_total(rows), report.period.start, report.period.end)
     elif report_type == "inventory":
         stored = StoredReport("inventory", report, products_by_name())
     else:
