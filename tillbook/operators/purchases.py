@@ -37,6 +37,8 @@ INVALID_QUANTITY = "Invalid quantity"
 PRODUCT_NOT_FOUND = "Product not found"
 INSUFFICIENT = "Insufficient quantity available"
 
+MESSAGES = {"invalid": INVALID_QUANTITY, "unknown": PRODUCT_NOT_FOUND, "refused": INSUFFICIENT}
+
 ORDER = ["requested_at", "request_id"]
 #: Rows that are folded at once inside a slice; near the root of the rows of a slice, so that both levels copy little.
 BLOCK = 256
@@ -105,23 +107,26 @@ def apply_purchases(inventory: DataFrame, requests: DataFrame, slices: int | Non
                          "purchases")
     products = inventory.select(F.col("id").alias("product_id"), "price",
                                 F.coalesce(F.col("quantity").cast("long"), F.lit(0)).alias("left"), F.lit(True).alias("_known"))
+    # requests that name no product are refused without any join
+    nameless = sliced.where(F.col("product_id").isNull())
+    sliced = sliced.where(F.col("product_id").isNotNull())
     marked = sliced.join(_per_slice(sliced, products), ["product_id", "_slice"], "left")
     bad_qty = F.col("quantity").isNull() | (F.col("quantity") < 1)
-    early = (marked.where(bad_qty | F.col("_known").isNull())
-             .withColumn("message", F.when(bad_qty, INVALID_QUANTITY).otherwise(PRODUCT_NOT_FOUND))
-             .select(*cols, "message"))
-    # every waiting row carries its product's stock left ("left"), lowered after each round
-    pending = marked.where(~bad_qty & F.col("_known").isNotNull()).select(*cols, "price", "left", "_slice")
+    # requests that are refused at once are kept with the labelled rows, so the join that finds them runs once; the others wait,
+    # and every waiting row carries its product's stock left ("left"), lowered after each round
+    early = F.when(bad_qty, F.lit("invalid")).when(F.col("_known").isNull(), F.lit("unknown"))
+    pending = marked.select(*cols, "price", "left", "_slice", early.alias("_early"))
 
-    # round 1: running totals; a request larger than the stock adds nothing
+    # round 1: running totals; a request that is refused at once, or larger than the stock, adds nothing
     fits = F.col("quantity") <= F.col("left")
-    counted = pending.withColumn("_fit", F.when(fits, F.col("quantity")).otherwise(F.lit(0)))
+    counted = pending.withColumn("_fit", F.when(F.col("_early").isNull() & fits, F.col("quantity")).otherwise(F.lit(0)))
     run = running_sum(counted, "product_id", ORDER, "_fit", "_run", "_slice")
-    outcome = (F.when(~fits, "refused")
+    outcome = (F.when(F.col("_early").isNotNull(), F.col("_early"))
+               .when(~fits, "refused")
                .when(F.col("_run") <= F.col("left"), "accepted")
                .when(F.col("_run") - F.col("quantity") <= F.col("left"), "refused")
                .otherwise("pending"))
-    labelled = cut_lineage(run.withColumn("_outcome", outcome).drop("_run", "_fit"), "purchases")
+    labelled = cut_lineage(run.withColumn("_outcome", outcome).drop("_run", "_fit", "_early"), "purchases")
     done, rounds = [], 1
     while True:
         done.append(labelled.where(F.col("_outcome") != "pending"))
@@ -130,13 +135,15 @@ def apply_purchases(inventory: DataFrame, requests: DataFrame, slices: int | Non
         waiting = labelled.where(F.col("_outcome") == "pending").drop("_outcome")
         if waiting.isEmpty():
             break
-        pending = (waiting.join(_per_slice(waiting, used), ["product_id", "_slice"], "left")
-                   .withColumn("left", F.col("left") - F.coalesce("_used", F.lit(0))).drop("_used"))
-        # the first slice of each product that still holds a request that fits
-        per_slice = pending.groupBy("product_id", "_slice").agg(F.max(F.when(fits, 1)).alias("_some"))
+        # the first slice of each product that still holds a request that fits, found from the least quantity of each slice; the
+        # rows then meet their product's used units and that slice in one join
+        least = waiting.groupBy("product_id", "_slice", "left").agg(F.min("quantity").alias("_least")).join(used, "product_id", "left")
+        some = F.col("_least") <= F.col("left") - F.coalesce("_used", F.lit(0))
+        per_slice = least.groupBy("product_id", "_slice").agg(F.max(F.when(some, 1)).alias("_some"), F.first("_used").alias("_used"))
         first = per_slice.where("_some = 1").groupBy("product_id").agg(F.min("_slice").alias("_first"))
-        turn = per_slice.join(first, "product_id", "left").select("product_id", "_slice", "_first")
-        placed = pending.join(turn, ["product_id", "_slice"], "left")
+        turn = per_slice.join(first, "product_id", "left").select("product_id", "_slice", "_used", "_first")
+        placed = (waiting.join(turn, ["product_id", "_slice"], "left")
+                  .withColumn("left", F.col("left") - F.coalesce("_used", F.lit(0))).drop("_used"))
         now = placed.where(fits & (F.col("_slice") == F.col("_first"))).drop("_first")
         rest = (placed.where(~fits | (F.col("_slice") != F.col("_first"))).drop("_first")
                 .withColumn("_outcome", F.when(~fits, "refused").otherwise("pending")))
@@ -148,12 +155,14 @@ def apply_purchases(inventory: DataFrame, requests: DataFrame, slices: int | Non
     sales = accepted.select(
         "request_id", "user_id", "product_id", "quantity",
         subtotal("quantity", "price").alias("total_amount"), F.col("requested_at").alias("transaction_date"))
-    refused = (resolved.where(F.col("_outcome") == "refused").select(*cols)
-               .withColumn("message", F.lit(INSUFFICIENT)))
+    message = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
+    unsold = (resolved.where(F.col("_outcome") != "accepted").select(*cols, "_outcome")
+              .unionByName(nameless.select(*cols, F.when(bad_qty, "invalid").otherwise("unknown").alias("_outcome"))))
+    rejects = unsold.select(*cols, message[F.col("_outcome")].alias("message"))
     # stock only ever falls by accepted quantities
     taken = accepted.groupBy(F.col("product_id").alias("id")).agg(F.sum("quantity").cast("long").alias("_taken"))
     new_inventory = (inventory.join(taken, "id", "left")
                      .withColumn("quantity", (F.col("quantity") - F.coalesce("_taken", F.lit(0))).cast("int"))
                      .drop("_taken"))
-    return {"sales": sales, "rejects": early.unionByName(refused), "inventory": new_inventory,
+    return {"sales": sales, "rejects": rejects, "inventory": new_inventory,
             "rounds": spark.range(1).select(F.lit(rounds).alias("rounds"))}
