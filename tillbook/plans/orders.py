@@ -62,20 +62,50 @@ def _entries(rows: DataFrame, order_cols: list[str], fields: list[str], name: st
         F.sort_array(F.collect_list(F.struct("position", *fields))).alias(name))
 
 
-def nest_order_history(history: dict[str, DataFrame], rows_per_chunk: int = 1000) -> DataFrame:
+def nest_order_history(history: dict[str, DataFrame], rows_per_chunk: int = 1000, rows_per_order: int = 100_000) -> DataFrame:
     """REP8 (nested): items[] (by item id) and tracking[] (newest first) per order and chunk.
 
     Chunk k of an order holds entries k * rows_per_chunk + 1 to (k + 1) * rows_per_chunk of both; every
     order has chunk 0, and most have no other. So no row grows with the log of one order.
+
+    Lines and tracking are written once and dealt by order once: an order of at most ``rows_per_order`` rows is gathered and
+    then cut into its chunks. Longer ones (of N rows fewer than N / ``rows_per_order`` orders, so their ids are broadcast) are numbered
+    over range slices instead.
     """
-    key = "id" if "id" in history["items"].columns else "item_key"
-    items = _entries(history["items"], [key], [c for c in history["items"].columns if c != "order_id"], "items", rows_per_chunk)
+    items, o = history["items"], history["orders"].where(F.col("id").isNotNull())
+    key = "id" if "id" in items.columns else "item_key"
+    fields = {"items": [key, *[c for c in items.columns if c not in ("order_id", key)]], "tracking": ["created_at", "id", "status", "location", "notes"]}
     newest = history["tracking"].withColumn("_late", -F.unix_micros(F.col("created_at").cast("timestamp"))).withColumn("_high", -F.col("id"))
-    track = _entries(newest, ["_late", "_high"], ["created_at", "id", "status", "location", "notes"], "tracking", rows_per_chunk)
-    o = history["orders"]
-    chunks = (items.select("id", "chunk").union(track.select("id", "chunk"))
-              .union(o.select("id", F.lit(0).cast("long"))).distinct())
-    return (o.join(chunks, "id").join(items, ["id", "chunk"], "left").join(track, ["id", "chunk"], "left")
+    # both kinds of rows begin with what they are sorted by
+    lines = items.select("order_id", F.struct(*fields["items"]).alias("items"))
+    log = newest.select("order_id", F.struct("_late", "_high", *fields["tracking"]).alias("tracking"))
+    rows = cut_lineage(lines.unionByName(log, allowMissingColumns=True).where(F.col("order_id").isNotNull()), "history")
+    long = cut_lineage(rows.groupBy("order_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows_per_order).select("order_id"), "long")
+    long_ids = F.broadcast(long.withColumnRenamed("order_id", "id"))
+
+    gathered = (rows.join(F.broadcast(long), "order_id", "left_anti").repartition("order_id").groupBy(F.col("order_id").alias("id"))
+                .agg(*[F.sort_array(F.collect_list(name)).alias(name) for name in fields]))
+    whole = o.join(long_ids, "id", "left_anti").join(gathered, "id", "left")
+    n_chunks = F.greatest(F.lit(1), *[F.ceil(F.coalesce(F.size(name), F.lit(0)) / rows_per_chunk) for name in fields])
+    start = F.col("chunk") * rows_per_chunk
+
+    def piece(name: str):
+        entry = lambda x, i: F.struct((start + i + 1).cast("long").alias("position"), *[x[c].alias(c) for c in fields[name]])
+        return F.coalesce(F.transform(F.slice(name, (start + 1).cast("int"), rows_per_chunk), entry), F.array()).alias(name)
+
+    columns = ["id", *[c for c in o.columns if c != "id"]]
+    nested = (whole.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), n_chunks.cast("long") - 1)))
+              .select(*columns, "chunk", *[piece(name) for name in fields]))
+    return nested if long.isEmpty() else nested.unionByName(_nested_long(
+        rows.join(F.broadcast(long), "order_id", "left_semi"), o.join(long_ids, "id", "left_semi"), fields, rows_per_chunk).select(*nested.columns))
+
+
+def _nested_long(rows: DataFrame, orders: DataFrame, fields: dict[str, list[str]], rows_per_chunk: int) -> DataFrame:
+    """The chunks of orders with long logs, by positions that are numbered over range slices."""
+    by = {"items": fields["items"][:1], "tracking": ["_late", "_high"]}
+    items, track = [_entries(rows.where(F.col(name).isNotNull()).select("order_id", f"{name}.*"), by[name], fields[name], name, rows_per_chunk)
+                    for name in fields]
+    return (orders.join(items.join(track, ["id", "chunk"], "full"), "id")
             .withColumn("items", F.coalesce("items", F.array()))
             .withColumn("tracking", F.coalesce("tracking", F.array())))
 
